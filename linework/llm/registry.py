@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm import decontaminate, exact_dedup, simhash
+from linework.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from linework.llm.common import id_bucket
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,11 +19,21 @@ def op4_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), id_bucket("_id", 5) != 0)
+    spans = F.array_join(F.transform("sentences", lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return rows.select("doc_id", (id_bucket("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), spans.alias("sentences"))
+
+
 def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return rows.select(
@@ -33,7 +44,9 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_tree_dedup": op4_tree_dedup,
+    "op7_nnls_packing": op7_nnls_packing,
     "op8_simhash_vptree": op8_simhash_vptree,
+    "op9_toxicity_mil": op9_toxicity_mil,
     "op10_suffix_decontam": op10_suffix_decontam,
 }
 
