@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from linework.llm import decontaminate, exact_dedup, html_text, language, packing, simhash, toxicity, warc
 from linework.llm.common import id_bucket
 
 
@@ -15,10 +15,24 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.groups(_table(spark, sf_dir, "documents"))
 
 
+def op5_warc_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
+def op6_string_kernel_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = id_bucket("doc_id", 4) == 2
+    return language.identify(docs, ~held_out).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -43,7 +57,10 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_text_tag_ratio": op3_text_tag_ratio,
     "op4_tree_dedup": op4_tree_dedup,
+    "op5_warc_zstd": op5_warc_zstd,
+    "op6_string_kernel_lang": op6_string_kernel_lang,
     "op7_nnls_packing": op7_nnls_packing,
     "op8_simhash_vptree": op8_simhash_vptree,
     "op9_toxicity_mil": op9_toxicity_mil,
