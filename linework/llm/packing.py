@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from linework.llm.common import blocks, raw
 
 WINDOW, UNIT, CLOSE = 2048, 32, 1
-BLOCK_BYTES = 24 << 20
-#: Words whose ids a worker remembers between blocks.
-REMEMBERED = 600_000
+BLOCK_BYTES = 12 << 20
+#: Words and parts of words whose ids a worker remembers between blocks.
+WORDS_HELD, STEMS_HELD = 300_000, 800_000
+#: ASCII punctuation, but for the apostrophe.
+MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
 
 def default_vocabulary() -> str:
@@ -42,10 +45,46 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def gather(which: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The stretches of flat that `which` names, end to end; in pieces, so that the indices stay small."""
+    out = []
+    for lo in range(0, len(which), 1 << 18):
+        w = which[lo : lo + (1 << 18)]
+        c = size[w]
+        out.append(flat[np.repeat(first[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())])
+    return np.concatenate(out) if out else flat[:0]
+
+
+class Stems:
+    """Ids of parts of words, remembered between blocks; part 0 is empty."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.number: dict[bytes, int] = {b"": 0}
+        self.size, self.first, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+
+    def look_up(self, parts: list[bytes]) -> np.ndarray:
+        number, old = self.number, len(self.number)
+        out = np.fromiter((number.setdefault(x, len(number)) for x in parts), np.int64, len(parts))
+        new = list(islice(number, old, None))
+        sizes, ids = [], []
+        for at in range(0, len(new), 20_000):
+            for e in self.tokenizer.encode_batch_fast([x.decode() for x in new[at : at + 20_000]], add_special_tokens=False):
+                own = e.ids
+                sizes.append(len(own))
+                ids += own
+        self.size = np.concatenate((self.size, np.array(sizes, np.int64)))
+        self.flat = np.concatenate((self.flat, np.array(ids, np.uint16)))
+        self.first = np.cumsum(self.size) - self.size
+        return out
+
+
 class Words:
-    """Ids of white-space separated words. The tokenizer never joins across white space, so texts are their words' ids.
+    """Ids of white-space separated words, as the tokenizer gives them for the whole text.
 
-    Strings of special tokens in a text are ordinary text.
+    It never joins across white space, and folds case, so a text's ids are those of its lower-cased words. It never
+    joins letters and punctuation either (but for the apostrophe of contractions), so a word of letters with
+    punctuation behind is encoded as these two parts. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -53,6 +92,7 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.stems = Stems(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
@@ -61,39 +101,33 @@ class Words:
 
     def encode(self, texts: list[bytes], close: int) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids end to end, each with the closing id, and their counts."""
-        if len(self.number) > REMEMBERED:
+        if len(self.number) > WORDS_HELD:
             self.forget()
+        if len(self.stems.number) > STEMS_HELD:
+            self.stems = Stems(self.tokenizer)
         number, old = self.number, len(self.number)
         rows, lens = [], []
         for t in texts:
-            w = t.split()
+            w = t.lower().split()
             lens.append(len(w))
             rows.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w)))
         if len(number) > old:
-            new = list(number)[old:]
-            sizes, parts = [], []
-            for at in range(0, len(new), 20_000):
-                for e in self.tokenizer.encode_batch_fast([x.decode() for x in new[at : at + 20_000]], add_special_tokens=False):
-                    ids = e.ids
-                    sizes.append(len(ids))
-                    parts += ids
-            self.size = np.concatenate((self.size, np.array(sizes, np.int64)))
-            self.flat = np.concatenate((self.flat, np.array(parts, np.uint16)))
+            parts = []
+            for w in islice(number, old, None):
+                stem = w.rstrip(MARKS)
+                parts += (stem, w[len(stem) :]) if len(stem) < len(w) and stem.decode().isalpha() else (w, b"")
+            index = self.stems.look_up(parts)
+            s = self.stems
+            self.flat = np.concatenate((self.flat, gather(index, s.first, s.size, s.flat)))
+            self.size = np.concatenate((self.size, s.size[index].reshape(-1, 2).sum(1)))
             self.first = np.cumsum(self.size) - self.size
         word = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        count = self.size[word]
         doc = np.repeat(np.arange(len(texts)), lens)
-        total = np.bincount(doc, count, len(texts)).astype(np.int64) + 1
+        total = np.bincount(doc, self.size[word], len(texts)).astype(np.int64) + 1
         out = np.full(int(total.sum()), close, np.uint16)
-        ends = np.cumsum(total)
         place = np.ones(len(out), bool)
-        place[ends - 1] = False
-        parts_ = []
-        for lo in range(0, len(word), 1 << 18):  # in pieces, so that the indices stay small
-            w, c = word[lo : lo + (1 << 18)], count[lo : lo + (1 << 18)]
-            parts_.append(self.flat[np.repeat(self.first[w] - (np.cumsum(c) - c), c) + np.arange(c.sum())])
-        if parts_:
-            out[place] = np.concatenate(parts_)
+        place[np.cumsum(total) - 1] = False
+        out[place] = gather(word, self.first, self.size, self.flat)
         return out, total
 
 

@@ -38,7 +38,7 @@ def test_packs_every_id(docs):
     from tokenizers import Tokenizer
 
     rng = random.Random(4)
-    words = ["alpha", "Beta,", "gamma's", "délta", "x1y2"]
+    words = ["alpha", "Beta,", "gamma's", "délta", "x1y2", "It'S...", "wie?!", "a\u0301b\u00a0C,", "ΣΑΣ.", "»so«,", "1,5%", "İx;", "e-mail:x@y.z"]
     rows = ROWS + [(i, " ".join(rng.choices(words, k=rng.choice([1, 5, 40, 300, 900, 5000])))) for i in range(10, 120)]
     t = Tokenizer.from_file(packing.default_vocabulary())
     t.encode_special_tokens = True
