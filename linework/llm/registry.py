@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm import decontaminate, exact_dedup, html_text, language, packing, simhash, toxicity, warc
+from linework.llm import decontaminate, exact_dedup, html_text, language, packing, secrets, simhash, toxicity, warc
 from linework.llm.common import id_bucket
 
 
@@ -15,6 +15,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = secrets.scan(_table(spark, sf_dir, "documents"))
+    base = F.filter("found", lambda x: x["rank"] < 3)
+    counts = [F.expr(f"cast(size(filter(found, x -> x.rank = {k})) as bigint)").alias(f"n_{name}") for k, name in enumerate(["assign", "access", "hex"])]
+    return rows.select("doc_id", *counts, F.sha2(secrets.listing(base), 256).alias("base_sha256"), secrets.listing(F.col("found")).alias("spans"), F.size(F.filter("found", lambda x: x["live"])).cast("long").alias("n_live"))
+
+
 def op3_text_tag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -57,6 +64,7 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_ownership": op2_secret_ownership,
     "op3_text_tag_ratio": op3_text_tag_ratio,
     "op4_tree_dedup": op4_tree_dedup,
     "op5_warc_zstd": op5_warc_zstd,
@@ -67,7 +75,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_decontam": op10_suffix_decontam,
 }
 
+def _secrets_sql() -> str:
+    """Matches of each kind with their positions, ownership of values, and the listing."""
+    one = """select doc_id, source, {k} as rank, unnest(regexp_extract_all(t, '{p}')) as hit,
+                    unnest(string_split_regex(t, '{p}')[:-2]) as gap, unnest(range(len(regexp_extract_all(t, '{p}')))) as i from d"""
+    kinds = " union all ".join(one.format(k=k, p=p.replace("'", "''")) for k, p in enumerate(secrets.KINDS.values()))
+    assign = secrets.ASSIGN.replace("'", "''")
+    return f"""
+        with d as (select doc_id, source, coalesce(text, '') as t from documents), m as materialized ({kinds}),
+        p as (select doc_id, source, rank, hit, sum(length(gap) + length(hit)) over (partition by doc_id, rank order by i) as stop,
+                     case when rank = 0 then regexp_extract(hit, '{assign}', 2) else hit end as value from m),
+        v as materialized (select doc_id, source, rank, (stop - length(hit))::bigint as a, stop::bigint as b, value from p
+              where (rank = 0 and length(value) >= {secrets.LEAST_ASSIGNED}) or rank in (1, 2)
+                 or (rank = 3 and regexp_matches(value, '[0-9]') and regexp_matches(value, '[A-Za-z]') and len(list_distinct(string_split(value, ''))) >= {secrets.LEAST_DISTINCT})),
+        s as materialized (select * from v where rank < 3 or not exists (select 1 from v w where w.doc_id = v.doc_id and w.rank < 3 and w.a < v.b and v.a < w.b)),
+        o as (select value, count(distinct source) as owners from s group by value),
+        f as (select doc_id, rank, a, ['assign', 'access', 'hex', 'owner'][rank + 1] || ':' || a || ':' || b as name, owners <= {secrets.MOST_OWNERS} as live
+              from s join o using (value) where rank < 3 or owners <= {secrets.MOST_OWNERS}),
+        g as (select doc_id, count(*) filter (rank = 0) as n0, count(*) filter (rank = 1) as n1, count(*) filter (rank = 2) as n2, count(*) filter (live) as n_live,
+                     coalesce(string_agg(name, ',' order by a, rank) filter (rank < 3), '') as base, string_agg(name, ',' order by a, rank) as spans from f group by doc_id)
+        select d.doc_id, coalesce(n0, 0) as n_assign, coalesce(n1, 0) as n_access, coalesce(n2, 0) as n_hex,
+               sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans, coalesce(n_live, 0) as n_live
+        from d left join g using (doc_id)"""
+
+
 SQL: dict[str, str] = {
+    "op2_secret_ownership": _secrets_sql(),
     "op4_tree_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
