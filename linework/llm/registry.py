@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm import decontaminate, exact_dedup, html_text, language, packing, secrets, simhash, toxicity, warc
+from linework.llm import decontaminate, exact_dedup, html_text, language, ngram_model, packing, secrets, simhash, toxicity, warc
 from linework.llm.common import id_bucket
 
 
@@ -15,6 +15,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = id_bucket("doc_id", 10) == 0
+    rows = ngram_model.score(_table(spark, sf_dir, "documents"), ~held_out)
+    return rows.withColumn("held_out", held_out)
+
+
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secrets.scan(_table(spark, sf_dir, "documents"))
     base = F.filter("found", lambda x: x["rank"] < 3)
@@ -64,6 +70,7 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_elias_fano_lm": op1_elias_fano_lm,
     "op2_secret_ownership": op2_secret_ownership,
     "op3_text_tag_ratio": op3_text_tag_ratio,
     "op4_tree_dedup": op4_tree_dedup,
