@@ -58,8 +58,8 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
     """Joins Arrow batches into tables of about `most` bytes of text; long batches are cut, rows never are."""
     held, size = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
             held.append(part)
             size += part.column(part.schema.get_field_index(text)).nbytes
             if size >= most:

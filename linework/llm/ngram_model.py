@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from linework.llm.common import blocks, raw, written
 from linework.llm.elias_fano import Trie
 
-BLOCK_BYTES = 20 << 20
+BLOCK_BYTES = 7 << 20
 SHARD_TOKENS = 1_500_000
 FREQUENT = 1e-5
 MU = 300.0
@@ -142,8 +142,12 @@ def _large(data: bytes) -> np.ndarray:
 
 def _grouped(key: np.ndarray, doc: np.ndarray, n_docs: int, train: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order: (keys, training count, documents that hold each, those documents, times there)."""
-    both, times = np.unique(key * n_docs + doc, return_counts=True)
-    k, d = np.divmod(both, n_docs)
+    both = key * n_docs + doc
+    both.sort()
+    head = np.flatnonzero(np.concatenate(([True], both[1:] != both[:-1]))) if len(both) else np.zeros(0, np.int64)
+    times = np.diff(np.concatenate((head, [len(both)])))
+    k, d = np.divmod(both[head], n_docs)
+    del both
     head = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.zeros(0, np.int64)
     holders = np.diff(np.concatenate((head, [len(k)])))
     return k[head], np.add.reduceat(times * train[d], head) if len(head) else head, holders, d, times
@@ -160,22 +164,27 @@ class Sender:
         rows = []
         for t in raw(table.column("text")):
             w = t.lower().split()
-            own = np.empty(len(w) + 2, np.int64)
+            own = np.empty(len(w) + 2, np.int32)
             own[0], own[-1] = 1, 0
-            own[1:-1] = np.fromiter((number.setdefault(x, len(number)) for x in w), np.int64, len(w))
+            own[1:-1] = np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w))
             rows.append(own)
         h = hashes(list(number))
+        del number
         order = np.argsort(h)
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
         h = h[order]
         size = np.array([len(r) - 1 for r in rows], np.int64)
-        line = rank[np.concatenate(rows)]
+        line = np.concatenate(rows)
+        del rows
         first, last = np.zeros(len(line), bool), np.zeros(len(line), bool)
         last[np.cumsum(size + 1) - 1] = True
         first[np.cumsum(size + 1) - size - 1] = True
-        key, count, holders, holder, times = _grouped(line[~first] * len(h) + line[~last], np.repeat(np.arange(len(rows)), size), len(rows), np.array(table.column("train").to_pylist(), np.int64))
+        key = rank[line[~first]] * len(h) + rank[line[~last]]
+        del line, first, last
+        key, count, holders, holder, times = _grouped(key, np.repeat(np.arange(len(size)), size), len(size), np.array(table.column("train").to_pylist(), np.int64))
         word, context = np.divmod(key, len(h))
+        del key
         # by the word or, where it is hot, by both words
         mixed = np.where(np.isin(h[word], self.hot), h[word] ^ (h[context] * ODD), h[word])
         shard = ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(self.shards)).astype(np.int64)
