@@ -1,6 +1,580 @@
-"""Queries by name and their SQL."""
+"""Queries over the star schema by name, each one operator or a few, and SQL with the same result.
+
+Whole numbers are BIGINT and doubles are rounded to six decimals at most, in both.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from linework.functions import geometry as G
+from linework.functions import strings as X
+from linework.operators import edges, graph, overlay, sequences, spatial
+from linework.sources import adapters as A
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+LEGS, SPARSE = A.legs_sql(), A.legs_sql("l_partkey", 97)
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def big(*names: str) -> list[Column]:
+    return [F.col(n).cast("long").alias(n) for n in names]
+
+
+def joined(name: str) -> Column:
+    return F.array_join(F.col(name), ",").alias(name)
+
+
+EDGES_SQL = f"""with l as ({LEGS}), p as (select line_id, pos, station_id as a, lead(station_id) over (partition by line_id order by pos) as b, len, turn from l),
+    e as (select *, least(a, b) as u, greatest(a, b) as v from p where b is not null and a <> b)"""
+
+
+# ---- edges and corridors
+
+
+@query(f"{EDGES_SQL} select u, v, count(distinct line_id) as n_lines from e group by u, v having count(distinct line_id) > 1")
+def shared_corridors(spark, sf_dir):
+    return edges.shared(A.legs(spark, sf_dir))
+
+
+@query(f"{EDGES_SQL}, d as (select distinct u, v, line_id from e) select u, v, string_agg(line_id, ',' order by line_id) as lines from d group by u, v")
+def corridor_user_lists(spark, sf_dir):
+    return edges.edge_lines(A.legs(spark, sf_dir)).select("u", "v", joined("lines"))
+
+
+@query(f"{EDGES_SQL} select (select count(distinct line_id) from l) as n_lines, (select count(distinct station_id) from l) as n_stations, (select count(*) from (select distinct u, v from e)) as n_edges")
+def layout_report(spark, sf_dir):
+    return edges.report(A.legs(spark, sf_dir))
+
+
+@query(f"{EDGES_SQL} select u, v, line_id, pos, a = u as forward from e qualify row_number() over (partition by u, v order by line_id, pos) = 1")
+def edge_builders(spark, sf_dir):
+    return edges.first_use(A.legs(spark, sf_dir))
+
+
+@query(f"with l as ({LEGS}) select line_id, arg_min(station_id, pos) as first, arg_max(station_id, pos) as last from l group by line_id")
+def line_ends(spark, sf_dir):
+    return edges.line_ends(A.legs(spark, sf_dir))
+
+
+@query(f"""with l as ({LEGS}), e as (select line_id, arg_min(station_id, pos) as first, arg_max(station_id, pos) as last from l group by line_id),
+    f as (select distinct line_id, unnest([first, last]) as station_id from e) select station_id, string_agg(line_id, ',' order by line_id) as lines from f group by station_id""")
+def end_lists(spark, sf_dir):
+    return edges.end_lists(A.legs(spark, sf_dir)).select("station_id", joined("lines"))
+
+
+@query(f"""with l as ({LEGS}), e as (select line_id, arg_min(station_id, pos) as first, arg_max(station_id, pos) as last from l group by line_id),
+    r as (select distinct line_id, station_id from l where pos % 2 = 0 and turn <> 0)
+    select r.line_id, r.station_id from r join e using (line_id) where r.station_id <> first and r.station_id <> last""")
+def intermediate_ends(spark, sf_dir):
+    legs = A.legs(spark, sf_dir)
+    routes = legs.where("pos % 2 = 0 and turn <> 0").select("line_id", "station_id").distinct()
+    return edges.inner_ends(legs, routes)
+
+
+@query(f"""with l as ({LEGS}), e as (select line_id, arg_min(station_id, pos) as first, arg_max(station_id, pos) as last from l group by line_id),
+    t as (select line_id, line_id - 1 as trunk_id from e where line_id % 2 = 0),
+    f as (select t.line_id, trunk_id, unnest([first, last]) as station_id from t join e using (line_id)), s as (select distinct line_id as trunk_id, station_id, 1 as there from l)
+    select line_id, trunk_id, count(there) as n_on from f left join s using (trunk_id, station_id) group by line_id, trunk_id""")
+def branch_join(spark, sf_dir):
+    legs = A.legs(spark, sf_dir)
+    trunk = legs.where("line_id % 2 = 0").select("line_id", (F.col("line_id") - 1).alias("trunk_id")).distinct()
+    return edges.branches(legs, trunk)
+
+
+@query(f"""with g as ({A.GROUPS_SQL}) select line_id, grp, case when line_id = 7 then 0.25 when line_id = 11 then -2.0 when grp = 'BUILDING' then -1.0 when grp = 'MACHINERY' then 1.0 when grp = 'AUTOMOBILE' then 0.5 end as "offset" from g""")
+def offset_lookup(spark, sf_dir):
+    table = F.create_map(*[F.lit(x) for x in ("7", 0.25, "11", -2.0, "BUILDING", -1.0, "MACHINERY", 1.0, "AUTOMOBILE", 0.5)])
+    rows = A.groups(spark, sf_dir).select("line_id", "grp")
+    return edges.offsets(rows, table, F.col("line_id").cast("string"), F.col("grp"), strict=False)
+
+
+@query(f"""with l as ({LEGS}), p as (select line_id, station_id as a, lead(station_id) over (partition by line_id order by pos) as b from l),
+    e as (select distinct least(a, b) as u, greatest(a, b) as v, 'F' || (line_id % 5) as family from p where b is not null and a <> b)
+    select u, v, family, row_number() over (partition by u, v order by family) - 1 - (count(*) over (partition by u, v) - 1) / cast(2 as double) as slot from e""")
+def lane_slots(spark, sf_dir):
+    e = edges.undirected(A.legs(spark, sf_dir)).select("u", "v", F.concat(F.lit("F"), (F.col("line_id") % 5).cast("string")).alias("family")).distinct()
+    return edges.slots(e)
+
+
+@query(f"""{EDGES_SQL} select u, v, count(distinct round(case when a = u then len % 4 else -(len % 4) end, 6)) as width from e group by u, v""")
+def bundle_width(spark, sf_dir):
+    e = edges.undirected(A.legs(spark, sf_dir))
+    lane = F.when(F.col("a") == F.col("u"), F.col("len") % 4).otherwise(-(F.col("len") % 4)).cast("double")
+    return edges.lanes_per_edge(e.select("u", "v", lane.alias("lane")))
+
+
+@query(f"""with l as ({LEGS}), g as (select line_id, case when pos % 3 = 0 then 'group ' || (len % 3) else 'leg ' || pos end as var, pos, len, turn from l where turn <> 0)
+    select line_id, var, arg_min(len, pos) as preferred, count(*) as n_legs, max(len) = min(len) as agree from g group by line_id, var""")
+def length_groups(spark, sf_dir):
+    legs = A.legs(spark, sf_dir).where("turn <> 0")
+    group = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("group "), (F.col("len") % 3).cast("string")))
+    e = legs.select("line_id", "pos", group.alias("group"), F.col("len").alias("preferred"), F.lit(0.2).alias("minimum"), F.lit(float("inf")).alias("maximum"), F.lit(1.0).alias("flex"))
+    return edges.length_variables(e).select("line_id", "var", "preferred", "n_legs", "agree")
+
+
+@query(f"""with l as ({LEGS}), b as (select *, ((45 + sum(turn) over (partition by line_id order by pos)) % 360 + 360) % 360 as d, lead(station_id) over (partition by line_id order by pos) as b from l),
+    p as (select line_id, pos, station_id as a, b, len, turn = 0 as elastic, d from b where b is not null),
+    x as (select *, 'x' as axis, sin(radians(cast(d as double))) as dir from p union all select *, 'y', cos(radians(cast(d as double))) from p),
+    t as (select line_id || ':' || pos || ':' || axis as eq, axis || ':' || b as var, cast(1 as double) as coef from x
+          union all select line_id || ':' || pos || ':' || axis, axis || ':' || a, -1 from x
+          union all select line_id || ':' || pos || ':' || axis, 'len:' || line_id || ':' || pos, -dir from x where elastic)
+    select eq, var, round(sum(coef), 6) + 0 as coef from t group by eq, var having sum(coef) <> 0""")
+def equations_coo(spark, sf_dir):
+    terms, _ = edges.equations(A.legs(spark, sf_dir).withColumn("elastic", F.col("turn") == 0), 45)
+    return terms.select("eq", "var", (F.round("coef", 6) + 0).alias("coef"))
+
+
+@query(f"""with l as ({LEGS}), w as (select station_id as joint, line_id, min(pos) as start, max(pos + len) as stop from l group by station_id, line_id),
+    j as (select joint, min(start) as start, max(stop) as stop from w group by joint) select joint, line_id, j.start, j.stop from w join j using (joint)""")
+def switching_windows(spark, sf_dir):
+    w = A.legs(spark, sf_dir).groupBy(F.col("station_id").alias("joint"), "line_id").agg(F.min("pos").alias("start"), F.max(F.col("pos") + F.col("len")).alias("stop"))
+    return edges.switching_windows(w)
+
+
+# ---- ordered steps
+
+
+@query(f"""with l as ({LEGS}), s as (select line_id, pos * 2 as pos, station_id, null as turn from l union all select line_id, pos * 2 + 1, null, turn from l where turn <> 0),
+    n as (select *, count(station_id) over (partition by line_id order by pos) as seg from s),
+    g as (select line_id, seg, max(station_id) as a, count(turn) as modifiers, coalesce(cast(sum(turn) as bigint), 0) as turn from n where seg > 0 group by line_id, seg)
+    select * from (select *, lead(a) over (partition by line_id order by seg) as b from g) where b is not null""")
+def segments_parse(spark, sf_dir):
+    step = F.explode(F.array(F.struct((F.col("pos") * 2).alias("pos"), F.col("station_id"), F.lit(None).cast("long").alias("turn")), F.struct((F.col("pos") * 2 + 1).alias("pos"), F.lit(None).cast("long").alias("station_id"), F.col("turn"))))
+    steps = A.legs(spark, sf_dir).select("line_id", step.alias("s")).select("line_id", "s.*").where("station_id is not null or turn <> 0")
+    return sequences.segments(steps)
+
+
+@query(f"with l as ({LEGS}) select line_id, pos, cast(((45 + sum(turn) over (partition by line_id order by pos)) % 360 + 360) % 360 as bigint) as bearing from l")
+def running_bearing(spark, sf_dir):
+    return sequences.running_bearing(A.legs(spark, sf_dir), 45).select("line_id", "pos", *big("bearing"))
+
+
+@query(f"""with l as ({LEGS}), t as (select *, case when turn = 0 then 0.0 else cast(0.8 as double) * tan(radians(cast(45 as double)) / 2) end as tangent from l)
+    select line_id, pos, round(greatest(cast(len as double), coalesce(lag(tangent) over (partition by line_id order by pos), 0) + tangent), 6) as minimum from t""")
+def curve_room(spark, sf_dir):
+    return sequences.curve_room(A.legs(spark, sf_dir)).select("line_id", "pos", F.round("minimum", 6).alias("minimum"))
+
+
+@query(f"""with l as ({LEGS}), c as (select line_id, pos, case when turn <> 0 or row_number() over (partition by line_id order by pos) = 1 then len end as v from l)
+    select line_id, pos, last_value(v ignore nulls) over (partition by line_id order by pos) as lane from c""")
+def lane_deferral(spark, sf_dir):
+    return sequences.deferred(A.legs(spark, sf_dir), F.col("len"), F.col("turn") != 0).select("line_id", "pos", "lane")
+
+
+@query(f"""with l as ({LEGS}), b as (select *, radians(cast(((45 + sum(turn) over (partition by line_id order by pos)) % 360 + 360) % 360 as double)) as r from l)
+    select line_id, pos, round(sum(sin(r) * len) over (partition by line_id order by pos), 4) + 0 as x, round(sum(cos(r) * len) over (partition by line_id order by pos), 4) + 0 as y from b""")
+def walked_legs(spark, sf_dir):
+    return sequences.walked(A.legs(spark, sf_dir), 45).select("line_id", "pos", (F.round("x", 4) + 0).alias("x"), (F.round("y", 4) + 0).alias("y"))
+
+
+ARC_SQL = f"""with p as ({A.POLYLINES_SQL}), d as (select *, coalesce(sqrt(power(x - lag(x) over w, 2) + power(y - lag(y) over w, 2)), 0) as step from p window w as (partition by line_id order by pos)),
+    s as (select line_id, pos, x, y, sum(step) over (partition by line_id order by pos) as s from d)"""
+
+
+@query(f"{ARC_SQL} select line_id, pos, round(s, 2) as s from s")
+def arc_length(spark, sf_dir):
+    return sequences.arc_length(A.polylines(spark, sf_dir)).select("line_id", "pos", F.round("s", 2).alias("s"))
+
+
+@query(f"""with p as ({A.POLYLINES_SQL}), n as (select *, count(*) over (partition by line_id) as n, first_value(x) over w as fx, first_value(y) over w as fy,
+        last_value(x) over w as lx, last_value(y) over w as ly from p window w as (partition by line_id order by pos rows between unbounded preceding and unbounded following)),
+    m as (select *, sum(x) over r as sx, sum(y) over r as sy, greatest(0, 3 - pos) as bm, greatest(0, 2 - (n - pos)) as am from n window r as (partition by line_id order by pos rows between 2 preceding and 2 following))
+    select line_id, pos, round(case when n <= 5 or pos = 1 or pos = n then x else (sx + bm * fx + am * lx) / 5.0::double end, 4) as sx,
+           round(case when n <= 5 or pos = 1 or pos = n then y else (sy + bm * fy + am * ly) / 5.0::double end, 4) as sy from m""")
+def moving_average(spark, sf_dir):
+    return sequences.moving_average(A.polylines(spark, sf_dir), 5).select("line_id", "pos", F.round("sx", 4).alias("sx"), F.round("sy", 4).alias("sy"))
+
+
+@query(f"""{ARC_SQL}, t as (select *, max(s) over (partition by line_id) as total, lead(s) over w as s1, lead(x) over w as x1, lead(y) over w as y1 from s window w as (partition by line_id order by pos)),
+    n as (select *, greatest(ceil(total / 500), 1) as n from t where total > 0), g as (select *, total / n as gap from n),
+    i as (select *, unnest(range(cast(ceil(s / gap - 1e-9) as bigint), case when s1 >= total then cast(n as bigint) + 1 else cast(ceil(s1 / gap - 1e-9) as bigint) end)) as i from g where s1 > s)
+    select line_id, i, round(x + (i * gap - s) / (s1 - s) * (x1 - x), 3) as x, round(y + (i * gap - s) / (s1 - s) * (y1 - y), 3) as y from i""")
+def resampled(spark, sf_dir):
+    return sequences.resampled(A.polylines(spark, sf_dir), 500.0).select("line_id", "i", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query(f"""{ARC_SQL}, t as (select *, lead(s) over w as s1, lead(x) over w as x1, lead(y) over w as y1 from s window w as (partition by line_id order by pos)),
+    c as (select line_id, s as k, cast(x as double) as x, cast(y as double) as y from s where s between 1000 and 9000
+          union all select line_id, cut, x + (cut - s) / (s1 - s) * (x1 - x), y + (cut - s) / (s1 - s) * (y1 - y) from t, (values (cast(1000 as double)), (cast(9000 as double))) v(cut) where s < cut and s1 > cut)
+    select line_id, round(k, 3) as k, round(x, 3) as x, round(y, 3) as y from c""")
+def sliced(spark, sf_dir):
+    return sequences.sliced(A.polylines(spark, sf_dir), 1000.0, 9000.0).select("line_id", *[F.round(c, 3).alias(c) for c in ("k", "x", "y")])
+
+
+STEPS_SQL = f"with l as ({LEGS}), s as (select line_id, list(station_id order by pos) as steps from l group by line_id)"
+
+
+@query(f"""{STEPS_SQL}, f as (select *, list_position(list_transform(range(1, len(steps)), lambda i: steps[i] % 10 = 3 and steps[i + 1] % 2 = 0), true) as place from s)
+    select line_id, array_to_string(case when place > 0 then list_concat(list_concat(steps[1:place - 1], [-1, -2, -3]), steps[place + 2:]) else steps end, ',') as steps from f""")
+def splice_steps(spark, sf_dir):
+    lines = sequences.steps_array(A.legs(spark, sf_dir))
+    # what to replace: each line's first pair of a station that ends in 3 and an even one
+    here = F.filter(F.when(F.size("steps") > 1, F.sequence(F.lit(1), F.size("steps") - 1)).otherwise(F.array().cast("array<int>")), lambda i: (F.get("steps", i - 1) % 10 == 3) & (F.get("steps", i) % 2 == 0))
+    old = F.when(F.size(here) > 0, F.slice("steps", F.get(here, 0), 2)).otherwise(F.array(F.lit(-9).cast("long"), F.lit(-9).cast("long")))
+    new = F.array(*[F.lit(k).cast("long") for k in (-1, -2, -3)])
+    return sequences.spliced(lines.withColumn("old", old), F.col("old"), new, strict=False).select("line_id", joined("steps"))
+
+
+@query(f"""with l as ({LEGS}) select line_id, count(*) over (partition by line_id) + 1 - pos as pos, station_id, -turn as turn from l""")
+def reverse_steps(spark, sf_dir):
+    return sequences.reversed_legs(A.legs(spark, sf_dir)).select("line_id", *big("pos"), "station_id", "turn")
+
+
+@query(f"""{STEPS_SQL}, f as (select line_id, steps, list_position(steps, list_min(steps)) as a, list_position(steps, list_max(steps)) as b from s)
+    select line_id, case when b >= a then array_to_string(steps[a:b], ',') else '' end as steps from f""")
+def slice_steps(spark, sf_dir):
+    lines = sequences.steps_array(A.legs(spark, sf_dir))
+    return sequences.between(lines, F.array_min("steps"), F.array_max("steps")).select("line_id", joined("steps"))
+
+
+@query(f"""{STEPS_SQL}, f as (select line_id, steps, list_position(steps, list_max(steps)) as a from s)
+    select line_id, array_to_string(list_concat(list_concat(steps[1:a], [-7]), steps[a + 1:]), ',') as steps from f""")
+def insert_after(spark, sf_dir):
+    lines = sequences.steps_array(A.legs(spark, sf_dir))
+    return sequences.inserted(lines, F.array_max("steps"), F.array(F.lit(-7).cast("long"))).select("line_id", joined("steps"))
+
+
+@query(f"""with p as ({A.POINTS_SQL}) select id, case when row_number() over (partition by round(y, 6) order by x, id) % 2 = 1 then 'top' else 'bottom' end as side from p""")
+def alternating_labels(spark, sf_dir):
+    return sequences.alternating(A.points(spark, sf_dir)).select("id", "side")
+
+
+# ---- legend
+
+
+BLOCKS_SQL = f"""with g as ({A.GROUPS_SQL}), k as (select *, cast(line_id % 10 as varchar) || '.' || cast(line_id as varchar) as key, line_id % 7 as col from g),
+    m as (select *, case when grp is not distinct from lag(grp) over w and row_number() over w > 1 then 0 else 1 end as new from k window w as (partition by col order by key)),
+    b as (select *, sum(new) over (partition by col order by key) as block from m)"""
+
+
+def _blocks(spark, sf_dir):
+    key = F.concat((F.col("line_id") % 10).cast("string"), F.lit("."), F.col("line_id").cast("string"))
+    rows = A.groups(spark, sf_dir).withColumn("key", key).withColumn("col", F.col("line_id") % 7)
+    return sequences.islands(rows, ["col"], "key", F.col("grp"), "block")
+
+
+@query(f"{BLOCKS_SQL} select col, cast(block as bigint) as block, min(grp) as grp, string_agg(line_id, ',' order by key) as lines from b group by col, block")
+def legend_blocks(spark, sf_dir):
+    by = _blocks(spark, sf_dir).groupBy("col", F.col("block").cast("long").alias("block"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("key", "line_id"))), lambda x: x["line_id"])
+    return by.agg(F.min("grp").alias("grp"), F.array_join(ordered, ",").alias("lines"))
+
+
+@query(f"""{BLOCKS_SQL}, h as (select col, block, greatest(18 + (sum(n) - 1) * 14, count(*) * 18) as height from b group by col, block)
+    select col, cast(block as bigint) as block, cast(height as bigint) as height, cast(coalesce(sum(height) over (partition by col order by block rows between unbounded preceding and 1 preceding), 0) as bigint) as top from h""")
+def legend_layout(spark, sf_dir):
+    h = _blocks(spark, sf_dir).groupBy("col", "block").agg(F.greatest(18 + (F.sum("n") - 1) * 14, F.count("*") * 18).alias("height"))
+    return sequences.running_boxes(h, ["col"], ["block"], F.col("height")).select("col", *big("block", "height"), F.col("offset").cast("long").alias("top"))
+
+
+@query(f"""with n as ({A.NAMES_SQL}), w as (select src, id, id % 50 as row, length(case when length(name) > 1 then name || ' ' else name end) * cast(4 as double) + 6 as width from n)
+    select src, id, row, width, coalesce(sum(width + 2) over (partition by src, row order by id rows between unbounded preceding and 1 preceding), 0) as "offset" from w""")
+def badge_rows(spark, sf_dir):
+    rows = A.names(spark, sf_dir).select("src", "id", (F.col("id") % 50).alias("row"), X.badge_width(F.col("name"), 8.0, 3.0).alias("width"))
+    return sequences.running_boxes(rows, ["src", "row"], ["id"], F.col("width"), 2.0)
+
+
+@query(f"with g as ({A.GROUPS_SQL}) select grp, count(*) as n_lines, arg_max(n, line_id) as last_n, max(n) as most from g group by grp")
+def elastic_report(spark, sf_dir):
+    return A.groups(spark, sf_dir).groupBy("grp").agg(F.count("*").alias("n_lines"), F.max_by("n", "line_id").alias("last_n"), F.max("n").alias("most"))
+
+
+# ---- versions
+
+
+PARENT_SQL = "select s_suppkey as key, s_acctbal as value from supplier"
+DELTA_SQL = """select c_custkey as key, c_acctbal as value, c_custkey % 7 = 0 and c_custkey < 100 as tombstone from customer
+    where c_custkey between 50 and 149 and (not (c_custkey % 7 = 0 and c_custkey < 100) or c_custkey in (select s_suppkey from supplier))"""
+
+
+@query(f"""with p as ({PARENT_SQL}), d as ({DELTA_SQL}) select coalesce(d.key, p.key) as key, case when d.key is not null then d.value else p.value end as value
+    from p full join d on p.key = d.key where not coalesce(d.tombstone, false)""")
+def derive_merge(spark, sf_dir):
+    return overlay.merged(*A.overlay(spark, sf_dir), ["key"], check=True)
+
+
+@query(f"""with p as ({PARENT_SQL}), d as ({DELTA_SQL}) select distinct key from (select key from p union select key from d where not tombstone) where key not in (select key from d where tombstone)""")
+def derive_set(spark, sf_dir):
+    parent, delta = A.overlay(spark, sf_dir)
+    return overlay.merged_set(parent.select("key"), delta.select("key", "tombstone"))
+
+
+@query(f"""with p as ({PARENT_SQL}), d as ({DELTA_SQL}), c as (select key, value, false as tombstone, 0 as version from p union all select key, value, tombstone, 1 from d
+        union all select key, value * 2, key % 5 = 0, 2 from p where key % 3 = 0),
+    l as (select key, arg_max(value, version) as value, arg_max(tombstone, version) as gone from c group by key) select key, round(value, 2) as value from l where not gone""")
+def derive_chain(spark, sf_dir):
+    parent, delta = A.overlay(spark, sf_dir)
+    third = parent.where("key % 3 = 0").select("key", (F.col("value") * 2).alias("value"), (F.col("key") % 5 == 0).alias("tombstone"), F.lit(2).alias("version"))
+    every = parent.withColumn("tombstone", F.lit(False)).withColumn("version", F.lit(0)).unionByName(delta.withColumn("version", F.lit(1))).unionByName(third)
+    return overlay.chained(every, ["key"], "version").select("key", F.round("value", 2).alias("value"))
+
+
+# ---- points and boxes
+
+
+PX = f"""with p as ({A.POINTS_SQL}), r as (select id, radians(lat) as phi, radians(lon - 13.45455::double) as lam from p),
+    k as (select *, 6378137.0::double / sqrt(1 - e2 * sin(phi) * sin(phi)) as n, tan(phi) * tan(phi) as t, ep2 * cos(phi) * cos(phi) as c, lam * cos(phi) as a
+          from r, (select f * (2 - f) as e2, f * (2 - f) / (1 - f * (2 - f)) as ep2 from (select 1 / 298.257222101::double as f)) q)"""
+ARC = """6378137.0::double * ((1 - e2 / 4 - 3 * e2 * e2 / 64 - 5 * e2 * e2 * e2 / 256) * {p} - (3 * e2 / 8 + 3 * e2 * e2 / 32 + 45 * e2 * e2 * e2 / 1024) * sin(2 * {p})
+    + (15 * e2 * e2 / 256 + 45 * e2 * e2 * e2 / 1024) * sin(4 * {p}) - 35 * e2 * e2 * e2 / 3072 * sin(6 * {p}))"""
+
+
+@query(f"""{PX} select id, round(n * (a + (1 - t + c) * a * a * a / 6 + (5 - 18 * t + t * t + 72 * c - 58 * ep2) * power(a, 5) / 120), 4) + 0 as east,
+    round({ARC.format(p='phi')} - {ARC.format(p='radians(52.52542::double)')} + n * tan(phi) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * power(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * ep2) * power(a, 6) / 720), 4) + 0 as north from k""")
+def project_points(spark, sf_dir):
+    east, north = G.transverse_mercator(F.col("lon"), F.col("lat"))
+    return A.points(spark, sf_dir).select("id", (F.round(east, 4) + 0).alias("east"), (F.round(north, 4) + 0).alias("north"))
+
+
+@query(f"with p as ({A.POLYLINES_SQL}) select line_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from p group by line_id")
+def polyline_bbox(spark, sf_dir):
+    return A.polylines(spark, sf_dir).groupBy("line_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+@query(f"""with p as ({A.POLYLINES_SQL}), b as (select line_id, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from p group by line_id)
+    select line_id from b where x1 >= -50 and y1 >= -50 and x0 <= 1050 and y0 <= 150""")
+def viewport_filter(spark, sf_dir):
+    box = [F.col(c) for c in ("x0", "y0", "x1", "y1")]
+    return polyline_bbox(spark, sf_dir).where(G.in_viewport(box, 1000.0, 100.0, 50.0)).select("line_id")
+
+
+@query(f"with p as ({A.POINTS_SQL}) select cast(floor(min(x) - 8) as bigint) as x0, cast(floor(min(y) - 8) as bigint) as y0, cast(ceil(max(x) + 8) as bigint) as x1, cast(ceil(max(y) + 8) as bigint) as y1 from p")
+def content_bounds(spark, sf_dir):
+    low, high = lambda c: F.floor(F.min(c) - 8).cast("long"), lambda c: F.ceil(F.max(c) + 8).cast("long")
+    return A.points(spark, sf_dir).agg(low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"))
+
+
+@query(f"""with p as ({A.POLYLINES_SQL}), n as (select line_id, x, y, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from p window w as (partition by line_id order by pos))
+    select line_id, abs(sum(cast(x as double) * y1 - cast(x1 as double) * y)) / 2 as area from n group by line_id""")
+def ring_area(spark, sf_dir):
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return A.polylines(spark, sf_dir).groupBy("line_id").agg(pts.alias("pts")).select("line_id", G.ring_area("pts").alias("area"))
+
+
+def _nodes(spark, sf_dir):
+    return A.points(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("node"), "x", "y")
+
+
+def _probes(spark, sf_dir):
+    return A.points(spark, sf_dir).where("id % 3 = 1").select("id", "x", "y")
+
+
+@query(f"""with p as ({A.POINTS_SQL}) select a.id, b.id as node, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from p a, p b
+    where a.id % 3 = 1 and b.id % 3 = 0 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900""")
+def near_nodes(spark, sf_dir):
+    return spatial.near(_probes(spark, sf_dir), _nodes(spark, sf_dir), 30).select("id", "node", ((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))).alias("d2"))
+
+
+@query(f"""with p as ({A.POINTS_SQL}), d as (select a.id, b.id as node, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from p a, p b where a.id % 3 = 1 and b.id % 3 = 0)
+    select id, node, d2 from d qualify row_number() over (partition by id order by d2, node) = 1""")
+def nearest_node(spark, sf_dir):
+    return spatial.nearest(_probes(spark, sf_dir), _nodes(spark, sf_dir), 20).select("id", "node", F.round(F.col("d") * F.col("d")).cast("long").alias("d2"))
+
+
+BOXES_SQL = f"with p as ({A.POINTS_SQL}), b as (select id, x as x0, y as y0, x + 5 + id % 20 as x1, y + 5 + id % 13 as y1 from p)"
+
+
+def _boxes(spark, sf_dir):
+    return A.points(spark, sf_dir).select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 5 + F.col("id") % 20).alias("x1"), (F.col("y") + 5 + F.col("id") % 13).alias("y1"))
+
+
+@query(f"{BOXES_SQL} select a.id as a, o.id as b from b a join b o on a.id < o.id and a.x0 < o.x1 and o.x0 < a.x1 and a.y0 < o.y1 and o.y0 < a.y1")
+def box_overlaps(spark, sf_dir):
+    return spatial.overlapping(_boxes(spark, sf_dir), 32)
+
+
+SEGMENTS_SQL = f"with p as ({A.POINTS_SQL}), s as (select id as seg, id % 5 as family, x as ax, y as ay, x + id % 37 - 18 as zx, y + id % 41 - 20 as zy from p)"
+
+
+def _segments(spark, sf_dir):
+    return A.points(spark, sf_dir).select(F.col("id").alias("seg"), (F.col("id") % 5).alias("family"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("id") % 37 - 18).alias("bx"), (F.col("y") + F.col("id") % 41 - 20).alias("by"))
+
+
+@query(f"""{SEGMENTS_SQL}, q as (select s.seg as a, o.seg as b, s.ax, s.ay, s.zx - s.ax as dx, s.zy - s.ay as dy, o.zx - o.ax as ex, o.zy - o.ay as ey, o.ax - s.ax as qx, o.ay - s.ay as qy
+        from s join s o on s.seg < o.seg and s.family <> o.family and abs(s.ax - o.ax) < 80 and abs(s.ay - o.ay) < 80),
+    t as (select *, dx * ey - dy * ex as det, qx * ey - qy * ex as t, qx * dy - qy * dx as u from q)
+    select a, b, round(ax + t / cast(det as double) * dx, 4) as x, round(ay + t / cast(det as double) * dy, 4) as y from t
+    where det <> 0 and t * sign(det) > 0 and t * sign(det) < abs(det) and u * sign(det) > 0 and u * sign(det) < abs(det)""")
+def segment_crossings(spark, sf_dir):
+    return spatial.crossings(_segments(spark, sf_dir), 40).select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+@query(f"""{SEGMENTS_SQL}, b as (select id as box, x as x0, y as y0, x + 6 as x1, y + 9 as y1 from p where id % 4 = 0),
+    c as (select seg, box, ax, ay, zx, zy, x0 - 1 as x0, y0 - 1 as y0, x1 + 1 as x1, y1 + 1 as y1 from s, b where greatest(ax, zx) >= x0 - 1 and least(ax, zx) <= x1 + 1 and greatest(ay, zy) >= y0 - 1 and least(ay, zy) <= y1 + 1),
+    k as (select *, (zx - ax) * (y0 - ay) - (zy - ay) * (x0 - ax) as c1, (zx - ax) * (y0 - ay) - (zy - ay) * (x1 - ax) as c2, (zx - ax) * (y1 - ay) - (zy - ay) * (x0 - ax) as c3, (zx - ax) * (y1 - ay) - (zy - ay) * (x1 - ax) as c4 from c)
+    select seg, box from k where least(c1, c2, c3, c4) <= 0 and greatest(c1, c2, c3, c4) >= 0""")
+def segment_hits_box(spark, sf_dir):
+    boxes = A.points(spark, sf_dir).where("id % 4 = 0").select(F.col("id").alias("box"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 6).alias("x1"), (F.col("y") + 9).alias("y1"))
+    return spatial.hits(_segments(spark, sf_dir), boxes, 40, 1)
+
+
+@query(f"{BOXES_SQL} select b.id as box, count(*) as n from b join p on p.x between x0 and x1 and p.y between y0 and y1 group by b.id")
+def points_in_boxes(spark, sf_dir):
+    return spatial.points_in_boxes(A.points(spark, sf_dir).select("x", "y"), _boxes(spark, sf_dir).withColumnRenamed("id", "box"), 32)
+
+
+@query(f"""{SEGMENTS_SQL}, q as (select id, x, y from p where id % 3 = 1), d as (select q.id, seg, x, y, ax, ay, zx - ax as dx, zy - ay as dy from q, s where s.seg % 3 = 0 and abs(q.x - s.ax) < 60 and abs(q.y - s.ay) < 60),
+    t as (select *, case when dx = 0 and dy = 0 then 0 else greatest(cast(0 as double), least(cast(1 as double), ((x - ax) * dx + (y - ay) * dy) / cast(dx * dx + dy * dy as double))) end as t from d),
+    e as (select *, sqrt(power(x - (ax + t * dx), 2) + power(y - (ay + t * dy), 2)) as d from t) select id, round(min(d), 5) as d from e where d <= 25 group by id""")
+def nearest_segment(spark, sf_dir):
+    segs = _segments(spark, sf_dir).where("seg % 3 = 0")
+    return spatial.nearest_segment(_probes(spark, sf_dir), segs, 25).select("id", F.round("d", 5).alias("d"))
+
+
+@query(f"""with p as ({A.POINTS_SQL}), t as (select id as node, x, y from p where id % 2 = 0), s as (select id, id % 50 as key, x, y from p where id % 7 = 0), n as (select id, id % 50 as key from p where id <= 60),
+    d as (select s.id, s.key, s.x, s.y, min(sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2))) as d from s, t group by all),
+    g as (select n.id, d.* exclude (id), d.id as stop from n join d using (key) where d <= 40), b as (select *, first_value(x) over w as zx, first_value(y) over w as zy from g window w as (partition by id order by d, x, y))
+    select id, round(avg(x), 5) as x, round(avg(y), 5) as y, count(*) as n_stops from b where sqrt(power(x - zx, 2) + power(y - zy, 2)) <= 40 group by id""")
+def locate_stations(spark, sf_dir):
+    p = A.points(spark, sf_dir)
+    stops = p.where("id % 7 = 0").select((F.col("id") % 50).alias("key"), "x", "y")
+    tracks = p.where("id % 2 = 0").select(F.col("id").alias("node"), "x", "y")
+    names = p.where("id <= 60").select("id", (F.col("id") % 50).alias("key"))
+    placed, _ = spatial.located(names, stops, tracks, 40)
+    return placed.select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "n_stops")
+
+
+@query(f"""with p as ({A.POINTS_SQL}), o as (select unnest(range(-3, 4)) as d), c as (select distinct x + a.d as cx, y + b.d as cy from p, o a, o b where a.d * a.d + b.d * b.d <= 9) select cx, cy from c""")
+def raster_band(spark, sf_dir):
+    return spatial.raster_band(A.points(spark, sf_dir), 3)
+
+
+@query(f"""with g as ({A.GROUPS_SQL}), q as (select line_id as a, line_id * 7 % 1500 + 1 as b, n as na, line_id % 4 as nb, grp from g)
+    select a, b, case when grp = 'BUILDING' then a when na <> nb then case when na > nb then a else b end when (a % 5 = 0) <> (b % 5 = 0) then case when a % 5 = 0 then b else a end when a % 100 >= b % 100 then a else b end as upper from q""")
+def crossing_priority(spark, sf_dir):
+    q = A.groups(spark, sf_dir).select(F.col("line_id").alias("a"), (F.col("line_id") * 7 % 1500 + 1).alias("b"), "n", "grp")
+    a, b, n = F.col("a"), F.col("b"), F.col("n")
+    upper = F.when(F.col("grp") == "BUILDING", a).when(n != a % 4, F.when(n > a % 4, a).otherwise(b)).when((a % 5 == 0) != (b % 5 == 0), F.when(a % 5 == 0, b).otherwise(a))
+    return q.select("a", "b", upper.when(a % 100 >= b % 100, a).otherwise(b).alias("upper"))
+
+
+# ---- graphs
+
+
+SPARSE_EDGES = f"l as ({SPARSE}), p as (select station_id as a, lead(station_id) over (partition by line_id order by pos) as b from l), e as (select distinct a, b from (select a, b from p union all select b, a from p) where a <> b and a is not null and b is not null)"
+
+
+def _sparse(spark, sf_dir):
+    return sequences.pairs(A.legs(spark, sf_dir, "l_partkey", 97)).where("a <> b").select("a", "b")
+
+
+@query(f"with recursive {SPARSE_EDGES}, r(node, root) as (select a, a from e union select e.b, r.root from r join e on e.a = r.node) select node, min(root) as component from r group by node")
+def components(spark, sf_dir):
+    return graph.components(_sparse(spark, sf_dir))
+
+
+@query(f"""with recursive {SPARSE_EDGES}, s as (select distinct a as node from e where a % 50 = 0), r(node, level) as (select node, 0 from s union select e.b, level + 1 from r join e on e.a = r.node where level < 60)
+    select node, cast(min(level) as bigint) as level from r group by node""")
+def start_bearings(spark, sf_dir):
+    e = _sparse(spark, sf_dir)
+    starts = graph.both_ways(e).where("a % 50 = 0").select(F.col("a").alias("node"))
+    return graph.levels(e, starts).select("node", *big("level"))
+
+
+@query(f"""with {SPARSE_EDGES}, n as ({A.POINTS_SQL}), m as (select e.a as node, avg(x) as nx, avg(y) as ny, count(*) as n from e join n on n.id = e.b group by e.a)
+    select n.id as node, round(x + case when m.n >= 2 then 0.5::double * (nx - x) else 0 end, 5) as x, round(y + case when m.n >= 2 then 0.5::double * (ny - y) else 0 end, 5) as y from n left join m on m.node = n.id""")
+def graph_smooth_step(spark, sf_dir):
+    nodes = A.points(spark, sf_dir).select(F.col("id").alias("node"), "x", "y")
+    return graph.smoothed(nodes, _sparse(spark, sf_dir), 0.5).select("node", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+
+
+@query("""with recursive i as (select s_suppkey as id from supplier), o as (select s_suppkey as upper, s_suppkey // 2 as lower from supplier where s_suppkey > 1),
+    r(id, level) as (select id, 0 from i union select o.upper, level + 1 from r join o on o.lower = r.id) select id, cast(max(level) as bigint) as level from r group by id""")
+def draw_order(spark, sf_dir):
+    ids = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
+    over = ids.where("id > 1").select(F.col("id").alias("upper"), F.floor(F.col("id") / 2).cast("long").alias("lower"))
+    return graph.draw_order(ids, over).select("id", *big("level"))
+
+
+@query(f"""with recursive {SPARSE_EDGES}, r(node, cost) as (select distinct a, 0 from e where a % 50 = 0 union select e.b, r.cost + 1 + (e.a + e.b) % 3 from r join e on e.a = r.node where r.cost < 90)
+    select node, cast(min(cost) as bigint) as cost from r group by node""")
+def cheapest_ways(spark, sf_dir):
+    e = _sparse(spark, sf_dir).withColumn("w", 1 + (F.col("a") + F.col("b")) % 3)
+    sources = graph.both_ways(e).where("a % 50 = 0").select(F.col("a").alias("node"), F.lit(0).cast("long").alias("cost"))
+    return graph.reached(e, sources)
+
+
+# ---- names and text
+
+
+def _sql_normalized(n: str) -> str:
+    out = f"replace(lower({n}), 'ß', 'ss')"
+    for p in (X.PREFIX, X.CITY, X.PLACE):
+        out = f"regexp_replace({out}, '{p}', '', 'g')"
+    for _ in range(2):
+        out = f"regexp_replace({out}, '{X.MAIN}', '\\1{X.MAIN_NAME}\\2', 'g')"
+    return f"regexp_replace({out}, '{X.OTHER}', '', 'g')"
+
+
+@query(f"with n as ({A.NAMES_SQL}) select src, id, {_sql_normalized('name')} as key from n")
+def normalize_names(spark, sf_dir):
+    return A.names(spark, sf_dir).select("src", "id", X.normalize_name(F.col("name")).alias("key"))
+
+
+_ADVANCES = ", ".join(f"('{c}', {w}::double)" for c, w in X.ADVANCE.items())
+
+
+@query(f"""with n as ({A.NAMES_SQL}), a(c, w) as (values {_ADVANCES}), s as (select src, id, unnest(case when name = '' then [''] else string_split(name, '') end) as c from n)
+    select src, id, round(sum(case when s.c = '' then 0 else coalesce(w, 0.62::double) end) * 10, 4) as width from s left join a on a.c = s.c group by src, id""")
+def text_width(spark, sf_dir):
+    return A.names(spark, sf_dir).select("src", "id", F.round(X.text_width(F.col("name"), 10.0), 4).alias("width"))
+
+
+@query(f"""with n as (select *, replace(name, ' ', chr(10)) as label from ({A.NAMES_SQL})), z as (select src, id, string_split(label, chr(10)) as z from n)
+    select src, id, len(z) as n_lines, cast(list_max(list_transform(z, lambda x: length(x))) as bigint) as longest, z[1] as first from z""")
+def label_lines(spark, sf_dir):
+    z = X.lines(F.replace("name", F.lit(" "), F.lit("\n")))
+    return A.names(spark, sf_dir).select("src", "id", F.size(z).cast("long").alias("n_lines"), F.array_max(F.transform(z, F.length)).cast("long").alias("longest"), F.element_at(z, 1).alias("first"))
+
+
+@query(f"with n as ({A.NAMES_SQL}) select src, id, replace(replace(replace('<' || name || ' & \"x\">', '&', '&amp;'), '<', '&lt;'), '>', '&gt;') as text from n")
+def escape_xml(spark, sf_dir):
+    return A.names(spark, sf_dir).select("src", "id", X.escape_xml(F.concat(F.lit("<"), "name", F.lit(' & "x">'))).alias("text"))
+
+
+@query(f"with n as ({A.NAMES_SQL}) select src, id, case when length(name) > 1 then substr(name, 1, 1) || ' ' || substr(name, 2) else name end as badge from n")
+def badge_text(spark, sf_dir):
+    return A.names(spark, sf_dir).select("src", "id", X.badge_text(F.col("name")).alias("badge"))
+
+
+@query(f"""with p as (select line_id, pos, x, y * 3 as y from ({A.POLYLINES_SQL})), d as (select *, x - lag(x) over w as dx, y - lag(y) over w as dy from p window w as (partition by line_id order by pos)),
+    k as (select *, row_number() over (partition by line_id order by pos) as k, count(*) over (partition by line_id) as n from d where dx is null or dx <> 0 or dy <> 0),
+    f as (select line_id, pos, k, n, case when dx is null then x else dx end as a, case when dx is null then y else dy end as b from k),
+    t as (select *, case when a < 0 then '-' else '' end || case when abs(a) % 10 = 0 then cast(abs(a) // 10 as varchar) when abs(a) < 10 then '.' || abs(a) else (abs(a) // 10) || '.' || (abs(a) % 10) end as ta,
+        case when b < 0 then '-' else '' end || case when abs(b) % 10 = 0 then cast(abs(b) // 10 as varchar) when abs(b) < 10 then '.' || abs(b) else (abs(b) // 10) || '.' || (abs(b) % 10) end as tb from f)
+    select line_id, case when max(n) < 2 then '' else 'M' || max(case when k = 1 then ta || ' ' || tb end) || 'l' || coalesce(string_agg(ta || ' ' || tb, ' ' order by pos) filter (k > 1), '') end as d from t group by line_id""")
+def delta_path(spark, sf_dir):
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct((p["x"] / F.lit(10.0)).alias("x"), (p["y"] * 3 / F.lit(10.0)).alias("y")))
+    return A.polylines(spark, sf_dir).groupBy("line_id").agg(pts.alias("pts")).select("line_id", X.draw_path(F.col("pts"), False).alias("d"))
+
+
+@query(f"""with l as ({LEGS}) select station_id, arg_min(line_id, line_id * 100000 + pos) as line_id, min(line_id * 100000 + pos) as place from l group by station_id""")
+def dedup_ways(spark, sf_dir):
+    """Of equal ways the first in order of elements and members stays."""
+    w = Window.partitionBy("station_id").orderBy("line_id", "pos")
+    first = A.legs(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r = 1")
+    return first.select("station_id", "line_id", (F.col("line_id") * 100000 + F.col("pos")).alias("place"))
+
+
+@query(f"""with l as ({LEGS}), b as (select line_id, pos, ((45 + sum(turn) over (partition by line_id order by pos)) % 180 + 180) % 90 as axis, station_id from l), w as (select station_id, axis, count(distinct line_id) as weight from b group by station_id, axis)
+    select station_id, cast(arg_max(axis, weight * 1000 - axis) as bigint) as heavy, cast(arg_min(axis, weight * 1000 + axis) as bigint) as light, max(weight) as weight from w group by station_id""")
+def hub_axes(spark, sf_dir):
+    """Axis weights of hubs: lines by bearing modulo 90; the heaviest and the lightest, the smaller axis of equal ones."""
+    b = sequences.running_bearing(A.legs(spark, sf_dir), 45).select("station_id", "line_id", F.pmod("bearing", F.lit(90)).cast("long").alias("axis")).distinct()
+    w = b.groupBy("station_id", "axis").agg(F.count("*").alias("weight"))
+    return w.groupBy("station_id").agg(F.max_by("axis", F.struct("weight", -F.col("axis"))).alias("heavy"), F.min_by("axis", F.struct("weight", "axis")).alias("light"), F.max("weight").alias("weight"))
