@@ -108,6 +108,25 @@ def _secrets_sql() -> str:
 
 SQL: dict[str, str] = {
     "op2_secret_ownership": _secrets_sql(),
+    "op5_warc_zstd": """
+        with p as (select page_id, coalesce(html, '') as html from pages),
+        d as (select page_id, strlen(html) as payload_bytes, sha1(html) as h, max(page_id) over (partition by html) as head from p)
+        select page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31), 1)), '') as payload_digest,
+               case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to
+        from d""",
+    "op10_suffix_decontam": r"""
+        with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+        b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as v from benchmark),
+        s as (select item_id, v, least(13, len(v)) as k, unnest(range(1, len(v) - least(13, len(v)) + 2)) as i from b where len(v) > 0),
+        win as (select distinct item_id, k, array_to_string(v[i:i + k - 1], ' ') as g from s),
+        pos as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from win))),
+        hit as materialized (select doc_id, i, k, item_id from pos join win using (k, g)),
+        n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id),
+        m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
+               coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
+        from d left join n using (doc_id) left join m using (doc_id)""",
     "op4_tree_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
