@@ -91,7 +91,7 @@ def tenths(v: Column) -> Column:
 
 def route_ends(route: Column) -> Column:
     """(first, last) of a route written as A <> B <> C."""
-    parts = F.transform(F.split(route, "<>"), F.trim)
+    parts = F.transform(F.split(route, "<>"), lambda x: F.trim(x))
     return F.struct(F.element_at(parts, 1).alias("first"), F.element_at(parts, -1).alias("last"))
 
 

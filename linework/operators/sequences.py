@@ -5,18 +5,24 @@ All take rows of (line_id, pos, ...); a line's rows are one window partition, an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from linework.functions import geometry as G
 
-LINE = Window.partitionBy("line_id").orderBy("pos")
-SOFAR = LINE.rowsBetween(Window.unboundedPreceding, 0)
+
+def line() -> WindowSpec:
+    """A line's rows in order."""
+    return Window.partitionBy("line_id").orderBy("pos")
+
+
+def so_far() -> WindowSpec:
+    return line().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def pairs(steps: DataFrame) -> DataFrame:
     """Consecutive stations (a, b) with the leg's columns."""
-    return steps.withColumn("b", F.lead("station_id").over(LINE)).where("b is not null").withColumnRenamed("station_id", "a")
+    return steps.withColumn("b", F.lead("station_id").over(line())).where("b is not null").withColumnRenamed("station_id", "a")
 
 
 def segments(steps: DataFrame) -> DataFrame:
@@ -24,7 +30,7 @@ def segments(steps: DataFrame) -> DataFrame:
 
     steps: (line_id, pos, station_id or null, turn or null); a step is a station or a turn.
     """
-    numbered = steps.withColumn("seg", F.count("station_id").over(SOFAR))
+    numbered = steps.withColumn("seg", F.count("station_id").over(so_far()))
     by = numbered.where("seg > 0").groupBy("line_id", "seg").agg(F.max("station_id").alias("a"), F.count("turn").alias("modifiers"), F.coalesce(F.sum("turn"), F.lit(0)).alias("turn"))
     after = Window.partitionBy("line_id").orderBy("seg")
     return by.withColumn("b", F.lead("a").over(after)).where("b is not null")
@@ -32,7 +38,7 @@ def segments(steps: DataFrame) -> DataFrame:
 
 def running_bearing(legs: DataFrame, start: int) -> DataFrame:
     """bearing: the start and all turns so far, modulo 360."""
-    return legs.withColumn("bearing", F.pmod(F.lit(start) + F.sum("turn").over(SOFAR), F.lit(360)))
+    return legs.withColumn("bearing", F.pmod(F.lit(start) + F.sum("turn").over(so_far()), F.lit(360)))
 
 
 def curve_room(legs: DataFrame) -> DataFrame:
@@ -42,27 +48,27 @@ def curve_room(legs: DataFrame) -> DataFrame:
     """
     tangent = F.when(F.col("turn") == 0, 0.0).otherwise(G.curve_radius(F.col("turn")) * G.tangent_factor(F.col("turn")))
     with_tangent = legs.withColumn("tangent", tangent)
-    before = F.coalesce(F.lag("tangent").over(LINE), F.lit(0.0))
+    before = F.coalesce(F.lag("tangent").over(line()), F.lit(0.0))
     return with_tangent.withColumn("minimum", F.greatest(F.col("len").cast("double"), before + F.col("tangent"))).drop("tangent")
 
 
 def deferred(legs: DataFrame, value: Column, may_change: Column) -> DataFrame:
     """lane: the value changes only where may_change holds, and on the first leg."""
-    first = F.row_number().over(LINE) == 1
-    return legs.withColumn("lane", F.last(F.when(first | may_change, value), ignorenulls=True).over(SOFAR))
+    first = F.row_number().over(line()) == 1
+    return legs.withColumn("lane", F.last(F.when(first | may_change, value), ignorenulls=True).over(so_far()))
 
 
 def walked(legs: DataFrame, start: int) -> DataFrame:
     """x, y: where each leg ends, walking from (0, 0); bearing 0 is north, clockwise, y upwards."""
     b = running_bearing(legs, start)
     rad = F.radians("bearing")
-    return b.withColumn("x", F.sum(F.sin(rad) * F.col("len")).over(SOFAR)).withColumn("y", F.sum(F.cos(rad) * F.col("len")).over(SOFAR))
+    return b.withColumn("x", F.sum(F.sin(rad) * F.col("len")).over(so_far())).withColumn("y", F.sum(F.cos(rad) * F.col("len")).over(so_far()))
 
 
 def arc_length(points: DataFrame) -> DataFrame:
     """s: the length from the line's first vertex."""
-    step = F.hypot(F.col("x") - F.lag("x").over(LINE), F.col("y") - F.lag("y").over(LINE))
-    return points.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("s", F.sum("_step").over(SOFAR)).drop("_step")
+    step = F.hypot(F.col("x") - F.lag("x").over(line()), F.col("y") - F.lag("y").over(line()))
+    return points.withColumn("_step", F.coalesce(step, F.lit(0.0))).withColumn("s", F.sum("_step").over(so_far())).drop("_step")
 
 
 def moving_average(points: DataFrame, window: int, cyclic: bool = False) -> DataFrame:
@@ -73,12 +79,11 @@ def moving_average(points: DataFrame, window: int, cyclic: bool = False) -> Data
     """
     back, front = window // 2, window - 1 - window // 2
     whole = Window.partitionBy("line_id")
-    out = points.withColumn("_k", F.row_number().over(LINE)).withColumn("_n", F.count("*").over(whole))
+    out = points.withColumn("_k", F.row_number().over(line())).withColumn("_n", F.count("*").over(whole))
     if cyclic:
         turns = F.array(F.lit(0), F.when(F.col("_k") > F.col("_n") - back, F.lit(-1)), F.when(F.col("_k") <= front, F.lit(1)))
         out = out.withColumn("_turn", F.explode(F.filter(turns, lambda t: t.isNotNull()))).withColumn("_k", F.col("_k") + F.col("_turn") * F.col("_n"))
-    line = Window.partitionBy("line_id").orderBy("_k")
-    near = line.rowsBetween(-back, front)
+    near = Window.partitionBy("line_id").orderBy("_k").rowsBetween(-back, front)
     before = F.greatest(F.lit(0), F.lit(back + 1) - F.col("_k")) if not cyclic else F.lit(0)
     after = F.greatest(F.lit(0), F.lit(front) - (F.col("_n") - F.col("_k"))) if not cyclic else F.lit(0)
     for axis in ("x", "y"):
@@ -91,12 +96,15 @@ def moving_average(points: DataFrame, window: int, cyclic: bool = False) -> Data
     return out.drop("_k", "_n")
 
 
-def resampled(points: DataFrame, step: float) -> DataFrame:
-    """line_id, i, x, y: equally spaced, ceil(length / step) parts, both ends kept. A line of no length keeps its first."""
+def resampled(points: DataFrame, step: float = 1.0, parts: int = 0) -> DataFrame:
+    """line_id, i, x, y: equally spaced, in `parts` parts or else ceil(length / step), both ends kept.
+
+    A line of no length keeps its first vertex.
+    """
     s = arc_length(points)
     whole = Window.partitionBy("line_id")
-    s = s.withColumn("total", F.max("s").over(whole)).withColumn("n", F.greatest(F.ceil(F.col("total") / step), F.lit(1)).cast("long"))
-    ahead = s.select("*", F.lead("s").over(LINE).alias("s1"), F.lead("x").over(LINE).alias("x1"), F.lead("y").over(LINE).alias("y1"))
+    s = s.withColumn("total", F.max("s").over(whole)).withColumn("n", (F.lit(parts) if parts else F.greatest(F.ceil(F.col("total") / step), F.lit(1))).cast("long"))
+    ahead = s.select("*", F.lead("s").over(line()).alias("s1"), F.lead("x").over(line()).alias("x1"), F.lead("y").over(line()).alias("y1"))
     gap = F.col("total") / F.col("n")
     low, high = F.ceil(F.col("s") / gap - 1e-9).cast("long"), F.ceil(F.col("s1") / gap - 1e-9).cast("long") - 1
     last = F.col("s1") >= F.col("total")
@@ -110,7 +118,7 @@ def resampled(points: DataFrame, step: float) -> DataFrame:
 def sliced(points: DataFrame, start: float, stop: float) -> DataFrame:
     """line_id, k, x, y: the part between two arc lengths, with its ends interpolated; k orders."""
     s = arc_length(points)
-    ahead = s.select("line_id", "pos", "x", "y", "s", F.lead("s").over(LINE).alias("s1"), F.lead("x").over(LINE).alias("x1"), F.lead("y").over(LINE).alias("y1"))
+    ahead = s.select("line_id", "pos", "x", "y", "s", F.lead("s").over(line()).alias("s1"), F.lead("x").over(line()).alias("x1"), F.lead("y").over(line()).alias("y1"))
     inside = s.where(F.col("s").between(start, stop)).select("line_id", F.col("s").alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     for at in (start, stop):
         t = (F.lit(at) - F.col("s")) / (F.col("s1") - F.col("s"))
@@ -129,8 +137,8 @@ def islands(rows: DataFrame, keys: list[str], order: str, value: Column, name: s
 def corners(points: DataFrame, reach: int, threshold: float) -> DataFrame:
     """line_id, pos, turn: the strongest vertex of each run whose heading turns by threshold degrees or more over
     2 * reach vertices."""
-    back, front = F.lag("x", reach).over(LINE), F.lead("x", reach).over(LINE)
-    backy, fronty = F.lag("y", reach).over(LINE), F.lead("y", reach).over(LINE)
+    back, front = F.lag("x", reach).over(line()), F.lead("x", reach).over(line())
+    backy, fronty = F.lag("y", reach).over(line()), F.lead("y", reach).over(line())
     into, out = F.atan2(F.col("y") - backy, F.col("x") - back), F.atan2(fronty - F.col("y"), front - F.col("x"))
     turn = F.degrees(out - into)
     wrapped = F.pmod(turn + 180, F.lit(360.0)) - 180
@@ -173,7 +181,7 @@ def between(lines: DataFrame, start: Column, stop: Column) -> DataFrame:
 
 def reversed_legs(legs: DataFrame) -> DataFrame:
     """Legs driven the other way: order and turns' signs change."""
-    return legs.withColumn("pos", F.count("*").over(Window.partitionBy("line_id")) + 1 - F.row_number().over(LINE)).withColumn("turn", -F.col("turn"))
+    return legs.withColumn("pos", F.count("*").over(Window.partitionBy("line_id")) + 1 - F.row_number().over(line())).withColumn("turn", -F.col("turn"))
 
 
 def alternating(points: DataFrame) -> DataFrame:

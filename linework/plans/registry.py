@@ -11,14 +11,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.functions import geometry as G
+from linework.functions import polyline as P
 from linework.functions import strings as X
 from linework.operators import edges, graph, overlay, sequences, spatial
+from linework.operators import labels as L
+from linework.operators import tracks as T
+from linework.plans import schematic
 from linework.sources import adapters as A
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-LEGS, SPARSE = A.legs_sql(), A.legs_sql("l_partkey", 97)
+LEGS = A.LEGS_SQL
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -78,11 +82,11 @@ def end_lists(spark, sf_dir):
 
 
 @query(f"""with l as ({LEGS}), e as (select line_id, arg_min(station_id, pos) as first, arg_max(station_id, pos) as last from l group by line_id),
-    r as (select distinct line_id, station_id from l where pos % 2 = 0 and turn <> 0)
+    r as (select distinct line_id, station_id from l where turn <> 0)
     select r.line_id, r.station_id from r join e using (line_id) where r.station_id <> first and r.station_id <> last""")
 def intermediate_ends(spark, sf_dir):
     legs = A.legs(spark, sf_dir)
-    routes = legs.where("pos % 2 = 0 and turn <> 0").select("line_id", "station_id").distinct()
+    routes = legs.where("turn <> 0").select("line_id", "station_id").distinct()
     return edges.inner_ends(legs, routes)
 
 
@@ -297,9 +301,7 @@ def elastic_report(spark, sf_dir):
 # ---- versions
 
 
-PARENT_SQL = "select s_suppkey as key, s_acctbal as value from supplier"
-DELTA_SQL = """select c_custkey as key, c_acctbal as value, c_custkey % 7 = 0 and c_custkey < 100 as tombstone from customer
-    where c_custkey between 50 and 149 and (not (c_custkey % 7 = 0 and c_custkey < 100) or c_custkey in (select s_suppkey from supplier))"""
+PARENT_SQL, DELTA_SQL = A.PARENT_SQL, A.DELTA_SQL
 
 
 @query(f"""with p as ({PARENT_SQL}), d as ({DELTA_SQL}) select coalesce(d.key, p.key) as key, case when d.key is not null then d.value else p.value end as value
@@ -315,11 +317,11 @@ def derive_set(spark, sf_dir):
 
 
 @query(f"""with p as ({PARENT_SQL}), d as ({DELTA_SQL}), c as (select key, value, false as tombstone, 0 as version from p union all select key, value, tombstone, 1 from d
-        union all select key, value * 2, key % 5 = 0, 2 from p where key % 3 = 0),
+        union all select key, value * 2, key % 5 = 0, 2 from p),
     l as (select key, arg_max(value, version) as value, arg_max(tombstone, version) as gone from c group by key) select key, round(value, 2) as value from l where not gone""")
 def derive_chain(spark, sf_dir):
     parent, delta = A.overlay(spark, sf_dir)
-    third = parent.where("key % 3 = 0").select("key", (F.col("value") * 2).alias("value"), (F.col("key") % 5 == 0).alias("tombstone"), F.lit(2).alias("version"))
+    third = parent.select("key", (F.col("value") * 2).alias("value"), (F.col("key") % 5 == 0).alias("tombstone"), F.lit(2).alias("version"))
     every = parent.withColumn("tombstone", F.lit(False)).withColumn("version", F.lit(0)).unionByName(delta.withColumn("version", F.lit(1))).unionByName(third)
     return overlay.chained(every, ["key"], "version").select("key", F.round("value", 2).alias("value"))
 
@@ -367,20 +369,20 @@ def ring_area(spark, sf_dir):
 
 
 def _nodes(spark, sf_dir):
-    return A.points(spark, sf_dir).where("id % 3 = 0").select(F.col("id").alias("node"), "x", "y")
+    return A.points(spark, sf_dir).where("id % 2 = 0").select(F.col("id").alias("node"), "x", "y")
 
 
 def _probes(spark, sf_dir):
-    return A.points(spark, sf_dir).where("id % 3 = 1").select("id", "x", "y")
+    return A.points(spark, sf_dir).where("id % 2 = 1").select("id", "x", "y")
 
 
 @query(f"""with p as ({A.POINTS_SQL}) select a.id, b.id as node, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from p a, p b
-    where a.id % 3 = 1 and b.id % 3 = 0 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900""")
+    where a.id % 2 = 1 and b.id % 2 = 0 and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 900""")
 def near_nodes(spark, sf_dir):
     return spatial.near(_probes(spark, sf_dir), _nodes(spark, sf_dir), 30).select("id", "node", ((F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))).alias("d2"))
 
 
-@query(f"""with p as ({A.POINTS_SQL}), d as (select a.id, b.id as node, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from p a, p b where a.id % 3 = 1 and b.id % 3 = 0)
+@query(f"""with p as ({A.POINTS_SQL}), d as (select a.id, b.id as node, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) as d2 from p a, p b where a.id % 2 = 1 and b.id % 2 = 0)
     select id, node, d2 from d qualify row_number() over (partition by id order by d2, node) = 1""")
 def nearest_node(spark, sf_dir):
     return spatial.nearest(_probes(spark, sf_dir), _nodes(spark, sf_dir), 20).select("id", "node", F.round(F.col("d") * F.col("d")).cast("long").alias("d2"))
@@ -414,12 +416,12 @@ def segment_crossings(spark, sf_dir):
     return spatial.crossings(_segments(spark, sf_dir), 40).select("a", "b", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-@query(f"""{SEGMENTS_SQL}, b as (select id as box, x as x0, y as y0, x + 6 as x1, y + 9 as y1 from p where id % 4 = 0),
+@query(f"""{SEGMENTS_SQL}, b as (select id as box, x as x0, y as y0, x + 6 as x1, y + 9 as y1 from p),
     c as (select seg, box, ax, ay, zx, zy, x0 - 1 as x0, y0 - 1 as y0, x1 + 1 as x1, y1 + 1 as y1 from s, b where greatest(ax, zx) >= x0 - 1 and least(ax, zx) <= x1 + 1 and greatest(ay, zy) >= y0 - 1 and least(ay, zy) <= y1 + 1),
     k as (select *, (zx - ax) * (y0 - ay) - (zy - ay) * (x0 - ax) as c1, (zx - ax) * (y0 - ay) - (zy - ay) * (x1 - ax) as c2, (zx - ax) * (y1 - ay) - (zy - ay) * (x0 - ax) as c3, (zx - ax) * (y1 - ay) - (zy - ay) * (x1 - ax) as c4 from c)
     select seg, box from k where least(c1, c2, c3, c4) <= 0 and greatest(c1, c2, c3, c4) >= 0""")
 def segment_hits_box(spark, sf_dir):
-    boxes = A.points(spark, sf_dir).where("id % 4 = 0").select(F.col("id").alias("box"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 6).alias("x1"), (F.col("y") + 9).alias("y1"))
+    boxes = A.points(spark, sf_dir).select(F.col("id").alias("box"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 6).alias("x1"), (F.col("y") + 9).alias("y1"))
     return spatial.hits(_segments(spark, sf_dir), boxes, 40, 1)
 
 
@@ -428,23 +430,23 @@ def points_in_boxes(spark, sf_dir):
     return spatial.points_in_boxes(A.points(spark, sf_dir).select("x", "y"), _boxes(spark, sf_dir).withColumnRenamed("id", "box"), 32)
 
 
-@query(f"""{SEGMENTS_SQL}, q as (select id, x, y from p where id % 3 = 1), d as (select q.id, seg, x, y, ax, ay, zx - ax as dx, zy - ay as dy from q, s where s.seg % 3 = 0 and abs(q.x - s.ax) < 60 and abs(q.y - s.ay) < 60),
+@query(f"""{SEGMENTS_SQL}, q as (select id, x, y from p where id % 2 = 1), d as (select q.id, seg, x, y, ax, ay, zx - ax as dx, zy - ay as dy from q, s where s.seg % 2 = 0 and abs(q.x - s.ax) < 60 and abs(q.y - s.ay) < 60),
     t as (select *, case when dx = 0 and dy = 0 then 0 else greatest(cast(0 as double), least(cast(1 as double), ((x - ax) * dx + (y - ay) * dy) / cast(dx * dx + dy * dy as double))) end as t from d),
     e as (select *, sqrt(power(x - (ax + t * dx), 2) + power(y - (ay + t * dy), 2)) as d from t) select id, round(min(d), 5) as d from e where d <= 25 group by id""")
 def nearest_segment(spark, sf_dir):
-    segs = _segments(spark, sf_dir).where("seg % 3 = 0")
+    segs = _segments(spark, sf_dir).where("seg % 2 = 0")
     return spatial.nearest_segment(_probes(spark, sf_dir), segs, 25).select("id", F.round("d", 5).alias("d"))
 
 
-@query(f"""with p as ({A.POINTS_SQL}), t as (select id as node, x, y from p where id % 2 = 0), s as (select id, id % 50 as key, x, y from p where id % 7 = 0), n as (select id, id % 50 as key from p where id <= 60),
+@query(f"""with p as ({A.POINTS_SQL}), t as (select id as node, x, y from p where id % 2 = 0), s as (select id, id // 40 as key, x, y from p where id % 2 = 1), n as (select id, id // 40 as key from p),
     d as (select s.id, s.key, s.x, s.y, min(sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2))) as d from s, t group by all),
     g as (select n.id, d.* exclude (id), d.id as stop from n join d using (key) where d <= 40), b as (select *, first_value(x) over w as zx, first_value(y) over w as zy from g window w as (partition by id order by d, x, y))
     select id, round(avg(x), 5) as x, round(avg(y), 5) as y, count(*) as n_stops from b where sqrt(power(x - zx, 2) + power(y - zy, 2)) <= 40 group by id""")
 def locate_stations(spark, sf_dir):
     p = A.points(spark, sf_dir)
-    stops = p.where("id % 7 = 0").select((F.col("id") % 50).alias("key"), "x", "y")
+    stops = p.where("id % 2 = 1").select(F.floor(F.col("id") / 40).alias("key"), "x", "y")
     tracks = p.where("id % 2 = 0").select(F.col("id").alias("node"), "x", "y")
-    names = p.where("id <= 60").select("id", (F.col("id") % 50).alias("key"))
+    names = p.select("id", F.floor(F.col("id") / 40).alias("key"))
     placed, _ = spatial.located(names, stops, tracks, 40)
     return placed.select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "n_stops")
 
@@ -466,31 +468,27 @@ def crossing_priority(spark, sf_dir):
 # ---- graphs
 
 
-SPARSE_EDGES = f"l as ({SPARSE}), p as (select station_id as a, lead(station_id) over (partition by line_id order by pos) as b from l), e as (select distinct a, b from (select a, b from p union all select b, a from p) where a <> b and a is not null and b is not null)"
+LINKS_SQL = f"l as ({A.LINKS_SQL}), e as (select a, b from l union select b, a from l)"
 
 
-def _sparse(spark, sf_dir):
-    return sequences.pairs(A.legs(spark, sf_dir, "l_partkey", 97)).where("a <> b").select("a", "b")
-
-
-@query(f"with recursive {SPARSE_EDGES}, r(node, root) as (select a, a from e union select e.b, r.root from r join e on e.a = r.node) select node, min(root) as component from r group by node")
+@query(f"with recursive {LINKS_SQL}, r(node, root) as (select a, a from e union select e.b, r.root from r join e on e.a = r.node) select node, min(root) as component from r group by node")
 def components(spark, sf_dir):
-    return graph.components(_sparse(spark, sf_dir))
+    return graph.components(A.links(spark, sf_dir))
 
 
-@query(f"""with recursive {SPARSE_EDGES}, s as (select distinct a as node from e where a % 50 = 0), r(node, level) as (select node, 0 from s union select e.b, level + 1 from r join e on e.a = r.node where level < 60)
+@query(f"""with recursive {LINKS_SQL}, s as (select distinct a as node from e where a % 50 = 0), r(node, level) as (select node, 0 from s union select e.b, level + 1 from r join e on e.a = r.node where level < 400)
     select node, cast(min(level) as bigint) as level from r group by node""")
-def start_bearings(spark, sf_dir):
-    e = _sparse(spark, sf_dir)
+def link_levels(spark, sf_dir):
+    e = A.links(spark, sf_dir)
     starts = graph.both_ways(e).where("a % 50 = 0").select(F.col("a").alias("node"))
     return graph.levels(e, starts).select("node", *big("level"))
 
 
-@query(f"""with {SPARSE_EDGES}, n as ({A.POINTS_SQL}), m as (select e.a as node, avg(x) as nx, avg(y) as ny, count(*) as n from e join n on n.id = e.b group by e.a)
+@query(f"""with {LINKS_SQL}, n as ({A.POINTS_SQL}), m as (select e.a as node, avg(x) as nx, avg(y) as ny, count(*) as n from e join n on n.id = e.b group by e.a)
     select n.id as node, round(x + case when m.n >= 2 then 0.5::double * (nx - x) else 0 end, 5) as x, round(y + case when m.n >= 2 then 0.5::double * (ny - y) else 0 end, 5) as y from n left join m on m.node = n.id""")
 def graph_smooth_step(spark, sf_dir):
     nodes = A.points(spark, sf_dir).select(F.col("id").alias("node"), "x", "y")
-    return graph.smoothed(nodes, _sparse(spark, sf_dir), 0.5).select("node", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return graph.smoothed(nodes, A.links(spark, sf_dir), 0.5).select("node", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
 
 
 @query("""with recursive i as (select s_suppkey as id from supplier), o as (select s_suppkey as upper, s_suppkey // 2 as lower from supplier where s_suppkey > 1),
@@ -501,10 +499,10 @@ def draw_order(spark, sf_dir):
     return graph.draw_order(ids, over).select("id", *big("level"))
 
 
-@query(f"""with recursive {SPARSE_EDGES}, r(node, cost) as (select distinct a, 0 from e where a % 50 = 0 union select e.b, r.cost + 1 + (e.a + e.b) % 3 from r join e on e.a = r.node where r.cost < 90)
+@query(f"""with recursive {LINKS_SQL}, r(node, cost) as (select distinct a, 0 from e where a % 50 = 0 union select e.b, r.cost + 1 + (e.a + e.b) % 3 from r join e on e.a = r.node where r.cost < 600)
     select node, cast(min(cost) as bigint) as cost from r group by node""")
 def cheapest_ways(spark, sf_dir):
-    e = _sparse(spark, sf_dir).withColumn("w", 1 + (F.col("a") + F.col("b")) % 3)
+    e = A.links(spark, sf_dir).withColumn("w", 1 + (F.col("a") + F.col("b")) % 3)
     sources = graph.both_ways(e).where("a % 50 = 0").select(F.col("a").alias("node"), F.lit(0).cast("long").alias("cost"))
     return graph.reached(e, sources)
 
@@ -578,3 +576,209 @@ def hub_axes(spark, sf_dir):
     b = sequences.running_bearing(A.legs(spark, sf_dir), 45).select("station_id", "line_id", F.pmod("bearing", F.lit(90)).cast("long").alias("axis")).distinct()
     w = b.groupBy("station_id", "axis").agg(F.count("*").alias("weight"))
     return w.groupBy("station_id").agg(F.max_by("axis", F.struct("weight", -F.col("axis"))).alias("heavy"), F.min_by("axis", F.struct("weight", "axis")).alias("light"), F.max("weight").alias("weight"))
+
+
+# ---- bearings, corners and curves
+
+
+@query(f"with l as ({LEGS}) select line_id, pos, cast(((45 + sum(turn) over (partition by line_id order by pos)) % 360 + 360) % 360 as bigint) as bearing from l")
+def bearing_of_legs(spark, sf_dir):
+    """Bearings found again from legs' vectors."""
+    b = sequences.running_bearing(A.legs(spark, sf_dir), 45)
+    rad = F.radians("bearing")
+    return b.select("line_id", "pos", G.bearing(F.sin(rad) * F.col("len"), F.cos(rad) * F.col("len")).cast("long").alias("bearing"))
+
+
+@query(f"""{SEGMENTS_SQL} select seg, case when ax < zx or (ax = zx and ay <= zy) then 1 else -1 end as sign, round(degrees(atan2(cast((zx - ax) * 3 - (zy - ay) * 4 as double), cast((zx - ax) * 4 + (zy - ay) * 3 as double))), 5) + 0 as turn from s""")
+def lane_signs(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    turn = G.turn_angle(dx, dy, F.lit(4), F.lit(3))
+    return s.select("seg", G.canonical_sign(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")).cast("long").alias("sign"), (F.round(turn, 5) + 0).alias("turn"))
+
+
+@query(f"""with l as ({LEGS}), c as (select line_id, pos, turn * 3 as delta, cast(len as double) / 10 as room, cast(pos % 5 - 2 as double) / 10 as o, len % 4 = 0 as forced from l where turn <> 0)
+    select line_id, pos, round(greatest(0, case when forced then 0.4::double else least(0.4::double, room / tan(radians(67.5::double))) end - case when delta < 0 then -1 else 1 end * o), 6) as radius,
+           round(case when room / 5 >= 1 then 1 else room / 5 * room / 5 * (3 - 2 * room / 5) end, 6) as eased from c""")
+def corner_radii(spark, sf_dir):
+    c = A.legs(spark, sf_dir).where("turn <> 0").withColumn("delta", F.col("turn") * 3)
+    room = F.col("len") / F.lit(10.0)
+    radius = G.corner_radius(F.col("delta"), G.curve_radius(F.col("delta")), room, (F.col("pos") % 5 - 2) / F.lit(10.0), F.col("len") % 4 == 0)
+    return c.select("line_id", "pos", F.round(radius, 6).alias("radius"), F.round(G.smoothstep(room / 5), 6).alias("eased"))
+
+
+@query(f"""{SEGMENTS_SQL}, q as (select s.seg, s.ax, s.ay, s.zx - s.ax as dx, s.zy - s.ay as dy, o.ax - s.ax as qx, o.ay - s.ay as qy, o.zx - o.ax as ex, o.zy - o.ay as ey from s join s o on o.seg = s.seg + 1)
+    select seg, round(ax + (qx * ey - qy * ex) / cast(dx * ey - dy * ex as double) * dx, 3) + 0 as x, round(ay + (qx * ey - qy * ex) / cast(dx * ey - dy * ex as double) * dy, 3) + 0 as y from q where dx * ey - dy * ex <> 0""")
+def line_intersections(spark, sf_dir):
+    s = _segments(spark, sf_dir)
+    o = s.select((F.col("seg") - 1).alias("seg"), *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
+    c = F.col
+    x, y = G.intersection(c("ax"), c("ay"), c("bx") - c("ax"), c("by") - c("ay"), c("oax"), c("oay"), c("obx") - c("oax"), c("oby") - c("oay"))
+    return s.join(o, "seg").select("seg", (F.round(x, 3) + 0).alias("x"), (F.round(y, 3) + 0).alias("y")).where("x is not null")
+
+
+@query(f"""{SEGMENTS_SQL}, u as (select *, unnest(range(0, 5)) as i from s), v as (select *, cast(i as double) / 4 as u from u)
+    select seg, i, round(ax * (1 + 2 * u) * power(1 - u, 2) + 10 * u * power(1 - u, 2) + zx * u * u * (3 - 2 * u) + 5 * u * u * (u - 1), 5) + 0 as hermite,
+           round(ay * power(1 - u, 3) + (ay + 10) * 3 * u * power(1 - u, 2) + (zy - 10) * 3 * u * u * (1 - u) + zy * power(u, 3), 5) + 0 as bezier,
+           round(least(400::double, 1.5::double / (1 / cos(radians(cast(seg % 80 + 5 as double)) / 2) - 1)), 4) as widest from v""")
+def curves(spark, sf_dir):
+    ax, ay, bx, by = (F.col(c).cast("double") for c in ("ax", "ay", "bx", "by"))
+    h, b = P.hermite(ax, F.lit(10.0), bx, F.lit(5.0), 5), P.bezier(ay, ay + 10, by - 10, by, 5)
+    rows = _segments(spark, sf_dir).select("seg", F.posexplode(F.arrays_zip(F.array(*h).alias("h"), F.array(*b).alias("b"))).alias("i", "z"))
+    widest = P.largest_radius(F.radians((F.col("seg") % 80 + 5).cast("double")), 1.5, 400.0)
+    return rows.select("seg", *big("i"), (F.round("z.h", 5) + 0).alias("hermite"), (F.round("z.b", 5) + 0).alias("bezier"), F.round(widest, 4).alias("widest"))
+
+
+# ---- labels and badges
+
+
+@query(f"""{SEGMENTS_SQL}, d as (select seg, cast(zx - ax as double) as dx, cast(zy - ay as double) as dy from s), u as (select seg, case when dx = 0 and dy = 0 then 1 else dx / sqrt(dx * dx + dy * dy) end as ux, case when dx = 0 and dy = 0 then 0 else dy / sqrt(dx * dx + dy * dy) end as uy from d),
+    a as (select seg, ux, uy, case when abs(uy) < 0.35 then 'bottom' when abs(ux) < 0.35 then 'left' when ux * uy < 0 then 'bottom_right' else 'bottom_left' end as auto from u),
+    f as (select seg, case when seg % 17 = 0 then 'top_left' when seg % 11 = 0 then 'right' when abs(uy) < 0.35 then case when seg % 2 = 0 then 'top' else 'bottom' end when abs(ux) < 0.35 and seg % 3 = 0 then 'right' else auto end as side from a)
+    select seg, side, round(case side when 'right' then 9 when 'left' then -9 when 'top_left' then -9 * sqrt(0.5) when 'bottom_left' then -9 * sqrt(0.5) when 'bottom_right' then 9 * sqrt(0.5) else 0 end, 6) + 0 as dx,
+           round(case side when 'top' then -10 when 'bottom' then 16 when 'top_left' then -9 * sqrt(0.5) - 1 when 'bottom_left' then 9 * sqrt(0.5) + 7 when 'bottom_right' then 9 * sqrt(0.5) + 7 else 3 end, 6) as dy,
+           case when side in ('top', 'bottom') then 'middle' when side in ('right', 'bottom_right') then 'start' else 'end' end as anchor from f""")
+def label_sides(spark, sf_dir):
+    seg, dx, dy = F.col("seg"), (F.col("bx") - F.col("ax")).cast("double"), (F.col("by") - F.col("ay")).cast("double")
+    n = F.hypot(dx, dy)
+    flat, steep = (n == 0) | (F.abs(dy / n) < 0.35), (n > 0) & (F.abs(dx / n) < 0.35)
+    side = L.label_side(F.when(seg % 17 == 0, "top_left"), F.when(seg % 11 == 0, "right"), flat, F.when(seg % 2 == 0, "top").otherwise("bottom"), steep, seg % 3 != 0, L.automatic_side(dx, dy))
+    ox, oy, anchor = L.label_offset(F.col("side"), 9.0)
+    return _segments(spark, sf_dir).select("seg", side.alias("side")).select("seg", "side", (F.round(ox, 6) + 0).alias("dx"), F.round(oy, 6).alias("dy"), anchor.alias("anchor"))
+
+
+@query(f"""with l as (select distinct station_id, cast(line_id as varchar) as line_id from ({LEGS})), h as (select *, length(line_id) % 2 = 0 as hollow, [cast(station_id * 3 as varchar), cast(station_id * 5 as varchar)] as wanted from l)
+    select station_id, line_id, row_number() over (partition by station_id order by hollow, coalesce(nullif(list_position(wanted, line_id), 0), 1000000), line_id) as rank from h""")
+def badge_orders(spark, sf_dir):
+    l = A.legs(spark, sf_dir).select("station_id", F.col("line_id").cast("string").alias("line_id")).distinct()  # noqa: E741
+    rows = l.withColumn("hollow", F.length("line_id") % 2 == 0).withColumn("wanted", F.array((F.col("station_id") * 3).cast("string"), (F.col("station_id") * 5).cast("string")))
+    return L.badge_order(rows, "wanted").select("station_id", "line_id", *big("rank"))
+
+
+@query(f"""with n as ({A.NAMES_SQL}) select src, id, regexp_replace('S' || name, '^S+', '') as key, coalesce(nullif(regexp_replace(name, '[^0-9]', '', 'g'), '')::hugeint % 1000000007, 0)::bigint as number,
+    trim(string_split('A ' || name || ' <> B <> ' || name || ' Z', '<>')[1]) as first, trim(string_split('A ' || name || ' <> B <> ' || name || ' Z', '<>')[-1]) as last from n""")
+def line_names(spark, sf_dir):
+    """Legend keys, family numbers, and ends of routes."""
+    route = X.route_ends(F.concat(F.lit("A "), "name", F.lit(" <> B <> "), "name", F.lit(" Z")))
+    return A.names(spark, sf_dir).select("src", "id", X.legend_key(F.concat(F.lit("S"), "name")).alias("key"), (X.family_number(F.col("name")) % 1000000007).alias("number"), route["first"].alias("first"), route["last"].alias("last"))
+
+
+@query(f"""with n as ({A.NAMES_SQL}), a(c, w) as (values {_ADVANCES}), s as (select src, id, unnest(string_split(name, '')) as c, unnest(range(0, length(name))) as k from n where name <> ''),
+    r as (select src, id, k, s.c, coalesce(w, 0.62::double) * 10 as w from s left join a on a.c = s.c)
+    select src, id, k, c, round(sum(w) over (partition by src, id order by k) - w / 2 - sum(w) over (partition by src, id) / 2, 4) + 0 as middle from r""")
+def letters_along(spark, sf_dir):
+    """Each letter's middle along a path, around the text's own middle."""
+    letters = A.names(spark, sf_dir).select("src", "id", F.posexplode(X.characters(F.col("name"))).alias("k", "c")).withColumn("w", X.text_width(F.col("c"), 10.0))
+    boxes = sequences.running_boxes(letters, ["src", "id"], ["k"], F.col("w"))
+    total = F.sum("w").over(Window.partitionBy("src", "id"))
+    return boxes.select("src", "id", *big("k"), "c", (F.round(F.col("offset") + F.col("w") / 2 - total / 2, 4) + 0).alias("middle"))
+
+
+@query(f"""with g as ({A.GROUPS_SQL}), e as (select line_id % 40 as map_id, 1 as level, line_id as id, '<path id="' || line_id || '" class="' || replace(grp, '&', '&amp;') || '"/>' as text from g
+        union all select line_id % 40, 2, line_id, '<circle r="' || n || '"/>' from g)
+    select map_id, '<svg xmlns="http://www.w3.org/2000/svg" viewBox="0 0 100 80">' || chr(10) || string_agg(text, chr(10) order by level, id) || chr(10) || '</svg>' as svg from e group by map_id""")
+def svg_documents(spark, sf_dir):
+    g = A.groups(spark, sf_dir).withColumn("map_id", F.col("line_id") % 40)
+    path = g.select("map_id", F.lit(1).alias("level"), F.col("line_id").alias("id"), F.concat(F.lit('<path id="'), F.col("line_id").cast("string"), F.lit('" class="'), X.escape_xml(F.col("grp")), F.lit('"/>')).alias("text"))
+    dot = g.select("map_id", F.lit(2).alias("level"), F.col("line_id").alias("id"), F.concat(F.lit('<circle r="'), F.col("n").cast("string"), F.lit('"/>')).alias("text"))
+    return L.documents(path.unionByName(dot), 100, 80)
+
+
+@query()
+def label_placement(spark, sf_dir):
+    """Greedy placement, one map for each square of 250; sequential within a map, so SQL can't express it."""
+    p = A.points(spark, sf_dir).withColumn("map_id", F.floor(F.col("x") / 250) * 100 + F.floor(F.col("y") / 250))
+    labels = p.select("map_id", "id", F.col("id").alias("first"), "x", "y", (F.col("id") % 30 + 20).alias("w"), F.lit(10).alias("h"))
+    return L.placed(labels, p.select("map_id", "x", "y"))
+
+
+@query()
+def simplify_polyline(spark, sf_dir):
+    """Vertices that stay within a tolerance; the farthest-vertex recursion isn't SQL."""
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    lines = A.polylines(spark, sf_dir).groupBy("line_id").agg(pts.alias("pts"))
+    return lines.select("line_id", F.size("pts").cast("long").alias("n"), P.simplify("pts", 500.0).alias("kept")).select("line_id", "n", F.size("kept").cast("long").alias("n_kept"))
+
+
+# ---- tracks and bundles
+
+
+@query(f"""with l as ({LEGS}), n as (select line_id, station_id % 40 as piece, lag(station_id % 40) over w as p, lead(station_id % 40) over w as n from l window w as (partition by line_id order by pos)),
+    g as (select piece, min(least(p, n) * 1000 + greatest(p, n)) = max(least(p, n) * 1000 + greatest(p, n)) as one, count(*) filter (p is null or n is null) as ends from n group by piece) select piece from g where one and ends = 0""")
+def through_pieces(spark, sf_dir):
+    return T.through_pieces(A.legs(spark, sf_dir).select("line_id", "pos", (F.col("station_id") % 40).alias("piece")))
+
+
+@query(f"""with l as ({LEGS}), m as (select *, case when turn = lag(turn) over (partition by line_id order by pos) then 0 else 1 end as new from l), r as (select *, sum(new) over (partition by line_id order by pos) as island from m)
+    select line_id, pos, cast(sum(len) over (partition by line_id, island) as bigint) as run from r""")
+def common_runs(spark, sf_dir):
+    return T.common_runs(A.legs(spark, sf_dir), F.col("turn"), F.col("len")).select("line_id", "pos", "run")
+
+
+@query(f"""{ARC_SQL}, t as (select *, max(s) over (partition by line_id) as total, lead(s) over w as s1, lead(x) over w as x1, lead(y) over w as y1 from s window w as (partition by line_id order by pos)),
+    g as (select *, total / 20 as gap from t where total > 0), i as (select *, unnest(range(cast(ceil(s / gap - 1e-9) as bigint), case when s1 >= total then 21 else cast(ceil(s1 / gap - 1e-9) as bigint) end)) as i from g where s1 > s)
+    select line_id % 10 as bundle, i, round(avg(x + (i * gap - s) / (s1 - s) * (x1 - x)), 3) as x, round(avg(y + (i * gap - s) / (s1 - s) * (y1 - y)), 3) as y from i group by line_id % 10, i""")
+def mean_tracks(spark, sf_dir):
+    return T.mean_track(A.polylines(spark, sf_dir), F.col("line_id") % 10, 21).select("bundle", "i", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query(f"""{SEGMENTS_SQL}, d as (select distinct (ax + zx) / cast(2 as double) as mx, (ay + zy) / cast(2 as double) as my, family, seg % 3 as lane from s) select mx, my, string_agg(family || ':' || lane, ',' order by family, lane) as lanes from d group by mx, my""")
+def lanes_at_points(spark, sf_dir):
+    rows = T.lanes_at_points(_segments(spark, sf_dir).withColumn("lane", F.col("seg") % 3))
+    return rows.select("mx", "my", F.array_join(F.transform("lanes", lambda x: F.concat_ws(":", x["family"], x["lane"])), ",").alias("lanes"))
+
+
+@query(f"with l as ({LEGS}), n as (select line_id, station_id as a, lead(station_id) over (partition by line_id order by pos) as b from l) select a, b, min(line_id) as line_id from n where b is not null group by a, b")
+def first_lines(spark, sf_dir):
+    return T.first_lines(A.legs(spark, sf_dir))
+
+
+@query(f"with p as ({A.POINTS_SQL}) select id % 200 as joint, round(avg(x), 6) as x, round(avg(y), 6) as y, (min(x) + max(x)) / cast(2 as double) as middle from p group by id % 200")
+def welded_joints(spark, sf_dir):
+    p = A.points(spark, sf_dir).withColumn("joint", F.col("id") % 200)
+    middle = T.bundle_middle(p.select(F.col("joint").alias("bundle"), F.col("x").alias("lane")))
+    return T.welded(p).join(middle.withColumnRenamed("bundle", "joint"), "joint").select("joint", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "middle")
+
+
+@query(f"""with l as ({LEGS}), j as (select *, lag(len) over w as before, lag(turn) over w = turn as same from l window w as (partition by line_id order by pos))
+    select line_id, pos from j where same qualify row_number() over (partition by line_id order by least(before, len) desc, pos) = 1""")
+def ring_seams(spark, sf_dir):
+    return T.seams(A.legs(spark, sf_dir).select("line_id", "pos", F.col("turn").alias("value"), F.col("len").alias("length")))
+
+
+@query(SQL["segment_crossings"].replace("select a, b, round", ", k as (select a, b, round").rstrip().replace("\n    , k as", ",\n    k as") + "), c as (select a as seg, b % 5 as family from k union all select b, a % 5 from k) select seg, count(distinct family) as n from c group by seg")
+def crossed_families(spark, sf_dir):
+    c = spatial.crossings(_segments(spark, sf_dir), 40)
+    return T.crossed_families(c.select("a", "b", (F.col("a") % 5).alias("fa"), (F.col("b") % 5).alias("fb")))
+
+
+@query(f"""with p as ({A.POLYLINES_SQL}), h as (select line_id, pos, atan2(cast(y - lag(y, 2) over w as double), cast(x - lag(x, 2) over w as double)) as i, atan2(cast(lead(y, 2) over w - y as double), cast(lead(x, 2) over w - x as double)) as o from p window w as (partition by line_id order by pos)),
+    t as (select line_id, pos, ((degrees(o - i) + 180) % 360 + 360) % 360 - 180 as turn from h), n as (select *, coalesce(abs(turn) >= 60, false) as on_ from t),
+    m as (select *, case when on_ = lag(on_) over (partition by line_id order by pos) then 0 else 1 end as new from n), r as (select *, sum(new) over (partition by line_id order by pos) as island from m)
+    select line_id, pos, round(turn, 4) as turn from r where on_ qualify row_number() over (partition by line_id, island order by round(abs(turn), 6) desc, pos) = 1""")
+def strongest_corners(spark, sf_dir):
+    return sequences.corners(A.polylines(spark, sf_dir), 2, 60.0).select("line_id", "pos", F.round("turn", 4).alias("turn"))
+
+
+# ---- layout
+
+
+@query(f"""with l as ({LEGS}), b as (select *, radians(cast(45 + coalesce(sum(turn) over (partition by line_id order by pos rows between unbounded preceding and 1 preceding), 0) as double)) as r from l),
+    v as (select line_id, pos, len * sin(r) + case when turn <> 0 then 0.6::double * sin(r + radians(turn::double)) else 0 end as dx, len * cos(r) + case when turn <> 0 then 0.6::double * cos(r + radians(turn::double)) else 0 end as dy from b)
+    select line_id, pos, round(coalesce(sum(dx) over w, 0), 3) + 0 as x, round(coalesce(sum(dy) over w, 0), 3) + 0 as y from v where line_id in (select line_id from v where pos > 1) window w as (partition by line_id order by pos rows between unbounded preceding and 1 preceding)""")
+def solve_layout(spark, sf_dir):
+    """Every order of two items or more as a network of its own: elastic legs of the wished length, turns behind them.
+
+    Nothing contradicts the wishes, so the least-squares solution is the walk.
+    """
+    l = A.legs(spark, sf_dir)  # noqa: E741
+    net = F.col("line_id").cast("string")
+    lines = l.select(net.alias("net_id")).distinct().select("net_id", F.lit("L").alias("line_id"), F.lit(0).alias("line_pos"), F.lit("#000").alias("color"), F.lit(45).alias("start"), F.lit(None).cast("struct<x:double,y:double>").alias("anchor"), F.lit(1.2).alias("spacing"), F.lit(None).cast("string").alias("direction"), F.lit(False).alias("closed"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("branch_of"))
+    path = F.struct(F.col("len").cast("double").alias("length"), F.lit(None).cast("double").alias("minimum"), F.lit(None).cast("double").alias("maximum"), F.lit(True).alias("flexibility"), F.lit(1.0).alias("flex"), F.lit(None).cast("string").alias("group"))
+    one = lambda k, kind, station=None, turn=None, path_=None: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("step_kind"), (station if station is not None else F.lit(None)).cast("string").alias("station_id"), (turn if turn is not None else F.lit(None)).cast("int").alias("turn_delta"), F.lit(None).cast("double").alias("turn_radius"), (path_ if path_ is not None else F.lit(None)).cast("struct<length:double,minimum:double,maximum:double,flexibility:boolean,flex:double,`group`:string>").alias("path"))
+    three = F.array(one(0, "station", F.col("pos")), one(1, "path", None, None, path), one(2, "turn", None, F.col("turn")))
+    steps = l.select(net.alias("net_id"), F.lit("L").alias("line_id"), "pos", "turn", F.explode(three).alias("s")).where("s.k < 2 or turn <> 0")
+    steps = steps.select("net_id", "line_id", (F.col("pos") * 3 + F.col("s.k")).cast("int").alias("pos"), "s.step_kind", "s.station_id", "s.turn_delta", "s.turn_radius", "s.path")
+    stations = l.select(net.alias("net_id"), F.col("pos").cast("string").alias("id"), F.lit("station").alias("kind"))
+    xy = schematic.layout(stations, lines, steps)["coordinates"]
+    return xy.select(F.col("net_id").cast("long").alias("line_id"), F.col("station").cast("long").alias("pos"), (F.round("x", 3) + 0).alias("x"), (F.round("y", 3) + 0).alias("y"))

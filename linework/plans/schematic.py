@@ -145,15 +145,18 @@ def solve_component(rows: pd.DataFrame, layout: Layout = LAYOUT) -> pd.DataFrame
     rows: kind 'eq' (eq, var, coef, rhs) and 'var' (var, preferred, minimum, maximum, flex, ordinal). Bounds are added
     one by one, the worst violated first, until all hold.
     """
-    lens = rows[rows.kind == "var"].sort_values("ordinal")
-    eqs = rows[rows.kind == "eq"].sort_values(["eq", "var"])
-    coords = sorted(set(eqs["var"]) - set(lens["var"]))
-    names = [*coords, *lens["var"]]
+    is_var = (rows["kind"] == "var").to_numpy()
+    lens = rows[is_var].sort_values("ordinal") if is_var.sum() > 1 else rows[is_var]
+    eq, var, coef, right_ = (rows[c].to_numpy()[~is_var] for c in ("eq", "var", "coef", "rhs"))
+    elastic = list(lens["var"])
+    coords = sorted(set(var.tolist()) - set(elastic))
+    names = [*coords, *elastic]
     place = {v: i for i, v in enumerate(names)}
-    number = {e: i for i, e in enumerate(dict.fromkeys(eqs["eq"]))}
-    a = np.zeros((len(number), len(names)))
-    np.add.at(a, (eqs["eq"].map(number).to_numpy(), eqs["var"].map(place).to_numpy()), eqs["coef"].to_numpy(float))
-    b = eqs.groupby("eq", sort=False)["rhs"].first().reindex(list(number)).to_numpy(float)
+    number = {e: i for i, e in enumerate(sorted(set(eq.tolist())))}
+    a, b = np.zeros((len(number), len(names))), np.zeros(len(number))
+    for e, v, c, r in zip(eq.tolist(), var.tolist(), coef.tolist(), right_.tolist(), strict=True):
+        a[number[e], place[v]] += c
+        b[number[e]] = r
     weight = np.concatenate((np.full(len(coords), layout.regularisation), 1 / lens["flex"].to_numpy(float) ** 2))
     target = np.concatenate((np.zeros(len(coords)), lens["preferred"].to_numpy(float)))
     low = np.concatenate((np.full(len(coords), -np.inf), lens["minimum"].to_numpy(float)))

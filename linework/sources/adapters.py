@@ -15,22 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def legs(spark: SparkSession, sf_dir: str, station: str = "l_suppkey", sparse: int = 0) -> DataFrame:
-    """line_id, pos, station_id, len, turn; sparse: only orders that it divides."""
+def legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_id, pos, station_id, len, turn."""
     items = table(spark, sf_dir, "lineitem")
-    if sparse:
-        items = items.where(F.col("l_orderkey") % sparse == 0)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_extendedprice")
     turn = F.when(F.col("l_returnflag") == "A", -45).when(F.col("l_returnflag") == "R", 45).otherwise(0)
-    return items.select(F.col("l_orderkey").alias("line_id"), F.row_number().over(order).cast("long").alias("pos"), F.col(station).alias("station_id"), F.col("l_quantity").cast("long").alias("len"), turn.cast("long").alias("turn"))
+    return items.select(F.col("l_orderkey").alias("line_id"), F.row_number().over(order).cast("long").alias("pos"), F.col("l_suppkey").alias("station_id"), F.col("l_quantity").cast("long").alias("len"), turn.cast("long").alias("turn"))
 
 
 LEGS_SQL = """select l_orderkey as line_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_extendedprice) as pos,
-    {station} as station_id, cast(l_quantity as bigint) as len, cast(case l_returnflag when 'A' then -45 when 'R' then 45 else 0 end as bigint) as turn from lineitem {where}"""
-
-
-def legs_sql(station: str = "l_suppkey", sparse: int = 0) -> str:
-    return LEGS_SQL.format(station=station, where=f"where l_orderkey % {sparse} = 0" if sparse else "")
+    l_suppkey as station_id, cast(l_quantity as bigint) as len, cast(case l_returnflag when 'A' then -45 when 'R' then 45 else 0 end as bigint) as turn from lineitem"""
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,12 +47,29 @@ def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
 POLYLINES_SQL = "select user_id as line_id, row_number() over (partition by user_id order by ts, event_id) as pos, cast(round(value * 100) as bigint) as x, event_id as y from events"
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a, b: every part and the one 13 further on, but where a rule on the part breaks the chain: many components."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"))
+    joined = p.where((F.col("a") * 7919) % 11 != 0).select("a", (F.col("a") + 13).alias("b"))
+    return joined.join(p.withColumnRenamed("a", "b"), "b", "left_semi").select("a", "b")
+
+
+LINKS_SQL = "select p_partkey as a, p_partkey + 13 as b from part where (p_partkey * 7919) % 11 <> 0 and p_partkey + 13 in (select p_partkey from part)"
+
+
 def overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(parent, delta): key, value, and in the delta a tombstone; every parent key of a tombstone is there."""
+    """(parent, delta): key, value, and in the delta a tombstone; every tombstone's key is in the parent.
+
+    Suppliers are the parent; customers change and add, and every seventh removes.
+    """
     parent = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
-    most = F.col("c_custkey")
-    delta = table(spark, sf_dir, "customer").where(most.between(50, 149)).select(most.alias("key"), F.col("c_acctbal").alias("value"), ((most % 7 == 0) & (most < 100)).alias("tombstone"))
-    return parent, delta.join(parent.select("key"), "key", "left_semi").unionByName(delta.where("not tombstone").join(parent.select("key"), "key", "left_anti"))
+    delta = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("value"), (F.col("c_custkey") % 7 == 0).alias("tombstone"))
+    here = parent.select("key", F.lit(True).alias("_here"))
+    return parent, delta.join(here, "key", "left").where("not tombstone or _here").drop("_here")
+
+
+PARENT_SQL = "select s_suppkey as key, s_acctbal as value from supplier"
+DELTA_SQL = "select c_custkey as key, c_acctbal as value, c_custkey % 7 = 0 as tombstone from customer where c_custkey % 7 <> 0 or c_custkey in (select s_suppkey from supplier)"
 
 
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
