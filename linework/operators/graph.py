@@ -124,3 +124,29 @@ def reached(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFram
             return best
         best = both.select("node", F.least("cost", "new").alias("cost"))
     raise GeometryError(f"costs didn't settle in {rounds} rounds")
+
+
+def routes(edges: DataFrame, sources: DataFrame, targets: DataFrame, rounds: int = 500) -> DataFrame:
+    """(route, cost, path): the cheapest way of each route from any of its sources to any of its targets, all at once.
+
+    edges: (a, b, w), both ways; sources and targets: (route, node, cost), the cost of entering or leaving there. Of equal
+    ways the one with the smaller path is taken. A state as dear as the best way found is followed no further; routes
+    without a way are absent.
+    """
+    e = kept(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+    goal = kept(targets.groupBy("route", "node").agg(F.min("cost").alias("leave")))
+    state = F.struct(F.col("cost").cast("double").alias("cost"), F.array("node").alias("path"))
+    best = kept(sources.groupBy("route", "node").agg(F.min("cost").alias("cost")).select("route", "node", state.alias("s")))
+    front = best
+    for _ in range(rounds):
+        bound = best.join(goal, ["route", "node"]).groupBy("route").agg(F.min(F.col("s.cost") + F.col("leave")).alias("bound"))
+        live = front.join(bound, "route", "left").where("bound is null or s.cost < bound").select("route", F.col("node").alias("a"), "s")
+        on = F.struct((F.col("s.cost") + F.col("w")).alias("cost"), F.concat("s.path", F.array("b")).alias("path"))
+        step = live.join(e, "a").groupBy("route", F.col("b").alias("node")).agg(F.min(on).alias("new"))
+        both = kept(best.join(step, ["route", "node"], "full_outer"))
+        front = both.where("new is not null and (s is null or new < s)").select("route", "node", F.col("new").alias("s"))
+        if not front.limit(1).count():
+            found = best.join(goal, ["route", "node"]).select("route", F.struct((F.col("s.cost") + F.col("leave")).alias("cost"), F.col("s.path").alias("path")).alias("way"))
+            return found.groupBy("route").agg(F.min("way").alias("way")).select("route", "way.cost", "way.path")
+        best = both.select("route", "node", F.when(F.col("s").isNull() | (F.col("new") < F.col("s")), F.coalesce("new", "s")).otherwise(F.col("s")).alias("s"))
+    raise GeometryError(f"ways didn't settle in {rounds} rounds")

@@ -782,3 +782,17 @@ def solve_layout(spark, sf_dir):
     stations = l.select(net.alias("net_id"), F.col("pos").cast("string").alias("id"), F.lit("station").alias("kind"))
     xy = schematic.layout(stations, lines, steps)["coordinates"]
     return xy.select(F.col("net_id").cast("long").alias("line_id"), F.col("station").cast("long").alias("pos"), (F.round("x", 3) + 0).alias("x"), (F.round("y", 3) + 0).alias("y"))
+
+
+# ---- routing
+
+
+@query(f"""with {LINKS_SQL}, p as (select p_partkey as a from part), k as (select a.a as route, a.a as n0, l1.b as n1, l2.b as n2, l3.b as n3 from p a join l l1 on l1.a = a.a join l l2 on l2.a = l1.b join l l3 on l3.a = l2.b)
+    select route, cast((n0 % 4) + 1 + (n0 + n1) % 3 + 1 + (n1 + n2) % 3 + 1 + (n2 + n3) % 3 as double) as cost, n0 || ',' || n1 || ',' || n2 || ',' || n3 as path from k""")
+def route_paths(spark, sf_dir):
+    """From every part to the part three links on."""
+    e = A.links(spark, sf_dir).withColumn("w", 1 + (F.col("a") + F.col("b")) % 3)
+    p = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("route"))
+    sources = p.select("route", F.col("route").alias("node"), (F.col("route") % 4).alias("cost"))
+    targets = p.select("route", (F.col("route") + 39).alias("node"), F.lit(0).cast("long").alias("cost"))
+    return graph.routes(e, sources, targets).select("route", "cost", joined("path"))

@@ -143,3 +143,11 @@ def test_labels_do_not_overlap(spark):
     rows = spark.createDataFrame([(1, k, k, 0.0, 0.0, 20, 10) for k in range(4)], "map_id long, id long, first long, x double, y double, w int, h int")
     none = rows.limit(0).select("map_id", "x", "y")
     assert len({r.side for r in labels.placed(rows, none).collect()}) == 4  # around one point there is room for four
+
+
+def test_routes_with_entry_and_exit_costs(spark):
+    edges = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (0, 2, 3.0), (2, 3, 5.0), (8, 9, 1.0)], "a long, b long, w double")
+    src = spark.createDataFrame([("r", 0, 0.0), ("s", 0, 4.0), ("s", 1, 0.5), ("t", 0, 0.0)], "route string, node long, cost double")
+    dst = spark.createDataFrame([("r", 2, 0.0), ("s", 3, 0.0), ("s", 2, 9.0), ("t", 9, 0.0)], "route string, node long, cost double")
+    got = {r.route: (r.cost, r.path) for r in graph.routes(edges, src, dst).collect()}
+    assert got == {"r": (2.0, [0, 1, 2]), "s": (6.5, [1, 2, 3])}
