@@ -11,10 +11,11 @@ of log(c(v) + mu) over its positions is the sum of log(c(w) + mu) over its words
 Jobs.
 1. Words of training texts are counted: each block of texts sends one list of (word, count) to each shard of words.
    What comes to the driver is bounded: N, V, and the hot words (at most min(8 * shards, 1 / FREQUENT)).
-2. Each block sends each shard its distinct bigrams: hashes, training count, and for each the documents that hold it.
-   A shard adds up the counts, builds its trie in a memory map, looks every bigram up, and returns one vector of sums
-   for each block; a block's vectors are added. A bigram occurs once for each block however frequent it is, and a hot
-   word, whose count is known from job 1, is split over all shards by the word before.
+2. Each block sends each shard its distinct bigrams: hashes and training counts. A shard adds up the counts, builds its
+   trie in a memory map, looks every bigram up, and answers each block with a code for each bigram and a count for each
+   word that it asked for. The block's own row, which says in which documents its bigrams occur, meets the answers and
+   adds them up. A bigram occurs once for each block however frequent it is, and a hot word, whose count is known from
+   job 1, is split over all shards by the word before. What travels is in proportion to the text at any number of shards.
 So no task holds more than a block or a shard, whose size is fixed; their number grows with the corpus.
 
 Words are 64-bit XXH64 hashes in job 2; N, V and the hot words are of exact strings.
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import blocks, raw, written
-from linework.llm.elias_fano import Trie
+from linework.llm.elias_fano import PROBABILITY, Trie
 
 BLOCK_BYTES = 7 << 20
 SHARD_TOKENS = 1_500_000
@@ -124,7 +125,7 @@ def totals(docs: DataFrame, shards: int) -> Totals:
 # ---- job 2: bigrams
 
 
-SENT = "shard int, block long, word binary, children binary, context binary, count binary, holders binary, doc binary, times binary, head binary"
+SENT = "shard int, block long, word binary, children binary, context binary, count binary, head binary"
 SENT_NAMES = [x.split()[0] for x in SENT.split(", ")]
 
 
@@ -159,7 +160,8 @@ class Sender:
     def __init__(self, total: Totals):
         self.shards, self.hot = total.shards, total.hot
 
-    def block(self, table: pa.Table, block: int) -> tuple[dict[str, list], pa.Table]:
+    def block(self, table: pa.Table, block: int) -> dict[str, list]:
+        """The rows' columns: one row for each shard, and the block's own, with the place of each bigram in the order sent."""
         number: dict[bytes, int] = {END: 0, START: 1}
         rows = []
         for t in raw(table.column("text")):
@@ -192,23 +194,33 @@ class Sender:
         order = np.argsort(shard, kind="stable")
         cut = np.searchsorted(shard[order], np.arange(self.shards + 1))
         out: dict[str, list] = {n: [] for n in SENT_NAMES}
+        below = []
         for s in np.flatnonzero(np.diff(cut)).tolist():
             own = order[cut[s] : cut[s + 1]]
-            n = holders[own]
-            at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
             words, children = np.unique(word[own], return_counts=True)
-            row = (s, block, h[words].tobytes(), _small(children), h[context[own]].tobytes(), _small(count[own]), _small(n), _small(holder[at]), _small(times[at]), b"")
+            below.append(children)
+            row = (s, block, h[words].tobytes(), _small(children), h[context[own]].tobytes(), _small(count[own]), b"")
             for name, value in zip(SENT_NAMES, row, strict=True):
                 out[name].append(value)
-        return out, pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(size)})
+        n = holders[order]
+        at = np.repeat(begin[order] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        parts = [_small(np.concatenate(below) if below else n), _small(n), _small(holder[at]), _small(times[at])]
+        head = pa.table({"doc_id": table.column("doc_id"), "n_tokens": pa.array(size)})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, head.schema) as w:
+            w.write_table(head)
+        parts.append(sink.getvalue().to_pybytes())
+        row = {"shard": block % self.shards, "block": block, "head": b"".join(len(x).to_bytes(8, "little") + x for x in parts)}
+        for name in SENT_NAMES:
+            out[name].append(row.get(name, b""))
+        return out
 
 
-SUMS = "block long, doc binary, base binary, n_known binary, score binary, head binary"
-_EMPTY = {n: b"" for n in ("base", "n_known", "score", "head")}
+ANSWER = "block long, shard int, codes binary, counts binary, head binary"
 
 
 class Shard:
-    """Adds up a shard's counts, builds its trie, and returns each block's sums."""
+    """Adds up a shard's counts, builds its trie, and answers each block."""
 
     def __init__(self, total: Totals, mu: float):
         self.total, self.mu = total, mu
@@ -222,30 +234,25 @@ class Shard:
         word = np.concatenate([np.repeat(np.frombuffer(r["word"], np.uint64), _large(r["children"])) for r in rows])
         return word, np.concatenate([np.frombuffer(r["context"], np.uint64) for r in rows]), np.concatenate([_large(r["count"]) for r in rows])
 
-    def sums(self, table: pa.Table) -> pa.Table:
+    def answers(self, table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         heads = [r for r in rows if r["head"]]
         rows = [r for r in rows if not r["head"]]
-        out: dict[str, list] = {n: [] for n in ("block", "doc", *_EMPTY)}
-        put = lambda **row: [out[n].append(x) for n, x in ({"doc": b""} | _EMPTY | row).items()]
-        for r in heads:  # the documents of a block pass on
-            put(block=r["block"], head=r["head"])
+        out = [(r["block"], -1, b"", b"", r["head"]) for r in heads]  # the block's own row passes on
         if rows:
             trie, (w, v), back, c, root = self.trie(*self.bigrams(rows))
-            base = np.log10((c + 0.1) / self.total.floor)
             weight, alone = trie.look_up(w, v)  # numerators over N + mu; alone is 1 where the word has no entry
             outside = self.mu * (c + 0.1) / self.total.floor / (self.total.tokens + self.mu)  # also hot words all of whose bigrams here are new
-            weight = np.where(weight > 0, weight, np.where(alone < 1, alone, outside[root]))
-            value = np.log10(weight) + (np.log10(self.total.tokens + self.mu) - np.log10(c + self.mu))[root]
+            code = PROBABILITY.encode(np.log10(np.where(weight > 0, weight, np.where(alone < 1, alone, outside[root]))))
             at = 0
             for r in rows:
-                holders, doc, times = (_large(r[n]) for n in ("holders", "doc", "times"))
-                pair = back[np.repeat(np.arange(at, at + len(holders)), holders)]
-                at += len(holders)
-                docs, place = np.unique(doc, return_inverse=True)
-                sums = [np.bincount(place, x * times, len(docs)).tobytes() for x in (base[root[pair]], (c > 0)[root[pair]], value[pair])]
-                put(block=r["block"], doc=_small(docs), base=sums[0], n_known=sums[1], score=sums[2])
-        return pa.table({n: pa.array(x, pa.int64() if n == "block" else pa.binary()) for n, x in out.items()})
+                children = _large(r["children"])
+                own = back[at : at + children.sum()]
+                at += len(own)
+                first = np.cumsum(children) - children
+                out.append((r["block"], r["shard"], code[own].tobytes(), _small(c[root[own[first]]].astype(np.int64)), b""))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.table({n.split()[0]: pa.array(x, k) for n, x, k in zip(ANSWER.split(", "), zip(*out, strict=True), kinds, strict=True)})
 
     def trie(self, word: np.ndarray, context: np.ndarray, count: np.ndarray) -> tuple:
         """The trie of the bigrams with a training count (the predicted word above, its contexts below it); the distinct
@@ -275,28 +282,31 @@ def _sent(docs: DataFrame, total: Totals) -> DataFrame:
         kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (len(SENT_NAMES) - 2)]
         for k, table in enumerate(blocks(batches, "text", BLOCK_BYTES)):
             block = (TaskContext.get().partitionId() << 24) + k
-            out, documents = held.value.block(table, block)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, documents.schema) as w:
-                w.write_table(documents)
-            for name in SENT_NAMES:
-                out[name].append({"shard": block % total.shards, "block": block, "head": sink.getvalue().to_pybytes()}.get(name, b""))
+            out = held.value.block(table, block)
             for at in range(0, len(out["shard"]), 16):  # small batches: a row can be a megabyte
                 yield pa.RecordBatch.from_arrays([pa.array(out[n][at : at + 16], t) for n, t in zip(SENT_NAMES, kinds, strict=True)], names=SENT_NAMES)
 
     return docs.mapInArrow(run, SENT)
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """One block's documents with their sums."""
-    rows = table.to_pylist()
-    documents = pa.ipc.open_stream(next(r["head"] for r in rows if r["head"])).read_all()
-    base, known, score = (np.zeros(documents.num_rows) for _ in range(3))
-    for r in sorted((r for r in rows if not r["head"]), key=lambda r: (r["doc"], r["base"], r["score"])):  # always the same sum
-        at = _large(r["doc"])
-        for total, name in ((base, "base"), (known, "n_known"), (score, "score")):
-            total[at] += np.frombuffer(r[name])
-    return pa.table({"doc_id": documents.column("doc_id"), "n_tokens": documents.column("n_tokens"), "n_known": pa.array(np.rint(known).astype(np.int64)), "base_score": pa.array(base), "score": pa.array(score)})
+def _added(table: pa.Table, total: Totals, mu: float) -> pa.Table:
+    """One block's documents with their sums: its own row and the shards' answers, in the order of shards."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["shard"])
+    data, parts = rows[0]["head"], []
+    while data:
+        n = int.from_bytes(data[:8], "little")
+        parts.append(data[8 : 8 + n])
+        data = data[8 + n :]
+    children, holders, doc, times = map(_large, parts[:4])
+    documents = pa.ipc.open_stream(parts[4]).read_all()
+    n = documents.num_rows
+    code = np.concatenate([np.frombuffer(r["codes"], np.uint16) for r in rows[1:]])
+    c = np.repeat(np.concatenate([_large(r["counts"]) for r in rows[1:]]), children)
+    pair = np.repeat(np.arange(len(holders)), holders)
+    sums = lambda x: np.bincount(doc, x[pair] * times, n)
+    value = PROBABILITY.decode(code) + np.log10((total.tokens + mu) / (c + mu))
+    known = np.rint(sums((c > 0).astype(float))).astype(np.int64)
+    return pa.table({"doc_id": documents.column("doc_id"), "n_tokens": documents.column("n_tokens"), "n_known": pa.array(known), "base_score": pa.array(sums(np.log10((c + 0.1) / total.floor))), "score": pa.array(sums(value))})
 
 
 def _prepared(docs: DataFrame, train: Column) -> tuple[DataFrame, Totals]:
@@ -311,11 +321,14 @@ def score(docs: DataFrame, train: Column, mu: float = MU) -> DataFrame:
     slim, total = _prepared(docs, train)
     shard = Shard(total, mu)
 
-    def sums(table: pa.Table) -> pa.Table:
-        return shard.sums(table)
+    def answers(table: pa.Table) -> pa.Table:
+        return shard.answers(table)
 
-    parts = _sent(slim, total).groupBy("shard").applyInArrow(sums, SUMS)
-    rows = parts.groupBy("block").applyInArrow(_added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    def added(table: pa.Table) -> pa.Table:
+        return _added(table, total, mu)
+
+    parts = _sent(slim, total).groupBy("shard").applyInArrow(answers, ANSWER)
+    rows = parts.groupBy("block").applyInArrow(added, "doc_id long, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", "n_tokens", "n_known", F.lit(total.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
