@@ -16,7 +16,7 @@ columns are ignored by `hits` and kept by `clean`.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,16 +135,17 @@ def _block(table: pa.Table, asked: Queries) -> dict[str, list]:
 RESULT = "n_words long, n_hit long, items array<string>, hit_spans array<string>, longest long, longest_at long"
 
 
-def _queries(benchmark: DataFrame, window: int) -> list[Queries]:
-    """The benchmark's items in blocks of at most BLOCK_BYTES (a longer item is a block of its own)."""
+def _queries(benchmark: DataFrame, window: int) -> tuple[int, Callable[[int], Queries]]:
+    """The number of blocks of items of about BLOCK_BYTES (a longer item is a block of its own), and how to get one."""
     items = benchmark.where("item_id is not null").groupBy(F.col("item_id").cast("string").alias("item_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1
-    out = []
-    for i in range(n):
+
+    def block(i: int) -> Queries:
         some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()
-        out.append(Queries(sorted((r["item_id"], r["text"].encode()) for r in some), window))
-    return out
+        return Queries(sorted((r["item_id"], r["text"].encode()) for r in some), window)
+
+    return n, block
 
 
 def _searched(docs: DataFrame, asked: Queries, keep_when=None, block_bytes: int = 24 << 20) -> DataFrame:
@@ -172,17 +173,16 @@ def _searched(docs: DataFrame, asked: Queries, keep_when=None, block_bytes: int
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """Per document: n_words, n_hit, items, word spans that are hit, the longest verbatim match and its place."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    asked = _queries(benchmark, window)
-    if len(asked) == 1:
-        return _searched(slim, asked[0])
+    n, block = _queries(benchmark, window)
+    if n == 1:
+        return _searched(slim, block(0))
     rows = written(slim.withColumn("doc_id", F.struct(F.monotonically_increasing_id().alias("rid"), "doc_id")).select("doc_id.rid", F.col("doc_id.doc_id").alias("doc_id"), "text"), "numbered")
     ids = rows.select("rid", "doc_id")
     parts = None
-    for q in asked:
-        part = _searched(rows.select(F.col("rid").alias("doc_id"), "text"), q)
+    for i in range(n):  # one block of queries is held at a time
+        part = written(_searched(rows.select(F.col("rid").alias("doc_id"), "text"), block(i)), "part")
         parts = part if parts is None else parts.unionByName(part)
     span = F.explode_outer("hit_spans")
-    parts = written(parts, "parts")
     flat = parts.select("doc_id", span.alias("span")).where("span is not null").select("doc_id", F.sequence(F.split("span", ":")[0].cast("long"), F.split("span", ":")[1].cast("long") - 1).alias("at"))
     merged = flat.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("at"))
     # consecutive words share the difference of value and rank
@@ -199,9 +199,9 @@ def contaminated(n_hit: int, n_words: int) -> bool:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    asked = _queries(benchmark, window)
-    if len(asked) == 1:
-        return _searched(docs, asked[0], keep_when=lambda h, n: not contaminated(h, n))
+    n, block = _queries(benchmark, window)
+    if n == 1:
+        return _searched(docs, block(0), keep_when=lambda h, n: not contaminated(h, n))
     bad = hits(docs, benchmark, window).where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("_id")).distinct()
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
 
