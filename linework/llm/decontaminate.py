@@ -203,7 +203,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     if n == 1:
         return _searched(docs, block(0), keep_when=lambda h, n: not contaminated(h, n))
     bad = hits(docs, benchmark, window).where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
 
 
 def items_digest(items: Column) -> Column:

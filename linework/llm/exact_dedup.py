@@ -81,10 +81,10 @@ def deduplicated(docs: DataFrame, keep: str = "largest") -> DataFrame:
     ids = marked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay"))
     single = ids.where("rows = 1 and stay = 1").select(F.col("doc_id").alias("_id"))
     several = ids.where("rows > 1 and stay > 0").select(F.col("doc_id").alias("_id"))
-    mine = F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    lone = docs.join(single, mine, "left_semi")
+    mine = lambda ids_: docs["doc_id"].cast("long").eqNullSafe(ids_["_id"])  # noqa: E731  by table: docs may have any column
+    lone = docs.join(single, mine(single), "left_semi")
     stays = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    again = docs.join(several, mine, "left_semi").withColumn("_own", sha)
-    again = again.dropDuplicates(["doc_id", "_own"]).join(stays, mine & (F.col("_own") == F.col("_sha")), "left_semi").drop("_own")
+    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
+    again = docs.join(several, mine(several), "left_semi").join(stays, mine(stays) & (sha == stays["_sha"]), "left_semi")
+    again = again.withColumn("__linework_sha", sha).dropDuplicates(["doc_id", "__linework_sha"]).drop("__linework_sha")
     return lone.unionByName(again)

@@ -4,7 +4,8 @@ The standard library's parser is fed in chunks; its events are cut into lines at
 ratio of text length to tags, the ratios are smoothed with a Gaussian, and lines over the threshold form clusters.
 Structure corrects what ratios can't see: lines in navigation, headers, footers, asides, forms, scripts, hidden or
 advertising elements are never text, and if clusters lie in an article or main element, the whole of that element
-is the region (so that its short lines stay). Otherwise the clusters themselves are, without lines of mostly links.
+is the region (so that its short lines stay). Otherwise it is the innermost container with four fifths of the clusters'
+text, or what lies between the first and the last cluster, without lines of mostly links.
 
 Nulls and empty pages give an empty text. Markup that isn't closed or well nested is closed where HTML's rules or
 the next structural element imply it. Repeated pages give repeated rows, an empty table an empty result. Other
@@ -34,17 +35,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 REGIONS = frozenset({"article", "main"})
+CONTAINERS = frozenset({"div", "section", "td", "center", "dd"})
 WIDTH = 1.0
 
 
 class Lines(HTMLParser):
-    """lines: (text, tags, characters in links, region or -1, whether it can be text)."""
+    """lines: (text, tags, characters in links, region or -1, whether it can be text, numbers of the open containers)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, in boilerplate, region
-        self.regions, self.text, self.tags, self.linked = 0, [], 0, 0
+        self.lines: list[tuple[str, int, int, int, bool, tuple[int, ...]]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # element, in boilerplate, region, number of a container
+        self.regions, self.text, self.tags, self.linked, self.containers = 0, [], 0, 0, 0
 
     def state(self) -> tuple[bool, int]:
         return (self.open[-1][1], self.open[-1][2]) if self.open else (False, -1)
@@ -54,7 +56,7 @@ class Lines(HTMLParser):
             text = " ".join("".join(self.text).split())
             if text:
                 bad, region = self.state()
-                self.lines.append((text, self.tags, self.linked, region, not bad))
+                self.lines.append((text, self.tags, self.linked, region, not bad, tuple(x[3] for x in self.open if x[3])))
                 self.tags = 0
         self.text, self.linked = [], 0
 
@@ -98,7 +100,8 @@ class Lines(HTMLParser):
             region, self.regions = self.regions, self.regions + 1
         if bad and not self.state()[0]:
             self.end_line()
-        self.open.append((tag, bad, region))
+        self.containers += tag in CONTAINERS
+        self.open.append((tag, bad, region, self.containers if tag in CONTAINERS else 0))
 
     @staticmethod
     def marked(attrs: list[tuple[str, str | None]]) -> bool:
@@ -131,7 +134,7 @@ class Lines(HTMLParser):
         if any(x[0] == "a" for x in self.open[-3:]):
             self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool]]:
+    def finish(self) -> list[tuple[str, int, int, int, bool, tuple[int, ...]]]:
         self.close()
         self.end_line()
         return self.lines
@@ -163,7 +166,17 @@ def main_text(html: str) -> str:
         own = [r for r, n in weight.items() if 4 * n >= most]
         content = fit & np.isin(region, own)
     else:
-        content &= np.array([2 * x[2] <= len(x[0]) for x in lines])
+        plain = np.array([2 * x[2] <= len(x[0]) for x in lines])
+        content &= plain
+        if content.any():  # short lines between the clusters, or anywhere in the innermost container that holds them, are text too
+            held: dict[int, int] = {}
+            for x in np.flatnonzero(content).tolist():
+                for c in lines[x][5]:
+                    held[c] = held.get(c, 0) + int(size[x])
+            inner = max((c for c, n in held.items() if 5 * n >= 4 * size[content].sum()), default=0)
+            found = np.flatnonzero(content)
+            between = (np.arange(len(lines)) >= found[0]) & (np.arange(len(lines)) <= found[-1])
+            content = fit & plain & (np.array([inner in x[5] for x in lines]) if inner else between)
     return "\n".join(x[0] for x, c in zip(lines, content, strict=True) if c)
 
 

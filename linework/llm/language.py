@@ -97,7 +97,8 @@ def fit(x: np.ndarray, y: list[str]) -> Model:
 
 def train(docs: DataFrame, use: Column) -> Model:
     """use: condition on doc_id for the rows that may train."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & use).withColumn("_h", F.xxhash64("doc_id", F.lit("language")))
+    slim = docs.select("doc_id", "text", "lang")
+    known = slim.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & use).withColumn("_h", F.xxhash64("doc_id", F.lit("language")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit(np.zeros((0, BITS)), [])

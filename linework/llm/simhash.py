@@ -224,4 +224,4 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     """The documents whose id is the smallest of their component, with all their columns."""
     keep = near_duplicates(docs, width, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")

@@ -78,7 +78,8 @@ def _training_rows(docs: DataFrame, labels: DataFrame, train: Column, most: int)
     """(text, toxic) of the sample; ids repeat neither in labels nor in texts."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.where(train).orderBy(F.xxhash64("_id"), "_id").limit(most)
-    return docs.join(F.broadcast(chosen), F.col("doc_id").cast("long") == F.col("_id")).select("_id", F.col("text").cast("string").alias("text"), "toxic")
+    slim = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    return slim.join(F.broadcast(chosen), "_id")
 
 
 def _counts(sample: DataFrame) -> DataFrame:

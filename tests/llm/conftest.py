@@ -21,7 +21,7 @@ def docs(spark):
     """Documents with nulls, empty and long texts, copies, and extra columns whose names clash with internal ones."""
 
     def make(rows):
-        full = [(i, t, "en", "src0", len(t or ""), "x", 1) for i, t in rows]
-        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, fp string, label int")
+        full = [(i, t, "en", "src0", len(t or ""), "x", 1, 2, 3, "y") for i, t in rows]
+        return spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long, fp string, label int, _id long, toxic int, train string")
 
     return make

@@ -18,6 +18,10 @@ def test_without_article():
     long = "This is a sentence of the main text that goes on for a while. " * 5
     page = f"<body><div><a href=1>one</a> <a href=2>two</a></div><div><p>{long}</p><p>{long}</p></div><div class=footer>x</div></body>"
     assert main_text(page) == "\n".join([long.strip()] * 2)
+    page = f"<body><div>top</div><div id=content><h2>Head</h2><p>{long}</p><p>Short.</p><p>{long}</p><p>End.</p></div><div>bottom</div></body>"
+    assert main_text(page).split("\n") == ["Head", long.strip(), "Short.", long.strip(), "End."]
+    page = f"<body>Logo<p>{long}</p><p>Short.</p><p>{long}</p></body>"
+    assert "Short." in main_text(page)
 
 
 def test_broken_and_empty():
