@@ -40,7 +40,7 @@ from linework.llm.common import blocks, raw, written
 from linework.llm.elias_fano import PROBABILITY, Trie
 
 BLOCK_BYTES = 7 << 20
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 500_000
 FREQUENT = 1e-5
 MU = 300.0
 END, START = b"", b" start"  # no word is empty or has a space
