@@ -1,14 +1,16 @@
-"""Packing by non-negative least squares over length histograms.
+"""Packing by non-negative least squares over the corpus's length histogram.
 
-Each block of documents (about BLOCK_BYTES of text, at most a partition's) is tokenised once and packed at once, so
-neither texts nor ids are shuffled. A document's full windows are sequences of their own. For the remainders:
+Documents are tokenised once, block by block, and their ids written in the shared folder. A document's full windows are
+sequences of their own. For the remainders:
 
-1. lengths are counted in units of UNIT tokens (the rest below a unit is cut off, to fill windows later);
+1. lengths are counted over the whole corpus in units of UNIT tokens (the rest below a unit is cut off, to fill windows
+   later); only the counts come to the driver;
 2. all combinations of up to three remainders that fill a window are enumerated, and the repeat counts that best
    explain the histogram are solved as non-negative least squares;
-3. the counts are rounded, limited to what the histogram holds, and the windows filled;
-4. residual remainders and the cut-off ends are packed greedily, longest first, cutting at window borders; the last
-   window's worth is cut at powers of two, which need no padding.
+3. the counts are rounded and limited to what the histogram holds; each remainder's rank among those of its length, which
+   needs no more than counts for each partition, tells its window and its place there, so no ids are shuffled;
+4. residual remainders and the cut-off ends are packed greedily where they are, longest first, cutting at window
+   borders; the last window's worth is cut at powers of two, which need no padding.
 
 So every window is full: padding is 0 whatever the lengths are.
 
@@ -18,23 +20,26 @@ as they occur. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
-from itertools import islice
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linework.llm.common import blocks, raw
+from linework.llm.common import blocks, raw, written
 
 WINDOW, UNIT, CLOSE = 2048, 32, 1
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 5 << 20
 #: Words and parts of words whose ids a worker remembers between blocks.
-WORDS_HELD, STEMS_HELD = 300_000, 800_000
+WORDS_HELD, STEMS_HELD = 150_000, 400_000
 #: ASCII punctuation, but for the apostrophe.
 MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 
@@ -60,12 +65,12 @@ class Stems:
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.number: dict[bytes, int] = {b"": 0}
+        self.number: dict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})
         self.size, self.first, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
 
     def look_up(self, parts: list[bytes]) -> np.ndarray:
         number, old = self.number, len(self.number)
-        out = np.fromiter((number.setdefault(x, len(number)) for x in parts), np.int64, len(parts))
+        out = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
         new = list(islice(number, old, None))
         sizes, ids = [], []
         for at in range(0, len(new), 20_000):
@@ -90,13 +95,14 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the machine already
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.stems = Stems(self.tokenizer)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.size, self.first, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
     def encode(self, texts: list[bytes], close: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +116,7 @@ class Words:
         for t in texts:
             w = t.lower().split()
             lens.append(len(w))
-            rows.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w)))
+            rows.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         if len(number) > old:
             parts = []
             for w in islice(number, old, None):
@@ -197,31 +203,50 @@ def plan(histogram: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     return out
 
 
-def pieces(total: np.ndarray, window: int = WINDOW, unit: int = UNIT) -> tuple[np.ndarray, ...]:
-    """(doc, start, length, sequence, offset) arrays that pack documents of `total` ids into full windows."""
-    doc, start, length, seq, off = [], [], [], [], []
-    sequence = 0
+@dataclass
+class Slots:
+    """Where remainders of each length in units go: by rank, the run of slots that starts at or before it."""
+
+    first: dict[int, np.ndarray]
+    sequence: dict[int, np.ndarray]
+    offset: dict[int, np.ndarray]
+    capacity: dict[int, int]
+
+    @classmethod
+    def of(cls, chosen: list[tuple[tuple[int, ...], int]], unit: int) -> Slots:
+        held: dict[int, list[tuple[int, int, int]]] = {}
+        used: dict[int, int] = {}
+        sequence = 0
+        for combo, times in chosen:
+            at = 0
+            for k in combo:
+                held.setdefault(k, []).append((used.get(k, 0), sequence, at))
+                used[k] = used.get(k, 0) + times
+                at += k * unit
+            sequence += times
+        column = lambda i: {k: np.array([x[i] for x in v], np.int64) for k, v in held.items()}
+        return cls(column(0), column(1), column(2), used)
+
+
+def pieces(total: np.ndarray, rank: np.ndarray, slots: Slots, window: int = WINDOW, unit: int = UNIT) -> tuple[np.ndarray, ...]:
+    """(doc, start, length, sequence, offset, local) arrays that pack documents of `total` ids into full windows.
+
+    rank: each remainder's place among those of its length in units. local: sequences numbered from 0 for this call alone.
+    """
+    out: list[tuple] = []
     full = total // window
     d = np.repeat(np.arange(len(total)), full)
     k = np.arange(len(d)) - np.repeat(np.cumsum(full) - full, full)
-    doc.append(d), start.append(k * window), length.append(np.full(len(d), window)), seq.append(np.arange(len(d))), off.append(np.zeros(len(d), np.int64))
+    out.append((d, k * window, np.full(len(d), window), np.arange(len(d)), np.zeros(len(d), np.int64), np.ones(len(d), bool)))
     sequence = len(d)
     rest, from_ = total % window, full * window
     u = rest // unit
-    histogram = np.bincount(u, minlength=window // unit)[: window // unit].copy()
-    histogram[0] = 0
-    queue = {k: np.flatnonzero(u == k) for k in range(1, window // unit)}
-    used = dict.fromkeys(queue, 0)
     placed = np.zeros(len(total), bool)
-    for combo, times in plan(histogram):
-        at = 0
-        for k in combo:
-            own = queue[k][used[k] : used[k] + times]
-            used[k] += times
-            placed[own] = True
-            doc.append(own), start.append(from_[own]), length.append(np.full(times, k * unit)), seq.append(sequence + np.arange(times)), off.append(np.full(times, at))
-            at += k * unit
-        sequence += times
+    for size, first in slots.first.items():
+        own = np.flatnonzero((u == size) & (rank < slots.capacity[size]))
+        i = np.searchsorted(first, rank[own], "right") - 1
+        placed[own] = True
+        out.append((own, from_[own], np.full(len(own), size * unit), slots.sequence[size][i] + rank[own] - first[i], slots.offset[size][i], np.zeros(len(own), bool)))
     # the residual stream: whole remainders, longest first, then the ends cut off above
     whole = np.flatnonzero(~placed & (rest > 0))
     whole = whole[np.argsort(-rest[whole], kind="stable")]
@@ -240,33 +265,70 @@ def pieces(total: np.ndarray, window: int = WINDOW, unit: int = UNIT) -> tuple[n
     a, b = cuts[:-1], cuts[1:]
     i = np.searchsorted(stop, a, "right")
     w = np.searchsorted(borders, a, "right") - 1
-    doc.append(own[i]), start.append(begin[i] + a - (stop - size)[i]), length.append(b - a), seq.append(sequence + w), off.append(a - np.array(borders, np.int64)[w])
-    return tuple(np.concatenate(x).astype(np.int64) for x in (doc, start, length, seq, off))
+    out.append((own[i], begin[i] + a - (stop - size)[i], b - a, sequence + w, a - np.array(borders, np.int64)[w], np.ones(len(a), bool)))
+    return tuple(np.concatenate(x).astype(x[0].dtype if x[0].dtype == bool else np.int64) for x in zip(*out, strict=True))
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False, window: int = WINDOW) -> DataFrame:
-    """One row per piece; with_ids: its ids too, as little-endian unsigned 32-bit numbers."""
-    path = vocabulary or default_vocabulary()
-    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+def tokenised(docs: DataFrame, path: str, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+    """(part, doc_id, total, size, rank, ids): ids as unsigned 16-bit numbers, the remainder's length in units, and its
+    rank among the part's remainders of that length. Written once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        sequence = part << 36  # room for 2**36 sequences in a partition
+        seen = np.zeros(window // unit, np.int64)
         encoder = _words(path)
         for table in blocks(batches, "text", BLOCK_BYTES):
             ids, total = encoder.encode(raw(table.column("text")), CLOSE)
+            size = total % window // unit
+            order = np.argsort(size, kind="stable")
+            among = np.empty(len(size), np.int64)
+            counts = np.bincount(size, minlength=len(seen))
+            among[order] = np.arange(len(size)) - np.repeat(np.cumsum(counts) - counts, counts)
+            rank = seen[size] + among
+            seen += counts
+            last = np.cumsum(total)
+            data = [ids[i:j].tobytes() for i, j in zip((last - total).tolist(), last.tolist(), strict=True)]
+            columns = [pa.array(np.full(len(total), part), pa.int32()), table.column("doc_id").combine_chunks(), pa.array(total), pa.array(size, pa.int32()), pa.array(rank), pa.array(data, pa.binary())]
+            yield from pa.table(dict(zip(("part", "doc_id", "total", "size", "rank", "ids"), columns, strict=True))).to_batches(2000)
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return written(slim.mapInArrow(run, "part int, doc_id long, total long, size int, rank long, ids binary"), "ids", compression="zstd")
+
+
+#: The parts' counts are sent to all tasks up to so many rows, and joined by a shuffle beyond.
+MOST_SENT = 200_000
+
+
+def pack(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = False, window: int = WINDOW, unit: int = UNIT) -> DataFrame:
+    """One row per piece; with_ids: its ids too, as little-endian unsigned 32-bit numbers."""
+    rows = tokenised(docs, vocabulary or default_vocabulary(), window, unit)
+    counts = written(rows.groupBy("part", "size").agg(F.count("*").alias("n")), "lengths")
+    histogram = np.zeros(window // unit, np.int64)
+    for r in counts.where("size > 0").groupBy("size").agg(F.sum("n").alias("n")).collect():
+        histogram[r["size"]] = r["n"]
+    held = docs.sparkSession.sparkContext.broadcast(Slots.of(plan(histogram), unit))
+    before = Window.partitionBy("size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("part", "size", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    if offsets.count() <= MOST_SENT:
+        offsets = F.broadcast(offsets)
+    ranked = rows.join(offsets, ["part", "size"]).select("doc_id", "total", (F.col("rank") + F.col("before")).alias("rank"), "ids")
+    kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sequence = (1 << 50) + (TaskContext.get().partitionId() << 28)  # this task's own sequences, beside the planned ones
+        for table in blocks(batches, "ids", BLOCK_BYTES):
+            total = table.column("total").to_numpy()
+            ids = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.uint16)
             first = np.cumsum(total) - total
-            doc, start, length, seq, off = pieces(total, window)
+            doc, start, length, seq, off, local = pieces(total, table.column("rank").to_numpy(), held.value, window, unit)
+            names = table.column("doc_id").combine_chunks()
             for lo in range(0, len(doc), 20_000):
                 s = slice(lo, lo + 20_000)
                 a = first[doc[s]] + start[s]
                 data = [ids[i:j].astype("<u4").tobytes() for i, j in zip(a.tolist(), (a + length[s]).tolist(), strict=True)]
-                columns = [table.column("doc_id").combine_chunks().take(pa.array(doc[s])), *(pa.array(x, pa.int64()) for x in (start[s], length[s], np.fromiter(map(zlib.crc32, data), np.int64, len(data)), total[doc[s]], sequence + seq[s], off[s]))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-                if with_ids:
-                    columns, names = [*columns, pa.array(data, pa.binary())], [*names, "ids"]
-                columns[0] = columns[0].combine_chunks() if isinstance(columns[0], pa.ChunkedArray) else columns[0]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-            sequence += int(seq.max(initial=-1)) + 1
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+                crc = np.fromiter(map(zlib.crc32, data), np.int64, len(data))
+                columns = {"doc_id": names.take(pa.array(doc[s])), "start": start[s], "length": length[s], "ids_crc32": crc, "doc_tokens": total[doc[s]], "sequence_id": np.where(local[s], sequence + seq[s], seq[s]), "offset": off[s]}
+                yield from pa.table(columns | ({"ids": pa.array(data, pa.binary())} if with_ids else {})).to_batches()
+            sequence += int(seq[local].max(initial=-1)) + 1
+
+    return ranked.mapInArrow(run, kinds)
