@@ -26,8 +26,10 @@ training text every count is 0. An empty table gives an empty result. Other colu
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count as counter
 
 import numpy as np
 import pyarrow as pa
@@ -64,11 +66,11 @@ def _word_lists(docs: DataFrame, shards: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, "text", BLOCK_BYTES):
-            number: dict[bytes, int] = {}
+            number: dict[bytes, int] = defaultdict(counter().__next__)
             parts = []
             for t in raw(table.column("text").filter(table.column("train"))):
                 w = tokens(t)
-                parts.append(np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w)))
+                parts.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
             if not number:
                 continue
             total = np.bincount(np.concatenate(parts), minlength=len(number)).astype(np.int64)
@@ -162,13 +164,13 @@ class Sender:
 
     def block(self, table: pa.Table, block: int) -> dict[str, list]:
         """The rows' columns: one row for each shard, and the block's own, with the place of each bigram in the order sent."""
-        number: dict[bytes, int] = {END: 0, START: 1}
+        number: dict[bytes, int] = defaultdict(counter(2).__next__, {END: 0, START: 1})
         rows = []
         for t in raw(table.column("text")):
             w = t.lower().split()
             own = np.empty(len(w) + 2, np.int32)
             own[0], own[-1] = 1, 0
-            own[1:-1] = np.fromiter((number.setdefault(x, len(number)) for x in w), np.int32, len(w))
+            own[1:-1] = np.fromiter(map(number.__getitem__, w), np.int32, len(w))
             rows.append(own)
         h = hashes(list(number))
         del number
