@@ -119,3 +119,17 @@ def ring_area(points: str) -> Column:
     term = lambda k: F.get(points, k)["x"] * F.get(points, F.pmod(k + 1, F.size(points)))["y"] - F.get(points, F.pmod(k + 1, F.size(points)))["x"] * F.get(points, k)["y"]
     total = F.aggregate(F.transform(i, lambda k: term(k).cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.when(F.size(points) > 0, F.abs(total) / 2).otherwise(0.0)
+
+
+def under_marker(x: Column, y: Column, cx: Column, cy: Column, angle: Column, half_length: Column, half_width: Column, radius: Column) -> Column:
+    """Whether a point lies under a marker: a rectangle turned by `angle` degrees with corners rounded by the radius; a disc
+    has no length and no width. half_length and half_width are those of the rectangle inside the rounding."""
+    dx, dy, a = x - cx, y - cy, F.radians(angle)
+    u, v = dx * F.cos(a) + dy * F.sin(a), dy * F.cos(a) - dx * F.sin(a)
+    over = lambda d, half: F.greatest(F.abs(d) - half, F.lit(0.0))
+    return over(u, half_length) * over(u, half_length) + over(v, half_width) * over(v, half_width) <= radius * radius
+
+
+def drawn_area(area: Column, rings: Column, least: float) -> Column:
+    """Small areas are left out, but never one of several rings."""
+    return ~((area < least) & (rings == 1))

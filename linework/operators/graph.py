@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from linework.errors import GeometryError, require_empty
@@ -38,9 +38,10 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("to"))
         up = label.select(F.col("node").alias("to"), F.col("component").alias("up"))
-        new = kept(new.join(up, "to", "left").select("node", "old", F.least("to", "up").alias("component")))
-        label = new.select("node", "component")
-        if not new.where("component <> old").limit(1).count():
+        moved = Observation()
+        new = new.join(up, "to", "left").select("node", "old", F.least("to", "up").alias("component"))
+        label = kept(new.observe(moved, F.max((F.col("component") != F.col("old")).cast("int")).alias("any"))).select("node", "component")
+        if not moved.get["any"]:  # counted as the round was written, without a job of its own
             return label
     raise GeometryError(f"components didn't settle in {rounds} rounds")
 

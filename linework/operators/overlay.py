@@ -46,3 +46,8 @@ def chained(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
     values = [c for c in changes.columns if c not in (*keys, version)]
     last = changes.groupBy(*keys).agg(F.max_by(F.struct(*values), version).alias("v"))
     return last.where("not v.tombstone").select(*keys, *[F.col(f"v.{c}").alias(c) for c in values if c != "tombstone"])
+
+
+def planned(stations: DataFrame) -> DataFrame:
+    """Copies of stations that are only planned: the label stands in brackets."""
+    return stations.withColumn("label", F.concat(F.lit("("), F.coalesce("label", "name"), F.lit(")"))).withColumn("planned", F.lit(True))

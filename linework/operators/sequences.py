@@ -194,3 +194,26 @@ def running_boxes(rows: DataFrame, keys: list[str], order: list[str], size: Colu
     """offset: where each box starts when boxes stand one behind the other with gaps."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumn("offset", F.coalesce(F.sum(size + F.lit(gap)).over(w), F.lit(0.0)))
+
+
+def extended(lines: DataFrame, front: Column, back: Column) -> DataFrame:
+    """Steps before and behind a line's own."""
+    return lines.withColumn("steps", F.concat(front, F.col("steps"), back))
+
+
+def contains(steps: str, pattern: Column) -> Column:
+    """Whether the pattern's steps stand one behind the other in the array column `steps`."""
+    return F.when(F.size(steps) > 0, find(steps, pattern) > 0).otherwise(False)
+
+
+def curve_runs(points: DataFrame, curvature: float, turn: float, gap: float) -> DataFrame:
+    """line_id, run, start, stop, turn: stretches (arc length s) that bend one way, by `turn` degrees or more in all.
+
+    points: (line_id, pos, s, bend, reach): the bend in degrees at each vertex over a length. Vertices that bend less than
+    `curvature` degrees a unit don't count; stretches of one sense less than `gap` apart are one.
+    """
+    bent = points.where(F.abs("bend") >= curvature * F.col("reach")).withColumn("sense", F.signum(F.col("bend").cast("double")))
+    new = (F.col("sense") != F.lag("sense").over(line())) | (F.col("s") - F.lag("s").over(line()) > gap)
+    runs = bent.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(so_far()))
+    by = runs.groupBy("line_id", "run").agg(F.min("s").alias("start"), F.max("s").alias("stop"), F.sum("bend").alias("turn"))
+    return by.where(F.abs("turn") >= turn)

@@ -126,3 +126,16 @@ def raster_band(points: DataFrame, radius: int) -> DataFrame:
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
     wide = points.select("x", "y", F.explode(offsets).alias("dx")).withColumn("dy", F.explode(offsets)).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
     return wide.select((F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy")).distinct()
+
+
+def first_on_rays(rays: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
+    """ray, seg, t: the first segment that each ray (ray, ax, ay, bx, by), as long as it is drawn, meets, and where on it."""
+    ends = lambda: [F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")]
+    other = in_cells(segments, ends(), cell).select("cx", "cy", "seg", *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
+    both = in_cells(rays, ends(), cell).join(other, ["cx", "cy"])
+    dx, dy, ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
+    qx, qy = F.col("oax") - F.col("ax"), F.col("oay") - F.col("ay")
+    det = (dx * ey - dy * ex).cast("double")
+    t, u = (qx * ey - qy * ex) / F.when(det != 0, det), (qx * dy - qy * dx) / F.when(det != 0, det)
+    best = F.min(F.struct(t.alias("t"), F.col("seg")))
+    return both.where((t > 0) & (t <= 1) & u.between(0, 1)).groupBy("ray").agg(best.alias("b")).select("ray", "b.seg", "b.t")

@@ -68,3 +68,35 @@ def crossed_families(crossings: DataFrame) -> DataFrame:
     """seg, n: how many foreign families each segment crosses. crossings: (a, b, fa, fb)."""
     both = crossings.select(F.col("a").alias("seg"), F.col("fb").alias("family")).unionByName(crossings.select(F.col("b").alias("seg"), F.col("fa").alias("family")))
     return both.groupBy("seg").agg(F.countDistinct("family").alias("n"))
+
+
+def hint_holds(here: Column, along: Column, apart: Column, ends: Column, at: Column) -> Column:
+    """Whether a lane hint counts on a piece: some of `along` run here, none of `apart`, and an end is one of `at`; an
+    empty list asks for nothing."""
+    asks = lambda wanted, given: (F.size(wanted) == 0) | F.arrays_overlap(wanted, given)
+    return asks(along, here) & asks(at, ends) & ~F.arrays_overlap(apart, here)
+
+
+def hub_extents(points: DataFrame, axes: DataFrame) -> DataFrame:
+    """station_id, length, breadth: a hub's points (station_id, x, y) along and across its axis (station_id, axis)."""
+    a = F.radians("axis")
+    turned = points.join(axes, "station_id").select("station_id", (F.col("x") * F.sin(a) + F.col("y") * F.cos(a)).alias("u"), (F.col("x") * F.cos(a) - F.col("y") * F.sin(a)).alias("v"))
+    return turned.groupBy("station_id").agg((F.max("u") - F.min("u")).alias("length"), (F.max("v") - F.min("v")).alias("breadth"))
+
+
+def once_at_each_place(dots: DataFrame, step: float = 0.1) -> DataFrame:
+    """Of dots (id, x, y) in one place, to `step`, the first id is drawn."""
+    place = lambda c: F.rint(F.col(c) / step)
+    return dots.groupBy(place("x").alias("_x"), place("y").alias("_y")).agg(F.min(F.struct("id", "x", "y")).alias("d")).select("d.*")
+
+
+def casing_layers(crossings: DataFrame) -> DataFrame:
+    """a, b, layer, kind: what is drawn at each crossing, from below: white of every upper line, then its colour.
+
+    Families that lie above most often come first; rank orders the crossings (a above b, family fa).
+    """
+    often = crossings.groupBy("fa").agg(F.count("*").alias("n"))
+    rank = F.rank().over(Window.orderBy(F.desc("n"), "fa"))
+    ranked = crossings.join(often.withColumn("rank", rank), "fa")  # a row for each family
+    layers = F.array(F.struct(F.lit(0).alias("layer"), F.lit("white").alias("kind")), F.struct(F.lit(1).alias("layer"), F.lit("colour").alias("kind")))
+    return ranked.select("a", "b", "rank", F.explode(layers).alias("l")).select("a", "b", "rank", "l.layer", "l.kind")

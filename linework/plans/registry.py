@@ -796,3 +796,58 @@ def route_paths(spark, sf_dir):
     sources = p.select("route", F.col("route").alias("node"), (F.col("route") % 4).alias("cost"))
     targets = p.select("route", (F.col("route") + 39).alias("node"), F.lit(0).cast("long").alias("cost"))
     return graph.routes(e, sources, targets).select("route", "cost", joined("path"))
+
+
+# ---- hubs, rays, layers
+
+
+@query(f"""with l as ({LEGS}), b as (select line_id, pos, station_id, ((45 + sum(turn) over (partition by line_id order by pos)) % 180 + 180) % 90 as axis from l), w as (select station_id, axis, count(distinct line_id) as weight from b group by station_id, axis),
+    h as (select station_id, arg_max(axis, weight * 1000 - axis) as axis from w group by station_id), p as (select station_id, line_id % 97 as x, pos * 3 as y from l), t as (select station_id, x * sin(radians(axis::double)) + y * cos(radians(axis::double)) as u, x * cos(radians(axis::double)) - y * sin(radians(axis::double)) as v from p join h using (station_id))
+    select station_id, round(max(u) - min(u), 5) as length, round(max(v) - min(v), 5) as breadth from t group by station_id""")
+def hub_extents(spark, sf_dir):
+    axes = hub_axes(spark, sf_dir).select("station_id", F.col("heavy").alias("axis"))
+    points = A.legs(spark, sf_dir).select("station_id", (F.col("line_id") % 97).alias("x"), (F.col("pos") * 3).alias("y"))
+    return T.hub_extents(points, axes).select("station_id", F.round("length", 5).alias("length"), F.round("breadth", 5).alias("breadth"))
+
+
+@query(f"""{SEGMENTS_SQL}, r as (select id as ray, x as ax, y as ay, x + id % 83 - 41 as zx, y + id % 61 - 30 as zy from p),
+    q as (select ray, seg, r.zx - r.ax as dx, r.zy - r.ay as dy, s.ax - r.ax as qx, s.ay - r.ay as qy, s.zx - s.ax as ex, s.zy - s.ay as ey from r join s on abs(r.ax - s.ax) < 80 and abs(r.ay - s.ay) < 80),
+    d as (select *, dx * ey - dy * ex as det from q), t as (select ray, seg, (qx * ey - qy * ex) / cast(det as double) as t, (qx * dy - qy * dx) / cast(det as double) as u from d where det <> 0)
+    select ray, round(min(t), 6) as t from t where t > 0 and t <= 1 and u between 0 and 1 group by ray""")
+def first_crossings(spark, sf_dir):
+    p = A.points(spark, sf_dir)
+    rays = p.select(F.col("id").alias("ray"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("id") % 83 - 41).alias("bx"), (F.col("y") + F.col("id") % 61 - 30).alias("by"))
+    return spatial.first_on_rays(rays, _segments(spark, sf_dir).drop("family"), 40).select("ray", F.round("t", 6).alias("t"))
+
+
+@query(f"with p as ({A.POINTS_SQL}) select min(id) as id, x // 30 as x, y // 30 as y from p group by x // 30, y // 30")
+def drawn_dots(spark, sf_dir):
+    dots = A.points(spark, sf_dir).select("id", (F.floor(F.col("x") / 30) / F.lit(10.0)).alias("x"), (F.floor(F.col("y") / 30) / F.lit(10.0)).alias("y"))
+    return T.once_at_each_place(dots).select("id", F.rint(F.col("x") * 10).cast("long").alias("x"), F.rint(F.col("y") * 10).cast("long").alias("y"))
+
+
+@query(f"""with g as (select line_id as a, line_id * 7 % 1500 + 1 as b, grp as fa from ({A.GROUPS_SQL})), n as (select fa, rank() over (order by count(*) desc, fa) as rank from g group by fa)
+    select a, b, rank, layer, kind from g join n using (fa), (values (cast(0 as bigint), 'white'), (1, 'colour')) v(layer, kind)""")
+def casing_layers(spark, sf_dir):
+    g = A.groups(spark, sf_dir).select(F.col("line_id").alias("a"), (F.col("line_id") * 7 % 1500 + 1).alias("b"), F.col("grp").alias("fa"))
+    return T.casing_layers(g).select("a", "b", *big("rank", "layer"), "kind")
+
+
+@query(f"""with l as ({LEGS}), s as (select line_id, pos, turn, len, sum(len) over (partition by line_id order by pos) as s from l), b as (select *, sign(turn) as sense from s where abs(turn) >= 2 * len),
+    n as (select *, case when coalesce(sense <> lag(sense) over w or s - lag(s) over w > 40, true) then 1 else 0 end as new from b window w as (partition by line_id order by pos)),
+    r as (select *, sum(new) over (partition by line_id order by pos) as run from n)
+    select line_id, cast(run as bigint) as run, cast(min(s) as bigint) as start, cast(max(s) as bigint) as stop, cast(sum(turn) as bigint) as turn from r group by line_id, run having abs(sum(turn)) >= 45""")
+def curve_runs(spark, sf_dir):
+    l = A.legs(spark, sf_dir).withColumn("s", F.sum("len").over(sequences.so_far()))  # noqa: E741
+    points = l.where("turn <> 0").select("line_id", "pos", "s", F.col("turn").alias("bend"), F.col("len").alias("reach"))
+    return sequences.curve_runs(points, 2.0, 45.0, 40.0).select("line_id", *big("run", "start", "stop", "turn"))
+
+
+@query(f"""{STEPS_SQL} select line_id, len(steps) + 3 as n, list_min(steps) as low, list_contains(list_transform(range(1, len(steps)), lambda i: steps[i] % 50 = 7 and steps[i + 1] % 2 = 1), true) as has from s""")
+def extended_lines(spark, sf_dir):
+    lines = sequences.steps_array(A.legs(spark, sf_dir))
+    at = F.filter(F.when(F.size("steps") > 1, F.sequence(F.lit(1), F.size("steps") - 1)).otherwise(F.array().cast("array<int>")), lambda i: (F.get("steps", i - 1) % 50 == 7) & (F.get("steps", i) % 2 == 1))
+    pattern = F.when(F.size(at) > 0, F.slice("steps", F.get(at, 0), 2)).otherwise(F.array(F.lit(-9).cast("long")))
+    found = lines.withColumn("pattern", pattern).withColumn("has", sequences.contains("steps", F.col("pattern"))).withColumn("low", F.array_min("steps"))
+    one = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
+    return sequences.extended(found, one(-1), one(-2, -3)).select("line_id", F.size("steps").cast("long").alias("n"), "low", "has")

@@ -22,6 +22,14 @@ def cache_key(query: str) -> str:
     return hashlib.sha1(query.encode()).hexdigest()[:12]
 
 
+def build_query(selectors: list[str], box: tuple[float, float, float, float], tags: bool, timeout: int = 300, maxsize: int = 0) -> str:
+    """The text of a query for (south, west, north, east). The box stands at each selector: a global one would cut
+    geometries off. Without tags only shapes are asked for. maxsize: bytes that the server may use, its default if 0."""
+    where = "(" + ",".join(f"{v:.5f}" for v in box) + ");"
+    head = f"[out:json][timeout:{timeout}]" + (f"[maxsize:{maxsize}]" if maxsize else "") + ";"
+    return "\n".join([head, "(", *(f"  {s}{where}" for s in selectors), ");", "out geom qt;" if tags else "out skel geom qt;"])
+
+
 def read_elements(spark: SparkSession, path: str) -> DataFrame:
     """source, elem_pos and each element's fields. An answer with a remark and no elements is an error."""
     docs = spark.read.schema(OSM).json(path, multiLine=True).withColumn("source", F.input_file_name())

@@ -151,3 +151,38 @@ def test_routes_with_entry_and_exit_costs(spark):
     dst = spark.createDataFrame([("r", 2, 0.0), ("s", 3, 0.0), ("s", 2, 9.0), ("t", 9, 0.0)], "route string, node long, cost double")
     got = {r.route: (r.cost, r.path) for r in graph.routes(edges, src, dst).collect()}
     assert got == {"r": (2.0, [0, 1, 2]), "s": (6.5, [1, 2, 3])}
+
+
+def test_hints_markers_and_areas(spark):
+    from linework.operators import tracks
+
+    arr = lambda *x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
+    holds = lambda along, apart, at: one(spark, tracks.hint_holds(arr("S1", "S2"), arr(*along), arr(*apart), arr("a", "b"), arr(*at)))
+    assert holds((), (), ()) and holds(("S1",), (), ("b",)) and not holds(("S3",), (), ()) and not holds((), ("S2",), ()) and not holds((), (), ("c",))
+    under = lambda x, y, angle: one(spark, G.under_marker(*[F.lit(float(v)) for v in (x, y, 0, 0, angle, 3, 1, 1)]))
+    assert under(4, 0, 0) and not under(0, 4, 0) and under(0, 4, 90) and not under(3.9, 1.9, 0) and under(0, 0, 45)
+    assert [one(spark, G.drawn_area(F.lit(1.0), F.lit(n), 2.0)) for n in (1, 2)] == [False, True]
+
+
+def test_map_query_text():
+    text = osm.build_query(['way["a"="b"]', "node"], (1.0, 2.0, 3.0, 4.123456), tags=False, maxsize=5)
+    assert text == '[out:json][timeout:300][maxsize:5];\n(\n  way["a"="b"](1.00000,2.00000,3.00000,4.12346);\n  node(1.00000,2.00000,3.00000,4.12346);\n);\nout skel geom qt;'
+    assert "[maxsize" not in osm.build_query(["node"], (1, 2, 3, 4), tags=True)
+
+
+def test_drawings_are_written(spark, tmp_path):
+    from linework.sources import drawings
+
+    elements = spark.createDataFrame([(1, 2, 1, "<b/>"), (1, 1, 5, "<a/>"), (2, 1, 1, "<c/>")], "map_id long, level int, id long, text string")
+    drawings.write_documents(labels.documents(elements, 10, 20), f"{tmp_path}/maps")
+    read = spark.read.text(f"{tmp_path}/maps/map_id=1", wholetext=True).first().value
+    assert read.index("<a/>") < read.index("<b/>") and read.startswith("<svg") and read.rstrip().endswith("</svg>")
+
+
+def test_planned_and_empty_inputs(spark):
+    s = spark.createDataFrame([("a", "A", None, False)], "id string, name string, label string, planned boolean")
+    assert tuple(overlay.planned(s).first())[2:] == ("(A)", True)
+    none = spark.createDataFrame([], "id long, x double, y double")
+    nodes = none.select(F.col("id").alias("node"), "x", "y")
+    assert spatial.near(none, nodes, 1.0).count() == 0 and spatial.nearest(none, nodes, 1.0).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
