@@ -6,6 +6,8 @@ many networks, and many parts of one, are solved side by side. Tables are those
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -139,31 +141,32 @@ def length_variables(legs_: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     return by.drop("off")
 
 
-def solve_component(rows: pd.DataFrame, layout: Layout = LAYOUT) -> pd.DataFrame:
+def solve_component(rows: dict[str, np.ndarray], layout: Layout = LAYOUT) -> tuple[list[str], np.ndarray]:
     """Least squares of one component: coordinates near nothing, lengths near what they prefer, all equations kept.
 
-    rows: kind 'eq' (eq, var, coef, rhs) and 'var' (var, preferred, minimum, maximum, flex, ordinal). Bounds are added
-    one by one, the worst violated first, until all hold.
+    rows: columns of kind 'eq' (eq, var, coef, rhs) and 'var' (var, preferred, minimum, maximum, flex, ordinal). Bounds are
+    added one by one, the worst violated first, until all hold. Returns the unknowns' names and values.
     """
-    is_var = (rows["kind"] == "var").to_numpy()
-    lens = rows[is_var].sort_values("ordinal") if is_var.sum() > 1 else rows[is_var]
-    eq, var, coef, right_ = (rows[c].to_numpy()[~is_var] for c in ("eq", "var", "coef", "rhs"))
-    elastic = list(lens["var"])
-    coords = sorted(set(var.tolist()) - set(elastic))
+    is_var = rows["kind"] == "var"
+    order = np.flatnonzero(is_var)[np.argsort(rows["ordinal"][is_var].astype(str), kind="stable")]
+    lens = {c: rows[c][order] for c in ("preferred", "minimum", "maximum", "flex")}
+    elastic = rows["var"][order].tolist()
+    eq, var, coef, right_ = (rows[c][~is_var].tolist() for c in ("eq", "var", "coef", "rhs"))
+    coords = sorted(set(var) - set(elastic))
     names = [*coords, *elastic]
     place = {v: i for i, v in enumerate(names)}
-    number = {e: i for i, e in enumerate(sorted(set(eq.tolist())))}
+    number = {e: i for i, e in enumerate(sorted(set(eq)))}
     a, b = np.zeros((len(number), len(names))), np.zeros(len(number))
-    for e, v, c, r in zip(eq.tolist(), var.tolist(), coef.tolist(), right_.tolist(), strict=True):
+    for e, v, c, r in zip(eq, var, coef, right_, strict=True):
         a[number[e], place[v]] += c
         b[number[e]] = r
-    weight = np.concatenate((np.full(len(coords), layout.regularisation), 1 / lens["flex"].to_numpy(float) ** 2))
-    target = np.concatenate((np.zeros(len(coords)), lens["preferred"].to_numpy(float)))
-    low = np.concatenate((np.full(len(coords), -np.inf), lens["minimum"].to_numpy(float)))
-    high = np.concatenate((np.full(len(coords), np.inf), lens["maximum"].to_numpy(float)))
+    weight = np.concatenate((np.full(len(coords), layout.regularisation), 1 / lens["flex"].astype(float) ** 2))
+    target = np.concatenate((np.zeros(len(coords)), lens["preferred"].astype(float)))
+    low = np.concatenate((np.full(len(coords), -np.inf), lens["minimum"].astype(float)))
+    high = np.concatenate((np.full(len(coords), np.inf), lens["maximum"].astype(float)))
     pinned: dict[int, float] = {}
     n = len(names)
-    for _ in range(len(lens) + 1):
+    for _ in range(len(elastic) + 1):
         fixed = np.zeros((len(pinned), n))
         fixed[np.arange(len(pinned)), list(pinned)] = 1
         full, right = np.vstack((a, fixed)), np.concatenate((b, list(pinned.values())))
@@ -176,7 +179,7 @@ def solve_component(rows: pd.DataFrame, layout: Layout = LAYOUT) -> pd.DataFrame
         over[list(pinned)] = -np.inf
         worst = int(np.argmax(over)) if n else 0
         if not n or over[worst] <= layout.bound_slack:
-            return pd.DataFrame({"var": names, "value": z})
+            return names, z
         pinned[worst] = low[worst] if low[worst] > z[worst] else high[worst]
     raise GeometryError("length bounds don't settle")
 
@@ -217,11 +220,34 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
     order = F.format_string("%09d.%09d.%09d", F.col("ordinal.line_pos").cast("long"), F.col("ordinal.seg").cast("long"), F.col("ordinal.leg").cast("long"))
     var_rows = variables.join(where, KEY).select("net_id", "component", F.lit("var").alias("kind"), F.lit(None).cast("string").alias("eq"), "var", none.alias("coef"), none.alias("rhs"), "preferred", "minimum", "maximum", "flex", order.alias("ordinal"))
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        out = solve_component(rows, layout)
-        return out.assign(net_id=key[0], component=key[1])[["net_id", "component", "var", "value"]]
-
-    return eq_rows.unionByName(var_rows).groupBy("net_id", "component").applyInPandas(run, "net_id string, component string, var string, value double")
+    def solved(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if not len(frame):
+            return
+        columns = {c: frame[c].to_numpy() for c in frame.columns}
+        net, part = columns["net_id"], columns["component"]
+        new = np.flatnonzero((net[1:] != net[:-1]) | (part[1:] != part[:-1])) + 1
+        out: dict[str, list] = {"net_id": [], "component": [], "var": [], "value": []}
+        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(frame)], strict=True):
+            names, values = solve_component({c: x[lo:hi] for c, x in columns.items()}, layout)
+            out["net_id"] += [net[lo]] * len(names)
+            out["component"] += [part[lo]] * len(names)
+            out["var"] += names
+            out["value"] += values.tolist()
+        yield pd.DataFrame(out)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:  # a component may reach over the end of a batch
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = ((frame["net_id"] == frame["net_id"].iloc[-1]) & (frame["component"] == frame["component"].iloc[-1])).to_numpy()
+            held = frame[last]
+            yield from solved(frame[~last])
+        if held is not None:
+            yield from solved(held)
+
+    # many small components in a task, each whole and its rows together
+    ordered = eq_rows.unionByName(var_rows).repartition("net_id", "component").sortWithinPartitions("net_id", "component")
+    return ordered.mapInPandas(run, "net_id string, component string, var string, value double")
 
 
 def residuals(terms: DataFrame, solution: DataFrame) -> DataFrame:
@@ -237,6 +263,7 @@ def coordinates(solution: DataFrame) -> DataFrame:
 
 def layout(stations: DataFrame, lines: DataFrame, steps: DataFrame, config: Layout = LAYOUT) -> dict[str, DataFrame]:
     """All phases: legs, segments, shared, bearings, solution, coordinates."""
+    stations, lines, steps = (graph.kept(t) for t in (stations, lines, steps))  # the rules read them again and again
     check_definitions(stations, lines, steps)
     own = graph.kept(legs(lines, steps, config))
     parts = graph.kept(segments(own))
