@@ -9,8 +9,8 @@ from windows that follow each other in both texts.
 The benchmark is the stated query set: it is measured first, and searched in blocks of at most BLOCK_BYTES of text,
 each sent to all shards. Nothing is shuffled but the short rows of documents when there are several such blocks.
 
-Nulls: null text has no words. An item without words has no window. Items that repeat an id count once; a null
-item_id takes no part. Repeated documents give repeated rows. Empty tables give an empty result or no hits. Other
+Nulls: null text has no words. An item without words has no window. Rows that repeat an item_id are texts of one item; a
+null item_id takes no part. Repeated documents give repeated rows. Empty tables give an empty result or no hits. Other
 columns are ignored by `hits` and kept by `clean`.
 """
 
@@ -43,21 +43,23 @@ class Queries:
     """The benchmark's windows over its own vocabulary; word number 0 is any other word."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = 13):
-        self.window, self.ids = window, []
+        self.window = window
         self.number: dict[bytes, int] = {}
-        rows, owner, place, length = [], [], [], []
-        for name, text in items:
+        index: dict[str, int] = {}
+        rows, owner, source, place, length = [], [], [], [], []
+        for n, (name, text) in enumerate(items):
             w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
             if not w:
                 continue
             k = min(window, len(w))
             for at in range(len(w) - k + 1):
                 rows.append(w[at : at + k] + [0] * (window - k))
-                owner.append(len(self.ids))
+                owner.append(index.setdefault(name, len(index)))
+                source.append(n)
                 place.append(at)
                 length.append(k)
-            self.ids.append(name)
-        self.owner, self.place, self.length = (np.array(x, np.int64) for x in (owner, place, length))
+        self.ids = list(index)
+        self.owner, self.source, self.place, self.length = (np.array(x, np.int64) for x in (owner, source, place, length))
         table = np.array(rows, np.int64).reshape(-1, window)
         self.low = _keys(table)
         spare = np.arange(window)[None, :] >= self.length[:, None]
@@ -116,8 +118,9 @@ def _block(table: pa.Table, asked: Queries) -> dict[str, list]:
             items[d].append(asked.ids[o])
         # windows that follow each other in the document and in the item are one longer match
         shift = place - asked.place[window]
-        order = np.lexsort((place, shift, owner))
-        p, s, o = place[order], shift[order], owner[order]
+        source = asked.source[window]
+        order = np.lexsort((place, shift, source))
+        p, s, o = place[order], shift[order], source[order]
         new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
         head = np.flatnonzero(new)
         tail = np.concatenate((head[1:], [len(p)])) - 1
@@ -137,7 +140,7 @@ RESULT = "n_words long, n_hit long, items array<string>, hit_spans array<string>
 
 def _queries(benchmark: DataFrame, window: int) -> tuple[int, Callable[[int], Queries]]:
     """The number of blocks of items of about BLOCK_BYTES (a longer item is a block of its own), and how to get one."""
-    items = benchmark.where("item_id is not null").groupBy(F.col("item_id").cast("string").alias("item_id")).agg(F.min(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1
 

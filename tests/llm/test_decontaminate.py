@@ -65,6 +65,14 @@ def test_longest_match_and_place(spark, docs):
     assert (by[2].longest, by[2].longest_at, by[2].n_hit) == (0, -1, 0)
 
 
+def test_texts_of_one_item(spark, docs):
+    a, b = (" ".join(f"{c}{i}" for i in range(20)) for c in "ab")
+    bench = spark.createDataFrame([(5, a), (5, b), (5, a), (None, "x " * 20)], "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.hits(docs([(1, a), (2, b), (3, a + " " + b), (4, "x " * 20)]), bench).collect()}
+    assert [got[i]["items"] for i in (1, 2, 3, 4)] == [["5"], ["5"], ["5"], []]
+    assert [(got[i].n_hit, got[i].longest) for i in (1, 2, 3, 4)] == [(20, 20), (20, 20), (40, 20), (0, 0)]
+
+
 def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.hits(docs([]), none).count() == 0
