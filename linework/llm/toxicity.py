@@ -1,8 +1,8 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents are bags.
 
 A sentence scores p = sigmoid(bias + sum of the weights of its features); features are its words and their leading
-3 to 6 bytes. A document's score is the noisy-or 1 - prod(1 - p) over its sentences. Only document labels are
-known: the weights are trained on the noisy-or's likelihood, and then locate the sentences that caused the score.
+3 to 6 bytes. A sentence without any learned feature scores 0, so that length alone makes no document toxic. A
+document's score is the noisy-or 1 - prod(1 - p) over its sentences. Only document labels are known: the weights are trained on the noisy-or's likelihood, and then locate the sentences that caused the score.
 
 Training uses at most MOST_TRAIN labelled documents, those with the smallest hash of the id (a documented bound);
 their features are counted on the executors, and only sparse numbers of selected features (at most MOST_FEATURES)
@@ -31,7 +31,7 @@ MOST_TRAIN = 20_000
 MOST_FEATURES = 5_000
 #: A feature is used if it occurs in so many documents and its log odds are so many standard errors from 0.
 LEAST_DOCS, LEAST_Z = 8, 3.5
-#: No sentence without any feature may score above this, whatever the labels' noise.
+#: The bias of sentences, whatever the labels' noise.
 MOST_BIAS = -10.0
 SENTENCE = re.compile(rb"[^.!?\n]+")
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -45,32 +45,29 @@ def features(word: bytes) -> set[bytes]:
 class Model:
     bias: float
     weights: dict[bytes, float]
-    known: dict[bytes, float] = field(default_factory=dict)
+    known: dict[bytes, float | None] = field(default_factory=dict)
 
-    def word(self, w: bytes) -> float:
-        """The sum of a word's weights; remembered, for words repeat."""
+    def word(self, w: bytes) -> float | None:
+        """The sum of a word's weights, None without any; remembered, for words repeat."""
         if len(self.known) > 500_000:
             self.known.clear()
-        x = self.known[w] = sum(self.weights.get(f, 0.0) for f in features(w))
+        own = [self.weights[f] for f in sorted(features(w)) if f in self.weights]
+        x = self.known[w] = sum(own) if own else None
         return x
 
     def sentences(self, text: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
-        """Each sentence's probability, and its bytes' start and end."""
+        """The probability of each sentence with features, and its bytes' start and end."""
         z, spans, known = [], [], self.known
         for m in SENTENCE.finditer(text):
-            own = set(m[0].translate(WORDS).split())
+            own = [x for w in set(m[0].translate(WORDS).split()) if (x := known[w] if w in known else self.word(w)) is not None]
             if own:
-                total = self.bias
-                for w in own:
-                    x = known.get(w)
-                    total += self.word(w) if x is None else x
-                z.append(total)
+                z.append(self.bias + sum(own))
                 spans.append(m.span())
         return 1 / (1 + np.exp(-np.clip(np.array(z, np.float64), -30, 30))), spans
 
     def score(self, text: bytes) -> tuple[float, list[tuple[int, int, float]]]:
         p, spans = self.sentences(text)
-        total = float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()))
+        total = abs(float(np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
         return total, [(*spans[i], float(p[i])) for i in np.flatnonzero(p >= 0.5)]
 
 
@@ -102,29 +99,26 @@ def _counts(sample: DataFrame) -> DataFrame:
 
 
 def _bags(sample: DataFrame, number: dict[bytes, int]) -> DataFrame:
-    """One row per document: its label, and its sentences' feature numbers laid end to end; featureless ones are counted."""
+    """One row per document: its label, and its sentences' feature numbers laid end to end; featureless ones are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            plain, sizes, flat = [], [], []
+            sizes, flat = [], []
             for t in raw(b.column(b.schema.get_field_index("text"))):
-                empty, size, ids = 0, [], []
+                size, ids = [], []
                 for m in SENTENCE.findall(t):
                     own = [number[f] for w in set(m.translate(WORDS).split()) for f in features(w) if f in number]
                     if own:
                         size.append(len(own))
                         ids += own
-                    else:
-                        empty += 1
-                plain.append(empty)
                 sizes.append(size)
                 flat.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")), pa.array(plain, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.int32()))], names=["toxic", "plain", "sizes", "flat"])
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")), pa.array(sizes, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.int32()))], names=["toxic", "sizes", "flat"])
 
-    return sample.mapInArrow(run, "toxic int, plain long, sizes array<int>, flat array<int>")
+    return sample.mapInArrow(run, "toxic int, sizes array<int>, flat array<int>")
 
 
-def fit_bags(labels: np.ndarray, plain: np.ndarray, sizes: list[list[int]], flat: list[list[int]], n: int, rounds: int = 500, decay: float = 1e-6) -> tuple[float, np.ndarray]:
+def fit_bags(labels: np.ndarray, sizes: list[list[int]], flat: list[list[int]], n: int, rounds: int = 500, decay: float = 1e-6) -> tuple[float, np.ndarray]:
     """Full-batch Adam on the noisy-or likelihood. Returns bias and weights."""
     size = np.array([x for s in sizes for x in s], np.int64)
     feature = np.array([x for f in flat for x in f], np.int64)
@@ -133,11 +127,10 @@ def fit_bags(labels: np.ndarray, plain: np.ndarray, sizes: list[list[int]], flat
     y = labels.astype(np.float64)
     w, bias = np.full(n, 1.0), MOST_BIAS
     m, v = np.zeros(n), np.zeros(n)
-    low = np.log1p(-1 / (1 + np.exp(-bias))) * plain
     for step in range(1, rounds + 1):
         z = bias + 4 + np.bincount(sent, w[feature], len(size))  # a sentence with features starts less unlikely
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        q = np.exp(low + np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
+        q = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
         pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)
         grad = np.bincount(feature, (pull[doc] * p)[sent], n) / len(labels) + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad * grad
@@ -159,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most: int = MOST_TRAI
         chosen = sorted(bytes(r["feature"]) for r in kept.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect())
         number = {f: i for i, f in enumerate(chosen)}
         rows = _bags(sample, number).collect()
-        rows.sort(key=lambda r: (r["toxic"], r["plain"], r["sizes"], r["flat"]))  # the same sums whatever the order of partitions
-        bias, w = fit_bags(np.array([bool(r["toxic"]) for r in rows]), np.array([r["plain"] for r in rows], np.float64), [r["sizes"] for r in rows], [r["flat"] for r in rows], len(number))
+        rows.sort(key=lambda r: (r["toxic"], r["sizes"], r["flat"]))  # the same sums whatever the order of partitions
+        bias, w = fit_bags(np.array([bool(r["toxic"]) for r in rows]), [r["sizes"] for r in rows], [r["flat"] for r in rows], len(number))
     finally:
         sample.unpersist()
     return Model(bias, {f: float(w[i]) for f, i in number.items()})

@@ -48,3 +48,14 @@ def test_same_model_whatever_the_partitions(spark, docs):
     a = {r.doc_id: r.score for r in toxicity.scores(docs(rows), marks).collect()}
     b = {r.doc_id: r.score for r in toxicity.scores(docs(rows[::-1]).repartition(7), marks).collect()}
     assert a == b
+
+
+def test_length_alone_is_not_toxic(spark, docs):
+    rows, labels = corpus()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    clean = "new words here. so it goes\n" * 25_000  # 50,000 sentences without a learned feature
+    table = docs([*rows, (5000, clean), (5001, clean + "you zorg")])
+    got = {r.doc_id: r for r in toxicity.scores(table, marks).where("doc_id >= 5000").collect()}
+    assert got[5000].score == 0 and not got[5000].sentences
+    assert got[5001].score >= 0.5 and len(got[5001].sentences) == 1
+    assert {r.doc_id for r in toxicity.accepted(table, marks).where("doc_id >= 5000").collect()} == {5000}
