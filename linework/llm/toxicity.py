@@ -31,7 +31,7 @@ MOST_TRAIN = 20_000
 MOST_FEATURES = 5_000
 #: A feature is used if it occurs in so many documents and its log odds are so many standard errors from 0.
 LEAST_DOCS, LEAST_Z = 8, 3.5
-#: The bias of sentences, whatever the labels' noise.
+#: The bias of sentences, whatever the labels' noise; those with features start less unlikely, in training and in scoring.
 MOST_BIAS = -10.0
 SENTENCE = re.compile(rb"[^.!?\n]+")
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -125,10 +125,10 @@ def fit_bags(labels: np.ndarray, sizes: list[list[int]], flat: list[list[int]],
     doc = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])
     sent = np.repeat(np.arange(len(size)), size)
     y = labels.astype(np.float64)
-    w, bias = np.full(n, 1.0), MOST_BIAS
+    w, bias = np.full(n, 1.0), MOST_BIAS + 4
     m, v = np.zeros(n), np.zeros(n)
     for step in range(1, rounds + 1):
-        z = bias + 4 + np.bincount(sent, w[feature], len(size))  # a sentence with features starts less unlikely
+        z = bias + np.bincount(sent, w[feature], len(size))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         q = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
         pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)

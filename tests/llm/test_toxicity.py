@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from linework.llm import toxicity
@@ -59,3 +60,10 @@ def test_length_alone_is_not_toxic(spark, docs):
     assert got[5000].score == 0 and not got[5000].sentences
     assert got[5001].score >= 0.5 and len(got[5001].sentences) == 1
     assert {r.doc_id for r in toxicity.accepted(table, marks).where("doc_id >= 5000").collect()} == {5000}
+
+
+def test_scores_are_the_fitted_probabilities():
+    toxic = np.arange(200) % 10 < 7  # seven of ten documents with the word are toxic
+    bias, w = toxicity.fit_bags(toxic, [[1]] * 200, [[0]] * 200, 1)
+    score, spans = toxicity.Model(bias, {b"zorg": float(w[0])}).score(b"Zorg. Other words.")
+    assert abs(score - 0.7) < 0.02 and [s[:2] for s in spans] == [(0, 4)]
