@@ -3,7 +3,9 @@
 The standard library's parser is fed in chunks; its events are cut into lines at block elements. Each line has a
 ratio of text length to tags, the ratios are smoothed with a Gaussian, and lines over the threshold form clusters.
 Structure corrects what ratios can't see: lines in navigation, headers, footers, asides, forms, scripts, hidden or
-advertising elements are never text, and if clusters lie in an article or main element, the whole of that element
+advertising elements are never text. A class, id or role is a sign of those if a whole token of it is one or is a
+compound of signs and plain qualifiers (site-footer, but not has-sidebar); an element with a sign is text all the same
+if it holds the article or most of the page's text. And if clusters lie in an article or main element, the whole of that element
 is the region (so that its short lines stay). Otherwise it is the innermost container with four fifths of the clusters'
 text, or what lies between the first and the last cluster, without lines of mostly links.
 
@@ -30,6 +32,13 @@ SIGNS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar nav navbar navigation menu breadcrumb breadcrumbs footer header cookie cookies consent notice notices"
     " popup modal overlay newsletter subscribe share sharing social related recommended comment comments disqus reply replies respond login search pagination pager widget toolbar complementary contentinfo hidden alert".split()
 )
+#: Words that may stand beside a sign in a compound without changing what it says.
+PLAIN = frozenset("site page main top bottom left right primary secondary global sticky fixed mobile desktop list box bar block container wrapper wrap area section inner outer unit slot buttons button links link form posts items".split())
+KNOWN = SIGNS | PLAIN
+#: Signs that say nothing of a part of an article.
+WITHIN = frozenset("header notice notices alert".split())
+#: Signs of what may well be longer than the article.
+TALK = frozenset("comment comments disqus reply replies respond".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -40,12 +49,17 @@ WIDTH = 1.0
 
 
 class Lines(HTMLParser):
-    """lines: (text, tags, characters in links, region or -1, whether it can be text, numbers of the open containers)."""
+    """lines: (text, tags, characters in links, region or -1, whether it can be text, numbers of the open containers).
+
+    marks: the signs of each marked element; held: each line's open marks and how many of them stand around its innermost article.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int, bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, int, int]] = []  # element, in boilerplate, region, number of a container
+        self.open: list[tuple[str, bool, int, int, int]] = []  # element, in boilerplate, region, number of a container, of a mark or -1
+        self.marks: list[set[str]] = []
+        self.held: list[tuple[tuple[int, ...], int]] = []
         self.regions, self.text, self.tags, self.linked, self.containers = 0, [], 0, 0, 0
 
     def state(self) -> tuple[bool, int]:
@@ -57,12 +71,14 @@ class Lines(HTMLParser):
             if text:
                 bad, region = self.state()
                 self.lines.append((text, self.tags, self.linked, region, not bad, tuple(x[3] for x in self.open if x[3])))
+                article = max((i for i, x in enumerate(self.open) if x[0] in REGIONS), default=-1)
+                self.held.append((tuple(x[4] for x in self.open if x[4] >= 0), sum(x[4] >= 0 for x in self.open[:article]) if article >= 0 else -1))
                 self.tags = 0
         self.text, self.linked = [], 0
 
     def cut(self, depth: int) -> None:
         """Closes all elements from depth on; the line ends if one of them is a block."""
-        if any(x[0] in BLOCKS or x[1] for x in self.open[depth:]):
+        if any(x[0] in BLOCKS or x[1] or x[4] >= 0 for x in self.open[depth:]):
             self.end_line()
         del self.open[depth:]
 
@@ -84,6 +100,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         bad, region = self.state()
+        mark = -1
         if tag in REGIONS or tag == "footer":  # an element of navigation that was never closed ends here
             for i, x in enumerate(self.open):
                 if x[0] in ("nav", "aside", "header", "form", "menu", "head") and x[2] == -1:
@@ -95,19 +112,32 @@ class Lines(HTMLParser):
         elif tag in NEVER or (tag == "header" and region == -1):
             bad = True
         elif not bad and tag not in ("html", "article", "main"):
-            bad = self.marked(attrs)
+            bad = self.hidden(attrs)
+            if not bad and (signs := self.signs(attrs)) and (region == -1 or signs - WITHIN):
+                mark = len(self.marks)
+                self.marks.append(signs)
         if tag in REGIONS and not bad and region == -1:
             region, self.regions = self.regions, self.regions + 1
-        if bad and not self.state()[0]:
+        if mark >= 0 or (bad and not self.state()[0]):
             self.end_line()
         self.containers += tag in CONTAINERS
-        self.open.append((tag, bad, region, self.containers if tag in CONTAINERS else 0))
+        self.open.append((tag, bad, region, self.containers if tag in CONTAINERS else 0, mark))
 
     @staticmethod
-    def marked(attrs: list[tuple[str, str | None]]) -> bool:
+    def signs(attrs: list[tuple[str, str | None]]) -> set[str]:
+        """The signs of an element: whole tokens, or compounds of nothing but signs, qualifiers and numbers."""
+        found: set[str] = set()
+        for key, value in attrs:
+            if key in ("class", "id", "role") and value:
+                for token in value.lower().split():
+                    parts = set(re.split(r"[^a-z]+", token)) - {""}
+                    if parts <= KNOWN:
+                        found |= parts & SIGNS
+        return found
+
+    @staticmethod
+    def hidden(attrs: list[tuple[str, str | None]]) -> bool:
         for key, value in attrs:
-            if key in ("class", "id", "role") and value and not SIGNS.isdisjoint(re.split(r"[^a-z]+", value.lower())):
-                return True
             if key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and value and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value.lower())):
                 return True
         return False
@@ -137,7 +167,20 @@ class Lines(HTMLParser):
     def finish(self) -> list[tuple[str, int, int, int, bool, tuple[int, ...]]]:
         self.close()
         self.end_line()
-        return self.lines
+        return self.judged()
+
+    def judged(self) -> list[tuple[str, int, int, int, bool, tuple[int, ...]]]:
+        """The lines, without those in marked elements that neither hold the article nor most of the page's text."""
+        size = [len(x[0]) if x[4] else 0 for x in self.lines]
+        clear, total = sum(n for n, (marks, _) in zip(size, self.held, strict=True) if not marks), sum(size)
+        beside = sum(n for n, (marks, at) in zip(size, self.held, strict=True) if not marks and at >= 0)  # text in unmarked articles
+        own, inside = [0] * len(self.marks), [0] * len(self.marks)
+        for n, (marks, at) in zip(size, self.held, strict=True):
+            for k, m in enumerate(marks):
+                own[m] += n
+                inside[m] += n if k < at else 0
+        lifted = [bool(n) and (not clear if signs & TALK else 2 * n > total or (a > 0 and a >= beside)) for signs, n, a in zip(self.marks, own, inside, strict=True)]
+        return [(*x[:4], x[4] and all(lifted[m] for m in marks), x[5]) for x, (marks, _) in zip(self.lines, self.held, strict=True)]
 
 
 def smoothed(ratios: np.ndarray, width: float = WIDTH) -> np.ndarray:

@@ -55,3 +55,20 @@ def test_spark(spark):
     assert all(r.n_chars == len(r.text) for r in got)
     assert sum(r.text == main_text(PAGE) for r in got) == 2
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_wrappers_with_signs():
+    long = "This is a sentence of the main text that goes on for a while. " * 5
+    for attrs in ('class="layout has-sidebar"', 'id="page" class="nav-open"', 'class="search-results"', 'class="search"', 'class="header"', 'class="no-comments"'):
+        for tag in ("div", "section"):
+            for inner in ("article", "main", "div"):
+                page = f"<body><nav>menu</nav><{tag} {attrs}><{inner}><p>{long}</p><p>Short.</p><p>{long}</p></{inner}></{tag}><div class=footer>foot</div></body>"
+                assert main_text(page) == "\n".join([long.strip(), "Short.", long.strip()]), (tag, attrs, inner)
+
+
+def test_parts_of_an_article_with_signs():
+    long = "This is a sentence of the main text that goes on for a while. " * 5
+    page = f"""<article><div class="post-header"><h1>Head</h1></div><p>{long}</p><p class="notice">Mind this.</p><div class="related-work">Work.</div>
+        <div class="site-footer">foot</div><div id="share-buttons">Share</div><div class="sidebar left">side</div></article>
+        <div class="comments"><article>{long * 3}</article></div><div class="related"><article>Teaser</article></div>"""
+    assert main_text(page) == "\n".join(["Head", long.strip(), "Mind this.", "Work."])
