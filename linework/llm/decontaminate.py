@@ -179,8 +179,12 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     n, block = _queries(benchmark, window)
     if n == 1:
         return _searched(slim, block(0))
-    rows = written(slim.withColumn("doc_id", F.struct(F.monotonically_increasing_id().alias("rid"), "doc_id")).select("doc_id.rid", F.col("doc_id.doc_id").alias("doc_id"), "text"), "numbered")
-    ids = rows.select("rid", "doc_id")
+    rows = written(slim.withColumn("rid", F.monotonically_increasing_id()), "numbered")
+    return rows.select("rid", "doc_id").join(_merged(rows, n, block), "rid").drop("rid")
+
+
+def _merged(rows: DataFrame, n: int, block: Callable[[int], Queries]) -> DataFrame:
+    """rid and the result of all blocks of queries for written rows (rid, text)."""
     parts = None
     for i in range(n):  # one block of queries is held at a time
         part = written(_searched(rows.select(F.col("rid").alias("doc_id"), "text"), block(i)), "part")
@@ -192,8 +196,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     runs = F.expr("transform(at, (x, i) -> x - i)")
     merged = merged.select("doc_id", F.size("at").cast("long").alias("n_hit"), F.transform(F.array_distinct(runs), lambda r: F.concat_ws(":", F.element_at("at", F.array_position(runs, r).cast("int")), F.element_at("at", (F.size("at") - F.array_position(F.reverse(runs), r) + 1).cast("int")) + 1)).alias("hit_spans"))
     rest = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.max(F.struct("longest", (-F.col("longest_at")).alias("at"))).alias("best"))
-    out = rest.join(merged, "doc_id", "left").select(F.col("doc_id").alias("rid"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "items", F.coalesce("hit_spans", F.array().cast("array<string>")).alias("hit_spans"), F.col("best.longest").alias("longest"), (-F.col("best.at")).alias("longest_at"))
-    return ids.join(out, "rid").drop("rid")
+    return rest.join(merged, "doc_id", "left").select(F.col("doc_id").alias("rid"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "items", F.coalesce("hit_spans", F.array().cast("array<string>")).alias("hit_spans"), F.col("best.longest").alias("longest"), (-F.col("best.at")).alias("longest_at"))
 
 
 def contaminated(n_hit: int, n_words: int) -> bool:
@@ -205,8 +208,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     n, block = _queries(benchmark, window)
     if n == 1:
         return _searched(docs, block(0), keep_when=lambda h, n: not contaminated(h, n))
-    bad = hits(docs, benchmark, window).where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_id"]), "left_anti")
+    rid = "__linework_rid"  # ids may repeat or be null: each row is judged on its own text
+    rows = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    slim = rows.select(F.col(rid).alias("rid"), F.col("text").cast("string").alias("text"))
+    bad = _merged(slim, n, block).where("n_hit > 0 and 20 * n_hit >= n_words").select(F.col("rid").alias(rid))
+    return rows.join(bad, rid, "left_anti").select(docs.columns)
 
 
 def items_digest(items: Column) -> Column:

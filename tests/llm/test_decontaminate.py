@@ -78,3 +78,14 @@ def test_empty_tables(spark, docs):
     assert decontaminate.hits(docs([]), none).count() == 0
     assert decontaminate.hits(docs([(1, "a")]), none).first().n_hit == 0
     assert decontaminate.clean(docs([(1, "a")]), none).count() == 1
+
+
+def test_clean_judges_each_row(spark, docs, monkeypatch):
+    passage = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([(1, passage), (2, "other " * 20), (3, "more " * 20)], "item_id long, text string")
+    table = docs([(1, passage), (1, "clean one"), (None, passage), (None, "clean two"), (2, "clean three"), (2, "clean three")])
+    for size in (decontaminate.BLOCK_BYTES, 100):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        got = decontaminate.clean(table, bench)
+        assert got.columns == table.columns
+        assert sorted(r.text for r in got.collect()) == ["clean one", "clean three", "clean three", "clean two"]
