@@ -25,7 +25,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.llm.common import lookup, raw, written
@@ -55,15 +55,16 @@ def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     return int(on.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the unsigned fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 4, seed: int = 42, rid: str | None = None) -> DataFrame:
+    """(doc_id, fp), and rid if docs has row numbers of that name: fp is the unsigned fingerprint's bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, width, seed) for t in raw(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), *b.columns[2:]], names=["doc_id", "fp", *["rid"][: rid is not None]])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    more = [] if rid is None else [F.col(rid).alias("rid")]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).mapInArrow(run, "doc_id long, fp long" + ", rid long" * len(more))
 
 
 def _distance(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -208,20 +209,32 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle; raise most_rounds")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id, fp, component_id: one row per document row."""
-    rows = written(fingerprints(docs, width, seed), "fingerprints")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "nodes")
+def _heads(rows: DataFrame, first: Column, radius: int) -> tuple[DataFrame, DataFrame, dict]:
+    """(fp, n, label), the smallest `first` of each label as component_id, and the numbers of fingerprints and rows."""
+    nodes = written(rows.groupBy("fp").agg(F.min(first).alias("first_id"), F.count("*").alias("n")), "nodes")
     stat = nodes.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     found = components(links(nodes.select("fp"), stat["k"], radius))
     label = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("label", F.coalesce("label", "fp"))
     label = written(label, "labelled")
     heads = label.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("m"))
+    return label, heads, stat.asDict()
+
+
+def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id, fp, component_id: one row per document row."""
+    rows = written(fingerprints(docs, width, seed), "fingerprints")
+    label, heads, stat = _heads(rows, F.col("doc_id"), radius)
     named = lookup(label.select("fp", "n", "label"), heads, "label", "m", stat["k"]).select("fp", "n", "component_id")
     return lookup(rows, written(named, "named"), "fp", "n", stat["n"]).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
-    """The documents whose id is the smallest of their component, with all their columns."""
-    keep = near_duplicates(docs, width, radius).where("doc_id <=> component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
+    """One document of each component, the one with the smallest id, with all its columns.
+
+    Ids may repeat or be null (null ones come last), so the rows are numbered: one row stays, whatever the others' ids.
+    """
+    rid = "__linework_rid"
+    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    rows = written(fingerprints(numbered, width, rid=rid), "fingerprints")
+    _, heads, _ = _heads(rows, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "rid"), radius)
+    return numbered.join(heads.select(F.col("component_id.rid").alias(rid)), rid, "left_semi").select(docs.columns)

@@ -92,3 +92,14 @@ def test_more_bands_same_links(spark):
 
 def test_empty(docs):
     assert simhash.near_duplicates(docs([])).count() == 0
+
+
+def test_one_row_of_each_component(docs):
+    rng = random.Random(7)
+    near = [[" ".join(w), " ".join(w).upper(), " ".join(w).title()] for w in ([f"{c}{rng.randrange(500)}" for _ in range(60)] for c in "abcd")]
+    rows = [(None, t) for t in near[0]] + [(4, t) for t in near[1]] + [(3, near[2][0]), (5, near[2][1]), (5, near[3][0]), (None, near[3][1])]
+    table = docs(rows)
+    got = simhash.one_of_each(table)
+    assert got.columns == table.columns
+    got = sorted(((r.doc_id or 0), r.text.lower()) for r in got.collect())
+    assert got == sorted([(0, near[0][0]), (4, near[1][0]), (3, near[2][0]), (5, near[3][0])])
