@@ -9,8 +9,9 @@ from windows that follow each other in both texts.
 The benchmark is the stated query set: it is measured first, and searched in blocks of at most BLOCK_BYTES of text,
 each sent to all shards. Nothing is shuffled but the short rows of documents when there are several such blocks.
 
-Nulls: null text has no words. An item without words has no window. Rows that repeat an item_id are texts of one item; a
-null item_id takes no part. Repeated documents give repeated rows. Empty tables give an empty result or no hits. Other
+Nulls: null text has no words. An item without words has no window. Rows that repeat an item_id are texts of one item. Rows
+with a null item_id take no part in `hits` unless it is asked for them (`nameless`); then, as in op10's SQL and in `clean`,
+their words are hit like any other's, and `items` holds one null for them. Repeated documents give repeated rows. Empty tables give an empty result or no hits. Other
 columns are ignored by `hits` and kept by `clean`.
 """
 
@@ -42,10 +43,10 @@ def _keys(rows: np.ndarray) -> np.ndarray:
 class Queries:
     """The benchmark's windows over its own vocabulary; word number 0 is any other word."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int = 13):
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = 13):
         self.window = window
         self.number: dict[bytes, int] = {}
-        index: dict[str, int] = {}
+        index: dict[str | None, int] = {}
         rows, owner, source, place, length = [], [], [], [], []
         for n, (name, text) in enumerate(items):
             w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
@@ -138,15 +139,15 @@ def _block(table: pa.Table, asked: Queries) -> dict[str, list]:
 RESULT = "n_words long, n_hit long, items array<string>, hit_spans array<string>, longest long, longest_at long"
 
 
-def _queries(benchmark: DataFrame, window: int) -> tuple[int, Callable[[int], Queries]]:
+def _queries(benchmark: DataFrame, window: int, nameless: bool) -> tuple[int, Callable[[int], Queries]]:
     """The number of blocks of items of about BLOCK_BYTES (a longer item is a block of its own), and how to get one."""
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
+    items = (benchmark if nameless else benchmark.where("item_id is not null")).select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1
 
     def block(i: int) -> Queries:
-        some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).collect()
-        return Queries(sorted((r["item_id"], r["text"].encode()) for r in some), window)
+        some = items.where(F.pmod(F.xxhash64("item_id", F.when(F.col("item_id").isNull(), F.col("text"))), F.lit(n)) == i).collect()
+        return Queries(sorted(((r["item_id"], r["text"].encode()) for r in some), key=lambda x: (x[0] is not None, x[0] or "", x[1])), window)
 
     return n, block
 
@@ -173,10 +174,10 @@ def _searched(docs: DataFrame, asked: Queries, keep_when=None, block_bytes: int
     return docs.mapInArrow(run, f"doc_id long, {RESULT}")
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, nameless: bool = False) -> DataFrame:
     """Per document: n_words, n_hit, items, word spans that are hit, the longest verbatim match and its place."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n, block = _queries(benchmark, window)
+    n, block = _queries(benchmark, window, nameless)
     if n == 1:
         return _searched(slim, block(0))
     rows = written(slim.withColumn("rid", F.monotonically_increasing_id()), "numbered")
@@ -195,7 +196,7 @@ def _merged(rows: DataFrame, n: int, block: Callable[[int], Queries]) -> DataFra
     # consecutive words share the difference of value and rank
     runs = F.expr("transform(at, (x, i) -> x - i)")
     merged = merged.select("doc_id", F.size("at").cast("long").alias("n_hit"), F.transform(F.array_distinct(runs), lambda r: F.concat_ws(":", F.element_at("at", F.array_position(runs, r).cast("int")), F.element_at("at", (F.size("at") - F.array_position(F.reverse(runs), r) + 1).cast("int")) + 1)).alias("hit_spans"))
-    rest = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("items")).alias("items"), F.max(F.struct("longest", (-F.col("longest_at")).alias("at"))).alias("best"))
+    rest = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max(F.struct("longest", (-F.col("longest_at")).alias("at"))).alias("best"))
     return rest.join(merged, "doc_id", "left").select(F.col("doc_id").alias("rid"), "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), "items", F.coalesce("hit_spans", F.array().cast("array<string>")).alias("hit_spans"), F.col("best.longest").alias("longest"), (-F.col("best.at")).alias("longest_at"))
 
 
@@ -205,7 +206,7 @@ def contaminated(n_hit: int, n_words: int) -> bool:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The documents that aren't contaminated, with all their columns."""
-    n, block = _queries(benchmark, window)
+    n, block = _queries(benchmark, window, True)
     if n == 1:
         return _searched(docs, block(0), keep_when=lambda h, n: not contaminated(h, n))
     rid = "__linework_rid"  # ids may repeat or be null: each row is judged on its own text

@@ -62,7 +62,7 @@ def op9_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    rows = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), nameless=True)
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_digest(F.col("items")).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),

@@ -1,7 +1,9 @@
 import random
 import re
 
-from linework.llm import decontaminate
+import duckdb
+
+from linework.llm import decontaminate, registry
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -89,3 +91,20 @@ def test_clean_judges_each_row(spark, docs, monkeypatch):
         got = decontaminate.clean(table, bench)
         assert got.columns == table.columns
         assert sorted(r.text for r in got.collect()) == ["clean one", "clean three", "clean three", "clean two"]
+
+
+def test_items_without_id_against_sql(spark, docs, monkeypatch, tmp_path):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    spark.createDataFrame([(5, a), (None, b), (None, c), (None, b)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, a), (2, b), (3, a + " " + b + " " + c), (4, "clean"), (5, None)]
+    docs(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    base = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        base.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    cols = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    want = sorted(base.execute(f"select {', '.join(cols)} from ({registry.SQL['op10_suffix_decontam']})").fetchall())
+    assert [x[5] for x in want] == [True, True, True, False, False]
+    for size in (decontaminate.BLOCK_BYTES, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert sorted(tuple(x) for x in registry.op10_suffix_decontam(spark, str(tmp_path)).select(cols).collect()) == want
+        assert {x.doc_id for x in decontaminate.clean(docs(rows), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {4, 5}
