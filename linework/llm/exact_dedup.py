@@ -1,10 +1,12 @@
-"""Exact deduplication by a tree-merge of sorted digest runs.
+"""Exact deduplication by a tree of digest runs, grouped rather than merged in order.
 
 Every input partition pre-aggregates its rows into a run of (digest, largest identifier, count). Runs are then
 exchanged in binomial rounds: with 2**k-way merging, round r brings together the runs of 2**k neighbouring
 groups, and at the same time splits them by k more leading bits of the digest. So each round halves the number
 of runs k times and the digest range of each run k times: no merge ever holds more than its share of the digests,
-and after the last round every digest range has one merged run. A group of copies is a single row from the first
+and after the last round every digest range has one merged run. A round is an exchange by hash of (digest range, run,
+digest) and Spark's grouping; runs don't travel sorted and no sorted neighbours are merged, for an exchange drops the order
+and DataFrames have no merge of sorted partitions that would keep it. A group of copies is a single row from the first
 aggregation on, however many rows it has.
 
 Identity is verified at each level: runs merge on the SHA-256 digest together with the byte length and an
