@@ -2,14 +2,15 @@
 
 A sentence scores p = sigmoid(bias + sum of the weights of its features); features are its words and their leading
 3 to 6 bytes. A sentence without any learned feature scores 0, so that length alone makes no document toxic. A
-document's score is the noisy-or 1 - prod(1 - p) over its sentences. Only document labels are known: the weights are trained on the noisy-or's likelihood, and then locate the sentences that caused the score.
+document's score is the noisy-or 1 - prod(1 - p) over its sentences. Only document labels are known: the weights (of
+either sign) and the bias are trained on the noisy-or's likelihood, and then locate the sentences that caused the score.
 
 Training uses at most MOST_TRAIN labelled documents, those with the smallest hash of the id (a documented bound);
-their features are counted on the executors, and only sparse numbers of selected features (at most MOST_FEATURES)
+their features are counted on the executors, and only packed numbers of selected features (at most MOST_FEATURES)
 come to the driver. Every document is scored whole.
 
 Nulls: a null or empty text has no sentence and scores 0. A null label doesn't train; of several labels of one id
-the largest counts. Repeated documents give repeated rows (and train once). Without labels of both kinds nothing is
+the largest counts, of several texts of one id the smallest in byte order trains. Repeated documents give repeated rows. Without labels of both kinds nothing is
 toxic. Empty tables give an empty result. Other columns are ignored by `scores` and kept by `accepted`.
 """
 
@@ -29,10 +30,10 @@ from linework.llm.common import blocks, raw
 
 MOST_TRAIN = 20_000
 MOST_FEATURES = 5_000
-#: A feature is used if it occurs in so many documents and its log odds are so many standard errors from 0.
+#: A feature is used if it occurs in so many documents and its log odds are so many standard errors from 0, either way.
 LEAST_DOCS, LEAST_Z = 8, 3.5
-#: The bias of sentences, whatever the labels' noise; those with features start less unlikely, in training and in scoring.
-MOST_BIAS = -10.0
+#: Where training starts: the bias of sentences with features, and each weight.
+FIRST_BIAS, FIRST_WEIGHT = -6.0, 1.0
 SENTENCE = re.compile(rb"[^.!?\n]+")
 WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -76,7 +77,7 @@ def _training_rows(docs: DataFrame, labels: DataFrame, train: Column, most: int)
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.where(train).orderBy(F.xxhash64("_id"), "_id").limit(most)
     slim = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    return slim.join(F.broadcast(chosen), "_id")
+    return slim.join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).drop("_id")
 
 
 def _counts(sample: DataFrame) -> DataFrame:
@@ -103,7 +104,7 @@ def _bags(sample: DataFrame, number: dict[bytes, int]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, flat = [], []
+            sizes, flat = [], []  # as little-endian 32-bit numbers
             for t in raw(b.column(b.schema.get_field_index("text"))):
                 size, ids = [], []
                 for m in SENTENCE.findall(t):
@@ -111,36 +112,36 @@ def _bags(sample: DataFrame, number: dict[bytes, int]) -> DataFrame:
                     if own:
                         size.append(len(own))
                         ids += own
-                sizes.append(size)
-                flat.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")), pa.array(sizes, pa.list_(pa.int32())), pa.array(flat, pa.list_(pa.int32()))], names=["toxic", "sizes", "flat"])
+                sizes.append(np.array(size, "<i4").tobytes())
+                flat.append(np.array(ids, "<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("toxic")), pa.array(sizes, pa.binary()), pa.array(flat, pa.binary())], names=["toxic", "sizes", "flat"])
 
-    return sample.mapInArrow(run, "toxic int, sizes array<int>, flat array<int>")
+    return sample.mapInArrow(run, "toxic int, sizes binary, flat binary")
 
 
-def fit_bags(labels: np.ndarray, sizes: list[list[int]], flat: list[list[int]], n: int, rounds: int = 500, decay: float = 1e-6) -> tuple[float, np.ndarray]:
-    """Full-batch Adam on the noisy-or likelihood. Returns bias and weights."""
-    size = np.array([x for s in sizes for x in s], np.int64)
-    feature = np.array([x for f in flat for x in f], np.int64)
+def fit_bags(labels: np.ndarray, sizes: list, flat: list, n: int, rounds: int = 500, decay: float = 1e-4) -> tuple[float, np.ndarray]:
+    """Full-batch Adam on the noisy-or likelihood. sizes, flat: each document's numbers. Returns bias and weights."""
+    none = np.zeros(0, np.int64)
+    size, feature = (np.concatenate([none, *x]).astype(np.int64) for x in (sizes, flat))
     doc = np.repeat(np.arange(len(labels)), [len(s) for s in sizes])
     sent = np.repeat(np.arange(len(size)), size)
     y = labels.astype(np.float64)
-    w, bias = np.full(n, 1.0), MOST_BIAS + 4
-    m, v = np.zeros(n), np.zeros(n)
+    x = np.append(np.full(n, FIRST_WEIGHT), FIRST_BIAS)
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
     for step in range(1, rounds + 1):
-        z = bias + np.bincount(sent, w[feature], len(size))
+        z = x[n] + np.bincount(sent, x[feature], len(size))
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         q = np.exp(np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(labels)))
-        pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)
-        grad = np.bincount(feature, (pull[doc] * p)[sent], n) / len(labels) + decay * w
+        pull = np.where(y > 0, -q / np.maximum(1 - q, 1e-9), 1.0)[doc] * p / len(labels)
+        grad = np.append(np.bincount(feature, pull[sent], n) + decay * x[:n], pull.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad * grad
-        w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
-    return bias, w
+        x -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+    return float(x[n]), x[:n]
 
 
 def train(docs: DataFrame, labels: DataFrame, use: Column, most: int = MOST_TRAIN) -> Model:
     """use: condition on `_id` for the labelled ids that may train."""
-    sample = _training_rows(docs, labels, use, most).dropDuplicates(["_id"]).drop("_id").persist()
+    sample = _training_rows(docs, labels, use, most).persist()
     try:
         total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         good, bad = total.get(0, 0), sum(n for k, n in total.items() if k)
@@ -148,12 +149,12 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most: int = MOST_TRAI
             return Model(-30.0, {})
         odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 0.5)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good - F.col("n") + F.col("bad") + 0.5))
         error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5) + 1 / (bad - F.col("bad") + 0.5) + 1 / (good - F.col("n") + F.col("bad") + 0.5))
-        kept = _counts(sample).where(f"n >= {LEAST_DOCS}").withColumn("z", odds / error).where(f"z >= {LEAST_Z}")
-        chosen = sorted(bytes(r["feature"]) for r in kept.orderBy(F.desc("z"), "feature").limit(MOST_FEATURES).collect())
+        kept = _counts(sample).where(f"n >= {LEAST_DOCS}").withColumn("z", odds / error).where(f"abs(z) >= {LEAST_Z}")
+        chosen = sorted(bytes(r["feature"]) for r in kept.orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).collect())
         number = {f: i for i, f in enumerate(chosen)}
-        rows = _bags(sample, number).collect()
-        rows.sort(key=lambda r: (r["toxic"], r["sizes"], r["flat"]))  # the same sums whatever the order of partitions
-        bias, w = fit_bags(np.array([bool(r["toxic"]) for r in rows]), [r["sizes"] for r in rows], [r["flat"] for r in rows], len(number))
+        rows = sorted((r["toxic"], bytes(r["sizes"]), bytes(r["flat"])) for r in _bags(sample, number).collect())  # the same sums whatever the order of partitions
+        sizes, flat = ([np.frombuffer(r[i], "<i4") for r in rows] for i in (1, 2))
+        bias, w = fit_bags(np.array([bool(r[0]) for r in rows]), sizes, flat, len(number))
     finally:
         sample.unpersist()
     return Model(bias, {f: float(w[i]) for f, i in number.items()})
@@ -190,5 +191,3 @@ def scores(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> Dat
 def accepted(docs: DataFrame, labels: DataFrame, use: Column | None = None) -> DataFrame:
     """The documents that score below 0.5, with all their columns."""
     return _apply(docs, train(docs, labels, F.lit(True) if use is None else use), True)
-
-

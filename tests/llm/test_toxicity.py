@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -67,3 +68,27 @@ def test_scores_are_the_fitted_probabilities():
     bias, w = toxicity.fit_bags(toxic, [[1]] * 200, [[0]] * 200, 1)
     score, spans = toxicity.Model(bias, {b"zorg": float(w[0])}).score(b"Zorg. Other words.")
     assert abs(score - 0.7) < 0.02 and [s[:2] for s in spans] == [(0, 4)]
+
+
+def test_score_is_the_noisy_or_of_sentences():
+    rng = random.Random(8)
+    weights = {b"zorg": 6.0, b"^zor": 1.5, b"fine": -3.0}
+    model = toxicity.Model(-7.0, weights)
+    for _ in range(300):
+        text = "".join(rng.choice(["Zorg", "zorgs", "fine", "other", " ", " ", ". ", "! ", "\n", "é"]) for _ in range(rng.randrange(40)))
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", text):
+            words = {w for w in re.split(r"[^a-zé]+", sentence.lower()) if w}
+            own = [weights[f] for w in words for f in toxicity.features(w.encode()) if f in weights]
+            clean *= 1 - (1 / (1 + np.exp(7.0 - sum(own))) if own else 0)
+        assert abs(model.score(text.encode())[0] - (1 - clean)) < 1e-9
+
+
+def test_repeated_ids_train_on_one_text(spark, docs):
+    rows, labels = corpus()
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    more = [*rows, *((i, t + " zzz zorg") for i, t in rows if i % 5), *rows[:50]]  # greater texts of the same ids
+    a = {(r.doc_id, r.score) for r in toxicity.scores(docs(more), marks).collect()}
+    b = {(r.doc_id, r.score) for r in toxicity.scores(docs(more[::-1]).repartition(5), marks).collect()}
+    c = {(r.doc_id, r.score) for r in toxicity.scores(docs(rows), marks).collect()}
+    assert a == b and c <= a
