@@ -57,3 +57,39 @@ def test_kernel_is_shared_grams():
     x = language.presence([b"abc", b"abd", b"xyz"])
     k = language.kernel(x, x)
     assert np.allclose(np.diag(k), 1) and k[0, 1] > k[0, 2] > 0
+
+
+def test_kernel_against_sets():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([w for k in WORDS for w in WORDS[k]] + ["Ünd", "x1", "日本"], k=rng.randrange(1, 40))).encode() for _ in range(40)]
+
+    def plain(t):
+        b = b" " + t.decode().lower().encode().translate(language.SPACES) + b" "
+        return {b[i : i + n] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+
+    sets = [plain(t) for t in texts]
+    want = [[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets]
+    assert np.allclose(language.kernel(language.presence(texts), language.presence(texts)), want, atol=1e-5)
+    # rows over the landmarks' n-grams alone give the same numbers
+    known = np.unique(np.concatenate([language.grams(t) for t in texts[:5]]))
+    some = language.presence(texts, known)
+    assert np.allclose(language.kernel(some, some[:5], np.array([len(s) for s in sets])), np.array(want)[:, :5], atol=1e-5)
+
+
+def test_repeated_and_null_ids_train(spark):
+    rows = corpus()
+    for ids in ([7] * len(rows), [None] * len(rows)):
+        known = [(i, t, lang) for i, (_, t, lang) in zip(ids, rows, strict=True)]
+        copies = [(3, "der die das " * 4, "de")] * 2000  # one text is a hot group; it counts once
+        asked = [(1000 + k, t, None) for k, (_, t, _) in enumerate(rows)]
+        got = {r.doc_id: r.lang_pred for r in language.identify(table(spark, known + copies + asked)).where("doc_id >= 1000").collect()}
+        assert sum(got[1000 + k] == lang for k, (_, _, lang) in enumerate(rows)) >= 0.95 * len(rows)
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_TRAIN", 40)
+    seen = []
+    plain = language.fit
+    monkeypatch.setattr(language, "fit", lambda x, y: seen.append(y) or plain(x, y))
+    language.train(table(spark, corpus()), F.lit(True))
+    assert {k: seen[0].count(k) for k in WORDS} == {"en": 13, "de": 13, "fr": 13}
