@@ -88,8 +88,9 @@ class Words:
     """Ids of white-space separated words, as the tokenizer gives them for the whole text.
 
     It never joins across white space, and folds case, so a text's ids are those of its lower-cased words. It never
-    joins letters and punctuation either (but for the apostrophe of contractions), so a word of letters with
-    punctuation behind is encoded as these two parts. Strings of special tokens in a text are ordinary text.
+    joins letters and punctuation either (but for the apostrophe of contractions), so a word that its normaliser leaves
+    as letters with ASCII punctuation behind is encoded as these two parts. Strings of special tokens keep their case, for
+    the tokenizer knows them before it folds it.
     """
 
     def __init__(self, path: str):
@@ -97,7 +98,7 @@ class Words:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the machine already
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.stems = Stems(self.tokenizer)
         self.forget()
 
@@ -105,6 +106,19 @@ class Words:
         self.number: dict[bytes, int] = defaultdict(count().__next__)
         self.size, self.first, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
 
+    def cut(self, text: bytes) -> list[bytes]:
+        """A text's words; those of a text that may hold a special token keep their case."""
+        low = text.lower()
+        return (text if any(s.lower() in low for s in self.special) else low).split()
+
+    def stem(self, word: bytes) -> tuple[bytes, bytes]:
+        """The word's letters and the punctuation behind them, which are encoded apart; else the word and nothing."""
+        stem = word.rstrip(MARKS)
+        if len(stem) == len(word):
+            return word, b""
+        text = stem.decode()
+        return (stem, word[len(stem) :]) if (text if text.isascii() else self.tokenizer.normalizer.normalize_str(text)).isalpha() else (word, b"")
+
     def encode(self, texts: list[bytes], close: int) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids end to end, each with the closing id, and their counts."""
         if len(self.number) > WORDS_HELD:
@@ -114,14 +128,13 @@ class Words:
         number, old = self.number, len(self.number)
         rows, lens = [], []
         for t in texts:
-            w = t.lower().split()
+            w = self.cut(t)
             lens.append(len(w))
             rows.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         if len(number) > old:
             parts = []
             for w in islice(number, old, None):
-                stem = w.rstrip(MARKS)
-                parts += (stem, w[len(stem) :]) if len(stem) < len(w) and stem.decode().isalpha() else (w, b"")
+                parts += self.stem(w)
             index = self.stems.look_up(parts)
             s = self.stems
             self.flat = np.concatenate((self.flat, gather(index, s.first, s.size, s.flat)))

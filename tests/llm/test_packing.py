@@ -41,7 +41,6 @@ def test_packs_every_id(docs):
     words = ["alpha", "Beta,", "gamma's", "délta", "x1y2", "It'S...", "wie?!", "a\u0301b\u00a0C,", "ΣΑΣ.", "»so«,", "1,5%", "İx;", "e-mail:x@y.z"]
     rows = ROWS + [(i, " ".join(rng.choices(words, k=rng.choice([1, 5, 40, 300, 900, 5000])))) for i in range(10, 120)]
     t = Tokenizer.from_file(packing.default_vocabulary())
-    t.encode_special_tokens = True
     want = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in rows}
     got = packing.pack(docs(rows).repartition(3)).collect()
     seen, padding = check(got, want)
@@ -84,3 +83,20 @@ def test_plan_explains_the_histogram():
         for k in c:
             made[k] += n
     assert (made <= h).all() and made.sum() > 0.5 * h.sum()
+
+
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(5)
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    bits = [*"abIsSt.,!?'\"-<|>019 \n\t\x0b\x1c\x85", "\u0130", "\u0307", "\u0301", "\u212a", "\u03a3", "\u00df", "\ufb01", "\u00a0", "\u2028", "\u3000", "\u4e2d", "\u0e01\u0e34", "\u00b2", "\U0001f600", "\u200d",
+            "'s", "'LL", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>"]
+    texts = ["".join(rng.choices(bits, k=rng.randrange(1, 14))) for _ in range(20_000)]
+    words = packing.Words(packing.default_vocabulary())
+    for at in range(0, len(texts), 2000):
+        part = texts[at : at + 2000]
+        ids, total = words.encode([x.encode() for x in part], 1)
+        rows = np.split(ids, np.cumsum(total)[:-1])
+        for x, row in zip(part, rows, strict=True):
+            assert row.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
