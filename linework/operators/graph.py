@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from linework.errors import GeometryError, require_empty
-
-
-def _folder(spark: SparkSession) -> str:
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="linework-"))
-        place = spark.sparkContext.getCheckpointDir()
-    return place.rstrip("/")
+from linework.storage import written
 
 
 def kept(df: DataFrame) -> DataFrame:
-    path = f"{_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, "graph")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
