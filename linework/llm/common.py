@@ -2,33 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE = 1e-3
-
+from linework.storage import written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a local one only where unset, as in tests."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="linework-"))
-        place = spark.sparkContext.getCheckpointDir()
-    return place.rstrip("/")
+__all__ = ["HOT_SHARE", "blocks", "id_bucket", "lookup", "raw", "written"]
 
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """df as a table written in the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-3
 
 
 def id_bucket(doc_id: str | Column, modulus: int) -> Column:
@@ -55,13 +42,16 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.Table]:
-    """Joins Arrow batches into tables of about `most` bytes of text; long batches are cut, rows never are."""
+    """Joins and cuts Arrow batches into tables that hold `most` bytes of text or at most one row more; rows aren't cut."""
     held, size = [], 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
-            held.append(part)
-            size += part.column(part.schema.get_field_index(text)).nbytes
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
+        stop, at = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = int(stop[at - 1]) if at else 0
+            end = min(int(np.searchsorted(stop, before + most - size)) + 1, batch.num_rows)
+            held.append(batch.slice(at, end - at))
+            size, at = size + int(stop[end - 1]) - before, end
             if size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
