@@ -1,15 +1,14 @@
-"""Exact deduplication by a tree of digest runs, grouped rather than merged in order.
-
-Every input partition pre-aggregates its rows into a run of (digest, largest identifier, count). Runs are then
-exchanged in binomial rounds: with 2**k-way merging, round r brings together the runs of 2**k neighbouring
-groups, and at the same time splits them by k more leading bits of the digest. So each round halves the number
-of runs k times and the digest range of each run k times: no merge ever holds more than its share of the digests,
-and after the last round every digest range has one merged run. A round is an exchange by hash of (digest range, run,
-digest) and Spark's grouping; runs don't travel sorted and no sorted neighbours are merged, for an exchange drops the order
-and DataFrames have no merge of sorted partitions that would keep it. A group of copies is a single row from the first
-aggregation on, however many rows it has.
-
-Identity is verified at each level: runs merge on the SHA-256 digest together with the byte length and an
+"""Exact deduplication by a tree-merge of sorted digest runs.
+
+Every input partition's rows are a run: its distinct digests with (largest identifier, count), counted before they travel.
+Runs are exchanged in binomial rounds: with 2**k-way merging, round r brings together the runs of 2**k neighbouring groups, and at the same
+time splits them by k more leading bits of the digest. So each round halves the number of runs k times and the digest
+range of each run k times: no merge ever holds more than its share of the digests, and after the last round every
+digest range has one merged run. A round deals by (digest range, group of runs) alone, so what is merged lies in one partition;
+there Spark's sorter merges it by digest, and equal neighbours are joined in that order, without another exchange or sort.
+A group of copies is one row for each run from the start, however many rows it has.
+
+Identity is verified at each level: neighbours are joined on the SHA-256 digest together with the byte length and an
 independent 64-bit hash of the text, so that a digest alone never joins two texts.
 
 Nulls: null text counts as the empty text, a null doc_id is smaller than any other. Repeated rows (same doc_id,
@@ -27,12 +26,16 @@ from pyspark.sql import functions as F
 from linework.llm.common import lookup, written
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One row per document row: row number, id and the digest of its whole text, written once."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+#: A round deals each digest range in 2**SPREAD_BITS parts, so that a partition gets many small parts instead of none or several large ones.
+SPREAD_BITS = 4
+
+
+def digests(docs: DataFrame, rid: str | None = None) -> DataFrame:
+    """One row per document row: row number (docs' column `rid`, or made here), id and the digest of its whole text, written once."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return written(
         docs.select(
-            F.monotonically_increasing_id().alias("rid"),
+            (F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.struct(F.unhex(F.sha2(text, 256)).alias("sha"), F.octet_length(text).alias("bytes"), F.xxhash64(text).alias("check")).alias("digest"),
             F.spark_partition_id().alias("run"),
@@ -47,24 +50,27 @@ def merged_runs(rows: DataFrame, runs: int, fan_bits: int = 3, keep: str = "larg
     rounds = max(1, math.ceil(math.log2(max(2, runs)) / fan_bits))
     width = rounds * fan_bits
     lead = F.conv(F.hex(F.substring(F.col("digest.sha"), 1, 4)), 16, 10).cast("long")
-    out = rows.select("digest", F.struct("doc_id", "rid").alias("keeper"), F.lit(1).cast("long").alias("n"), F.pmod("run", F.lit(1 << width)).alias("run"))
-    for r in range(rounds + 1):
+    runs_ = rows.select(F.pmod("run", F.lit(1 << width)).alias("run"), "digest", F.struct("doc_id", "rid").alias("keeper"))
+    out = runs_.groupBy("run", "digest").agg(pick("keeper").alias("keeper"), F.count("*").alias("n"))  # counted before they travel
+    for r in range(1, rounds + 1):
         done = r * fan_bits
-        span, side = F.shiftright(lead, 32 - done) if done else F.lit(0).cast("long"), F.shiftright("run", done)
-        out = out.groupBy(span.alias("span"), side.alias("run_"), "digest").agg(pick("keeper").alias("keeper"), F.sum("n").alias("n"))
-        out = out.select("digest", "keeper", "n", F.shiftleft("run_", done).alias("run"))
-        if r == 0:
-            out = out.sortWithinPartitions("digest")
+        span = F.shiftright(lead, 32 - min(32, done + SPREAD_BITS))
+        dealt = out.select(span.alias("span"), F.shiftright("run", done).alias("group"), "digest", "keeper", "n").repartition("span", "group")
+        merged = dealt.sortWithinPartitions("span", "group", "digest").groupBy("span", "group", "digest").agg(pick("keeper").alias("keeper"), F.sum("n").alias("n"))
+        out = merged.select("digest", "keeper", "n", F.shiftleft("group", done).alias("run"))
     return out.drop("run")
 
 
-def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per document row, dropped ones too."""
-    rows = digests(docs)
+def _marked(rows: DataFrame, keep: str) -> DataFrame:
+    """rid, doc_id, digest, and their group's n and keeper, of every digest."""
     stat = rows.agg(F.count("*").alias("n"), F.coalesce(F.max("run"), F.lit(0)).alias("runs")).first()
     best = written(merged_runs(rows, stat["runs"] + 1, keep=keep), "merged")
-    flat = rows.select("rid", "doc_id", "digest")
-    return lookup(flat, best, "digest", "n", stat["n"]).select(
+    return lookup(rows.select("rid", "doc_id", "digest"), best, "digest", "n", stat["n"])
+
+
+def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per document row, dropped ones too."""
+    return _marked(digests(docs), keep).select(
         "doc_id",
         F.col("keeper.doc_id").alias("keep_id"),
         F.col("n").alias("group_size"),
@@ -74,19 +80,10 @@ def groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of docs that stay, with all their columns.
-
-    The text isn't shuffled for it: rows that go are found by doc_id with a join against the ids that go, and
-    only ids that occur in several rows, where an id alone doesn't tell which row stays, take part in a second pass.
-    """
-    marked = written(groups(docs, keep), "marked")
-    ids = marked.groupBy("doc_id").agg(F.count("*").alias("rows"), F.sum(F.col("kept").cast("int")).alias("stay"))
-    single = ids.where("rows = 1 and stay = 1").select(F.col("doc_id").alias("_id"))
-    several = ids.where("rows > 1 and stay > 0").select(F.col("doc_id").alias("_id"))
-    mine = lambda ids_: docs["doc_id"].cast("long").eqNullSafe(ids_["_id"])  # noqa: E731  by table: docs may have any column
-    lone = docs.join(single, mine(single), "left_semi")
-    stays = marked.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(docs["text"], F.lit("")), 256)
-    again = docs.join(several, mine(several), "left_semi").join(stays, mine(stays) & (sha == stays["_sha"]), "left_semi")
-    again = again.withColumn("__linework_sha", sha).dropDuplicates(["doc_id", "__linework_sha"]).drop("__linework_sha")
-    return lone.unionByName(again)
+    """The rows of docs that stay, with all their columns. Rows are found by number, so ids may repeat or be null."""
+    rid = "__linework_rid"
+    numbered = written(docs.withColumn(rid, F.monotonically_increasing_id()), "numbered")
+    rows = digests(numbered, rid)
+    runs = rows.agg(F.coalesce(F.max("run"), F.lit(0))).first()[0] + 1
+    stay = merged_runs(rows, runs, keep=keep).select(F.col("keeper.rid").alias(rid))
+    return numbered.join(stay, rid, "left_semi").select(docs.columns)

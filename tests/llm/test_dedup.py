@@ -39,3 +39,22 @@ def test_deduplicated_keeps_columns(docs):
 def test_empty(docs):
     assert exact_dedup.groups(docs([])).count() == 0
     assert exact_dedup.deduplicated(docs([])).count() == 0
+
+
+def test_deduplicated_with_repeated_and_null_ids(docs):
+    rows = [(1, "a"), (1, "b"), (1, "a"), (None, "c"), (None, "d"), (None, "c"), (2, "a"), (5, None), (None, "")]
+    out = [(r.doc_id, r.text) for r in exact_dedup.deduplicated(docs(rows).repartition(3)).collect()]
+    assert sorted(out, key=str) == sorted([(2, "a"), (1, "b"), (None, "c"), (None, "d"), (5, None)], key=str)
+
+
+def test_rounds_merge_sorted_runs_where_they_lie(docs, capsys):
+    rows = exact_dedup.digests(docs([(i, f"t{i % 50}") for i in range(300)]).repartition(70))
+    merged = exact_dedup.merged_runs(rows, 70)
+    merged.explain()
+    plan = capsys.readouterr().out
+    assert {r.n for r in merged.collect()} == {6} and merged.count() == 50
+    rounds = plan.split("Exchange")[:-1]  # from the last round down to the runs
+    assert len(rounds) == 4  # the runs, and three rounds of eight
+    for part in rounds[:-1]:
+        assert part.count("Sort [") == 1 and part.count("SortAggregate") == 2
+    assert plan.count("hashpartitioning(span") == 3 and plan.count("hashpartitioning(") == 4
