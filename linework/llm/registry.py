@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = id_bucket("doc_id", 10) == 0
     rows = ngram_model.score(_table(spark, sf_dir, "documents"), ~held_out)
-    return rows.withColumn("held_out", held_out)
+    return rows.select("doc_id", held_out.alias("held_out"), *rows.columns[1:])
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,10 @@ SQL: dict[str, str] = {
     "op2_secret_ownership": _secrets_sql(),
     "op5_warc_zstd": """
         with p as (select page_id, coalesce(html, '') as html from pages),
-        d as (select page_id, strlen(html) as payload_bytes, sha1(html) as h, max(page_id) over (partition by html) as head from p)
+        d as (select page_id, strlen(html) as payload_bytes, sha1(html) as h, max(page_id) over w as head, row_number() over w = 1 as leads from p window w as (partition by html order by page_id desc nulls last))
         select page_id, payload_bytes,
                array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (i // 4), 5))::bigint >> (15 - 5 * (i % 4))) & 31), 1)), '') as payload_digest,
-               case when page_id = head then 'response' else 'revisit' end as record_type, case when page_id <> head then head end as refers_to
+               case when leads then 'response' else 'revisit' end as record_type, case when not leads then head end as refers_to
         from d""",
     "op10_suffix_decontam": r"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),

@@ -6,12 +6,13 @@ the dictionary from the skippable frame, decodes one frame for each record, and
 Content-Length, both digests and the closing empty lines; a fault raises ValueError with the archive's name.
 
 Of pages with equal payloads the one with the largest page_id is a response; the others are revisit records of the
-identical-payload-digest kind, which refer to it and hold no payload. Only the page ids' roles are joined back to
-the pages, by page_id: no payload's copies meet in one task.
+identical-payload-digest kind, which refer to it and hold no payload. Payloads are equal if their SHA-1, length and another
+64-bit hash are. The pages are numbered and written once; only the roles are joined back to them, by that number: no
+payload's copies meet in one task.
 
 Nulls: a null html is the empty payload, a null url is left out of the headers, a null page_id is smaller than any
-other and has no number in its record's id. Rows repeated with the same page_id and payload all have that page's
-role. An empty table gives an empty result. Other columns are ignored.
+other and has no number in its record's id. Of rows repeated with the same page_id and payload one is the response, the
+others revisit it. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,23 +144,26 @@ def content(headers: dict[str, str], block: bytes) -> tuple[int, bytes | None]:
     return size, payload
 
 
-def roles(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(page_id, sha, refers_to, role) without repeated rows; least: smaller payloads are never revisits."""
+def numbered(pages: DataFrame) -> DataFrame:
+    """(rid, page_id, url, html), written once; a null html is empty."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    rows = written(pages.select(F.col("page_id").cast("long").alias("page_id"), F.unhex(F.sha1(html)).alias("sha"), F.octet_length(html).alias("bytes")), "payloads")
-    groups = written(rows.groupBy("sha").agg(F.max("page_id").alias("first"), F.count("*").alias("n")), "equal-payloads")
-    total = rows.count()
-    named = lookup(rows, groups, "sha", "n", total)
-    again = (F.col("bytes") >= least) & ~F.col("page_id").eqNullSafe(F.col("first"))
-    return named.select("page_id", "sha", F.when(again, F.col("first")).alias("refers_to"), F.when(again, "revisit").otherwise("response").alias("role")).distinct()
+    return written(pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html")), "pages", compression="zstd")
+
+
+def roles(rows: DataFrame, least: int = 0) -> DataFrame:
+    """(rid, refers_to, role) of numbered pages; least: smaller payloads are never revisits."""
+    size = F.octet_length("html")
+    slim = written(rows.select("rid", "page_id", F.struct(F.unhex(F.sha1("html")).alias("sha"), size.alias("bytes"), F.xxhash64("html").alias("check")).alias("same")), "payloads")
+    groups = written(slim.groupBy("same").agg(F.max(F.struct("page_id", "rid")).alias("first"), F.count("*").alias("n")), "equal-payloads")
+    named = lookup(slim, groups, "same", "n", slim.count())
+    again = (F.col("same.bytes") >= least) & (F.col("rid") != F.col("first.rid"))
+    return named.select("rid", F.when(again, F.col("first.page_id")).alias("refers_to"), F.when(again, "revisit").otherwise("response").alias("role"))
 
 
 def archives(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(name, content, n): the pages as archives."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.unhex(F.sha1(html)).alias("sha"))
-    own = roles(pages, least).select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "refers_to", "role")
-    joined = slim.join(own, slim["page_id"].eqNullSafe(own["_id"]) & (slim["sha"] == own["_sha"]), "left").select("page_id", "url", "html", "refers_to", "role")
+    rows = numbered(pages)
+    joined = rows.join(roles(rows, least), "rid").select("page_id", "url", "html", "refers_to", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, size = TaskContext.get().partitionId(), 0, [], 0
