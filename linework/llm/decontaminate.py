@@ -1,18 +1,23 @@
 """Benchmark decontamination with suffix arrays over the training text.
 
-Every block of documents (a shard) gets a suffix array over its words; each benchmark suffix is binary-searched in
-it, which finds all places of each window and, by joining neighbouring places, the longest verbatim matches.
-Only positions from which as many benchmark words follow as the shortest window has can begin a match, so only
-their suffixes are sorted; a suffix is compared by its first `window` words, and longer matches are put together
-from windows that follow each other in both texts.
+Every block of documents (a shard) gets a suffix array over its words: places are ordered by all that follows them, up to the
+first word that the benchmark doesn't have or the document's end. Ranks are found by prefix doubling, together with those of
+the benchmark's suffixes, so that each test suffix is binary-searched in the shard's array. Its neighbours there give the
+longest verbatim match of each place; the range that shares a window's words gives all places of the window.
 
-The benchmark is the stated query set: it is measured first, and searched in blocks of at most BLOCK_BYTES of text,
-each sent to all shards. Nothing is shuffled but the short rows of documents when there are several such blocks.
+Only stretches of benchmark words as long as the shortest window can hold a match, so only their suffixes are sorted, whole.
+Equal windows are searched once, with the list of their items behind them, and places with the same items are joined before
+items are listed: copies of a passage in documents and in items don't multiply.
+
+The benchmark is the stated query set: it is measured first, and searched in blocks of about BLOCK_BYTES of text (items are
+dealt to them by hash, an item isn't cut), each sent to all shards. Nothing is shuffled but the short rows of documents when
+there are several such blocks.
 
 Nulls: null text has no words. An item without words has no window. Rows that repeat an item_id are texts of one item. Rows
 with a null item_id take no part in `hits` unless it is asked for them (`nameless`); then, as in op10's SQL and in `clean`,
-their words are hit like any other's, and `items` holds one null for them. Repeated documents give repeated rows. Empty tables give an empty result or no hits. Other
-columns are ignored by `hits` and kept by `clean`.
+their words are hit like any other's, and `items` holds one null for them. Of equally long matches the first place in the
+document counts. Repeated documents give repeated rows. Empty tables give an empty result or no hits. Other columns are
+ignored by `hits` and kept by `clean`.
 """
 
 from __future__ import annotations
@@ -40,6 +45,40 @@ def _keys(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows.astype(">u4")).view(f"S{4 * rows.shape[1]}").ravel()
 
 
+def _doubled(text: np.ndarray, left: np.ndarray) -> list[np.ndarray]:
+    """Ranks of places by their next 1, 2, 4, ... words; left: how many words follow each place, its own included. Places
+    lie stretch by stretch. Ranks start at 1; the last array orders by all that is left."""
+    out = [np.unique(text, return_inverse=True)[1].astype(np.int32) + 1]
+    step, n = 1, len(text)
+    while n and step < left.max() and out[-1].max() < n:
+        rank = out[-1].astype(np.int64)
+        behind = np.zeros(n, np.int64)
+        more = np.flatnonzero(left > step)
+        behind[more] = rank[more + step]
+        out.append(np.unique(rank * (n + 1) + behind, return_inverse=True)[1].astype(np.int32) + 1)
+        step *= 2
+    return out
+
+
+def _common(levels: list[np.ndarray], left: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the places a and b have in common from there on."""
+    out = np.zeros(len(a), np.int64)
+    a, b = a.copy(), b.copy()
+    open_ = np.ones(len(a), bool)
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        # equal ranks of places that both go on so far are equal words
+        at = np.flatnonzero(open_)
+        same = (levels[k][a[at]] == levels[k][b[at]]) & (left[a[at]] >= step) & (left[b[at]] >= step)
+        at = at[same]
+        out[at] += step
+        ends = (left[a[at]] == step) | (left[b[at]] == step)
+        open_[at[ends]] = False
+        a[at[~ends]] += step
+        b[at[~ends]] += step
+    return out
+
+
 class Queries:
     """The benchmark's windows over its own vocabulary; word number 0 is any other word."""
 
@@ -47,48 +86,78 @@ class Queries:
         self.window = window
         self.number: dict[bytes, int] = {}
         index: dict[str | None, int] = {}
-        rows, owner, source, place, length = [], [], [], [], []
-        for n, (name, text) in enumerate(items):
-            w = [self.number.setdefault(x, len(self.number) + 1) for x in words(text)]
-            if not w:
-                continue
-            k = min(window, len(w))
-            for at in range(len(w) - k + 1):
-                rows.append(w[at : at + k] + [0] * (window - k))
-                owner.append(index.setdefault(name, len(index)))
-                source.append(n)
-                place.append(at)
-                length.append(k)
+        texts: dict[bytes, set[int]] = {}  # equal texts are searched once
+        for name, text in items:
+            w = np.array([self.number.setdefault(x, len(self.number) + 1) for x in words(text)], np.int32)
+            if len(w):
+                texts.setdefault(w.tobytes(), set()).add(index.setdefault(name, len(index)))
         self.ids = list(index)
-        self.owner, self.source, self.place, self.length = (np.array(x, np.int64) for x in (owner, source, place, length))
-        table = np.array(rows, np.int64).reshape(-1, window)
-        self.low = _keys(table)
-        spare = np.arange(window)[None, :] >= self.length[:, None]
-        self.high = _keys(np.where(spare, 2**32 - 1, table))
-        self.shortest = int(self.length.min()) if len(rows) else 0
-
-    def search(self, text: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, window) of every window's occurrence in the word numbers; row: each word's document."""
-        none = np.empty(0, np.int64)
+        parts = [np.frombuffer(w, np.int32) for w in texts]
+        size = np.array([len(w) for w in parts], np.int64)
+        #: Distinct texts end to end, and how many words follow each place in its text.
+        self.text = np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64)
+        n = len(self.text)
+        self.left = np.repeat(np.cumsum(size), size) - np.arange(n)
+        whole = np.repeat(size, size)
+        starts = np.flatnonzero((self.left >= window) | ((whole < window) & (self.left == whole)))
+        length = np.minimum(self.left[starts], window)
+        inside = np.arange(window)[None, :] < length[:, None]
+        rows = np.where(inside, self.text[np.minimum(starts[:, None] + np.arange(window)[None, :], max(n - 1, 0))] if n else 0, 0)
+        self.low, one, back = np.unique(_keys(rows), return_index=True, return_inverse=True)
+        self.length = length[one]
+        self.high = _keys(np.where(inside[one], rows[one], 2**32 - 1))
+        self.shortest = int(length.min()) if len(length) else 0
+        # the items behind each window; many windows have the same
+        owners = list(texts.values())
+        pair = np.unique(back.astype(np.int64) * max(1, len(owners)) + np.repeat(np.arange(len(size)), size)[starts])
+        window_, text_ = np.divmod(pair, max(1, len(owners)))
+        cut = np.flatnonzero(np.diff(window_, prepend=-1)).tolist()
+        groups = [tuple(text_[i:j].tolist()) for i, j in zip(cut, [*cut, len(text_)][1:], strict=True)]
+        number = {own: i for i, own in enumerate(dict.fromkeys(groups))}
+        self.sets = [sorted(set().union(*(owners[t] for t in own))) for own in number]
+        self.owners = np.array([number[own] for own in groups], np.int64)
+
+    def search(self, text: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, ...]:
+        """text: word numbers; row: each word's document. (place, words that windows cover from there, longest match from there)
+        of every place where a window begins, and (place, set of items), each pair once."""
+        none = (np.empty(0, np.int64),) * 5
         if not self.shortest or not len(text):
-            return none, none
-        n, k = len(text), self.shortest
-        reach = np.concatenate(([0], np.cumsum(text > 0)))
-        begin = np.flatnonzero(reach[k:] - reach[: n - k + 1] == k) if n >= k else none
-        begin = begin[row[begin] == row[begin + k - 1]]
-        if not len(begin):
-            return none, none
-        at = begin[:, None] + np.arange(self.window)[None, :]
-        inside = np.minimum(at, n - 1)
-        suffix = np.where((at < n) & (row[inside] == row[begin][:, None]), text[inside], 0)
-        keys = _keys(suffix)
-        order = np.argsort(keys, kind="stable")  # the shard's suffix array
-        keys = keys[order]
+            return none
+        # stretches of benchmark words within a document
+        cut = np.concatenate(([True], (row[1:] != row[:-1]) | (text[1:] == 0) | (text[:-1] == 0)))
+        first = np.flatnonzero(cut)
+        size = np.diff(np.concatenate((first, [len(text)])))
+        good = (size >= self.shortest) & (text[first] > 0)
+        first, size = first[good], size[good]
+        if not len(first):
+            return none
+        n = int(size.sum())
+        place = np.repeat(first - (np.cumsum(size) - size), size) + np.arange(n)
+        left = np.repeat(np.cumsum(size), size) - np.arange(n)
+        both, left = np.concatenate((text[place], self.text)), np.concatenate((left, self.left))
+        levels = _doubled(both, left)
+        rank = levels[-1]
+        begin = np.flatnonzero(left[:n] >= self.shortest)
+        begin = begin[np.argsort(rank[begin], kind="stable")]  # the shard's suffix array
+        ahead = begin[:, None] + np.arange(self.window)[None, :]
+        keys = _keys(np.where(np.arange(self.window)[None, :] < left[begin][:, None], both[np.minimum(ahead, len(both) - 1)], 0))
         lo, hi = np.searchsorted(keys, self.low, "left"), np.searchsorted(keys, self.high, "right")
         many = hi - lo
         which = np.repeat(np.arange(len(lo)), many)
-        step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return begin[order[np.repeat(lo, many) + step]], which
+        slot = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        cover = np.zeros(len(begin), np.int64)
+        np.maximum.at(cover, slot, self.length[which])
+        hit = np.flatnonzero(cover)
+        # test suffixes in their order, and the two around each place that is hit
+        tests = n + np.argsort(rank[n:], kind="stable")
+        after = np.searchsorted(rank[tests], rank[begin[hit]], "left")
+        best = np.zeros(len(hit), np.int64)
+        for near in (np.maximum(after - 1, 0), np.minimum(after, len(tests) - 1)):
+            best = np.maximum(best, _common(levels, left, begin[hit], tests[near]))
+        best = np.where(best >= self.window, best, cover[hit])  # shorter ones count where they are whole items
+        pair = np.unique(begin[slot] * len(self.sets) + self.owners[which])
+        at, owners = np.divmod(pair, len(self.sets))
+        return place[begin[hit]], cover[hit], best, place[at], owners
 
 
 def _block(table: pa.Table, asked: Queries) -> dict[str, list]:
@@ -102,10 +171,10 @@ def _block(table: pa.Table, asked: Queries) -> dict[str, list]:
     text = np.concatenate(numbers) if numbers else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(sizes)), sizes_)
     first = np.cumsum(sizes_) - sizes_
-    place, window = asked.search(text, row)
+    place, cover, best, at, owners = asked.search(text, row)
     mark = np.zeros(len(text) + 1, np.int64)
-    np.add.at(mark, place, 1)
-    np.add.at(mark, place + asked.length[window] if len(place) else place, -1)
+    mark[place] += 1  # a place is there once
+    np.add.at(mark, place + cover, -1)
     hit = np.cumsum(mark)[:-1] > 0
     pad = np.concatenate(([0], np.cumsum(hit)))
     n_hit = pad[first + sizes_] - pad[first] if len(sizes) else np.empty(0, np.int64)
@@ -114,21 +183,14 @@ def _block(table: pa.Table, asked: Queries) -> dict[str, list]:
     items: list[list[str]] = [[] for _ in sizes]
     spans: list[list[str]] = [[] for _ in sizes]
     if len(place):
-        doc, owner = row[place], asked.owner[window]
-        for d, o in np.unique(np.stack([doc, owner]), axis=1).T.tolist():
-            items[d].append(asked.ids[o])
-        # windows that follow each other in the document and in the item are one longer match
-        shift = place - asked.place[window]
-        source = asked.source[window]
-        order = np.lexsort((place, shift, source))
-        p, s, o = place[order], shift[order], source[order]
-        new = np.concatenate(([True], (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1]) | (o[1:] != o[:-1])))
-        head = np.flatnonzero(new)
-        tail = np.concatenate((head[1:], [len(p)])) - 1
-        run = p[tail] + asked.length[window[order][tail]] - p[head]
-        best = np.lexsort((-p[head], run, row[p[head]]))
-        longest[row[p[head]][best]] = run[best]
-        where[row[p[head]][best]] = (p[head] - first[row[p[head]]])[best]
+        order = np.lexsort((-place, best))
+        longest[row[place[order]]] = best[order]
+        where[row[place[order]]] = (place - first[row[place]])[order]
+        kinds = np.unique(row[at] * len(asked.sets) + owners)
+        for d, own in zip((kinds // len(asked.sets)).tolist(), (kinds % len(asked.sets)).tolist(), strict=True):
+            items[d].append(own)
+        for d in np.unique(kinds // len(asked.sets)).tolist():
+            items[d] = [asked.ids[i] for i in sorted(set().union(*(asked.sets[own] for own in items[d])))]
     for i in np.flatnonzero(n_hit).tolist():
         own = np.concatenate(([0], hit[first[i] : first[i] + sizes[i]].astype(np.int8), [0]))
         turn = np.flatnonzero(np.diff(own))
@@ -140,7 +202,7 @@ RESULT = "n_words long, n_hit long, items array<string>, hit_spans array<string>
 
 
 def _queries(benchmark: DataFrame, window: int, nameless: bool) -> tuple[int, Callable[[int], Queries]]:
-    """The number of blocks of items of about BLOCK_BYTES (a longer item is a block of its own), and how to get one."""
+    """The number of blocks of items of about BLOCK_BYTES, and how to get one."""
     items = (benchmark if nameless else benchmark.where("item_id is not null")).select(F.col("item_id").cast("string").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).distinct()
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = -(-size // BLOCK_BYTES) or 1

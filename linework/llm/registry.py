@@ -65,7 +65,7 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), nameless=True)
     return rows.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), decontaminate.items_digest(F.col("items")).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"), "longest", "longest_at",
     )
 
 
@@ -117,16 +117,20 @@ SQL: dict[str, str] = {
         from d""",
     "op10_suffix_decontam": r"""
         with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
-        b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as v from benchmark),
-        s as (select item_id, v, least(13, len(v)) as k, unnest(range(1, len(v) - least(13, len(v)) + 2)) as i from b where len(v) > 0),
+        b as (select row_number() over () as b, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as v from benchmark),
+        s as (select b, item_id, v, least(13, len(v)) as k, unnest(range(1, len(v) - least(13, len(v)) + 2)) as i from b where len(v) > 0),
         win as (select distinct item_id, k, array_to_string(v[i:i + k - 1], ' ') as g from s),
         pos as (select doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') as g from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from d, (select distinct k from win))),
         hit as materialized (select doc_id, i, k, item_id from pos join win using (k, g)),
         n as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hit) group by doc_id),
+        r as (select doc_id, b, p.i, k, p.i - s.i as shift from pos p join (select b, k, i, array_to_string(v[i:i + k - 1], ' ') as g from s) s using (k, g)),
+        t as (select *, i - row_number() over (partition by doc_id, b, shift order by i) as run from r),
+        l as (select doc_id, min(i) as spot, max(i) - min(i) + max(k) as len from t group by doc_id, b, shift, run),
+        o as (select doc_id, max(len) as longest, arg_min(spot, spot - len * 1000000000) as spot from l group by doc_id),
         m as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct doc_id, cast(item_id as varchar) as item from hit) group by doc_id)
         select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
-               coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated
-        from d left join n using (doc_id) left join m using (doc_id)""",
+               coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated, coalesce(longest, 0) as longest, coalesce(spot - 1, -1) as longest_at
+        from d left join n using (doc_id) left join m using (doc_id) left join o using (doc_id)""",
     "op4_tree_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256

@@ -108,3 +108,55 @@ def test_items_without_id_against_sql(spark, docs, monkeypatch, tmp_path):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         assert sorted(tuple(x) for x in registry.op10_suffix_decontam(spark, str(tmp_path)).select(cols).collect()) == want
         assert {x.doc_id for x in decontaminate.clean(docs(rows), spark.read.parquet(f"{tmp_path}/benchmark.parquet")).collect()} == {4, 5}
+
+
+def longest(doc, items, window=13):
+    cut = lambda t: WORD.findall(re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
+    best, w = (0, -1), cut(doc)
+    for v in {tuple(cut(x)) for _, x in items}:
+        for p in range(len(w)):
+            for a in range(len(v)):
+                n = 0
+                while p + n < len(w) and a + n < len(v) and w[p + n] == v[a + n]:
+                    n += 1
+                if n >= window or (n and n == len(v)):
+                    best = max(best, (n, -p))
+    return best[0], -best[1] if best[0] else -1
+
+
+def test_longest_matches_against_brute_force(spark, docs, monkeypatch):
+    rng = random.Random(11)
+    rows, items = made(rng)
+    rows = [*rows, *[(i + 100, (items[3][1] + " ") * 3) for i in range(3)], (200, " ".join(["w1"] * 70)), (201, (items[0][1] + " other ") + items[1][1] + " " + items[2][1])]
+    items = [*items, (50, " ".join(["w1"] * 40)), (51, items[3][1]), (52, "w3 " + items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {i: longest(t, items) for i, t in rows}
+    for size in (decontaminate.BLOCK_BYTES, 400):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+        assert {r.doc_id: (r.longest, r.longest_at) for r in decontaminate.hits(docs(rows), bench).collect()} == want
+
+
+def test_copies_of_items_and_of_passages_do_not_multiply():
+    import pyarrow as pa
+
+    passage = " ".join(f"q{i}" for i in range(13))
+    asked = decontaminate.Queries([(str(k), passage.encode()) for k in range(1500)])
+    assert len(asked.low) == 1 and len(asked.sets) == 1
+    table = pa.table({"text": [passage] * 1500})
+    text = decontaminate.np.array([asked.number[w.encode()] for w in passage.split()] * 1500)
+    place, cover, best, at, owners = asked.search(text, decontaminate.np.repeat(decontaminate.np.arange(1500), 13))
+    assert len(place) == len(owners) == 1500 and set(best.tolist()) == {13}
+    got = decontaminate._block(table.slice(0, 2), asked)
+    assert got["items"][1] == [str(k) for k in range(1500)] and got["n_hit"] == [13, 13]
+
+
+def test_long_copies_stay_fast():
+    import time
+
+    import pyarrow as pa
+
+    words = " ".join(["aa", "bb"] * 30_000)  # every place's suffix agrees with half of the others'
+    began = time.perf_counter()
+    got = decontaminate._block(pa.table({"text": [words, words + " cc"]}), decontaminate.Queries([("1", words.encode())]))
+    assert got["longest"] == [60_000, 60_000] and got["n_hit"] == [60_000, 60_000]
+    assert time.perf_counter() - began < 30
