@@ -1,23 +1,26 @@
 """Main text of web pages by text-to-tag ratios.
 
 The standard library's parser is fed in chunks; its events are cut into lines at block elements. Each line has a
-ratio of text length to tags, the ratios are smoothed with a Gaussian, and lines over the threshold form clusters.
+ratio of text length to tags, the ratios are smoothed with a Gaussian, and lines over the threshold form clusters. The clusters
+choose the region: if half their text or more lies in article and main elements, those elements with a fair share of it,
+whole (so that their short lines stay); otherwise the innermost container with four fifths of the clusters' text, or
+what lies between the first and the last cluster, without lines of mostly links.
+
 Structure corrects what ratios can't see: lines in navigation, headers, footers, asides, forms, scripts, hidden or
-advertising elements are never text. A class, id or role is a sign of those if a whole token of it is one or is a
-compound of signs and plain qualifiers (site-footer, but not has-sidebar); an element with a sign is text all the same
-if it holds the article or most of the page's text. And if clusters lie in an article or main element, the whole of that element
-is the region (so that its short lines stay). Otherwise it is the innermost container with four fifths of the clusters'
-text, or what lies between the first and the last cluster, without lines of mostly links.
+advertising elements are never text and count as lines of ratio 0. A class, id or role is a sign of those if a whole token of
+it is one or is a compound of signs and plain qualifiers (site-footer, but not has-sidebar); an element with a sign is text all
+the same if it holds the article or, on a page without an article elsewhere, most of the text.
 
 Nulls and empty pages give an empty text. Markup that isn't closed or well nested is closed where HTML's rules or
-the next structural element imply it. Repeated pages give repeated rows, an empty table an empty result. Other
-columns are ignored.
+the next structural element imply it. A page takes time in proportion to its length, however deep it is nested. Repeated
+pages give repeated rows, an empty table an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -45,42 +48,66 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"opti
 HOLDS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "option": {"select"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 REGIONS = frozenset({"article", "main"})
 CONTAINERS = frozenset({"div", "section", "td", "center", "dd"})
+#: What the search for elements to close doesn't look beyond, and what an article that was never closed before ends.
+BARRIERS = frozenset({"article", "main", "td", "th", "table", "button"})
+LEFT_OPEN = ("nav", "aside", "header", "form", "menu", "head")
 WIDTH = 1.0
 
 
-class Lines(HTMLParser):
-    """lines: (text, tags, characters in links, region or -1, whether it can be text, numbers of the open containers).
+@dataclass(slots=True)
+class Element:
+    tag: str
+    bad: bool  # in boilerplate
+    region: int  # number of the article or main around it, or -1
+    container: int  # numbers of the innermost container and marked element, itself included; 0 for none
+    mark: int
+    outside: int  # the innermost mark outside the article around it; -1 without an article
+    ends: bool  # whether its end ends a line
+
 
-    marks: the signs of each marked element; held: each line's open marks and how many of them stand around its innermost article.
-    """
+@dataclass(slots=True)
+class Line:
+    text: str
+    tags: int
+    linked: int  # characters in links
+    fit: bool  # whether it can be text
+    region: int
+    container: int
+    mark: int
+    outside: int
+
+
+class Lines(HTMLParser):
+    """lines; up: each container's parent; above: each marked element's parent, with its signs in marks. Parents have smaller numbers."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool, tuple[int, ...]]] = []
-        self.open: list[tuple[str, bool, int, int, int]] = []  # element, in boilerplate, region, number of a container, of a mark or -1
-        self.marks: list[set[str]] = []
-        self.held: list[tuple[tuple[int, ...], int]] = []
-        self.regions, self.text, self.tags, self.linked, self.containers = 0, [], 0, 0, 0
+        self.lines: list[Line] = []
+        self.open: list[Element] = []
+        self.at: dict[str, list[int]] = {}  # places of the open elements by tag
+        self.up, self.above, self.marks = [0], [0], [frozenset()]
+        self.regions, self.text, self.tags, self.linked = 0, [], 0, 0
+        self.top = Element("", False, -1, 0, 0, -1, False)
 
-    def state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, -1)
+    def innermost(self, tags: Iterable[str]) -> int:
+        """The place of the innermost open element of these tags, or -1."""
+        return max((own[-1] for t in tags if (own := self.at.get(t))), default=-1)
 
     def end_line(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                bad, region = self.state()
-                self.lines.append((text, self.tags, self.linked, region, not bad, tuple(x[3] for x in self.open if x[3])))
-                article = max((i for i, x in enumerate(self.open) if x[0] in REGIONS), default=-1)
-                self.held.append((tuple(x[4] for x in self.open if x[4] >= 0), sum(x[4] >= 0 for x in self.open[:article]) if article >= 0 else -1))
+                x = self.open[-1] if self.open else self.top
+                self.lines.append(Line(text, self.tags, self.linked, not x.bad, x.region, x.container, x.mark, x.outside))
                 self.tags = 0
-        self.text, self.linked = [], 0
+            self.text, self.linked = [], 0
 
     def cut(self, depth: int) -> None:
         """Closes all elements from depth on; the line ends if one of them is a block."""
-        if any(x[0] in BLOCKS or x[1] or x[4] >= 0 for x in self.open[depth:]):
+        if any(x.ends for x in self.open[depth:]):
             self.end_line()
-        del self.open[depth:]
+        while len(self.open) > depth:
+            self.at[self.open.pop().tag].pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.tags += 1
@@ -89,39 +116,44 @@ class Lines(HTMLParser):
             return
         if tag in BLOCKS:
             self.end_line()
-            for i in range(len(self.open) - 1, -1, -1):  # what this element closes by itself
-                name = self.open[i][0]
-                if name in CLOSES.get(tag, ()) or name == "p":
-                    self.cut(i)
-                    if name != "p":
-                        break
-                elif name in HOLDS.get(tag, ()) or name in REGIONS or name in ("td", "th", "table", "button"):
+            wall = self.innermost(BARRIERS | HOLDS.get(tag, frozenset()))
+            own = CLOSES.get(tag, frozenset())
+            while (i := max(self.innermost(own), self.innermost(("p",)))) >= 0:  # what this element closes by itself
+                if i < wall:
+                    break
+                again = self.open[i].tag == "p"
+                self.cut(i)
+                if not again:
                     break
         if tag in VOID:
             return
-        bad, region = self.state()
-        mark = -1
         if tag in REGIONS or tag == "footer":  # an element of navigation that was never closed ends here
-            for i, x in enumerate(self.open):
-                if x[0] in ("nav", "aside", "header", "form", "menu", "head") and x[2] == -1:
-                    self.cut(i)
-                    bad, region = self.state()
-                    break
+            left = [i for t in LEFT_OPEN for i in self.at.get(t, ())[:1] if self.open[i].region == -1]
+            if left:
+                self.cut(min(left))
+        x = self.open[-1] if self.open else self.top
+        bad, region, mark, signs = x.bad, x.region, x.mark, None
         if tag == "body":
             bad = False
         elif tag in NEVER or (tag == "header" and region == -1):
             bad = True
-        elif not bad and tag not in ("html", "article", "main"):
+        elif not bad and tag not in ("html", "article", "main") and attrs:
             bad = self.hidden(attrs)
             if not bad and (signs := self.signs(attrs)) and (region == -1 or signs - WITHIN):
                 mark = len(self.marks)
                 self.marks.append(signs)
+                self.above.append(x.mark)
+        outside = x.mark if tag in REGIONS else x.outside
         if tag in REGIONS and not bad and region == -1:
             region, self.regions = self.regions, self.regions + 1
-        if mark >= 0 or (bad and not self.state()[0]):
+        if mark != x.mark or (bad and not x.bad):
             self.end_line()
-        self.containers += tag in CONTAINERS
-        self.open.append((tag, bad, region, self.containers if tag in CONTAINERS else 0, mark))
+        container = x.container
+        if tag in CONTAINERS:
+            container = len(self.up)
+            self.up.append(x.container)
+        self.at.setdefault(tag, []).append(len(self.open))
+        self.open.append(Element(tag, bad, region, container, mark, outside, tag in BLOCKS or bad or mark != x.mark))
 
     @staticmethod
     def signs(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -149,38 +181,45 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for i in range(len(self.open) - 1, -1, -1):
-            name = self.open[i][0]
-            if name == tag:
-                self.cut(i)
-                return
-            if name in REGIONS and tag not in REGIONS and tag not in ("body", "html"):
-                return
-        if tag in BLOCKS:
+        i, wall = self.innermost((tag,)), self.innermost(REGIONS)
+        if i < wall and tag not in REGIONS and tag not in ("body", "html"):
+            return
+        if i >= 0:
+            self.cut(i)
+        elif tag in BLOCKS:
             self.end_line()
 
     def handle_data(self, data: str) -> None:
         self.text.append(data)
-        if any(x[0] == "a" for x in self.open[-3:]):
+        if any(x.tag == "a" for x in self.open[-3:]):
             self.linked += len(data)
 
-    def finish(self) -> list[tuple[str, int, int, int, bool, tuple[int, ...]]]:
+    def finish(self) -> list[Line]:
         self.close()
         self.end_line()
-        return self.judged()
-
-    def judged(self) -> list[tuple[str, int, int, int, bool, tuple[int, ...]]]:
-        """The lines, without those in marked elements that neither hold the article nor most of the page's text."""
-        size = [len(x[0]) if x[4] else 0 for x in self.lines]
-        clear, total = sum(n for n, (marks, _) in zip(size, self.held, strict=True) if not marks), sum(size)
-        beside = sum(n for n, (marks, at) in zip(size, self.held, strict=True) if not marks and at >= 0)  # text in unmarked articles
-        own, inside = [0] * len(self.marks), [0] * len(self.marks)
-        for n, (marks, at) in zip(size, self.held, strict=True):
-            for k, m in enumerate(marks):
-                own[m] += n
-                inside[m] += n if k < at else 0
-        lifted = [bool(n) and (not clear if signs & TALK else 2 * n > total or (a > 0 and a >= beside)) for signs, n, a in zip(self.marks, own, inside, strict=True)]
-        return [(*x[:4], x[4] and all(lifted[m] for m in marks), x[5]) for x, (marks, _) in zip(self.lines, self.held, strict=True)]
+        self.judge()
+        return self.lines
+
+    def judge(self) -> None:
+        """Lines in marked elements that neither hold the article nor most of the page's text can't be text."""
+        lines = [x for x in self.lines if x.fit]
+        own, inside, clear, beside = [0] * len(self.marks), [0] * len(self.marks), 0, 0
+        for x in lines:
+            n = len(x.text)
+            own[x.mark] += n
+            clear += n * (not x.mark)
+            beside += n * (not x.mark and x.outside >= 0)  # text in unmarked articles
+            inside[max(x.outside, 0)] += n
+        total = sum(own)
+        for m in range(len(self.marks) - 1, 0, -1):
+            own[self.above[m]] += own[m]
+            inside[self.above[m]] += inside[m]
+        ok = [True] * len(self.marks)
+        for m in range(1, len(self.marks)):
+            lifted = bool(own[m]) and (not clear if self.marks[m] & TALK else (2 * own[m] > total and not beside) or (inside[m] > 0 and inside[m] >= beside))
+            ok[m] = lifted and ok[self.above[m]]
+        for x in lines:
+            x.fit = ok[x.mark]
 
 
 def smoothed(ratios: np.ndarray, width: float = WIDTH) -> np.ndarray:
@@ -189,6 +228,16 @@ def smoothed(ratios: np.ndarray, width: float = WIDTH) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), weights / weights.sum(), "valid")
 
 
+def clusters(lines: list[Line]) -> np.ndarray:
+    """Which lines lie in clusters of text: those whose smoothed ratio of text to tags reaches the threshold."""
+    fit = np.array([x.fit for x in lines])
+    smooth = smoothed(np.array([len(x.text) / max(1, x.tags) for x in lines]) * fit)
+    threshold = min(smooth.std() if len(lines) > 2 else 0.0, smooth.mean())
+    plain = np.array([2 * x.linked <= len(x.text) or x.region >= 0 for x in lines])
+    found = fit & plain & (smooth >= threshold) & (smooth > 0)
+    return found if found.any() else fit
+
+
 def main_text(html: str) -> str:
     parser = Lines()
     for at in range(0, len(html), CHUNK):
@@ -196,31 +245,30 @@ def main_text(html: str) -> str:
     lines = parser.finish()
     if not lines:
         return ""
-    fit = np.array([x[4] for x in lines])
-    ratios = np.array([len(x[0]) / max(1, x[1]) for x in lines]) * fit
-    smooth = smoothed(ratios)
-    threshold = min(smooth.std() if len(lines) > 2 else 0.0, smooth.mean())
-    content = fit & (smooth >= threshold) & (smooth > 0)
-    region = np.array([x[3] for x in lines])
-    size = np.array([len(x[0]) for x in lines])
-    weight = {r: int(size[fit & (region == r)].sum()) for r in np.unique(region[content]).tolist() if r >= 0}
-    if weight:
+    found = clusters(lines)
+    fit, region, size = np.array([x.fit for x in lines]), np.array([x.region for x in lines]), np.array([len(x.text) for x in lines])
+    weight = {r: int(size[found & (region == r)].sum()) for r in np.unique(region[found]).tolist() if r >= 0}
+    total = int(size[found].sum())
+    if weight and 2 * sum(weight.values()) >= total:
         most = max(weight.values())
-        own = [r for r, n in weight.items() if 4 * n >= most]
-        content = fit & np.isin(region, own)
+        content = fit & np.isin(region, [r for r, n in weight.items() if 4 * n >= most])
     else:
-        plain = np.array([2 * x[2] <= len(x[0]) for x in lines])
-        content &= plain
-        if content.any():  # short lines between the clusters, or anywhere in the innermost container that holds them, are text too
-            held: dict[int, int] = {}
-            for x in np.flatnonzero(content).tolist():
-                for c in lines[x][5]:
-                    held[c] = held.get(c, 0) + int(size[x])
-            inner = max((c for c, n in held.items() if 5 * n >= 4 * size[content].sum()), default=0)
-            found = np.flatnonzero(content)
-            between = (np.arange(len(lines)) >= found[0]) & (np.arange(len(lines)) <= found[-1])
-            content = fit & plain & (np.array([inner in x[5] for x in lines]) if inner else between)
-    return "\n".join(x[0] for x, c in zip(lines, content, strict=True) if c)
+        content = fit & np.array([2 * x.linked <= len(x.text) or x.region >= 0 for x in lines])
+        # short lines between the clusters, or anywhere in the innermost container that holds them, are text too
+        held = np.zeros(len(parser.up), np.int64)
+        np.add.at(held, [x.container for x in lines], size * found)
+        for c in range(len(held) - 1, 0, -1):
+            held[parser.up[c]] += held[c]
+        inner = max((c for c in np.flatnonzero(5 * held >= 4 * total).tolist()), default=0)
+        if inner and total:
+            within = np.zeros(len(held), bool)
+            for c in range(inner, len(held)):
+                within[c] = c == inner or within[parser.up[c]]
+            content &= within[[x.container for x in lines]]
+        elif total:
+            at = np.flatnonzero(found)
+            content &= (np.arange(len(lines)) >= at[0]) & (np.arange(len(lines)) <= at[-1])
+    return "\n".join(x.text for x, c in zip(lines, content.tolist(), strict=True) if c)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -72,3 +72,53 @@ def test_parts_of_an_article_with_signs():
         <div class="site-footer">foot</div><div id="share-buttons">Share</div><div class="sidebar left">side</div></article>
         <div class="comments"><article>{long * 3}</article></div><div class="related"><article>Teaser</article></div>"""
     assert main_text(page) == "\n".join(["Head", long.strip(), "Mind this.", "Work."])
+
+
+LONG = "This is a sentence of the main text that goes on for a while. " * 4
+UNSIGNED = "<body><div>" + "<div><b>tag</b> <i>w</i> <b>x</b></div>" * 120 + f"</div><{{0}}><p>{LONG}</p><p>Short.</p><p>{LONG}</p></{{0}}><div>" + "<div><i>end</i> <b>y</b></div>" * 60 + "</div></body>"
+
+
+def test_ratios_choose_the_region(monkeypatch):
+    import numpy as np
+
+    for tag in ("div", "article"):
+        want = "\n".join([LONG.strip(), "Short.", LONG.strip()])
+        assert main_text(UNSIGNED.format(tag)) == want
+    with monkeypatch.context() as m:
+        m.setattr(html_text, "smoothed", lambda ratios, width=1.0: np.full(len(ratios), 5.0))
+        for tag in ("div", "article"):
+            assert main_text(UNSIGNED.format(tag)) != want
+
+
+def test_clusters_against_brute_force():
+    import math
+    import random
+
+    rng = random.Random(7)
+    for _ in range(200):
+        lines = [html_text.Line("x" * rng.choice([1, 5, 40, 200]), rng.randrange(5), rng.choice([0, 0, 0, 100]), rng.random() < 0.8, rng.choice([-1, 0]), 0, 0, -1) for _ in range(rng.randrange(1, 30))]
+        ratios = [len(x.text) / max(1, x.tags) if x.fit else 0.0 for x in lines]
+        smooth = []
+        for i in range(len(lines)):
+            w = [math.exp(-d * d / 2) for d in range(-3, 4)]
+            near = [ratios[min(max(i + d, 0), len(lines) - 1)] for d in range(-3, 4)]
+            smooth.append(sum(a * b for a, b in zip(w, near)) / sum(w))
+        mean = sum(smooth) / len(smooth)
+        spread = math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)) if len(lines) > 2 else 0.0
+        want = [x.fit and s > 0 and s >= min(mean, spread) - 1e-12 and (x.region >= 0 or 2 * x.linked <= len(x.text)) for x, s in zip(lines, smooth)]
+        assert html_text.clusters(lines).tolist() == (want if any(want) else [x.fit for x in lines])
+
+
+def test_deep_and_long_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    for page in ("<div>word" * n, "<p><button>" + "<div>" * n + "x", "<article>" + "<div class=ad><p>word" * n, "<b>" * n + "x<p>y</p>" * n, "<ul>" + "<li>a" * n):
+        began = time.process_time()
+        main_text(page)
+        assert time.process_time() - began < 12  # quadratic would take hours
+
+
+def test_short_article_beside_longer_boilerplate():
+    page = f"<body><nav><a href=1>one</a></nav><div class=ad>{LONG}</div><article><h1>Tiny</h1><p>Er.</p></article><footer>{LONG}</footer></body>"
+    assert main_text(page) == "Tiny\nEr."
