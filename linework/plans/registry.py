@@ -851,3 +851,6 @@ def extended_lines(spark, sf_dir):
     found = lines.withColumn("pattern", pattern).withColumn("has", sequences.contains("steps", F.col("pattern"))).withColumn("low", F.array_min("steps"))
     one = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
     return sequences.extended(found, one(-1), one(-2, -3)).select("line_id", F.size("steps").cast("long").alias("n"), "low", "has")
+
+
+from linework.plans import bundling  # noqa: E402, F401  its queries register themselves here
