@@ -2,11 +2,12 @@
 
 Candidates are the three base kinds (assignments, access keys, hex runs) and long mixed runs of key characters. The
 hashes of their values are aggregated over the corpus by distinct repositories and owners: a value that many owners
-have is a copied example, one that few have is a live-looking credential of theirs. Base spans always stay; mixed
-runs outside them are added if they are owner-specific.
+have, or that stands in very many repositories whoever owns them, is a copied example; one of few owners and not so many
+repositories is a live-looking credential of theirs. Base spans always stay; mixed runs outside them are added if they are
+owner-specific.
 
-Positions come from the pieces between matches, so each text is scanned once for each kind and only the matches
-travel. Values are counted by (value, repository, owner) before they are counted by value, and hot values are
+Positions come from the pieces between matches. For each kind a text is tested, and if it holds a match, matched and split by the
+same pattern; only the matches travel. Values are counted by (value, repository, owner) before they are counted by value, and hot values are
 broadcast instead of shuffled to one task.
 
 Nulls: a null text is empty; a null repository or owner is one of its own. Repeated rows are results of their own. An
@@ -28,8 +29,8 @@ LEAST_ASSIGNED = 6
 #: A mixed run: long enough, with letters and digits and many different characters.
 RUN, LEAST_DISTINCT = "[A-Za-z0-9+/_=-]{20,}", 10
 KINDS = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "owner": RUN}
-#: A value of at most so many owners is theirs; of more, a copied example.
-MOST_OWNERS = 2
+#: A value of at most so many owners, in at most so many repositories, is theirs; of more, a copied example.
+MOST_OWNERS, MOST_REPOS = 2, 20
 
 
 def _matches(text: Column, rank: int, pattern: str) -> Column:
@@ -70,13 +71,13 @@ def ownership(spans: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.sum("n").alias("n"), F.countDistinct("repo").alias("repos"), F.countDistinct("owner").alias("owners"))
 
 
-def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = MOST_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, repo: Column | None = None, owner: Column | None = None, most_owners: int = MOST_OWNERS, most_repos: int = MOST_REPOS) -> DataFrame:
     """doc_id and `found`: structs (start, rank, end, repos, owners, live) in order, of every row."""
     repo, owner = repo if repo is not None else F.col("source"), owner if owner is not None else F.col("source")
     rows, spans = found(docs, repo, owner)
     seen = written(ownership(spans), "ownership")
     named = lookup(spans.withColumn("key", F.unhex(F.sha2("value", 256))), seen, "key", "n", spans.count())
-    live = F.col("owners") <= most_owners
+    live = (F.col("owners") <= most_owners) & (F.col("repos") <= most_repos)
     kept = named.where((F.col("rank") < 3) | live)
     each = kept.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "repos", "owners", live.alias("live")))).alias("found"))
     none = F.array().cast(each.schema["found"].dataType)
