@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linework.operators import spatial
+
 # Directions of the eight label positions, y downwards.
 H = 0.5**0.5
 SIDES = {"top": (0.0, -1.0), "top_right": (H, -H), "right": (1.0, 0.0), "bottom_right": (H, H), "bottom": (0.0, 1.0), "bottom_left": (-H, H), "left": (-1.0, 0.0), "top_left": (-H, -H)}
@@ -36,6 +38,54 @@ def label_offset(side: Column, clearance: float) -> tuple[Column, Column, Column
     return nx * clearance, dy, F.when(F.abs(nx) < 0.3, "middle").when(nx > 0, "start").otherwise("end")
 
 
+def block_shift(nx: Column, ny: Column, height: Column) -> tuple[Column, Column]:
+    """(dx, dy) of a block of lines that is `height` higher than one: blocks at the side are centred, and slanting ones move
+    outwards by as much, so that their distance from the line stays; a block on top rises by its whole height."""
+    side, slant = F.abs(nx) > 0.3, F.abs(ny) > 0.3
+    dx = F.when((height > 0) & side & slant, F.signum(nx) * height / 2).otherwise(0.0)
+    return dx, F.when(height <= 0, 0.0).when(side, -height / 2).when(ny < -0.3, -height).otherwise(0.0)
+
+
+def label_box(x: Column, y: Column, side: Column, n_lines: Column, width: Column, font: float, clearance: float, extra: Column) -> list[Column]:
+    """(x0, y0, x1, y1) of a label's block at (x, y). extra: height of what hangs below it, counted for labels at the side."""
+    table = lambda i: F.create_map(*[F.lit(v) for v in chain.from_iterable((k, v[i]) for k, v in SIDES.items())])
+    nx, ny = F.try_element_at(table(0), side), F.try_element_at(table(1), side)
+    dx, dy, anchor = label_offset(side, clearance)
+    height = (n_lines - 1) * font * 1.15
+    flat = (F.abs(nx) > 0.3) & (F.abs(ny) <= 0.3)
+    sx, sy = block_shift(nx, ny, height + F.when(flat, extra).otherwise(0.0))
+    lx, ly = x + dx + sx, y + dy + sy
+    x0 = F.when(anchor == "middle", lx - width / 2).when(anchor == "end", lx - width).otherwise(lx)
+    return [x0, ly - 0.75 * font, x0 + width, ly + height + 0.25 * font]
+
+
+def sideways(boxes: DataFrame, segments: DataFrame, cell: float, margin: float) -> DataFrame:
+    """box: labels (box, x0, y0, x1, y1: their box on the left) that some line (seg, ax, ay, bx, by) runs through, so they go right."""
+    return spatial.hits(segments, boxes, cell, margin).select("box").distinct()
+
+
+def ink_extent(probes: DataFrame, segments: DataFrame, sign: float, half: float, reach: float = 90.0) -> DataFrame:
+    """id, extent: how far lines (seg, ax, ay, bx, by, `half` wide to each side) reach from a point in x direction `sign`, within
+    the band y0 to y1 of its label alone. probes: (id, x, y, y0, y1). Segments with both ends farther than reach don't count."""
+    ends = [F.least("ax", "bx") - reach, F.least("ay", "by") - reach, F.greatest("ax", "bx") + reach, F.greatest("ay", "by") + reach]
+    both = spatial.in_cells(probes, [F.col("x"), F.col("y")] * 2, reach * 2).join(spatial.in_cells(segments, ends, reach * 2), ["cx", "cy"])
+    near = F.least(F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y")), F.hypot(F.col("bx") - F.col("x"), F.col("by") - F.col("y"))) <= reach
+    dy = (F.col("by") - F.col("ay")).cast("double")
+    at = F.array(F.lit(0.0), F.lit(1.0), (F.col("y0") - F.col("ay")) / F.when(F.abs(dy) > 1e-9, dy), (F.col("y1") - F.col("ay")) / F.when(F.abs(dy) > 1e-9, dy))
+    flat = both.where(near).select("id", "x", "y0", "y1", "ax", "ay", "bx", "by", F.explode(at).alias("t")).where("t between -1e-9 and 1 + 1e-9")
+    qx, qy = F.col("ax") + F.col("t") * (F.col("bx") - F.col("ax")), F.col("ay") + F.col("t") * (F.col("by") - F.col("ay"))
+    inside = flat.where(qy.between(F.col("y0") - half, F.col("y1") + half))
+    return inside.groupBy("id").agg(F.max((qx - F.col("x")) * sign + half).alias("extent"))
+
+
+def badge_row(rows: DataFrame, wanted: str) -> DataFrame:
+    """rank: as badge_order, but for maps where an explicit order takes the whole row and may mix both kinds: the named in its order, then
+    the unnamed, full before hollow, by length and id."""
+    place = F.array_position(F.coalesce(F.col(wanted), F.array().cast("array<string>")), F.col("line_id"))
+    w = Window.partitionBy("station_id").orderBy(F.when(place > 0, place).otherwise(1 << 30), "hollow", F.length("line_id"), "line_id")
+    return rows.withColumn("rank", F.row_number().over(w))
+
+
 def badge_order(rows: DataFrame, wanted: str) -> DataFrame:
     """rank: a station's badges, full before hollow, then by their place in the array `wanted`, unnamed ones last by id."""
     place = F.array_position(F.coalesce(F.col(wanted), F.array().cast("array<string>")), F.col("line_id"))

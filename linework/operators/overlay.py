@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.errors import require_empty
@@ -51,3 +51,37 @@ def chained(changes: DataFrame, keys: list[str], version: str) -> DataFrame:
 def planned(stations: DataFrame) -> DataFrame:
     """Copies of stations that are only planned: the label stands in brackets."""
     return stations.withColumn("label", F.concat(F.lit("("), F.coalesce("label", "name"), F.lit(")"))).withColumn("planned", F.lit(True))
+
+
+def listed(rows: DataFrame, key: str = "id", given: str | None = None) -> DataFrame:
+    """A definition's rows keyed by `key`, whether they came as a list or as a map with its own keys (column `given`).
+
+    Rows of a list are keyed by themselves; in a map the given key counts. Keys that repeat raise GeometryError.
+    """
+    out = rows if given is None else rows.withColumn(key, F.coalesce(F.col(given), F.col(key))).drop(given)
+    require_empty(out.groupBy(key).count().where("count > 1").select(key), f"{key} repeats")
+    return out
+
+
+def derived(parent: dict[str, DataFrame], deltas: dict[str, DataFrame], keys: dict[str, list[str]]) -> dict[str, DataFrame]:
+    """The next version of a network: every table of the parent with its changes, as merged has them; tables without changes stay.
+
+    A delta for a table that the parent doesn't have raises KeyError. Derived networks are parents of later ones.
+    """
+    unknown = sorted(set(deltas) - set(parent))
+    if unknown:
+        raise KeyError(f"no such tables: {', '.join(unknown)}")
+    return {name: merged(t, deltas[name], keys[name], check=True) if name in deltas else t for name, t in parent.items()}
+
+
+def changed(rows: DataFrame, which: Column, **fields: Column) -> DataFrame:
+    """A copy in which the rows that meet `which` have other fields. Fields that aren't there raise KeyError."""
+    unknown = sorted(set(fields) - set(rows.columns))
+    if unknown:
+        raise KeyError(f"no such fields: {', '.join(unknown)}")
+    return rows.withColumns({c: F.when(which, v).otherwise(F.col(c)) for c, v in fields.items()})
+
+
+def families(lines: DataFrame) -> DataFrame:
+    """line_id, family of the lines that have one of their own."""
+    return lines.where("family is not null and family <> ''").select("line_id", "family")

@@ -167,6 +167,17 @@ def spliced(lines: DataFrame, old: Column, new: Column, strict: bool = True) ->
     return lines.withColumn("steps", F.when(at > 0, done).otherwise(missing))
 
 
+def rewritten(lines: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
+    """Rules (old, new) one after the other on every line, in the direction it is driven; lines with neither stay.
+
+    Where old stands backwards, new is put in backwards too, so that lines of both directions keep the same edges.
+    """
+    for old, new in rules:
+        there = F.when(F.size("steps") > 0, find("steps", old) > 0).otherwise(False)
+        lines = spliced(lines.withColumn("_ahead", there), F.when(there, old).otherwise(F.reverse(old)), F.when(F.col("_ahead"), new).otherwise(F.reverse(new)), strict=False).drop("_ahead")
+    return lines
+
+
 def inserted(lines: DataFrame, anchor: Column, new: Column) -> DataFrame:
     """new follows the first anchor; a line without it stays."""
     at = F.array_position("steps", anchor).cast("int")

@@ -139,3 +139,74 @@ def first_on_rays(rays: DataFrame, segments: DataFrame, cell: float) -> DataFram
     t, u = (qx * ey - qy * ex) / F.when(det != 0, det), (qx * dy - qy * dx) / F.when(det != 0, det)
     best = F.min(F.struct(t.alias("t"), F.col("seg")))
     return both.where((t > 0) & (t <= 1) & u.between(0, 1)).groupBy("ray").agg(best.alias("b")).select("ray", "b.seg", "b.t")
+
+
+def pieces_in_circle(segments: DataFrame, circles: DataFrame) -> DataFrame:
+    """circle, line_id, piece, ax, ay, bx, by: what lies of lines (line_id, pos, ax, ay, bx, by) inside circles (circle, line_id, x, y, r);
+    parts that follow each other without leaving are one piece, numbered from 1."""
+    both = segments.join(circles, "line_id")
+    dx, dy = (F.col("bx") - F.col("ax")).cast("double"), (F.col("by") - F.col("ay")).cast("double")
+    fx, fy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
+    a, b, c = dx * dx + dy * dy, 2 * (fx * dx + fy * dy), fx * fx + fy * fy - F.col("r") * F.col("r")
+    root = F.sqrt(b * b - 4 * a * c)
+    both = both.where((a > 1e-12) & (b * b - 4 * a * c > 0))
+    t0, t1 = F.greatest(F.lit(0.0), (-b - root) / (2 * a)), F.least(F.lit(1.0), (-b + root) / (2 * a))
+    cut = both.withColumn("t0", t0).withColumn("t1", t1).where("t0 < t1")
+    line = Window.partitionBy("circle", "line_id").orderBy("pos")
+    fresh = (F.col("t0") > 0) | (F.lag("t1").over(line) < 1) | (F.lag("pos").over(line) != F.col("pos") - 1) | (F.row_number().over(line) == 1)
+    cut = cut.withColumn("_new", F.coalesce(fresh, F.lit(True)).cast("int")).withColumn("piece", F.sum("_new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    at = lambda t, p, d: F.col(p) + F.col(t) * d
+    return cut.select("circle", "line_id", "piece", "pos", at("t0", "ax", dx).alias("ax"), at("t0", "ay", dy).alias("ay"), at("t1", "ax", dx).alias("bx"), at("t1", "ay", dy).alias("by"))
+
+
+def window_radius(crossings: DataFrame, segments: DataFrame, width: float, casing: float) -> DataFrame:
+    """crossing, radius: how wide a crossing (crossing, upper, lower, x, y) is drawn anew: to the farthest sample of the upper line, taken
+    at steps of 1, that lies closer to the lower line than width and casing; the casing and 1 more, six widths at most.
+
+    segments: (line_id, pos, ax, ay, bx, by).
+    """
+    near, most = width + casing, 6 * width
+    c = lambda *names: [F.col(n) for n in names]
+
+    def gap(px: Column, py: Column) -> Column:
+        ax, ay, bx, by = c("ax", "ay", "bx", "by")
+        n2 = ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)).cast("double")
+        t = F.when(n2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / n2))).otherwise(0.0)
+        return F.hypot(px - ax - t * (bx - ax), py - ay - t * (by - ay))
+
+    over = crossings.join(segments.withColumnRenamed("line_id", "upper"), "upper")
+    n = F.greatest(F.floor(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))), F.lit(1))
+    samples = over.where(gap(F.col("x"), F.col("y")) <= most).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long"))))
+    samples = samples.select("crossing", "lower", "x", "y", (F.col("ax") + F.col("k") / F.col("n") * (F.col("bx") - F.col("ax"))).alias("qx"), (F.col("ay") + F.col("k") / F.col("n") * (F.col("by") - F.col("ay"))).alias("qy"))
+    samples = samples.withColumn("far", F.hypot(F.col("qx") - F.col("x"), F.col("qy") - F.col("y"))).where(F.col("far") <= most)
+    under = crossings.select("crossing", F.col("lower").alias("line_id"), "x", "y").join(segments, "line_id").where(gap(F.col("x"), F.col("y")) < most + near).select("crossing", "ax", "ay", "bx", "by")
+    hit = samples.select("crossing", "qx", "qy", "far").join(under, "crossing").where(gap(F.col("qx"), F.col("qy")) < near)
+    found = hit.groupBy("crossing").agg(F.max("far").alias("far"))
+    return crossings.select("crossing").join(found, "crossing", "left").select("crossing", F.least(F.coalesce("far", F.lit(0.0)) + casing + 1, F.lit(most)).alias("radius"))
+
+
+def parallel_run(points: DataFrame, pairs: DataFrame, tolerance: float, reach: int = 4, least_cosine: float = 0.966) -> DataFrame:
+    """p, q, run: how far each line p runs from its start beside q (pairs: p, q): nearer than the tolerance and in its direction.
+
+    points: (line_id, pos, x, y) without gaps in pos. Directions are taken over `reach` places to both sides; of equally near points
+    of q the first counts. q's points are looked for in cells of the tolerance.
+    """
+    line = Window.partitionBy("line_id").orderBy("pos")
+    wide = line.rowsBetween(-reach, reach)
+    first, last = F.first, F.last
+    step = F.coalesce(F.hypot(F.col("x") - F.lag("x").over(line), F.col("y") - F.lag("y").over(line)), F.lit(0.0))
+    own = points.withColumn("_d", step).withColumn("s", F.sum("_d").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    own = own.withColumn("tx", (last("x").over(wide) - first("x").over(wide)).cast("double")).withColumn("ty", (last("y").over(wide) - first("y").over(wide)).cast("double"))
+    n = F.greatest(F.hypot("tx", "ty"), F.lit(1e-9))
+    own = kept(own.select("line_id", "pos", "x", "y", "s", (F.col("tx") / n).alias("tx"), (F.col("ty") / n).alias("ty")))
+    left = own.select(F.col("line_id").alias("p"), "pos", "x", "y", "s", "tx", "ty").join(pairs, "p")
+    box = [F.col("x") - tolerance, F.col("y") - tolerance, F.col("x") + tolerance, F.col("y") + tolerance]
+    right = in_cells(own.select(F.col("line_id").alias("q"), F.col("pos").alias("qpos"), F.col("x").alias("qx"), F.col("y").alias("qy"), F.col("tx").alias("qtx"), F.col("ty").alias("qty")), [F.col("qx"), F.col("qy")] * 2, tolerance)
+    d2 = (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx")) + (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy"))
+    met = in_cells(left, box, tolerance).join(right, ["q", "cx", "cy"]).where(d2 <= tolerance * tolerance)
+    nearest_ = met.groupBy("p", "q", "pos").agg(F.min_by((F.col("tx") * F.col("qtx") + F.col("ty") * F.col("qty")) >= least_cosine, F.struct(d2.alias("d2"), "qpos")).alias("same"))
+    marked = left.select("p", "q", "pos", "s").join(nearest_, ["p", "q", "pos"], "left").withColumn("ok", F.coalesce("same", F.lit(False)))
+    stop = marked.groupBy("p", "q").agg(F.min(F.when(~F.col("ok"), F.col("pos"))).alias("stop"))
+    inside = marked.join(stop, ["p", "q"]).where("stop is null or pos < stop")
+    runs = inside.groupBy("p", "q").agg(F.max("s").alias("run"))
+    return pairs.join(runs, ["p", "q"], "left").select("p", "q", F.coalesce("run", F.lit(0.0)).alias("run"))

@@ -853,4 +853,4 @@ def extended_lines(spark, sf_dir):
     return sequences.extended(found, one(-1), one(-2, -3)).select("line_id", F.size("steps").cast("long").alias("n"), "low", "has")
 
 
-from linework.plans import bundling  # noqa: E402, F401  its queries register themselves here
+from linework.plans import bundling, drawings  # noqa: E402, F401  their queries register themselves here

@@ -8,7 +8,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.errors import require_empty
@@ -57,21 +57,29 @@ def ways(elements: DataFrame) -> DataFrame:
 def stitched(ways_: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
     """Rings from pieces that meet at their ends, in either direction; what stays open is closed by force.
 
-    Each ring grows at its open end by the first unused piece that has an end there; rings of less than four points
-    are dropped.
+    Pieces are edges of a graph whose nodes are their ends. A walk starts with the first piece left, at that piece's end, and
+    takes at each node the first piece left there, until it is back or stuck; rings of less than four points are dropped.
     """
-    unused, ends = dict(enumerate(ways_)), {}
+    at: dict[tuple[float, float], list[int]] = {}
     for i, w in enumerate(ways_):
-        for end in (w[0], w[-1]):
-            ends.setdefault(end, []).append(i)
+        for node in {w[0], w[-1]}:
+            at.setdefault(node, []).append(i)
+    left = set(range(len(ways_)))
     rings = []
-    while unused:
-        ring = list(unused.pop(min(unused)))
-        while ring[0] != ring[-1] and (more := [i for i in ends[ring[-1]] if i in unused]):
-            piece = unused.pop(more[0])
-            ring += (piece if piece[0] == ring[-1] else piece[::-1])[1:]
-        ring += ring[:1] if ring[0] != ring[-1] else []
-        rings += [ring] if len(ring) >= 4 else []
+    for i in range(len(ways_)):
+        if i not in left:
+            continue
+        walk, ring = i, [ways_[i][0]]
+        while walk is not None:
+            left.discard(walk)
+            piece = ways_[walk]
+            ring.extend(piece[1:] if piece[0] == ring[-1] else piece[-2::-1])
+            closed = ring[-1] == ring[0]
+            walk = None if closed else next((k for k in at[ring[-1]] if k in left), None)
+        if ring[-1] != ring[0]:
+            ring.append(ring[0])
+        if len(ring) >= 4:
+            rings.append(ring)
     return rings
 
 
@@ -103,3 +111,48 @@ def areas(elements: DataFrame) -> DataFrame:
 def stops(elements: DataFrame) -> DataFrame:
     """name, lon, lat of named nodes."""
     return elements.where("type = 'node' and lon is not null").select(F.try_element_at("tags", F.lit("name")).alias("name"), "lon", "lat").where("name is not null")
+
+
+#: Tracks that are drawn, and service tracks that aren't.
+RAILWAY, SKIP_SERVICE = ("light_rail", "rail"), ("crossover", "siding", "yard", "spur")
+
+
+def rails(elements: DataFrame, railway: tuple[str, ...] = RAILWAY, skip_service: tuple[str, ...] = SKIP_SERVICE) -> DataFrame:
+    """way_id, source, elem_pos, pts: ways of two points or more that are such tracks and no such service tracks."""
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    own = elements.where("type = 'way'").where(tag("railway").isin(*railway) & ~F.coalesce(tag("service"), F.lit("")).isin(*skip_service))
+    return own.select(F.col("id").alias("way_id"), "source", "elem_pos", _points("geometry").alias("pts")).where(F.size("pts") >= 2)
+
+
+def of_relations(elements: DataFrame, relations: Column, kind: str, members: Column, others: Column) -> DataFrame:
+    """Elements of a kind ('way' or 'node') that a relation of the given condition has as members and that meet `members`, or
+    that meet `others` by themselves; each once. The conditions are columns of elements."""
+    wanted = elements.where("type = 'relation'").where(relations).select(F.explode("members").alias("m")).where(F.col("m.type") == kind).select(F.col("m.ref").alias("id")).distinct()
+    own = elements.where(F.col("type") == kind)
+    return own.where(members).join(wanted, "id", "left_semi").unionByName(own.where(others)).dropDuplicates(["id"])
+
+
+def line_tracks(elements: DataFrame) -> DataFrame:
+    """Tracks that a numbered light-rail line's relation uses, and light-rail tracks that are no service tracks."""
+    tag = lambda k: F.try_element_at("tags", F.lit(k))
+    return of_relations(elements, _numbered(), "way", tag("railway").isNotNull(), (tag("railway") == "light_rail") & tag("service").isNull())
+
+
+def line_stops(elements: DataFrame) -> DataFrame:
+    """Stops of numbered light-rail lines' relations, and all stations and halts."""
+    return of_relations(elements, _numbered(), "node", F.lit(True), F.coalesce(F.try_element_at("tags", F.lit("railway")).rlike("^(station|halt)$"), F.lit(False)))
+
+
+def _numbered() -> Column:
+    return F.coalesce(F.try_element_at("tags", F.lit("route")).rlike("^(light_rail|train)$") & F.try_element_at("tags", F.lit("ref")).rlike("^S[0-9]"), F.lit(False))
+
+
+def store(answers: DataFrame, path: str) -> None:
+    """Writes answers (query, document) gzipped, each in a folder named by its query's key."""
+    key = F.substring(F.sha1("query"), 1, 12)
+    answers.select(key.alias("key"), "document").dropDuplicates(["key"]).write.mode("append").partitionBy("key").option("compression", "gzip").text(path)
+
+
+def stored(spark: SparkSession, path: str, query: str) -> DataFrame:
+    """read_elements of the answer to one query, found by its key alone."""
+    return read_elements(spark, f"{path}/key={cache_key(query)}")
