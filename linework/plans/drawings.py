@@ -109,7 +109,7 @@ def crossing_areas(spark, sf_dir):
     return u.join(o, "seg").withColumn("a", area).where("a is not null").select("seg", r(F.col("a.x")).alias("x"), r(F.col("a.y")).alias("y"), r(first["x"]).alias("x1"), r(first["y"]).alias("y1"))
 
 
-@query(f"""{SEGMENTS_SQL}, q as (select id, x, y, case id % 3 when 0 then 1 when 1 then 0 else 0.6::double end as ux, case id % 3 when 0 then 0 when 1 then 1 else 0.8::double end as uy from p), r as (select *, case seg % 3 when 0 then ax + 12 when 1 then ax else ax + 9 end as cx, case seg % 3 when 0 then ay when 1 then ay + 12 else ay + 12 end as cy from s),
+@query(f"""{SEGMENTS_SQL}, q as (select id, x + 3 + id % 11 as x, y - 2 as y, case id % 3 when 0 then 1 when 1 then 0 else 0.6::double end as ux, case id % 3 when 0 then 0 when 1 then 1 else 0.8::double end as uy from p), r as (select *, case seg % 3 when 0 then ax + 12 when 1 then ax else ax + 9 end as cx, case seg % 3 when 0 then ay when 1 then ay + 12 else ay + 12 end as cy from s),
     d as (select q.id, x, y, ax, ay, cx - ax as dx, cy - ay as dy, ux, uy from q join r on abs(x - ax) < 30 and abs(y - ay) < 30),
     t as (select *, greatest(0::double, least(1::double, ((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy)::double)) as t from d where abs(ux * dy - uy * dx) / sqrt(dx * dx + dy * dy) <= 1e-6)
     select distinct id from t where sqrt(power(x - ax - t * dx, 2) + power(y - ay - t * dy, 2)) < 7.3""")
@@ -117,7 +117,7 @@ def ring_sides(spark, sf_dir):
     """Points that run beside a segment of their own direction."""
     p = A.points(spark, sf_dir)
     kind = F.col("id") % 3
-    probes = p.select("id", "x", "y", F.when(kind == 0, 1.0).when(kind == 1, 0.0).otherwise(0.6).alias("ux"), F.when(kind == 0, 0.0).when(kind == 1, 1.0).otherwise(0.8).alias("uy"))
+    probes = p.select("id", (F.col("x") + 3 + F.col("id") % 11).alias("x"), (F.col("y") - 2).alias("y"), F.when(kind == 0, 1.0).when(kind == 1, 0.0).otherwise(0.6).alias("ux"), F.when(kind == 0, 0.0).when(kind == 1, 1.0).otherwise(0.8).alias("uy"))
     ring = p.select(F.col("id").alias("seg"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.when(kind == 0, 12).when(kind == 1, 0).otherwise(9)).alias("bx"), (F.col("y") + F.when(kind == 0, 0).otherwise(12)).alias("by"))
     return M.beside_ring(probes, ring, 7.3)
 

@@ -77,7 +77,7 @@ def line_courses(coordinates: DataFrame, steps: DataFrame) -> DataFrame:
     """net_id, line_id, pts: each line's stations in order (steps: net_id, line_id, pos, station_id) with their coordinates (net_id,
     station, x, y). Grid coordinates grow upwards, drawings downwards."""
     on = steps.join(coordinates.withColumnRenamed("station", "station_id"), ["net_id", "station_id"])
-    return on.groupBy("net_id", "line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda s: D.point(s["x"], -s["y"])).alias("pts"))
+    return on.groupBy("net_id", "line_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda s: D.point(s["x"], F.lit(0.0) - s["y"])).alias("pts"))
 
 
 def schematic_elements(coordinates: DataFrame, stations: DataFrame, lines: DataFrame, steps: DataFrame, scale: float = 20.0, width: float = 4.0, dot: float = 3.0, label_font: float = 10.0) -> DataFrame:
@@ -85,7 +85,7 @@ def schematic_elements(coordinates: DataFrame, stations: DataFrame, lines: DataF
 
     Hidden stations have neither dot nor label, hubs no dot; a planned station's is pale.
     """
-    px = lambda c, sign=1: F.col(c) * scale * sign
+    px = lambda c, sign=1: F.lit(0.0) + F.col(c) * (scale * sign)
     stops = steps.where("step_kind = 'station'").select("net_id", "line_id", "pos", "station_id")
     course = line_courses(coordinates, stops).join(lines.select("net_id", "line_id", "color"), ["net_id", "line_id"])
     big = F.transform("pts", lambda p: D.point(p["x"] * scale, p["y"] * scale))
