@@ -21,9 +21,10 @@ as they occur. An empty table gives an empty result. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
 from itertools import count, islice
@@ -111,13 +112,17 @@ class Words:
         low = text.lower()
         return (text if any(s.lower() in low for s in self.special) else low).split()
 
-    def stem(self, word: bytes) -> tuple[bytes, bytes]:
-        """The word's letters and the punctuation behind them, which are encoded apart; else the word and nothing."""
-        stem = word.rstrip(MARKS)
-        if len(stem) == len(word):
-            return word, b""
-        text = stem.decode()
-        return (stem, word[len(stem) :]) if (text if text.isascii() else self.tokenizer.normalizer.normalize_str(text)).isalpha() else (word, b"")
+    @staticmethod
+    def stems_of(words: Iterable[bytes]) -> list[bytes]:
+        """For each word its letters and the punctuation behind them, which are encoded apart; else the word and nothing."""
+        out = []
+        for w in words:
+            stem = w.rstrip(MARKS)
+            if len(stem) == len(w) or not (stem.isalpha() or (not stem.isascii() and unicodedata.normalize("NFC", stem.decode()).lower().isalpha())):
+                out += (w, b"")
+            else:
+                out += (stem, w[len(stem) :])
+        return out
 
     def encode(self, texts: list[bytes], close: int) -> tuple[np.ndarray, np.ndarray]:
         """All documents' ids end to end, each with the closing id, and their counts."""
@@ -132,10 +137,7 @@ class Words:
             lens.append(len(w))
             rows.append(np.fromiter(map(number.__getitem__, w), np.int32, len(w)))
         if len(number) > old:
-            parts = []
-            for w in islice(number, old, None):
-                parts += self.stem(w)
-            index = self.stems.look_up(parts)
+            index = self.stems.look_up(self.stems_of(islice(number, old, None)))
             s = self.stems
             self.flat = np.concatenate((self.flat, gather(index, s.first, s.size, s.flat)))
             self.size = np.concatenate((self.size, s.size[index].reshape(-1, 2).sum(1)))
