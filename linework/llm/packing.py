@@ -27,7 +27,7 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import count, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -61,27 +61,62 @@ def gather(which: np.ndarray, first: np.ndarray, size: np.ndarray, flat: np.ndar
     return np.concatenate(out) if out else flat[:0]
 
 
+def letters(part: bytes) -> bool:
+    """Whether the tokenizer's normaliser leaves nothing but letters."""
+    return part.isalpha() or (not part.isascii() and unicodedata.normalize("NFC", part.decode()).lower().isalpha())
+
+
 class Stems:
-    """Ids of parts of words, remembered between blocks; part 0 is empty."""
+    """Ids of parts of words, remembered between blocks; part 0 is empty.
+
+    Parts of letters are encoded many at a time, with spaces between: each ends with the only word end among its ids. Where
+    their number isn't that of the word ends, and for all other parts, each is encoded alone.
+    """
+
+    JOINED = 200
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
         self.number: dict[bytes, int] = defaultdict(count(1).__next__, {b"": 0})
         self.size, self.first, self.flat = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(0, np.uint16)
+        vocabulary = tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
 
     def look_up(self, parts: list[bytes]) -> np.ndarray:
         number, old = self.number, len(self.number)
         out = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
         new = list(islice(number, old, None))
-        sizes, ids = [], []
-        for at in range(0, len(new), 20_000):
-            for e in self.tokenizer.encode_batch_fast([x.decode() for x in new[at : at + 20_000]], add_special_tokens=False):
-                own = e.ids
-                sizes.append(len(own))
-                ids += own
-        self.size = np.concatenate((self.size, np.array(sizes, np.int64)))
-        self.flat = np.concatenate((self.flat, np.array(ids, np.uint16)))
-        self.first = np.cumsum(self.size) - self.size
+        joined, alone = [], []
+        for i, x in enumerate(new):
+            (joined if letters(x) else alone).append(i)
+        places, sizes, ids = [], [], [self.flat]
+        for at in range(0, len(joined), 100 * self.JOINED):
+            some = [joined[k : k + self.JOINED] for k in range(at, min(at + 100 * self.JOINED, len(joined)), self.JOINED)]
+            texts = [b" ".join([new[i] for i in own]).decode() for own in some]
+            for own, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                flat = np.array(e.ids, np.uint16)
+                size = np.diff(np.flatnonzero(self.ends[flat]), prepend=-1)
+                if len(size) == len(own) and size.sum() == len(flat):
+                    places += own
+                    sizes.append(size)
+                    ids.append(flat)
+                else:
+                    alone += own
+        for at in range(0, len(alone), 20_000):
+            own = alone[at : at + 20_000]
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast([new[i].decode() for i in own], add_special_tokens=False)]
+            places += own
+            sizes.append(np.fromiter(map(len, lists), np.int64, len(lists)))
+            ids.append(np.fromiter(chain.from_iterable(lists), np.uint16))
+        size = np.concatenate([np.zeros(0, np.int64), *sizes])
+        order = np.array(places, np.int64)
+        first = np.empty(len(new), np.int64)
+        first[order] = len(self.flat) + np.cumsum(size) - size
+        own_size = np.empty(len(new), np.int64)
+        own_size[order] = size
+        self.size, self.first = np.concatenate((self.size, own_size)), np.concatenate((self.first, first))
+        self.flat = np.concatenate(ids)
         return out
 
 
@@ -118,10 +153,7 @@ class Words:
         out = []
         for w in words:
             stem = w.rstrip(MARKS)
-            if len(stem) == len(w) or not (stem.isalpha() or (not stem.isascii() and unicodedata.normalize("NFC", stem.decode()).lower().isalpha())):
-                out += (w, b"")
-            else:
-                out += (stem, w[len(stem) :])
+            out += (stem, w[len(stem) :]) if len(stem) < len(w) and letters(stem) else (w, b"")
         return out
 
     def encode(self, texts: list[bytes], close: int) -> tuple[np.ndarray, np.ndarray]:

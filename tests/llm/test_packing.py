@@ -100,3 +100,16 @@ def test_ids_are_the_tokenizers():
         rows = np.split(ids, np.cumsum(total)[:-1])
         for x, row in zip(part, rows, strict=True):
             assert row.tolist() == [*t.encode(x, add_special_tokens=False).ids, 1], repr(x)
+
+
+def test_parts_joined_or_alone_have_the_same_ids(monkeypatch):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_vocabulary())
+    parts = [x.encode() for x in ("alpha", "straße", "\u212aelvin", "ΣΑΣ", "日本語", "x1", "!!", "e\u0301t", "\ufb01n", "don't", "\u0130x", "a\U0001e5d0b", "ꟑ", "z" * 300)]
+    want = [t.encode(p.decode(), add_special_tokens=False).ids for p in parts]
+    for joined in (1, 2, 5, 200):
+        monkeypatch.setattr(packing.Stems, "JOINED", joined)
+        stems = packing.Stems(t)
+        index = np.concatenate([stems.look_up(parts[:4]), stems.look_up(parts[2:])[2:]])
+        assert [stems.flat[stems.first[i] : stems.first[i] + stems.size[i]].tolist() for i in index] == want
