@@ -99,22 +99,23 @@ def place_boxes(names: list[str], w: np.ndarray, h: np.ndarray, x: np.ndarray, y
     A box costs POINT_COST for each obstacle point in it, BOX_COST for each box placed before that it overlaps, and
     SHIFT_COST for leaving the first choice behind, growing with its place in the order of sides.
     """
-    taken = np.empty((0, 4))
-    out = []
-    sides = list(SIDES)
+    way = np.array(list(SIDES.values()))
+    beside, shift = np.sign(np.round(way, 1)), SHIFT_COST * np.arange(len(way)) / len(way)
+    by_x = np.argsort(ox, kind="stable")
+    ox, oy = ox[by_x], oy[by_x]
+    sides, taken, out = list(SIDES), np.empty((len(names), 4)), []
     for k in range(len(names)):
-        best = None
-        for rank, side in enumerate(sides):
-            nx, ny = SIDES[side]
-            cx, cy = x[k] + nx * clearance + np.sign(round(nx, 1)) * w[k] / 2, y[k] + ny * clearance + np.sign(round(ny, 1)) * h[k] / 2
-            box = np.array([cx - w[k] / 2, cy - h[k] / 2, cx + w[k] / 2, cy + h[k] / 2])
-            points = ((ox >= box[0]) & (ox <= box[2]) & (oy >= box[1]) & (oy <= box[3])).sum()
-            boxes = ((taken[:, 0] < box[2]) & (box[0] < taken[:, 2]) & (taken[:, 1] < box[3]) & (box[1] < taken[:, 3])).sum()
-            cost = POINT_COST * points + BOX_COST * boxes + SHIFT_COST * rank / len(sides)
-            if best is None or cost < best[0]:
-                best = (cost, side, box)
-        out.append(best[1])
-        taken = np.vstack((taken, best[2]))
+        half = np.array([w[k], h[k]]) / 2
+        middle = np.array([x[k], y[k]]) + way * clearance + beside * half
+        box = np.hstack((middle - half, middle + half))
+        x0, y0, x1, y1 = (box[:, i : i + 1] for i in range(4))
+        near = slice(np.searchsorted(ox, x0.min()), np.searchsorted(ox, x1.max(), "right"))  # obstacles that any of the eight may hold
+        points = ((ox[near] >= x0) & (ox[near] <= x1) & (oy[near] >= y0) & (oy[near] <= y1)).sum(axis=1)
+        t = taken[:k]
+        boxes = ((t[:, 0] < x1) & (x0 < t[:, 2]) & (t[:, 1] < y1) & (y0 < t[:, 3])).sum(axis=1)
+        choice = int(np.argmin(POINT_COST * points + BOX_COST * boxes + shift))  # the first of equal ones
+        out.append(sides[choice])
+        taken[k] = box[choice]
     return out
 
 
@@ -132,6 +133,13 @@ def placed(labels: DataFrame, obstacles: DataFrame, clearance: float = 6.0) -> D
     return labels.groupBy("map_id").cogroup(obstacles.groupBy("map_id")).applyInPandas(run, "map_id long, id long, side string")
 
 
+def drawing_order(elements: DataFrame) -> DataFrame:
+    """map_id, at, text: each map's elements (map_id, level, id, text) numbered from 1 in drawing order; rows, so that no map is
+    gathered in one string."""
+    w = Window.partitionBy("map_id").orderBy("level", "id", "text")
+    return elements.select("map_id", F.row_number().over(w).cast("long").alias("at"), "text")
+
+
 def documents(elements: DataFrame, width: float, height: float) -> DataFrame:
     """map_id, svg: each map's elements (map_id, level, id, text) in drawing order as one SVG document."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("level", "id", "text"))), lambda e: e["text"]), "\n")

@@ -31,21 +31,54 @@ def near(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     return both.where(d2 <= radius * radius).select("id", "x", "y", "node", "nx", "ny", F.sqrt(d2.cast("double")).alias("d"))
 
 
-def nearest(probes: DataFrame, points: DataFrame, radius: float, rounds: int = 40) -> DataFrame:
-    """id, node, d: the nearest point of each probe, the smaller node of equal ones.
+#: How many cells of one level lie side by side in a cell of the level above.
+FAN = 4
 
-    Probes without a point in the radius are searched again with twice the radius.
+
+def pyramid(at: DataFrame) -> list[DataFrame]:
+    """(cx, cy, x0, y0, x1, y1) for each level, finest first: the box around the points (cx, cy, x, y) of each cell that has any.
+
+    Cells are numbered from 0, so that the last level is the one cell (0, 0).
+    """
+    box = [F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1")]
+    out = [kept(at.groupBy("cx", "cy").agg(*box))]
+    up = [F.floor(F.col(c) / FAN).alias(c) for c in ("cx", "cy")]
+    wider = [f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]
+    while out[-1].limit(2).count() > 1:
+        out.append(kept(out[-1].groupBy(*up).agg(*wider)))
+    return out
+
+
+def nearest(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
+    """id, node, d: the nearest point (node, x, y) of each probe (id, x, y), the smaller node of equal ones.
+
+    Probes without a point in the radius go down a pyramid of cells: at each level a probe keeps the cells whose nearest corner may
+    be as near as the farthest corner of another. So a far probe meets a few boxes for each level, and cells stay as small as the
+    radius. Probes and points without coordinates take no part; without any point the result is empty.
     """
-    found, left = None, kept(probes.select("id", "x", "y"))
-    for _ in range(rounds):
-        best = near(left, points, radius).groupBy("id").agg(F.min(F.struct("d", "node")).alias("b")).select("id", "b.node", "b.d")
-        best = kept(best)
-        found = best if found is None else found.unionByName(best)
-        left = kept(left.join(best.select("id"), "id", "left_anti"))
-        if not left.limit(1).count() or not points.limit(1).count():
-            break
-        radius *= 2
-    return found
+    here = F.col("x").isNotNull() & F.col("y").isNotNull()
+    probes, points = probes.where(here).select("id", "x", "y"), points.where(here)
+    best = F.min(F.struct("d", "node")).alias("b")
+    found = kept(near(probes, points, radius).groupBy("id").agg(best).select("id", "b.node", "b.d"))
+    left = kept(probes.join(found.select("id"), "id", "left_anti"))
+    cell = [F.floor(F.col(c) / radius).cast("long") for c in ("x", "y")]
+    low = points.agg(F.min(cell[0]), F.min(cell[1])).first()
+    if low[0] is None or not left.limit(1).count():
+        return found
+    at = points.select("node", "x", "y", (cell[0] - low[0]).alias("cx"), (cell[1] - low[1]).alias("cy"))
+    asked = left.select("id", "x", "y", F.lit(0).cast("long").alias("cx"), F.lit(0).cast("long").alias("cy"))
+    below = lambda c: F.explode(F.sequence(F.col(c) * FAN, F.col(c) * FAN + FAN - 1))
+    least = lambda c: F.greatest(F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"), F.lit(0))
+    most = lambda c: F.greatest(F.col(f"{c}1") - F.col(c), F.col(c) - F.col(f"{c}0"))
+    squares = lambda f: (f("x") * f("x") + f("y") * f("y")).cast("double")
+    for boxes in reversed(pyramid(at)[:-1]):
+        both = asked.withColumn("cx", below("cx")).withColumn("cy", below("cy")).join(boxes, ["cx", "cy"])
+        bound = F.min(squares(most)).over(Window.partitionBy("id"))
+        asked = kept(both.withColumn("bound", bound).where(squares(least) <= F.col("bound")).select("id", "x", "y", "cx", "cy"))
+    far = asked.join(at.select("cx", "cy", "node", F.col("x").alias("nx"), F.col("y").alias("ny")), ["cx", "cy"])
+    dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
+    far = far.select("id", "node", F.sqrt((dx * dx + dy * dy).cast("double")).alias("d")).groupBy("id").agg(best).select("id", "b.node", "b.d")
+    return found.unionByName(kept(far))
 
 
 def overlapping(boxes: DataFrame, cell: float) -> DataFrame:
@@ -92,10 +125,12 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFra
     return at.join(box, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").groupBy("box").agg(F.count("*").alias("n"))
 
 
-def nearest_segment(probes: DataFrame, segments: DataFrame, radius: float) -> DataFrame:
-    """id, seg, t, d: the nearest segment within the radius of each probe (id, x, y) and where on it (0 to 1)."""
+def nearest_segment(probes: DataFrame, segments: DataFrame, radius: float, apart: Column | None = None) -> DataFrame:
+    """id, seg, t, d: the nearest segment within the radius of each probe (id, x, y) and where on it (0 to 1); of the pairs of id
+    and seg that meet the condition `apart`, if given."""
     ends = [F.least("ax", "bx") - radius, F.least("ay", "by") - radius, F.greatest("ax", "bx") + radius, F.greatest("ay", "by") + radius]
     both = in_cells(probes, [F.col("x"), F.col("y")] * 2, radius).join(in_cells(segments, ends, radius), ["cx", "cy"])
+    both = both if apart is None else both.where(apart)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n2 = (dx * dx + dy * dy).cast("double")
     t = F.when(n2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n2))).otherwise(0.0)

@@ -391,8 +391,8 @@ def nearest_node(spark, sf_dir):
 BOXES_SQL = f"with p as ({A.POINTS_SQL}), b as (select id, x as x0, y as y0, x + 5 + id % 20 as x1, y + 5 + id % 13 as y1 from p)"
 
 
-def _boxes(spark, sf_dir):
-    return A.points(spark, sf_dir).select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 5 + F.col("id") % 20).alias("x1"), (F.col("y") + 5 + F.col("id") % 13).alias("y1"))
+def _boxes(spark, sf_dir, points=A.points):
+    return points(spark, sf_dir).select("id", F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("x") + 5 + F.col("id") % 20).alias("x1"), (F.col("y") + 5 + F.col("id") % 13).alias("y1"))
 
 
 @query(f"{BOXES_SQL} select a.id as a, o.id as b from b a join b o on a.id < o.id and a.x0 < o.x1 and o.x0 < a.x1 and a.y0 < o.y1 and o.y0 < a.y1")
@@ -403,8 +403,8 @@ def box_overlaps(spark, sf_dir):
 SEGMENTS_SQL = f"with p as ({A.POINTS_SQL}), s as (select id as seg, id % 5 as family, x as ax, y as ay, x + id % 37 - 18 as zx, y + id % 41 - 20 as zy from p)"
 
 
-def _segments(spark, sf_dir):
-    return A.points(spark, sf_dir).select(F.col("id").alias("seg"), (F.col("id") % 5).alias("family"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("id") % 37 - 18).alias("bx"), (F.col("y") + F.col("id") % 41 - 20).alias("by"))
+def _segments(spark, sf_dir, points=A.points):
+    return points(spark, sf_dir).select(F.col("id").alias("seg"), (F.col("id") % 5).alias("family"), F.col("x").alias("ax"), F.col("y").alias("ay"), (F.col("x") + F.col("id") % 37 - 18).alias("bx"), (F.col("y") + F.col("id") % 41 - 20).alias("by"))
 
 
 @query(f"""{SEGMENTS_SQL}, q as (select s.seg as a, o.seg as b, s.ax, s.ay, s.zx - s.ax as dx, s.zy - s.ay as dy, o.zx - o.ax as ex, o.zy - o.ay as ey, o.ax - s.ax as qx, o.ay - s.ay as qy
@@ -853,4 +853,4 @@ def extended_lines(spark, sf_dir):
     return sequences.extended(found, one(-1), one(-2, -3)).select("line_id", F.size("steps").cast("long").alias("n"), "low", "has")
 
 
-from linework.plans import bundling, drawings, networks  # noqa: E402, F401  their queries register themselves here
+from linework.plans import bundling, drawings, networks, sites  # noqa: E402, F401  their queries register themselves here

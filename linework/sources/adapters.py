@@ -1,13 +1,13 @@
 """Star-schema tables seen as network definitions, so that every operator has data of any size.
 
 legs: an order is a line, its suppliers are stations, quantity is a leg's length, the return flag a turn behind it.
-points: parts on an integer grid, with degrees. polylines: a user's events. overlay: suppliers changed by customers.
+points: parts on an integer grid, with degrees. sites, visitors: parts and customers on ground that grows with them. polylines: a user's events. overlay: suppliers changed by customers.
 groups: customers' segments as group lists. names: all names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -38,6 +38,39 @@ POINTS_SQL = """select p_partkey as id, (p_partkey * 7919) % 1009 as x, (p_partk
     cast(52.52542 as double) + ((p_partkey * 104729) % 1013 - 506) / cast(3000 as double) as lat from part"""
 
 
+def _spread(key: str, step: int) -> tuple[Column, Column]:
+    """Whole coordinates of a key from 0: keys fill the diagonals of a quadrant one after the other, each with a square of `step` for
+    itself, so that the ground grows with the table and its density doesn't."""
+    k = F.col(key)
+    diagonal = F.floor((F.sqrt((8 * k + 1).cast("double")) - 1) / 2).cast("long")
+    along = k - (diagonal * (diagonal + 1) / 2).cast("long")
+    return (diagonal - along) * step + (k * 7919) % 13, along * step + (k * 104729) % 11
+
+
+def _spread_sql(table_: str, key: str, step: int) -> str:
+    d = f"cast(floor((sqrt(cast(8 * {key} + 1 as double)) - 1) / 2) as bigint)"
+    return f"""select id, (d - (id - d * (d + 1) // 2)) * {step} + (id * 7919) % 13 as x, (id - d * (d + 1) // 2) * {step} + (id * 104729) % 11 as y
+    from (select {key} as id, {d} as d from {table_})"""
+
+
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x, y: parts, one for each square of 16."""
+    x, y = _spread("id", 16)
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id")).select("id", x.alias("x"), y.alias("y"))
+
+
+SITES_SQL = _spread_sql("part", "p_partkey", 16)
+
+
+def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, x, y: customers, one for each square of 23; many are beyond the sites' ground."""
+    x, y = _spread("id", 23)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id")).select("id", x.alias("x"), y.alias("y"))
+
+
+VISITORS_SQL = _spread_sql("customer", "c_custkey", 23)
+
+
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_id, pos, x, y: whole numbers."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
