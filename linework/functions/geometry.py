@@ -43,6 +43,28 @@ def turn_angle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.degrees(F.atan2(ax * by - ay * bx, ax * bx + ay * by))
 
 
+def unit(dx: Column, dy: Column) -> tuple[Column, Column]:
+    """(ux, uy) of length 1; (0, 0) for a vector without length."""
+    n = F.hypot(dx, dy)
+    part = lambda d: F.when(n < 1e-12, 0.0).otherwise(d / F.when(n > 0, n))
+    return part(dx), part(dy)
+
+
+def leg_direction(ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    return unit(bx - ax, by - ay)
+
+
+def entry(items: Column, i: Column, ring: Column) -> Column:
+    """Item i, counted from 0: on a ring around and around, else null beyond the ends."""
+    n = F.size(items)
+    return F.when((n > 0) & ring, F.get(items, F.pmod(i, n).cast("int"))).when((n > 0) & (i >= 0) & (i < n), F.get(items, i.cast("int")))
+
+
+def oriented(points: Column, direction: Column) -> Column:
+    """A piece's points as they are driven: backwards for a negative direction."""
+    return F.when(direction < 0, F.reverse(points)).otherwise(points)
+
+
 def bearing(dx: Column, dy: Column, tolerance: float = 1e-6) -> Column:
     """The bearing (y upwards) of a vector, if it is one of the eight within the tolerance; else null."""
     n = F.hypot(dx, dy)

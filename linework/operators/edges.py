@@ -50,6 +50,31 @@ def inner_ends(legs: DataFrame, routes: DataFrame) -> DataFrame:
     return on.join(ends, ["line_id", "station_id"], "left_anti").distinct()
 
 
+def free_ends(ends: DataFrame, branch: DataFrame) -> DataFrame:
+    """line_id, shown, station_id: where lines (line_id, first, last) really end: rings nowhere, branches (branch: line_id, trunk_id,
+    joins) at the end where they don't join their trunk, under whose name they are shown."""
+    both = ends.where("first <> last").join(branch.select("line_id", "trunk_id", "joins"), "line_id", "left")
+    flat = both.select("line_id", F.coalesce("trunk_id", "line_id").alias("shown"), "joins", F.explode(F.array("first", "last")).alias("station_id"))
+    return flat.where("joins is null or station_id <> joins").select("line_id", "shown", "station_id")
+
+
+def shown_ends(ends: DataFrame) -> DataFrame:
+    """station_id, lines: the names shown at each station (ends: line_id, shown, station_id), once each, in the order of lines."""
+    once = ends.groupBy("station_id", "shown").agg(F.min("line_id").alias("line_id"))
+    return once.groupBy("station_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_id", "shown"))), lambda x: x["shown"]).alias("lines"))
+
+
+def partial_ends(routes: DataFrame, calls: DataFrame, ends: DataFrame, redirect: DataFrame) -> DataFrame:
+    """line_id, shown, station_id: where some trains of a line end but not the line. routes: (line_id, shown, name), names of trains'
+    ends; calls: (line_id, pos, station_id, name) without hidden stations; ends: as of free_ends; redirect: (station_id, at), stations
+    that are shown at another one. Names that aren't on the line are left out, and so is what ends there anyway; of stations with
+    one name on a line the last counts."""
+    named = calls.groupBy("line_id", "name").agg(F.max_by("station_id", "pos").alias("station_id"))
+    on = routes.join(named, ["line_id", "name"]).join(ends.select("line_id", "station_id").distinct(), ["line_id", "station_id"], "left_anti")
+    moved = on.join(redirect, "station_id", "left").select("line_id", "shown", F.coalesce("at", "station_id").alias("station_id"))
+    return moved.join(ends.select("shown", "station_id").distinct(), ["shown", "station_id"], "left_anti").select("line_id", "shown", "station_id").distinct()
+
+
 def branches(legs: DataFrame, trunk: DataFrame) -> DataFrame:
     """line_id, trunk_id, n_on: how many ends of a branch lie on its trunk; exactly one is right.
 

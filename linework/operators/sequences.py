@@ -5,6 +5,8 @@ All take rows of (line_id, pos, ...); a line's rows are one window partition, an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -148,6 +150,34 @@ def corners(points: DataFrame, reach: int, threshold: float) -> DataFrame:
     return runs.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("line_id", "pos", "turn")
 
 
+def turns(points: DataFrame, k: int, limit: float) -> DataFrame:
+    """line_id, pos, turn: the sharpest place of each run that turns by more than `limit` radians over 2 * k steps; places at most k
+    apart are one run, of equally sharp ones the first counts. Headings are unwrapped: each step's change is the smaller way round.
+    Lines (line_id, pos without gaps, x, y) of fewer than 8 * k points have none."""
+    heading = F.atan2((F.lead("y").over(line()) - F.col("y")).cast("double"), (F.lead("x").over(line()) - F.col("x")).cast("double"))
+    change = F.lead("_h").over(line()) - F.col("_h")
+    bend = F.pmod(change + F.lit(math.pi), F.lit(2 * math.pi)) - F.lit(math.pi)
+    n = F.count("*").over(Window.partitionBy("line_id"))
+    own = points.select("line_id", "pos", "x", "y").withColumn("_n", n).withColumn("_h", heading).withColumn("_bend", bend)
+    ahead = line().rowsBetween(0, 2 * k - 1)
+    own = own.withColumn("turn", F.round(F.abs(F.sum("_bend").over(ahead)), 9)).withColumn("_full", F.count("_bend").over(ahead))
+    sharp = own.where((F.col("_n") >= 8 * k) & (F.col("_full") == 2 * k) & (F.col("turn") > limit))
+    run = F.sum(F.coalesce(F.col("pos") - F.lag("pos").over(line()) > k, F.lit(True)).cast("int")).over(so_far())
+    return sharp.withColumn("_run", run).groupBy("line_id", "_run").agg(F.max(F.struct("turn", (-F.col("pos")).alias("p"))).alias("b")).select("line_id", (k - F.col("b.p")).alias("pos"), "b.turn")
+
+
+def directions(points: DataFrame, length: float, from_end: bool = False) -> DataFrame:
+    """line_id, dx, dy: where the first (or last) `length` of each line leads, taken to (or from) the first vertex at or behind that
+    place; lines without length are left out."""
+    whole = Window.partitionBy("line_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    own = arc_length(points).withColumn("_i", F.row_number().over(line())).withColumn("_n", F.max("_i").over(whole)).withColumn("_total", F.max("s").over(whole))
+    reached = F.min(F.when(F.col("s") >= (F.col("_total") - length if from_end else F.lit(length)), F.col("_i"))).over(whole)
+    at = F.greatest(F.least(reached, F.col("_n") - 1), F.lit(1)) if from_end else F.least(F.greatest(F.coalesce(reached, F.col("_n")), F.lit(2)), F.col("_n"))
+    place = lambda c: F.max(F.when(F.col("_i") == F.col("_at"), F.col(c)))
+    end = lambda c: F.max(F.when(F.col("_i") == F.col("_n"), F.col(c))) - place(c) if from_end else place(c) - F.max(F.when(F.col("_i") == 1, F.col(c)))
+    return own.where("_total > 0").withColumn("_at", at).groupBy("line_id").agg(end("x").alias("dx"), end("y").alias("dy"))
+
+
 def steps_array(steps: DataFrame) -> DataFrame:
     """line_id, steps: a line's stations in order."""
     ordered = F.array_sort(F.collect_list(F.struct("pos", "station_id")))

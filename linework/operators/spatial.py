@@ -139,12 +139,15 @@ def nearest_segment(probes: DataFrame, segments: DataFrame, radius: float, apart
     return both.where(d <= radius).groupBy("id").agg(best.alias("b")).select("id", "b.seg", "b.t", "b.d")
 
 
-def located(names: DataFrame, stops: DataFrame, tracks: DataFrame, most: float) -> tuple[DataFrame, DataFrame]:
-    """(placed, missing) of names (id, key) among stops (key, x, y) near the track points (node, x, y).
+def located(names: DataFrame, stops: DataFrame, tracks: DataFrame, most: float, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(placed, missing) of names (id, key) among stops (key, x, y) near the track points (node, x, y). aliases: (id, alias), keys
+    that some ids are looked up by instead.
 
     A station is the mean of its name's stops that lie within `most` of the tracks and of the best of them; it is
     missing without a stop of its name, or if none is that near.
     """
+    if aliases is not None:
+        names = names.join(aliases.select("id", "alias"), "id", "left").withColumn("key", F.coalesce("alias", "key")).drop("alias")
     numbered = kept(stops.withColumn("stop", F.monotonically_increasing_id()))
     wanted = numbered.join(names.select("key").distinct(), "key", "left_semi")
     on_track = near(wanted.select(F.col("stop").alias("id"), "x", "y"), tracks, most).groupBy("id").agg(F.min("d").alias("d"))
