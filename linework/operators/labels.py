@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.operators import spatial
+from linework.operators.graph import kept
+from linework.operators.marks import box_at
 
 # Directions of the eight label positions, y downwards.
 H = 0.5**0.5
@@ -133,6 +135,95 @@ def placed(labels: DataFrame, obstacles: DataFrame, clearance: float = 6.0) -> D
     return labels.groupBy("map_id").cogroup(obstacles.groupBy("map_id")).applyInPandas(run, "map_id long, id long, side string")
 
 
+# Directions that a block is tried in, from the right and clockwise; steps sideways and up or down beside a mark; what a
+# step costs, the room that is kept free, and how corner blocks are set.
+AROUND = ((1.0, 0.0), (H, H), (0.0, 1.0), (-H, H), (-1.0, 0.0), (-H, -H), (0.0, -1.0), (H, -H))
+OUTWARDS, UPWARDS = 25, (0, -1, 1, -2, 2, -3, 3, -4, 4, -6, 6, -8, 8)
+OUT_COST, UP_COST, ROOM, ROOM_BESIDE = 1.0, 1.5, 1.5, 2.0
+TEXT_TOP, LINE_GAP, CORNER_GAP, CORNER_UP, CORNER_LEFT, CORNER_RIGHT = 0.08, 0.1, 1.0, 2.5, 2.0, 3.0
+
+
+def choices(labels: DataFrame) -> DataFrame:
+    """map_id, id, first, rank, early, base, room, x0, y0, x1, y1, ux, uy, shift_x, shift_y: where the block of each label may stand, in the
+    order in which they are tried, and what that costs by itself.
+
+    labels: (map_id, id, first, mode, x, y, w, h, reach, ux, uy, shift_x, shift_y, through, ends_only, font, n_lines, mx0, my0, mx1, my1). By mode:
+    auto: all around, best along (ux, uy), or both ways along it if lines run through; where lines only end, the sides come
+    first (early), if nothing is there. beside: left or right, a little outwards, up or down. toward: at (ux, uy). corner: at
+    the corner (ux, uy) of the mark's box (mx0, my0, mx1, my1). fixed: its upper left corner at the shift.
+    """
+    way = lambda i, early, x, y: F.struct(F.lit(i).alias("rank"), F.lit(early).alias("early"), F.lit(x).alias("ux"), F.lit(y).alias("uy"))
+    along = lambda w: w["ux"] * F.col("ux") + w["uy"] * F.col("uy")
+
+    def placed_at(rows: DataFrame, base: Column, room: float, moved: tuple[Column, Column] | None = None, free: bool = True) -> DataFrame:
+        box = box_at(F.col("x"), F.col("y"), F.col("w.ux"), F.col("w.uy"), F.col("w_"), F.col("h"), F.col("reach"))
+        if moved:
+            box = [box[0] + moved[0], box[1] + moved[1], box[2] + moved[0], box[3] + moved[1]]
+        return rows.select("map_id", "id", "first", "w.rank", "w.early", base.alias("base"), F.lit(room).alias("room"), *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)], "w.ux", "w.uy", "shift_x", "shift_y", F.lit(free).alias("free"))
+
+    own = labels.withColumn("w_", F.col("w"))
+    all_ways = F.array(*[way(2 + i, False, *d) for i, d in enumerate(AROUND)])
+    ways = F.when(F.col("ends_only"), F.concat(F.array(way(0, True, 1.0, 0.0), way(1, True, -1.0, 0.0)), all_ways)).otherwise(all_ways)
+    auto = own.where("mode = 'auto'").withColumn("w", F.explode(ways))
+    out = placed_at(auto, SHIFT_COST * (1 - F.when(F.col("through"), F.abs(along(F.col("w")))).otherwise(along(F.col("w")))), ROOM)
+
+    steps = F.explode(F.sequence(F.lit(0), F.lit(2 * OUTWARDS * len(UPWARDS) - 1)))
+    side = own.where("mode = 'beside'").withColumn("k", steps).withColumn("d", F.when(F.col("k") < OUTWARDS * len(UPWARDS), 1.0).otherwise(-1.0))
+    side = side.withColumn("w", F.struct(F.col("k").alias("rank"), F.lit(False).alias("early"), F.col("d").alias("ux"), F.lit(0.0).alias("uy")))
+    sideways_, up = F.floor(F.col("k") / len(UPWARDS)) % OUTWARDS, F.get(F.array(*map(F.lit, UPWARDS)), (F.col("k") % len(UPWARDS)).cast("int"))
+    out = out.unionByName(placed_at(side, sideways_ * OUT_COST + UP_COST * F.abs(up), ROOM_BESIDE, (F.col("d") * sideways_, up)))
+
+    given = F.struct(F.lit(0).alias("rank"), F.lit(False).alias("early"), F.col("ux"), F.col("uy"))
+    alone = own.where("mode in ('toward', 'corner', 'fixed')").withColumn("w", given)
+    at = box_at(F.col("x"), F.col("y"), F.col("w.ux"), F.col("w.uy"), F.col("w_"), F.col("h"), F.col("reach"))
+    below, left = F.col("w.uy") > 0, F.col("w.ux") < 0
+    text = F.col("n_lines") * F.col("font") + (F.col("n_lines") - 1) * F.col("font") * LINE_GAP
+    cx = F.when(left, F.col("mx0") - F.col("w_") - F.when(below, CORNER_LEFT).otherwise(0.0)).otherwise(F.col("mx1") + F.when(below, CORNER_RIGHT).otherwise(0.0))
+    cy = F.when(below, F.col("my1") + CORNER_GAP - F.col("font") * TEXT_TOP - CORNER_UP).otherwise(F.col("my0") - CORNER_GAP - text)
+    by = lambda corner, free: F.when(F.col("mode") == "corner", corner).when(F.col("mode") == "fixed", 0.0).otherwise(free)
+    x0, y0 = by(cx, at[0]), by(cy, at[1])
+    single = alone.select("map_id", "id", "first", "w.rank", "w.early", F.lit(0.0).alias("base"), F.lit(ROOM).alias("room"), x0.alias("x0"), y0.alias("y0"), (x0 + F.col("w_")).alias("x1"), (y0 + F.col("h")).alias("y1"), "w.ux", "w.uy", "shift_x", "shift_y", F.lit(False).alias("free"))
+    return out.unionByName(single)
+
+
+def settled(labels: DataFrame, obstacles: DataFrame, cell: float = 64.0) -> DataFrame:
+    """map_id, id, x0, y0, x1, y1, ux, uy: the block of each label (see `choices`), set in the order of (first, id): the cheapest choice, the
+    first of equal ones. Each obstacle point (map_id, x, y) in a block or near it costs POINT_COST, each block set before it BOX_COST.
+
+    Points are counted by a join for all maps at once; only the choice, where a block minds those before it, goes label by label
+    in a task for each map, which is as large as a sheet.
+    """
+    c = kept(choices(labels))
+    tried = c.where("free")
+    grown = [F.col("x0") - F.col("room"), F.col("y0") - F.col("room"), F.col("x1") + F.col("room"), F.col("y1") + F.col("room")]
+    at = spatial.in_cells(obstacles.select("map_id", F.col("x").alias("px"), F.col("y").alias("py")), [F.col("px"), F.col("py")] * 2, cell)
+    within = (F.col("px") > grown[0]) & (F.col("px") < grown[2]) & (F.col("py") > grown[1]) & (F.col("py") < grown[3])
+    n = spatial.in_cells(tried, grown, cell).join(at, ["map_id", "cx", "cy"]).where(within).groupBy("map_id", "id", "rank").agg(F.count("*").alias("n"))
+    counted = c.join(n, ["map_id", "id", "rank"], "left").withColumn("points", POINT_COST * F.coalesce("n", F.lit(0))).drop("n", "room")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["first", "id", "rank"], kind="stable")
+        box = rows[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        points, base, early = rows.points.to_numpy(float), rows.base.to_numpy(float), rows.early.to_numpy(bool)
+        ids = rows.id.to_numpy()
+        starts = np.flatnonzero(np.concatenate(([True], ids[1:] != ids[:-1])))
+        taken, choice = np.empty((len(starts), 4)), np.empty(len(starts), int)
+        shift = rows[["shift_x", "shift_y"]].to_numpy(float)
+        for i, (lo, hi) in enumerate(zip(starts, np.append(starts[1:], len(ids)), strict=True)):
+            b, t = box[lo:hi, None], taken[None, :i]
+            over = ((t[..., 0] < b[..., 2]) & (b[..., 0] < t[..., 2]) & (t[..., 1] < b[..., 3]) & (b[..., 1] < t[..., 3])).sum(axis=1)
+            disturbed = points[lo:hi] + BOX_COST * over
+            cost = disturbed + base[lo:hi]
+            k = int(np.argmin(np.where(early[lo:hi], cost, np.inf))) if early[lo] else -1
+            if k < 0 or disturbed[k] > 0:
+                k = int(np.argmin(np.where(early[lo:hi], np.inf, cost)))
+            choice[i], taken[i] = lo + k, box[lo + k] + np.tile(shift[lo + k], 2)
+        best = rows.iloc[choice]
+        return pd.DataFrame({"map_id": key[0], "id": best.id, "x0": taken[:, 0], "y0": taken[:, 1], "x1": taken[:, 2], "y1": taken[:, 3], "ux": best.ux, "uy": best.uy})
+
+    return counted.groupBy("map_id").applyInPandas(run, "map_id long, id long, x0 double, y0 double, x1 double, y1 double, ux double, uy double")
+
+
 def drawing_order(elements: DataFrame) -> DataFrame:
     """map_id, at, text: each map's elements (map_id, level, id, text) numbered from 1 in drawing order; rows, so that no map is
     gathered in one string."""

@@ -15,7 +15,7 @@ def rotated(x: Column, y: Column, radians: Column) -> tuple[Column, Column]:
     return x * F.cos(radians) - y * F.sin(radians), x * F.sin(radians) + y * F.cos(radians)
 
 
-def box_at(px: Column, py: Column, ux: Column, uy: Column, w: Column, h: Column, gap: float) -> list[Column]:
+def box_at(px: Column, py: Column, ux: Column, uy: Column, w: Column, h: Column, gap: float | Column) -> list[Column]:
     """(x0, y0, x1, y1) of a box that touches the point from the direction (ux, uy), at a distance."""
     qx, qy = px + ux * gap, py + uy * gap
     low = lambda q, u, size: F.when(u > LEAN, q).when(u < -LEAN, q - size).otherwise(q - size / 2)

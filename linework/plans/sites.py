@@ -93,6 +93,22 @@ def sheet_labels(spark, sf_dir):
     return L.placed(labels, p.select("map_id", "x", "y"))
 
 
+@query()
+def sheet_blocks(spark, sf_dir):
+    """Name blocks on the same sheets, by all five ways of placing them; sequential within a sheet, so SQL can't express it."""
+    p = _sheets(spark, sf_dir)
+    n, x, y, one = F.col("id"), F.col("x").cast("double"), F.col("y").cast("double"), F.lit(1.0)
+    pick = lambda values: F.get(F.array(*map(F.lit, values)), (n % len(values)).cast("int"))
+    mark = [(x - 3).alias("mx0"), (y - 3).alias("my0"), (x + 3).alias("mx1"), (y + 3).alias("my1")]
+    shift = [F.when(n % 5 == 4, x + 9).otherwise(n % 3).cast("double").alias("shift_x"), F.when(n % 5 == 4, y - 5).otherwise(0.0).alias("shift_y")]
+    labels = p.select(
+        "map_id", "id", n.alias("first"), pick(["auto", "beside", "toward", "corner", "fixed"]).alias("mode"), x.alias("x"), y.alias("y"), (n % 30 + 20).cast("double").alias("w"), (one * 10).alias("h"), (one * 4).alias("reach"),
+        pick([u for u, _ in L.AROUND]).alias("ux"), pick([v for _, v in L.AROUND]).alias("uy"), *shift, (n % 2 == 0).alias("through"), (n % 3 == 0).alias("ends_only"), (one * 8).alias("font"), F.lit(1).alias("n_lines"), *mark,
+    )
+    r = lambda c: F.round(c, 4).alias(c)
+    return L.settled(labels, p.select("map_id", "x", "y")).select("map_id", "id", *map(r, ("x0", "y0", "x1", "y1")))
+
+
 @query(f"""with p as (select id, x // {SHEET} * 1000000 + y // {SHEET} as map_id, x, y from ({A.SITES_SQL})),
     e as (select map_id, 1 as level, id, '<path d="M' || x || ',' || y || '"/>' as text from p union all select map_id, 2, id, '<text>' || id || '</text>' from p)
     select map_id, row_number() over (partition by map_id order by level, id, text) as at, text from e""")
