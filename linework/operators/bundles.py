@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.errors import require_empty
+from linework.functions.geometry import intersection, unit
 from linework.operators import graph
+from linework.operators.sequences import line
 
 NEAR = 1e-9
 
@@ -132,3 +134,45 @@ def corner_choice(own: Column, target: Column, correction: Column, default: Colu
     """
     offset = F.when(central, F.when(beside, shift).otherwise(0.0)).otherwise(sign * (sign * shift - innermost))
     return F.coalesce(own, target + correction, default), F.when(own.isNotNull(), 0.0).otherwise(offset), forced | own.isNotNull()
+
+
+def lane_path(legs: DataFrame, spacing: float, span: float | None = None) -> DataFrame:
+    """line_id, pos, part, kind, x, y, turn, radius, tangent: the vertices of each line's lane, in the order of (pos, part).
+
+    legs: (line_id, pos, ax, ay, bx, by, off, at), off the lane to the left of the leg's direction in y-up coordinates and at where on a
+    straight leg its lane changes: 'start', 'end' or else the middle. Shifted legs meet where their lines do (curve), also if their
+    lanes differ. Straight on, a lane goes on (along) or changes by two vertices: over 45 degrees with the arcs that fill
+    the slope (change), or with a span by a curve of as many widths, at most the leg (bezier). Before a leg that turns straight back the
+    lane's vertex is that leg's shifted start. Legs have a length.
+    """
+    dx, dy = unit(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    own = legs.withColumn("ux", dx).withColumn("uy", dy).withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    own = own.withColumn("d", F.col("off") * spacing).withColumn("ends", F.lead("pos").over(line()).isNull())
+    for n, p in (("a", "start"), ("b", "stop")):
+        own = own.withColumn(f"{p}_x", F.col(f"{n}x") - F.col("uy") * F.col("d")).withColumn(f"{p}_y", F.col(f"{n}y") + F.col("ux") * F.col("d"))
+    before = lambda c: F.lag(c).over(line())
+    for c in ("ux", "uy", "d", "start_x", "start_y", "stop_x", "stop_y"):
+        own = own.withColumn(f"p_{c}", before(c))
+    c = F.col
+    turns = (F.abs(c("ux") - c("p_ux")) > 1e-9) | (F.abs(c("uy") - c("p_uy")) > 1e-9)
+    delta = c("d") - c("p_d")
+    kind = F.when(c("p_ux").isNull(), "end").when(turns, "curve").when(F.abs(delta) < 1e-12, "along").otherwise("change" if span is None else "bezier")
+    mx, my = intersection(c("p_start_x"), c("p_start_y"), c("p_ux"), c("p_uy"), c("start_x"), c("start_y"), c("ux"), c("uy"))
+    length = F.abs(delta) if span is None else F.least(F.abs(delta) * span, c("len"))
+    free = F.greatest(c("len") - length, F.lit(0.0))
+    ahead = F.when(c("at") == "start", 0.0).when(c("at") == "end", free).otherwise(free / 2)
+    own = own.withColumn("kind", kind).withColumn("long", length).withColumn("delta", delta).withColumn("mx", F.coalesce(mx, c("start_x"))).withColumn("my", F.coalesce(my, c("start_y")))
+    own = own.withColumn("fx", c("p_stop_x") + c("ux") * ahead).withColumn("fy", c("p_stop_y") + c("uy") * ahead)
+    slope = c("kind") == "change"
+    tangent = F.when(slope, c("long") * F.sqrt(F.lit(2.0)) / 2)
+    lean = F.when(slope, F.when(c("delta") > 0, 45).otherwise(-45))
+
+    def vertex(part: int, x: Column, y: Column, turn: Column, name: Column | None = None) -> Column:
+        arc = F.lit(None).cast("double") if name is not None else tangent
+        return F.struct(F.lit(part).alias("part"), (c("kind") if name is None else name).alias("kind"), x.alias("x"), y.alias("y"), turn.cast("int").alias("turn"), (arc / F.tan(F.radians(F.lit(22.5)))).alias("radius"), arc.alias("tangent"))
+
+    two = F.array(vertex(0, c("fx"), c("fy"), lean), vertex(1, c("fx") + c("ux") * c("long") - c("uy") * c("delta"), c("fy") + c("uy") * c("long") + c("ux") * c("delta"), -lean))
+    one = F.array(vertex(0, F.when(c("kind") == "curve", c("mx")).otherwise(c("start_x")), F.when(c("kind") == "curve", c("my")).otherwise(c("start_y")), lean))
+    last = F.array(vertex(2, c("stop_x"), c("stop_y"), F.lit(None), F.lit("end")))
+    here = F.when(c("kind").isin("change", "bezier"), two).otherwise(one)
+    return own.withColumn("v", F.explode(F.when(c("ends"), F.concat(here, last)).otherwise(here))).select("line_id", "pos", "v.*")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linework.functions import geometry as G
-from linework.operators import edges, sequences, spatial
+from linework.operators import bundles, edges, sequences, spatial
 from linework.operators import tracks as T
 from linework.plans.registry import ARC_SQL, LEGS, SEGMENTS_SQL, SQL, STEPS_SQL, _segments, joined, query
 from linework.sources import adapters as A
@@ -100,6 +100,52 @@ def driven_steps(spark, sf_dir):
     return s.select("line_id", at(-1).alias("before"), at(2).alias("third"), F.get(G.oriented(F.col("steps"), way), 0).alias("enters"))
 
 
+# ---- lanes
+
+
+WALK_SQL = f"""with l as ({LEGS}), h as (select line_id, pos, len, cast((sum(turn) over (partition by line_id order by pos) % 360 + 360) % 360 as bigint) // 45 + 1 as h from l),
+    w as (select line_id, pos, len * [1, 1, 0, -1, -1, -1, 0, 1][h] as dx, len * [0, 1, 1, 1, 0, -1, -1, -1][h] as dy from h),
+    e as (select *, sum(dx) over o as bx, sum(dy) over o as by_ from w window o as (partition by line_id order by pos)),
+    g as (select line_id, pos, cast(bx - dx as double) as ax, cast(by_ - dy as double) as ay, cast(bx as double) as bx, cast(by_ as double) as zy, dx / sqrt(dx * dx + dy * dy) as ux, dy / sqrt(dx * dx + dy * dy) as uy, sqrt(dx * dx + dy * dy) as len, ((line_id + pos // 2) % 3 - 1) * 0.75::double as d, case pos % 3 when 0 then 'start' when 1 then 'end' end as spot from e),
+    s as (select *, ax - uy * d as sx, ay + ux * d as sy, bx - uy * d as tx, zy + ux * d as ty from g),
+    p as (select *, lag(ux) over o as pux, lag(uy) over o as puy, d - lag(d) over o as delta, lag(sx) over o as psx, lag(sy) over o as psy, lag(tx) over o as ptx, lag(ty) over o as pty, lead(pos) over o is null as ends from s window o as (partition by line_id order by pos)),
+    k as (select *, case when pux is null then 'end' when abs(ux - pux) > 1e-9 or abs(uy - puy) > 1e-9 then 'curve' when abs(delta) < 1e-12 then 'along' else 'KIND' end as kind, pux * uy - puy * ux as det, LONG as long from p),
+    f as (select *, case spot when 'start' then 0 when 'end' then greatest(len - long, 0) else greatest(len - long, 0) / 2 end as ahead from k),
+    v as (select line_id, pos, 0 as part, kind, case when kind = 'curve' and abs(det) > 1e-12 then psx + ((sx - psx) * uy - (sy - psy) * ux) / det * pux when kind = 'KIND' then ptx + ux * ahead else sx end as x,
+            case when kind = 'curve' and abs(det) > 1e-12 then psy + ((sx - psx) * uy - (sy - psy) * ux) / det * puy when kind = 'KIND' then pty + uy * ahead else sy end as y, case when kind = 'change' then sign(delta) * 45 end as turn, case when kind = 'change' then long * sqrt(2) / 2 end as tangent from f
+        union all select line_id, pos, 1, kind, ptx + ux * ahead + ux * long - uy * delta, pty + uy * ahead + uy * long + ux * delta, case when kind = 'change' then -sign(delta) * 45 end, case when kind = 'change' then long * sqrt(2) / 2 end from f where kind = 'KIND'
+        union all select line_id, pos, 2, 'end', tx, ty, null, null from f where ends)
+    select line_id, pos, cast(part as int) as part, kind, round(x, 5) + 0 as x, round(y, 5) + 0 as y, cast(turn as int) as turn, round(tangent, 5) as tangent, round(tangent / tan(radians(22.5)), 5) as radius from v"""
+
+
+def _walk(spark, sf_dir) -> DataFrame:
+    """Legs walked on the grid, in eight directions; every second leg a line takes its next lane of three."""
+    legs = A.legs(spark, sf_dir)
+    h = (F.pmod(F.sum("turn").over(sequences.so_far()), F.lit(360)) / 45).cast("int")
+    step = lambda d: F.col("len") * F.get(F.array(*map(F.lit, d)), F.col("h"))
+    w = legs.withColumn("h", h).withColumn("dx", step((1, 1, 0, -1, -1, -1, 0, 1))).withColumn("dy", step((0, 1, 1, 1, 0, -1, -1, -1)))
+    w = w.withColumn("bx", F.sum("dx").over(sequences.so_far())).withColumn("by", F.sum("dy").over(sequences.so_far()))
+    at = F.when(F.col("pos") % 3 == 0, "start").when(F.col("pos") % 3 == 1, "end")
+    off = (F.col("line_id") + F.floor(F.col("pos") / 2)) % 3 - 1
+    real = lambda v, n: v.cast("double").alias(n)
+    return w.select("line_id", "pos", real(F.col("bx") - F.col("dx"), "ax"), real(F.col("by") - F.col("dy"), "ay"), real(F.col("bx"), "bx"), real(F.col("by"), "by"), off.alias("off"), at.alias("at"))
+
+
+def _vertices(path: DataFrame) -> DataFrame:
+    r = lambda c: F.round(c, 5) + 0
+    return path.select("line_id", "pos", "part", "kind", r("x").alias("x"), r("y").alias("y"), "turn", F.round("tangent", 5).alias("tangent"), F.round("radius", 5).alias("radius"))
+
+
+@query(WALK_SQL.replace("KIND", "change").replace("LONG", "abs(delta)"))
+def lane_paths(spark, sf_dir):
+    return _vertices(bundles.lane_path(_walk(spark, sf_dir), 0.75))
+
+
+@query(WALK_SQL.replace("KIND", "bezier").replace("LONG", "least(abs(delta) * 4, len)"))
+def lane_curves(spark, sf_dir):
+    return _vertices(bundles.lane_path(_walk(spark, sf_dir), 0.75, 4.0))
+
+
 # ---- crossings, stations, ways
 
 
