@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from linework.storage import written
 
-__all__ = ["HOT_SHARE", "blocks", "id_bucket", "lookup", "raw", "written"]
+__all__ = ["HOT_SHARE", "blocks", "grouped", "id_bucket", "lookup", "raw", "written"]
 
 #: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
@@ -59,6 +59,26 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """The rows of each key, one table after the other, of batches that are sorted by the key (a long without nulls). A group may reach
+    over batches; its slices are joined once."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        for at, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and keys[at] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(at, end - at))
+            last = keys[at]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def raw(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

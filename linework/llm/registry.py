@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linework.llm import decontaminate, exact_dedup, html_text, language, ngram_model, packing, secrets, simhash, toxicity, warc
+from linework.llm import decontaminate, exact_dedup, html_text, language, minmax, ngram_model, packing, product_codes, secrets, simhash, spelling, toxicity, warc
 from linework.llm.common import id_bucket
 
 
@@ -69,6 +69,18 @@ def op10_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_product_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_codes.compress(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_elias_fano_lm": op1_elias_fano_lm,
     "op2_secret_ownership": op2_secret_ownership,
@@ -80,6 +92,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_vptree": op8_simhash_vptree,
     "op9_toxicity_mil": op9_toxicity_mil,
     "op10_suffix_decontam": op10_suffix_decontam,
+    "op11_product_codes": op11_product_codes,
+    "op12_minmax_dedup": op12_minmax_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 def _secrets_sql() -> str:
@@ -106,6 +121,50 @@ def _secrets_sql() -> str:
         from d left join g using (doc_id)"""
 
 
+def _codes_sql(entries: int = 64, rounds: int = 2, scale: int = 256) -> str:
+    """Assignments and moves of the codebooks one after the other, in integers."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} as materialized (
+            select id, part, entry, away from (
+                select v.id, v.part, c.entry, list_sum(list_transform(range(1, len(v.x) + 1), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) as away,
+                       row_number() over (partition by v.id, v.part order by away, c.entry) as place
+                from v join c{k} c using (part)) where place = 1)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} as materialized (
+                select c.part, c.entry, coalesce(m.x, c.x) as x from c{k} c left join (
+                    select part, entry, list(cast(floor(total / n) as bigint) order by i) as x from (
+                        select part, entry, i, sum(y) as total, count(*) as n from (select part, entry, unnest(v.x) as y, unnest(range(len(v.x))) as i from a{k} join v using (id, part)) group by part, entry, i)
+                    group by part, entry) m using (part, entry))""")
+    return f"""
+        with e as materialized (select row_number() over (order by vec_id nulls last, embedding) as id, vec_id, label, list_transform(embedding, lambda x: cast(floor({scale} * x::double) as bigint)) as q from embeddings
+              where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        v as materialized (select id, part, q[1 + part * len(q) // 16:(part + 1) * len(q) // 16] as x from e, (select unnest(range(16)) as part)),
+        c0 as materialized (select part, id - 1 as entry, x from v where id <= {entries}), {", ".join(steps)},
+        b as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from c{rounds}),
+        r as (select id, string_agg(format('{{:02x}}', entry), '' order by part) as code, sum(away)::bigint as error from a{rounds} group by id)
+        select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from e join r using (id), b"""
+
+
+def _variants_sql(least_length: int = 7, slip: int = 31, times: int = 10) -> str:
+    """CRC-32 bytewise over its table of 256 remainders; words one edit apart agree with one code point left out of either or both."""
+    return f"""
+        with recursive t as (select list_transform(range(256), lambda n: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(3988292384, c >> 1) else c >> 1 end, n)) as t),
+        d as (select coalesce(cast(doc_id as varchar), '') as doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00C0-\u00FF]+')) as run from documents),
+        r as (select doc, run, count(*) as n from d where length(run) >= {least_length} group by doc, run),
+        o as (select doc, run, n, flatten(list_transform(string_split(doc || ':' || run, ''), lambda x: case when unicode(x) < 128 then [unicode(x)] else [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] end)) as bytes from r),
+        h as (select run, n, xor(list_reduce(bytes, lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8), 4294967295), 4294967295) as h from (select run, n, bytes::bigint[] as bytes, t from o, t)),
+        k as (select case when h % {slip} = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from h),
+        w as materialized (select word, sum(n)::bigint as n from k where length(word) >= {least_length} group by word having sum(n) >= 2),
+        x as materialized (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as cut from (select word, n, unnest(range(1, length(word) + 1)) as i from w)),
+        p as materialized (select a.word as u, b.word as v from x a join x b on a.cut = b.cut and a.i = b.i and a.word <> b.word
+              union select x.word, w.word from x join w on w.word = x.cut union select w.word, x.word from x join w on w.word = x.cut),
+        g as (select u as word, count(*) as n_near, max(w.n) as most, arg_min(v, (-w.n, v)) as best from p join w on w.word = v group by u),
+        f as materialized (select w.word, w.n, coalesce(n_near, 0) as n_near, case when most >= {times} * w.n then best end as form, case when most >= {times} * w.n then most end as form_n from w left join g using (word)),
+        step(word, root) as (select word, word from f union all select step.word, f.form from step join f on f.word = step.root where f.form is not null)
+        select f.word, f.form, step.root, f.n, f.n_near, f.form_n from f join step on step.word = f.word join f last on last.word = step.root and last.form is null"""
+
+
 SQL: dict[str, str] = {
     "op2_secret_ownership": _secrets_sql(),
     "op5_warc_zstd": """
@@ -131,6 +190,20 @@ SQL: dict[str, str] = {
         select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
                coalesce(n_hit, 0) > 0 and 20 * n_hit >= len(w) as contaminated, coalesce(longest, 0) as longest, coalesce(spot - 1, -1) as longest_at
         from d left join n using (doc_id) left join m using (doc_id) left join o using (doc_id)""",
+    "op11_product_codes": _codes_sql(),
+    "op12_minmax_dedup": r"""
+        with recursive d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+        p as (select r, w, least(5, len(w)) as k, unnest(range(1, len(w) - least(5, len(w)) + 2)) as i from d where len(w) > 0),
+        s as materialized (select distinct r, array_to_string(w[i:i + k - 1], ' ') as g from p),
+        n as materialized (select r, count(*) as n, md5(string_agg(g, chr(1) order by g)) as whole from s group by r),
+        h as materialized (select r, n, min(r) over (partition by n, whole) as head from n),
+        o as (select x.r as a, y.r as b, count(*) as c from s x join h hx on hx.r = x.r and hx.head = x.r join s y on x.g = y.g and x.r < y.r join h hy on hy.r = y.r and hy.head = y.r group by x.r, y.r),
+        l as materialized (select a, b from o join h x on x.r = a join h y on y.r = b where 100 * c >= 85 * (x.n + y.n - c)),
+        e as materialized (select a, b from l union all select b, a from l union all select head, r from h where head <> r union all select r, head from h where head <> r),
+        reach(r, t) as (select r, r from d union select reach.r, e.b from reach join e on e.a = reach.t),
+        c as (select reach.r, min(d.doc_id) as component_id from reach join d on d.r = reach.t group by reach.r)
+        select doc_id, coalesce(n, 0) as n_shingles, component_id, doc_id is not distinct from component_id as kept from d join c using (r) left join h using (r)""",
+    "op13_spelling_variants": _variants_sql(),
     "op4_tree_dedup": """
         select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
                doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256

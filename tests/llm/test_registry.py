@@ -20,7 +20,7 @@ def rows(names, records):
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "embeddings"):
         con.execute(f"create view {t} as select * from '{DIR}/{t}.parquet'")
     cursor = con.execute(registry.SQL[name])
     names = [d[0] for d in cursor.description]
