@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from linework.errors import GeometryError, require_empty
-from linework.storage import written
+from linework.errors import require_empty
+from linework.storage import Rounds, written
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -18,62 +22,96 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, component): the smallest node reached. Smallest neighbours, then pointer jumping, until nothing moves."""
-    e = kept(both_ways(edges))
-    label = kept(e.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")))
-    for _ in range(rounds):
-        near = e.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("to"))
-        up = label.select(F.col("node").alias("to"), F.col("component").alias("up"))
-        moved = Observation()
-        new = new.join(up, "to", "left").select("node", "old", F.least("to", "up").alias("component"))
-        label = kept(new.observe(moved, F.max((F.col("component") != F.col("old")).cast("int")).alias("any"))).select("node", "component")
-        if not moved.get["any"]:  # counted as the round was written, without a job of its own
-            return label
-    raise GeometryError(f"components didn't settle in {rounds} rounds")
-
-
-def levels(edges: DataFrame, starts: DataFrame, rounds: int = 100) -> DataFrame:
-    """(node, level): steps from the nearest of starts (node). Unreached nodes are absent."""
-    e = kept(both_ways(edges))
-    seen = kept(starts.select("node").distinct().withColumn("level", F.lit(0)))
-    front = seen
-    for k in range(1, rounds + 1):
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reached, for every node of edges (a, b) that has another.
+
+    Every node hooks to its smallest neighbour, hooks are followed to their ends by doubling, and what became one node is contracted: of
+    the nodes of an edge only those smaller than all their neighbours are left, so a few rounds end any graph, and edges shrink with each.
+    """
+    e, ups = kept(both_ways(edges)), []
+    while True:
+        up = kept(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        while True:
+            moved = Observation()
+            on = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
+            up = kept(on.observe(moved, F.max((F.col("top") != F.col("up")).cast("int")).alias("any")).select("node", F.col("top").alias("up")))
+            if not moved.get["any"]:  # counted as the round was written, without a job of its own
+                break
+        ups.append(up)
+        left = Observation()
+        end = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_"))  # noqa: E731, B023
+        short = e.join(end("a"), "a").join(end("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")).where("a <> b").distinct()
+        e = kept(short.observe(left, F.count(F.lit(1)).alias("n")))
+        if not left.get["n"]:
+            break
+    found = ups.pop()
+    while ups:
+        found = ups.pop().join(found.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+    return kept(found.select("node", F.col("up").alias("component")))
+
+
+def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node, level): steps from the nearest of starts (node). Unreached nodes are absent.
+
+    A round joins the last level alone: what lies beside it is on it, on the one before or new.
+    """
+    e, found = kept(both_ways(edges)), Rounds(edges.sparkSession, "levels")
+    front, n = found.add(starts.select("node").distinct())
+    before = front.limit(0)
+    while n:
         step = e.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        front = kept(step.join(seen, "node", "left_anti").withColumn("level", F.lit(k)))
-        if not front.limit(1).count():
-            return seen
-        seen = kept(seen.unionByName(front))
-    raise GeometryError(f"the graph is deeper than {rounds} steps")
+        before, (front, n) = front, found.add(step.join(front, "node", "left_anti").join(before, "node", "left_anti"))
+    return found.all(edges.sparkSession).select("node", F.col("round").alias("level"))
 
 
-def bearings(shared: DataFrame, starts: DataFrame, lines: DataFrame, default: int, rounds: int = 100) -> DataFrame:
+def potentials(edges: DataFrame, modulus: int) -> DataFrame:
+    """(node, root, offset): each node's value is its root's plus the offset; the root is the smallest node that it reaches.
+
+    edges: (a, b, delta): value of b = value of a + delta, modulo `modulus`. Contraction as in `components`, with differences added up on
+    the way: a chain of n edges in any order needs about log n rounds. Where edges contradict each other one of them is taken,
+    which is left to the caller to find.
+    """
+    wrap = lambda c: F.pmod(c, F.lit(modulus))
+    e = edges.where("a <> b").select("a", "b", wrap(F.col("delta")).cast("long").alias("delta"))
+    e, ups = kept(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), wrap(-F.col("delta")).alias("delta"))).distinct()), []
+    while True:
+        # a's value is b's less delta; a node smaller than its neighbours stands for itself
+        least = F.least(F.struct(F.col("a").alias("to"), F.lit(0).cast("long").alias("off")), F.col("near"))
+        up = kept(e.groupBy("a").agg(F.min(F.struct(F.col("b").alias("to"), wrap(-F.col("delta")).alias("off"))).alias("near")).select(F.col("a").alias("node"), least.alias("up")).select("node", "up.*"))
+        while True:
+            moved = Observation()
+            on = up.join(up.select(F.col("node").alias("to"), F.col("to").alias("top"), F.col("off").alias("more")), "to")
+            up = kept(on.observe(moved, F.max((F.col("top") != F.col("to")).cast("int")).alias("any")).select("node", F.col("top").alias("to"), wrap(F.col("off") + F.col("more")).alias("off")))
+            if not moved.get["any"]:
+                break
+        ups.append(up)
+        left = Observation()
+        end = lambda c: up.select(F.col("node").alias(c), F.col("to").alias(f"{c}_"), F.col("off").alias(f"{c}_off"))  # noqa: E731, B023
+        short = e.join(end("a"), "a").join(end("b"), "b").where("a_ <> b_").select(F.col("a_").alias("a"), F.col("b_").alias("b"), wrap(F.col("delta") + F.col("a_off") - F.col("b_off")).alias("delta")).distinct()
+        e = kept(short.observe(left, F.count(F.lit(1)).alias("n")))
+        if not left.get["n"]:
+            break
+    found = ups.pop()
+    while ups:
+        on = ups.pop().join(found.select(F.col("node").alias("to"), F.col("to").alias("top"), F.col("off").alias("more")), "to", "left")
+        found = on.select("node", F.coalesce("top", "to").alias("to"), wrap(F.col("off") + F.coalesce("more", F.lit(0))).alias("off"))
+    return kept(found.select("node", F.col("to").alias("root"), F.col("off").alias("offset")))
+
+
+def bearings(shared: DataFrame, starts: DataFrame, lines: DataFrame, default: int) -> DataFrame:
     """(line_id, bearing): start bearings spread over shared edges.
 
     shared: (a, b, delta): bearing of b = bearing of a + delta, modulo 360. starts: (line_id, bearing). lines: (line_id,
-    line_pos); the first line that nothing has reached takes the default and spreads it on, again and again. A
-    contradiction raises GeometryError.
+    line_pos); the first line of each component without a start takes the default. A contradiction raises GeometryError.
     """
-    e = shared.select("a", "b", F.pmod("delta", F.lit(360)).alias("delta"))
-    e = kept(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.pmod(-F.col("delta"), F.lit(360)).alias("delta"))).distinct())
-    known = kept(starts.select("line_id", F.pmod("bearing", F.lit(360)).alias("bearing")))
-    # every component of lines without a start takes the default at its first line, all at once
-    parts = components(e.select("a", "b"))
-    own = lines.join(parts.withColumnRenamed("node", "line_id"), "line_id", "left").withColumn("component", F.coalesce("component", "line_id"))
-    led = own.join(known.select("line_id"), "line_id", "left_semi").select("component").distinct()
-    first = own.join(led, "component", "left_anti").groupBy("component").agg(F.min_by("line_id", F.struct("line_pos", "line_id")).alias("line_id"))
-    known = kept(known.unionByName(first.select("line_id", F.lit(default).alias("bearing"))))
-    front = known
-    for _ in range(rounds):
-        step = e.join(front.withColumnRenamed("line_id", "a"), "a").select(F.col("b").alias("line_id"), F.pmod(F.col("bearing") + F.col("delta"), F.lit(360)).alias("bearing"))
-        front = kept(step.join(known, "line_id", "left_anti").groupBy("line_id").agg(F.min("bearing").alias("bearing")))
-        if not front.limit(1).count():
-            break
-        known = kept(known.unionByName(front))
-    else:
-        raise GeometryError(f"bearings didn't settle in {rounds} rounds")
-    there = e.join(known.select(F.col("line_id").alias("a"), F.col("bearing").alias("ba")), "a").join(known.select(F.col("line_id").alias("b"), F.col("bearing").alias("bb")), "b")
+    own = lines.join(potentials(shared, 360).withColumnRenamed("node", "line_id"), "line_id", "left")
+    own = kept(own.select("line_id", "line_pos", F.coalesce("root", "line_id").alias("root"), F.coalesce("offset", F.lit(0)).cast("int").alias("offset")))
+    given = own.join(starts.select("line_id", "bearing"), "line_id").groupBy("root").agg(*[f(F.pmod(F.col("bearing") - F.col("offset"), F.lit(360))).alias(n) for f, n in ((F.min, "base"), (F.max, "top"))])
+    first = own.groupBy("root").agg(F.min_by("offset", F.struct("line_pos", "line_id")).alias("offset"))
+    base = kept(first.join(given, "root", "left").select("root", F.coalesce("base", F.pmod(F.lit(default) - F.col("offset"), F.lit(360))).alias("base"), "top"))
+    require_empty(base.where("top <> base").select("root", "base", "top"), "contradictory bearings")
+    known = kept(own.join(base, "root").select("line_id", F.pmod(F.col("base") + F.col("offset"), F.lit(360)).alias("bearing")))
+    there = shared.join(known.select(F.col("line_id").alias("a"), F.col("bearing").alias("ba")), "a").join(known.select(F.col("line_id").alias("b"), F.col("bearing").alias("bb")), "b")
     require_empty(there.where("pmod(ba + delta - bb, 360) <> 0").select("a", "b", "ba", "bb"), "contradictory bearings")
     return known
 
@@ -86,56 +124,115 @@ def smoothed(nodes: DataFrame, edges: DataFrame, factor: float) -> DataFrame:
     return nodes.join(mean, "node", "left").select("node", move("x"), move("y"))
 
 
-def draw_order(ids: DataFrame, over: DataFrame, rounds: int = 200) -> DataFrame:
-    """(id, level): how many lines lie below at least; over: (upper, lower). A cycle raises GeometryError."""
-    n = ids.count()
-    level = kept(ids.select("id", F.lit(0).alias("level")))
-    for _ in range(min(rounds, n + 1)):
-        raised = over.join(level.select(F.col("id").alias("lower"), "level"), "lower").groupBy(F.col("upper").alias("id")).agg((F.max("level") + 1).alias("up"))
-        new = kept(level.join(raised, "id", "left").select("id", F.col("level").alias("old"), F.greatest("level", F.coalesce("up", F.lit(0))).alias("level")))
-        level = new.select("id", "level")
-        if not new.where("level <> old").limit(1).count():
-            return level
-    raise GeometryError("lines lie over each other in a circle")
-
+def draw_order(ids: DataFrame, over: DataFrame, small: int = 100_000) -> DataFrame:
+    """(id, level): how many lines lie below at least; over: (upper, lower). A cycle raises GeometryError.
 
-def reached(edges: DataFrame, sources: DataFrame, rounds: int = 200) -> DataFrame:
+    Lines are peeled from below: a round takes those off that lie over no line which is left, and joins them alone with what lies over
+    them. Once at most `small` pairs are left, one task peels the rest. What never comes off lies in a circle, or above one.
+    """
+    spark, kind = ids.sparkSession, ids.schema["id"].dataType.simpleString()
+    e = kept(over.select("upper", "lower").distinct().join(ids.select(F.col("id").alias("lower")), "lower", "left_semi"))
+    below = e.groupBy(F.col("upper").alias("id")).agg(F.count("*").alias("missing"))
+    taken = Rounds(spark, "order")
+    both, left = taken.add(ids.select("id").distinct().join(below, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing")), F.sum("missing"))
+    while left > small:
+        freed = both.where("missing = 0").select(F.col("id").alias("lower"))
+        hit = e.join(freed, "lower").groupBy(F.col("upper").alias("id")).agg(F.count("*").alias("gone"))
+        step = both.where("missing > 0").join(hit, "id", "left").select("id", (F.col("missing") - F.coalesce("gone", F.lit(0))).alias("missing"))
+        before = left
+        both, left = taken.add(step, F.sum("missing"))
+        if left == before:
+            require_empty(both.select("id"), "lines lie over each other in a circle")
+    done = taken.all(spark).where("missing = 0").select("id", F.col("round").alias("level"))
+    if not left:
+        return done
+    here, last = both.select(F.col("id").alias("lower"), "missing"), taken.count - 1
+    rest = e.join(both.where("missing > 0").select(F.col("id").alias("upper")), "upper").join(here, "lower").select("upper", "lower", (F.col("missing") > 0).alias("waits"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        above, missing, level = defaultdict(list), Counter(), {}
+        for frame in frames:
+            for upper, lower, waits in zip(frame["upper"].tolist(), frame["lower"].tolist(), frame["waits"].tolist(), strict=True):
+                above[lower].append(upper)
+                missing[upper] += 1
+                if not waits:
+                    level[lower] = last
+        free = list(level)
+        while free:
+            x = free.pop()
+            for y in above[x]:
+                level[y] = max(level.get(y, 0), level[x] + 1)
+                missing[y] -= 1
+                if not missing[y]:
+                    free.append(y)
+        own = [y for y, n in missing.items() if not n]
+        yield pd.DataFrame({"id": own, "level": [level[y] for y in own]})
+
+    peeled = kept(rest.repartition(1).mapInPandas(run, f"id {kind}, level int"))
+    require_empty(both.where("missing > 0").join(peeled, "id", "left_anti").select("id"), "lines lie over each other in a circle")
+    return done.unionByName(peeled)
+
+
+def _weighted(edges: DataFrame) -> DataFrame:
+    """(a, b, w) in both directions, the lightest of parallel ones. Negative weights have no cheapest ways: an error."""
+    require_empty(edges.where("w < 0").select("a", "b", "w"), "negative weights")
+    return kept(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+
+
+def reached(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(node, cost): cheapest way from sources (node, cost) over weighted edges (a, b, w), by relaxing the nodes that
     became cheaper; for graphs of any size."""
-    e = kept(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
+    e = _weighted(edges)
     best = kept(sources.groupBy("node").agg(F.min("cost").alias("cost")))
     front = best
-    for _ in range(rounds):
+    while True:
         step = e.join(front.select(F.col("node").alias("a"), "cost"), "a").groupBy(F.col("b").alias("node")).agg(F.min(F.col("cost") + F.col("w")).alias("new"))
         both = kept(best.join(step, "node", "full_outer"))
         front = both.where("new is not null and (cost is null or new < cost)").select("node", F.col("new").alias("cost"))
-        if not front.limit(1).count():
+        if front.isEmpty():
             return best
         best = both.select("node", F.least("cost", "new").alias("cost"))
-    raise GeometryError(f"costs didn't settle in {rounds} rounds")
 
 
-def routes(edges: DataFrame, sources: DataFrame, targets: DataFrame, rounds: int = 500) -> DataFrame:
+def routes(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(route, cost, path): the cheapest way of each route from any of its sources to any of its targets, all at once.
 
-    edges: (a, b, w), both ways; sources and targets: (route, node, cost), the cost of entering or leaving there. Of equal
-    ways the one with the smaller path is taken. A state as dear as the best way found is followed no further; routes
-    without a way are absent.
+    edges: (a, b, w), both ways, w >= 0; sources and targets: (route, node, cost), the cost of entering or leaving there. Of equal
+    ways the one with the smaller path is taken; routes without a way are absent.
+
+    Costs are relaxed backwards from the targets, so that a state (route, node) has what is left to pay from there, and how many steps:
+    its width is fixed however long ways are. A state as dear as its route's best way is followed no further. Then each state knows its next node, the
+    smallest on a cheapest way, and ways are put together by doubling: a round joins to each place of a way the node as many steps ahead as
+    places are known.
     """
-    e = kept(edges.select("a", "b", "w").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.min("w").alias("w")))
-    goal = kept(targets.groupBy("route", "node").agg(F.min("cost").alias("leave")))
-    state = F.struct(F.col("cost").cast("double").alias("cost"), F.array("node").alias("path"))
-    best = kept(sources.groupBy("route", "node").agg(F.min("cost").alias("cost")).select("route", "node", state.alias("s")))
+    e = _weighted(edges)
+    enter = kept(sources.groupBy("route", "node").agg(F.min("cost").cast("double").alias("enter")))
+    state = F.struct(F.min("cost").cast("double").alias("cost"), F.lit(0).alias("steps"))
+    best = kept(targets.groupBy("route", "node").agg(state.alias("s")))
     front = best
-    for _ in range(rounds):
-        bound = best.join(goal, ["route", "node"]).groupBy("route").agg(F.min(F.col("s.cost") + F.col("leave")).alias("bound"))
-        live = front.join(bound, "route", "left").where("bound is null or s.cost < bound").select("route", F.col("node").alias("a"), "s")
-        on = F.struct((F.col("s.cost") + F.col("w")).alias("cost"), F.concat("s.path", F.array("b")).alias("path"))
-        step = live.join(e, "a").groupBy("route", F.col("b").alias("node")).agg(F.min(on).alias("new"))
+    while True:
+        bound = best.join(enter, ["route", "node"]).groupBy("route").agg(F.min(F.col("s.cost") + F.col("enter")).alias("bound"))
+        live = front.join(bound, "route", "left").where("bound is null or s.cost < bound").select("route", F.col("node").alias("b"), "s")
+        on = F.struct((F.col("s.cost") + F.col("w")).alias("cost"), (F.col("s.steps") + 1).alias("steps"))
+        step = live.join(e, "b").groupBy("route", F.col("a").alias("node")).agg(F.min(on).alias("new"))
         both = kept(best.join(step, ["route", "node"], "full_outer"))
         front = both.where("new is not null and (s is null or new < s)").select("route", "node", F.col("new").alias("s"))
-        if not front.limit(1).count():
-            found = best.join(goal, ["route", "node"]).select("route", F.struct((F.col("s.cost") + F.col("leave")).alias("cost"), F.col("s.path").alias("path")).alias("way"))
-            return found.groupBy("route").agg(F.min("way").alias("way")).select("route", "way.cost", "way.path")
+        if front.isEmpty():
+            break
         best = both.select("route", "node", F.when(F.col("s").isNull() | (F.col("new") < F.col("s")), F.coalesce("new", "s")).otherwise(F.col("s")).alias("s"))
-    raise GeometryError(f"ways didn't settle in {rounds} rounds")
+    found = best.join(enter, ["route", "node"]).groupBy("route").agg(F.min(F.struct((F.col("s.cost") + F.col("enter")).alias("cost"), "node")).alias("way"))
+    found = kept(found.select("route", "way.cost", "way.node"))
+    onward = best.where("s.steps > 0").select("route", F.col("node").alias("a"), F.col("s").alias("here")).join(e, "a")
+    onward = onward.join(best.select("route", F.col("node").alias("b"), "s"), ["route", "b"]).where("here.cost = s.cost + w and (w > 0 or here.steps > s.steps)")
+    ahead = kept(onward.groupBy("route", F.col("a").alias("node")).agg(F.min("b").alias("to")))
+    places, reach = kept(found.select("route", F.lit(0).alias("place"), "node")), 1
+    while True:
+        more = places.join(ahead, ["route", "node"]).select("route", (F.col("place") + reach).alias("place"), F.col("to").alias("node"))
+        new = Observation()
+        places = kept(places.unionByName(more.observe(new, F.count(F.lit(1)).alias("n"))))
+        if not new.get["n"]:
+            break
+        further = ahead.withColumnsRenamed({"node": "via", "to": "node"}).join(ahead, ["route", "node"])
+        ahead, reach = kept(further.select("route", F.col("via").alias("node"), "to")), 2 * reach
+    path = places.groupBy("route").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "node"))), lambda p: p["node"]).alias("path"))
+    return found.join(path, "route").select("route", "cost", "path")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from linework.functions import geometry as G
+from linework.storage import Rounds
 
 
 def line() -> WindowSpec:
@@ -258,3 +259,34 @@ def curve_runs(points: DataFrame, curvature: float, turn: float, gap: float) ->
     runs = bent.withColumn("_new", F.coalesce(new, F.lit(True)).cast("int")).withColumn("run", F.sum("_new").over(so_far()))
     by = runs.groupBy("line_id", "run").agg(F.min("s").alias("start"), F.max("s").alias("stop"), F.sum("bend").alias("turn"))
     return by.where(F.abs("turn") >= turn)
+
+
+def simplified(vertices: DataFrame, tolerance: float, key: tuple[str, ...] = ("line_id",)) -> DataFrame:
+    """The vertices that stay, unchanged, when a line may leave its own course by the tolerance.
+
+    vertices: (*key, pos, x, y, ...). All open stretches of all lines are cut at once, each at its farthest vertex (the first of
+    equals) if that lies farther than the tolerance from the chord between its ends, or from the first end where both ends are one place.
+    A round is one window over what is left: a vertex carries the ends of its stretch, and what lies within the tolerance goes.
+    Lines of two vertices or fewer stay, and so does everything at a tolerance of 0.
+    """
+    if tolerance <= 0:
+        return vertices
+    spark, keys = vertices.sparkSession, list(key)
+    spot = F.struct("pos", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    all_ = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first, last = F.first(spot).over(all_), F.last(spot).over(all_)
+    rows = vertices.select(*keys, spot.alias("at"), first.alias("a"), last.alias("b"))
+    done = Rounds(spark, "simplified")
+    stays = lambda at: (F.col("at.pos") == F.col(f"{at}.pos"))
+    open_, left = done.add(rows.withColumn("stays", stays("a") | stays("b")))
+    cx, cy = F.col("b.x") - F.col("a.x"), F.col("b.y") - F.col("a.y")
+    dx, dy = F.col("at.x") - F.col("a.x"), F.col("at.y") - F.col("a.y")
+    chord = F.sqrt(cx * cx + cy * cy)
+    off = F.when(chord == 0, F.sqrt(dx * dx + dy * dy)).otherwise(F.abs(dy * cx - dx * cy) / chord)
+    while left:
+        far = F.max(F.struct(F.col("off"), (-F.col("at.pos")).alias("back"), F.col("at"))).over(Window.partitionBy(*keys, "a.pos"))
+        cut = open_.where("not stays").withColumn("off", off).withColumn("far", far).where(F.col("far.off") > tolerance)
+        side = F.col("at.pos") < F.col("far.at.pos")
+        cut = cut.select(*keys, "at", F.when(side, F.col("a")).otherwise(F.col("far.at")).alias("a"), F.when(side, F.col("far.at")).otherwise(F.col("b")).alias("b"), (F.col("at.pos") == F.col("far.at.pos")).alias("stays"))
+        open_, left = done.add(cut)
+    return vertices.join(done.all(spark).where("stays").select(*keys, F.col("at.pos").alias("pos")), [*keys, "pos"], "left_semi")

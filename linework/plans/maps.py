@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from linework.config import PROJECTION, Projection
 from linework.functions import drawing as D
 from linework.functions import geometry as G
-from linework.functions import polyline as P
 from linework.functions import strings as X
+from linework.operators import graph
+from linework.operators.sequences import simplified
 
 LAYER = "struct<name:string,kind:string,fill:string,stroke:string,width:double,dash:string,opacity:double,min_area:double>"
 
@@ -34,16 +35,16 @@ def _box(points: str) -> list:
     return [F.array_min(axis("x")), F.array_min(axis("y")), F.array_max(axis("x")), F.array_max(axis("y"))]
 
 
-def layer_paths(layers: DataFrame, lines: DataFrame, areas: DataFrame, width: float, height: float, tolerance: float = 0.35) -> DataFrame:
-    """map_id, layer_pos, layer, d: each layer's path text.
+def layer_shapes(layers: DataFrame, lines: DataFrame, areas: DataFrame, width: float, height: float, tolerance: float = 0.35) -> DataFrame:
+    """map_id, layer_pos, shape_pos, ring_pos, d: the path text of each line and ring that is drawn, in this order within its layer.
 
     lines: (map_id, layer_pos, shape_pos, pts) and areas: (map_id, layer_pos, shape_pos, ring_pos, pts) in pixels. What lies
     outside the window with a margin of the stroke is left out, and areas of one ring below the layer's min_area; an area stays or goes whole.
     """
     pad = 4 * F.coalesce("layer.width", F.lit(1.0)) + 2
     seen = lambda box: (box[2] >= -pad) & (box[3] >= -pad) & (box[0] <= width + pad) & (box[1] <= height + pad)
-    own = lines.join(layers.where("layer.kind = 'line'"), ["map_id", "layer_pos"]).where(seen(_box("pts")))
-    own = own.select("map_id", "layer_pos", F.struct("shape_pos", F.lit(0).alias("ring_pos")).alias("at"), P.simplify("pts", tolerance).alias("pts"), F.lit(False).alias("closed"))
+    key = ["map_id", "layer_pos", "shape_pos", "ring_pos"]
+    own = lines.withColumn("ring_pos", F.lit(0)).join(layers.where("layer.kind = 'line'"), ["map_id", "layer_pos"]).where(seen(_box("pts")))
     shape = Window.partitionBy("map_id", "layer_pos", "shape_pos")
     rings = areas.join(layers.where("layer.kind = 'area'"), ["map_id", "layer_pos"])
     x0, y0, x1, y1 = _box("pts")
@@ -51,10 +52,19 @@ def layer_paths(layers: DataFrame, lines: DataFrame, areas: DataFrame, width: fl
     outer = F.min_by(G.ring_area("pts"), "ring_pos").over(shape)
     rings = rings.withColumn("seen", seen(whole)).withColumn("area", outer).withColumn("rings", F.count("*").over(shape))
     kept = rings.where(F.col("seen") & ~((F.col("area") < F.coalesce("layer.min_area", F.lit(0.0))) & (F.col("rings") == 1)))
-    kept = kept.select("map_id", "layer_pos", F.struct("shape_pos", "ring_pos").alias("at"), P.simplify("pts", tolerance).alias("pts"), F.lit(True).alias("closed"))
+    drawn = own.select(*key, "pts", F.lit(False).alias("closed")).unionByName(kept.select(*key, "pts", F.lit(True).alias("closed")))
+    vertices = drawn.select(*key, "closed", F.posexplode("pts").alias("pos", "p")).select(*key, "closed", "pos", "p.x", "p.y")
+    left = simplified(graph.kept(vertices), tolerance, (*key, "closed"))
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: D.point(p["x"], p["y"]))
     text = lambda closed: X.draw_path(F.col("pts"), closed)
-    drawn = own.unionByName(kept).withColumn("d", F.when(F.col("closed"), text(True)).otherwise(text(False)))
-    by = drawn.groupBy("map_id", "layer_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "d"))), lambda x: x["d"]), "").alias("d"))
+    return left.groupBy(*key, "closed").agg(pts.alias("pts")).select(*key, F.when(F.col("closed"), text(True)).otherwise(text(False)).alias("d"))
+
+
+def layer_paths(layers: DataFrame, lines: DataFrame, areas: DataFrame, width: float, height: float, tolerance: float = 0.35) -> DataFrame:
+    """map_id, layer_pos, layer, d: each layer's path text as one string, for layers that fit in a row; `layer_shapes` has its parts as rows."""
+    drawn = layer_shapes(layers, lines, areas, width, height, tolerance)
+    parts = F.array_sort(F.collect_list(F.struct("shape_pos", "ring_pos", "d")))
+    by = drawn.groupBy("map_id", "layer_pos").agg(F.array_join(F.transform(parts, lambda x: x["d"]), "").alias("d"))
     return layers.join(by, ["map_id", "layer_pos"], "left").select("map_id", "layer_pos", "layer", F.coalesce("d", F.lit("")).alias("d"))
 
 
@@ -122,4 +132,4 @@ def column_widths(cells: DataFrame, font: float, padding: float) -> DataFrame:
     return w.withColumn("offset", F.coalesce(F.sum("width").over(before), F.lit(0.0)))
 
 
-__all__ = ["LAYER", "basemap", "column_widths", "layer_paths", "line_courses", "projected", "rebuilt", "schematic_elements", "serving_lines"]
+__all__ = ["LAYER", "basemap", "column_widths", "layer_paths", "layer_shapes", "line_courses", "projected", "rebuilt", "schematic_elements", "serving_lines"]

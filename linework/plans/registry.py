@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.functions import geometry as G
-from linework.functions import polyline as P
 from linework.functions import strings as X
 from linework.operators import edges, graph, overlay, sequences, spatial
 from linework.operators import labels as L
@@ -499,6 +498,26 @@ def draw_order(spark, sf_dir):
     return graph.draw_order(ids, over).select("id", *big("level"))
 
 
+@query("select c_custkey as id, c_custkey % 250 as level from customer")
+def deep_order(spark, sf_dir):
+    """Stacks of 250 customers: each lies over the one before it and over the one seven before."""
+    ids = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    lower = F.explode(F.array(F.col("id") - 1, F.col("id") - 7))
+    over = ids.select(F.col("id").alias("upper"), lower.alias("lower")).where("lower > 0 and lower div 250 = upper div 250")
+    return graph.draw_order(ids, over).select("id", F.when(F.col("id") < 250, F.col("level") + 1).otherwise(F.col("level")).cast("long").alias("level"))
+
+
+@query("""with c as (select c_custkey as id, c_custkey // 1000 as chain, c_nationkey % 8 * 45 as delta from customer), s as (select *, row_number() over (partition by chain order by id) = 1 as first from c)
+    select id as line_id, cast((case when chain % 3 = 0 then 90 else 45 end + sum(case when first then 0 else delta end) over (partition by chain order by id)) % 360 as bigint) as bearing from s""")
+def passed_bearings(spark, sf_dir):
+    """Chains of a thousand lines that share an edge with the next one; every third chain has a start, at its first line."""
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("line_id"), (F.col("c_nationkey") % 8 * 45).alias("delta"), F.floor(F.col("c_custkey") / 1000).alias("chain"))
+    ids = c.select(F.col("line_id").alias("a"), F.col("chain").alias("same"))
+    shared = c.select((F.col("line_id") - 1).alias("a"), F.col("line_id").alias("b"), "delta", "chain").join(ids, "a").where("chain = same").select("a", "b", "delta")
+    starts = c.where("chain % 3 = 0").groupBy("chain").agg(F.min("line_id").alias("line_id")).select("line_id", F.lit(90).alias("bearing"))
+    return graph.bearings(shared, starts, c.select("line_id", F.col("line_id").alias("line_pos")), 45).select("line_id", *big("bearing"))
+
+
 @query(f"""with recursive {LINKS_SQL}, r(node, cost) as (select distinct a, 0 from e where a % 50 = 0 union select e.b, r.cost + 1 + (e.a + e.b) % 3 from r join e on e.a = r.node where r.cost < 600)
     select node, cast(min(cost) as bigint) as cost from r group by node""")
 def cheapest_ways(spark, sf_dir):
@@ -692,12 +711,32 @@ def label_placement(spark, sf_dir):
     return L.placed(labels, p.select("map_id", "x", "y"))
 
 
-@query()
+def _off_sql(dx: str, dy: str, cx: str, cy: str) -> str:
+    """The distance of (dx, dy) from the chord (cx, cy), both from its start."""
+    dx, dy, cx, cy = (f"({t})::double" for t in (dx, dy, cx, cy))
+    return f"(case when {cx} = 0 and {cy} = 0 then sqrt({dx} * {dx} + {dy} * {dy}) else abs({dy} * {cx} - {dx} * {cy}) / sqrt({cx} * {cx} + {cy} * {cy}) end)"
+
+
+OFF_SQL = _off_sql("m.x - a.x", "m.y - a.y", "b.x - a.x", "b.y - a.y")
+SIMPLIFIED_SQL = f"""with recursive v as materialized ({A.POLYLINES_SQL}), e as (select line_id, min(pos) as lo, max(pos) as hi from v group by line_id),
+    s(line_id, lo, hi) as (select * from e union all
+        select line_id, case when k = 0 then lo else far end, case when k = 0 then far else hi end from (
+            select s.line_id, s.lo, s.hi, arg_min(m.pos, (-{OFF_SQL}, m.pos)) as far, max({OFF_SQL}) as most
+            from s join v a on a.line_id = s.line_id and a.pos = s.lo join v b on b.line_id = s.line_id and b.pos = s.hi join v m on m.line_id = s.line_id and m.pos > s.lo and m.pos < s.hi
+            group by s.line_id, s.lo, s.hi), (values (0), (1)) t(k) where most > 500),
+    k as (select line_id, lo as pos from s union select line_id, hi from s)"""
+
+
+@query(f"{SIMPLIFIED_SQL}, c as (select line_id, count(*) as n_kept from k group by line_id) select line_id, n, n_kept from c join (select line_id, count(*) as n from v group by line_id) using (line_id)")
 def simplify_polyline(spark, sf_dir):
-    """Vertices that stay within a tolerance; the farthest-vertex recursion isn't SQL."""
-    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "x", "y"))), lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    lines = A.polylines(spark, sf_dir).groupBy("line_id").agg(pts.alias("pts"))
-    return lines.select("line_id", F.size("pts").cast("long").alias("n"), P.simplify("pts", 500.0).alias("kept")).select("line_id", "n", F.size("kept").cast("long").alias("n_kept"))
+    """How many vertices of each line stay within a tolerance."""
+    n = A.polylines(spark, sf_dir).groupBy("line_id").agg(F.count("*").alias("n"))
+    return n.join(simplified_vertices(spark, sf_dir).groupBy("line_id").agg(F.count("*").alias("n_kept")), "line_id")
+
+
+@query(f"{SIMPLIFIED_SQL} select line_id, pos, x, y from k join v using (line_id, pos)")
+def simplified_vertices(spark, sf_dir):
+    return sequences.simplified(A.polylines(spark, sf_dir), 500.0)
 
 
 # ---- tracks and bundles

@@ -53,9 +53,6 @@ def test_paths(spark):
     assert one(spark, X.draw_path(points((0, 0), (0.04, 0), (1.25, 0)), False)) == "M0 0l1.2 0"
     assert one(spark, X.draw_path(points((0, 0), (1, 0), (1, 1), (0, 0)), True)) == "M0 0l1 0 0 1z"
     assert one(spark, X.draw_path(points((0, 0), (0.01, 0)), False)) == ""
-    line = spark.range(1).select(points((0, 0), (1, 0.1), (2, -0.1), (3, 5), (4, 6), (5, 7), (6, 8.1), (7, 9), (8, 9), (9, 9)).alias("p"))
-    kept = line.select(P.simplify("p", 1.0).alias("k")).first().k
-    assert [(p.x, p.y) for p in kept] == [(0, 0), (2, -0.1), (3, 5), (7, 9), (9, 9)]
     ring = spark.range(1).select(points((0, 0), (1, 0), (1, 1), (0, 1)).alias("p"))
     assert ring.select(G.ring_area("p").alias("a")).first().a == 1
 
