@@ -6,8 +6,8 @@ document's score is the noisy-or 1 - prod(1 - p) over its sentences. Only docume
 either sign) and the bias are trained on the noisy-or's likelihood, and then locate the sentences that caused the score.
 
 Training uses at most MOST_TRAIN labelled documents, those with the smallest hash of the id (a documented bound);
-their features are counted on the executors, and only packed numbers of selected features (at most MOST_FEATURES)
-come to the driver. Every document is scored whole.
+their features are counted on the executors, and only packed numbers of those features come to the driver that say something about
+the label; how many is bounded by the sample alone. Every document is scored whole.
 
 Nulls: a null or empty text has no sentence and scores 0. A null label doesn't train; of several labels of one id
 the largest counts, of several texts of one id the smallest in byte order trains. Repeated documents give repeated rows. Without labels of both kinds nothing is
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from linework.llm.common import blocks, raw
 
 MOST_TRAIN = 20_000
-MOST_FEATURES = 5_000
 #: A feature is used if it occurs in so many documents and its log odds are so many standard errors from 0, either way.
 LEAST_DOCS, LEAST_Z = 8, 3.5
 #: Where training starts: the bias of sentences with features, and each weight.
@@ -150,7 +149,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most: int = MOST_TRAI
         odds = F.log((F.col("bad") + 0.5) / (bad - F.col("bad") + 0.5)) - F.log((F.col("n") - F.col("bad") + 0.5) / (good - F.col("n") + F.col("bad") + 0.5))
         error = F.sqrt(1 / (F.col("bad") + 0.5) + 1 / (F.col("n") - F.col("bad") + 0.5) + 1 / (bad - F.col("bad") + 0.5) + 1 / (good - F.col("n") + F.col("bad") + 0.5))
         kept = _counts(sample).where(f"n >= {LEAST_DOCS}").withColumn("z", odds / error).where(f"abs(z) >= {LEAST_Z}")
-        chosen = sorted(bytes(r["feature"]) for r in kept.orderBy(F.desc(F.abs("z")), "feature").limit(MOST_FEATURES).collect())
+        chosen = sorted(bytes(r["feature"]) for r in kept.select("feature").collect())
         number = {f: i for i, f in enumerate(chosen)}
         rows = sorted((r["toxic"], bytes(r["sizes"]), bytes(r["flat"])) for r in _bags(sample, number).collect())  # the same sums whatever the order of partitions
         sizes, flat = ([np.frombuffer(r[i], "<i4") for r in rows] for i in (1, 2))
@@ -160,6 +159,16 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, most: int = MOST_TRAI
     return Model(bias, {f: float(w[i]) for f, i in number.items()})
 
 
+def _in_code_points(text: bytes, found: list[tuple[int, int, float]]) -> list[dict]:
+    """Spans in ascending order, whose places in bytes become places in code points; the text is decoded once."""
+    out, at, seen = [], 0, 0
+    for i, j, p in found:
+        start = seen + len(text[at:i].decode())
+        at, seen = j, start + len(text[i:j].decode())
+        out.append({"start": start, "end": seen, "p": p})
+    return out
+
+
 def _apply(docs: DataFrame, model: Model, keep_only: bool) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
 
@@ -170,7 +179,8 @@ def _apply(docs: DataFrame, model: Model, keep_only: bool) -> DataFrame:
             for t in raw(b.column(b.schema.get_field_index("text"))):
                 total, found = own.score(t)
                 scores.append(total)
-                spans.append([{"start": len(t[:i].decode()), "end": len(t[:j].decode()), "p": p} for i, j, p in found])
+                if not keep_only:
+                    spans.append(_in_code_points(t, found))
             if keep_only:
                 yield b.filter(pa.array([x < 0.5 for x in scores], pa.bool_()))
             else:

@@ -92,3 +92,17 @@ def test_repeated_ids_train_on_one_text(spark, docs):
     b = {(r.doc_id, r.score) for r in toxicity.scores(docs(more[::-1]).repartition(5), marks).collect()}
     c = {(r.doc_id, r.score) for r in toxicity.scores(docs(rows), marks).collect()}
     assert a == b and c <= a
+
+
+def test_places_of_many_sentences():
+    """Places are counted once over the text: a text of 10 MB with half a million toxic sentences takes seconds."""
+    import time
+
+    own = toxicity.Model(0.0, {b"bad": 5.0})
+    text = "é bad ü. fine. ".encode() * 600_000
+    began = time.perf_counter()
+    total, found = own.score(text)
+    spans = toxicity._in_code_points(text, found)
+    assert time.perf_counter() - began < 60 and total == 1.0 and len(spans) == 600_000
+    whole = text.decode()
+    assert all(whole[x["start"] : x["end"]].strip() == "é bad ü" for x in spans[::10_000])
