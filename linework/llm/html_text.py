@@ -8,9 +8,12 @@ what lies between the first and the last cluster, without lines of mostly links.
 
 Structure corrects what ratios can't see: lines in navigation, headers, footers, asides, forms, scripts, hidden or
 advertising elements are never text and count as lines of ratio 0. A class, id or role is a sign of those if a whole token of
-it is one or is a compound of signs and plain qualifiers (site-footer, but not has-sidebar); an element with a sign is text all
+it is one or is a compound of signs and plain qualifiers (site-footer, but not has-sidebar), or if a part of it names comments or adverts; an element with a sign is text all
 the same if it holds the article or, on a page without an article elsewhere, most of the text.
 
+An inline element never ends a line: what isn't text in a paragraph is left out of it. A comment that is never closed reaches to
+the end of the page.
+
 Nulls and empty pages give an empty text. Markup that isn't closed or well nested is closed where HTML's rules or
 the next structural element imply it. A page takes time in proportion to its length, however deep it is nested. Repeated
 pages give repeated rows, an empty table an empty result. Other columns are ignored.
@@ -38,10 +41,14 @@ SIGNS = frozenset(
 #: Words that may stand beside a sign in a compound without changing what it says.
 PLAIN = frozenset("site page main top bottom left right primary secondary global sticky fixed mobile desktop list box bar block container wrapper wrap area section inner outer unit slot buttons button links link form posts items".split())
 KNOWN = SIGNS | PLAIN
+#: Words that are signs as any part of a token, and those that are as its last part; a token with one of NOT says what isn't there.
+ANYWHERE = frozenset("comment comments discussion discussions disqus replies advert adverts advertisement advertising adsense adslot sponsor sponsored".split())
+AT_END = frozenset("ad ads".split())
+NOT = frozenset("no not without has hide disabled".split())
 #: Signs that say nothing of a part of an article.
 WITHIN = frozenset("header notice notices alert".split())
 #: Signs of what may well be longer than the article.
-TALK = frozenset("comment comments disqus reply replies respond".split())
+TALK = frozenset("comment comments discussion discussions disqus reply replies respond".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -63,6 +70,7 @@ class Element:
     mark: int
     outside: int  # the innermost mark outside the article around it; -1 without an article
     ends: bool  # whether its end ends a line
+    soft: bool = False  # in boilerplate because of an inline element's signs, which a block inside it doesn't share
 
 
 @dataclass(slots=True)
@@ -114,7 +122,8 @@ class Lines(HTMLParser):
         if tag == "br":
             self.text.append(" ")
             return
-        if tag in BLOCKS:
+        inside = self.open[-1] if self.open else self.top
+        if tag in BLOCKS and not (inside.bad and not inside.soft):
             self.end_line()
             wall = self.innermost(BARRIERS | HOLDS.get(tag, frozenset()))
             own = CLOSES.get(tag, frozenset())
@@ -132,28 +141,36 @@ class Lines(HTMLParser):
             if left:
                 self.cut(min(left))
         x = self.open[-1] if self.open else self.top
-        bad, region, mark, signs = x.bad, x.region, x.mark, None
+        block = tag in BLOCKS or tag == "body"
+        soft = x.soft and not block
+        bad, region, mark, signs = x.bad and (soft or not x.soft), x.region, x.mark, None
         if tag == "body":
             bad = False
         elif tag in NEVER or (tag == "header" and region == -1):
-            bad = True
-        elif not bad and tag not in ("html", "article", "main") and attrs:
+            bad, soft = True, False
+        elif not bad and tag not in ("html", "main") and attrs:
             bad = self.hidden(attrs)
-            if not bad and (signs := self.signs(attrs)) and (region == -1 or signs - WITHIN):
-                mark = len(self.marks)
-                self.marks.append(signs)
-                self.above.append(x.mark)
-        outside = x.mark if tag in REGIONS else x.outside
+            signs = self.signs(attrs)
+            if tag == "article":  # only comments are articles in an article
+                signs &= TALK
+            if not bad and signs and (region == -1 or signs - WITHIN):
+                if not block:
+                    bad = soft = True
+                else:
+                    mark = len(self.marks)
+                    self.marks.append(signs)
+                    self.above.append(x.mark)
+        outside = x.mark if tag in REGIONS and mark == x.mark else x.outside
         if tag in REGIONS and not bad and region == -1:
             region, self.regions = self.regions, self.regions + 1
-        if mark != x.mark or (bad and not x.bad):
+        if mark != x.mark or (bad and not x.bad and block):
             self.end_line()
         container = x.container
         if tag in CONTAINERS:
             container = len(self.up)
             self.up.append(x.container)
         self.at.setdefault(tag, []).append(len(self.open))
-        self.open.append(Element(tag, bad, region, container, mark, outside, tag in BLOCKS or bad or mark != x.mark))
+        self.open.append(Element(tag, bad, region, container, mark, outside, block and not (x.bad and bad), soft))
 
     @staticmethod
     def signs(attrs: list[tuple[str, str | None]]) -> set[str]:
@@ -162,9 +179,11 @@ class Lines(HTMLParser):
         for key, value in attrs:
             if key in ("class", "id", "role") and value:
                 for token in value.lower().split():
-                    parts = set(re.split(r"[^a-z]+", token)) - {""}
-                    if parts <= KNOWN:
-                        found |= parts & SIGNS
+                    parts = [p for p in re.split(r"[^a-z]+", token) if p]
+                    if KNOWN.issuperset(parts):
+                        found |= SIGNS.intersection(parts)
+                    elif not NOT.intersection(parts):
+                        found |= ANYWHERE.intersection(parts) | AT_END.intersection(parts[-1:])
         return found
 
     @staticmethod
@@ -186,15 +205,19 @@ class Lines(HTMLParser):
             return
         if i >= 0:
             self.cut(i)
-        elif tag in BLOCKS:
+        elif tag in BLOCKS and not (self.open and self.open[-1].bad):
             self.end_line()
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1].bad:
+            return
         self.text.append(data)
         if any(x.tag == "a" for x in self.open[-3:]):
             self.linked += len(data)
 
     def finish(self) -> list[Line]:
+        if self.rawdata.startswith("<!--"):  # a comment that is never closed reaches to the end
+            self.rawdata = ""
         self.close()
         self.end_line()
         self.judge()

@@ -122,3 +122,25 @@ def test_deep_and_long_pages_take_linear_time():
 def test_short_article_beside_longer_boilerplate():
     page = f"<body><nav><a href=1>one</a></nav><div class=ad>{LONG}</div><article><h1>Tiny</h1><p>Er.</p></article><footer>{LONG}</footer></body>"
     assert main_text(page) == "Tiny\nEr."
+
+
+def test_comments_and_adverts_by_other_names():
+    page = lambda b: main_text(f"<body><nav>menu</nav>{b}</body>")
+    for part in ('<div class="comment-thread"><p>I say</p></div>', '<div id="user-comments">I say</div>', '<section class="discussion">I say</section>', '<div class="google-ad">Buy</div>', '<div class="topSponsored sponsored-posts">Buy</div>'):
+        assert page(f"<article><p>The text.</p>{part}<p>More.</p></article>") == "The text.\nMore.", part
+    assert page(f'<main><p>{LONG}</p><article class="comment">I say</article><article>Another part.</article></main>') == f"{LONG.strip()}\nAnother part."
+    assert page('<article><p class="ad-hoc">One.</p><p class="no-comments">Two.</p></article>') == "One.\nTwo."
+
+
+def test_inline_elements_end_no_line():
+    page = lambda b: main_text(f"<body><article><p>{b}</p><p>z</p></article></body>")
+    assert page("one <svg><text>s</text></svg> two") == "one two\nz"
+    assert page('one <span class="share">x <b>y</b></span> two') == "one two\nz"
+    assert page("x <button><div>b</div></button> y") == "x y\nz"
+    assert page("foo<script>var t='</p>';</script>bar") == "foobar\nz"
+    assert page("x <noscript><div>n</div></noscript> y") == "x y\nz"
+    assert main_text("<body><a class='banner'><article><p>kept</p></article></a></body>") == "kept"
+
+
+def test_comment_that_is_never_closed():
+    assert main_text("<article><p>text</p><!-- never " + "<p>x</p>" * 1000) == "text"
