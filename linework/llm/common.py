@@ -16,6 +16,8 @@ __all__ = ["HOT_SHARE", "blocks", "grouped", "id_bucket", "lookup", "raw", "writ
 
 #: A key with at least this share of all rows is hot; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1e-3
+#: What a row costs beside its text: an id, a length, a few counts.
+ROW_BYTES = 64
 
 
 def id_bucket(doc_id: str | Column, modulus: int) -> Column:
@@ -42,11 +44,12 @@ def lookup(left: DataFrame, right: DataFrame, key: str, weight: str, total: int)
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.Table]:
-    """Joins and cuts Arrow batches into tables that hold `most` bytes of text or at most one row more; rows aren't cut."""
+    """Joins and cuts Arrow batches into tables that hold `most` bytes of text or at most one row more; rows aren't cut. A row counts as
+    ROW_BYTES more than its text, so empty texts fill a block too."""
     held, size = [], 0
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0)
-        stop, at = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        stop, at = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64) + ROW_BYTES), 0
         while at < batch.num_rows:
             before = int(stop[at - 1]) if at else 0
             end = min(int(np.searchsorted(stop, before + most - size)) + 1, batch.num_rows)
