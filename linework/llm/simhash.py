@@ -111,7 +111,89 @@ class VantageTree:
         inner, outer = rest[near], rest[~near]
         return ("node", at, self._build(inner), (int(d[near].min()), int(d[near].max()), inner), self._build(outer), (int(d[~near].min()), int(d[~near].max()), outer))
 
-    def components(edges: DataFrame) -> DataFrame:
+    def components(self, radius: int) -> np.ndarray:
+        """The smallest index that each code reaches over links of at most radius bits."""
+        sets = _Sets(len(self.codes))
+        self._visit(self.root, np.arange(len(self.codes)), radius, sets)
+        return np.array([sets.find(i) for i in range(len(self.codes))])
+
+    def _visit(self, node: tuple, asked: np.ndarray, radius: int, sets: _Sets) -> None:
+        if not len(asked):
+            return
+        if node[0] == "leaf":
+            ids = node[1]
+            for lo in range(0, len(asked), 4096):
+                q = asked[lo : lo + 4096]
+                a, b = np.nonzero(_distance(self.codes[q][:, None], self.codes[ids][None, :]) <= radius)
+                a, b = q[a], ids[b]
+                apart = a < b
+                for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
+                    sets.link(x, y)
+            return
+        _, at, inner, inside, outer, outside = node
+        d = _distance(self.codes[asked], self.codes[at])
+        for x in asked[d <= radius].tolist():
+            sets.link(x, int(at))
+        for branch, (least, most, ids) in ((inner, inside), (outer, outside)):
+            whole = d + most <= radius  # the branch lies in the query's ball
+            for x in asked[whole].tolist():
+                sets.link(x, int(ids[0]))
+            if whole.any():
+                for y in ids.tolist():
+                    sets.link(int(ids[0]), y)
+            self._visit(branch, asked[~whole & (d - radius <= most) & (d + radius >= least)], radius, sets)
+
+
+def band_masks(radius: int, agree: int) -> list[int]:
+    """Masks of each choice of `agree` bands out of radius + agree nearly equal ones."""
+    n = radius + agree
+    cuts = [round(i * 64 / n) for i in range(n + 1)]
+    bands = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
+    return [sum(x) for x in combinations(bands, agree)]
+
+
+def links(fps: DataFrame, count: int, radius: int = 4, shard_size: int = 1000) -> DataFrame:
+    """(a, b): spanning links between distinct fingerprints at most `radius` bits apart. fps: one row per fp."""
+    spark = fps.sparkSession
+    agree = 1
+    while count > shard_size * 2 ** (64 * agree // (radius + agree)) and agree < 8:
+        agree += 1
+    masks = [m - (1 << 64) if m >> 63 else m for m in band_masks(radius, agree)]
+    shards = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("band", "part"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards.repartition(parts, "band", "part").sortWithinPartitions("band", "part", "fp")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None
+        for frame in frames:  # a shard may reach over the end of a batch
+            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+            last = (frame["band"] == frame["band"].iloc[-1]) & (frame["part"] == frame["part"].iloc[-1])
+            held = frame[last]
+            yield from solve(frame[~last])
+        if held is not None:
+            yield from solve(held)
+
+    def solve(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        if len(frame) < 2:
+            return
+        band, part, codes = frame["band"].to_numpy(), frame["part"].to_numpy(), frame["fp"].to_numpy().view(np.uint64)
+        new = np.flatnonzero((band[1:] != band[:-1]) | (part[1:] != part[:-1])) + 1
+        edges = np.concatenate(([0], new, [len(codes)]))
+        out = []
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if hi - lo > 1:
+                own = codes[lo:hi]
+                root = VantageTree(own).components(radius)
+                away = root != np.arange(len(own))
+                if away.any():
+                    out.append(pd.DataFrame({"a": own[away].view(np.int64), "b": own[root[away]].view(np.int64)}))
+        if out:
+            yield pd.concat(out, ignore_index=True)
+
+    return shards.mapInPandas(run, "a long, b long").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches."""
     return graph.components(edges).withColumnRenamed("component", "label")
 
