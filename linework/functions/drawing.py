@@ -69,6 +69,30 @@ def rounded_path(points: str, radii: str) -> Column:
     return F.when(F.size(points) > 0, F.concat_ws(" ", F.array(head), F.transform(with_arcs, part)))
 
 
+def course_path(points: str) -> Column:
+    """SVG path of a lane's course, an array of (x, y, r, curve): circle arcs at vertices with a radius r, and a cubic curve into each
+    vertex that says so, along the direction in which the course came to the vertex before (or of the curve itself at the start)."""
+    n = F.size(points)
+    none = F.lit(None).cast("struct<x:double,y:double,r:double,curve:boolean>")
+    shift = lambda k: F.concat(F.array_repeat(none, k), F.slice(points, F.lit(1), F.greatest(n - k, F.lit(0))))
+    behind = F.concat(F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), F.array(none))
+    zipped = F.arrays_zip(shift(2).alias("from"), shift(1).alias("a"), F.col(points).alias("p"), behind.alias("b"), F.transform(points, lambda p: p["r"]).alias("r"))
+
+    def part(z: Column) -> Column:
+        p, a = z["p"], z["a"]
+        start = F.when(z["from"].isNull(), p).otherwise(a)
+        back = F.coalesce(z["from"], a)
+        size = F.hypot(start["x"] - back["x"], start["y"] - back["y"])
+        curve = shift_bezier(a["x"], a["y"], (start["x"] - back["x"]) / size, (start["y"] - back["y"]) / size, p["x"], p["y"])
+        c = F.when(z["b"].isNotNull() & ~F.coalesce(z["b"]["curve"], F.lit(False)), _rounded(z))
+        into, out = pair(p["x"] - c["ix"] * c["t"], p["y"] - c["iy"] * c["t"]), pair(p["x"] + c["ox"] * c["t"], p["y"] + c["oy"] * c["t"])
+        arc = F.concat_ws(" ", F.lit("L"), into, F.lit("A"), pair(c["r"], c["r"]), F.lit("0 0"), F.when(c["delta"] > 0, "1").otherwise("0"), out)
+        return F.when(p["curve"], curve).when(c.isNull(), F.concat(F.lit("L "), pair(p["x"], p["y"]))).otherwise(arc)
+
+    head = F.concat(F.lit("M "), pair(F.get(points, F.lit(0))["x"], F.get(points, F.lit(0))["y"]))
+    return F.when(n > 0, F.concat_ws(" ", F.array(head), F.transform(F.filter(zipped, lambda z: z["a"].isNotNull()), part)))
+
+
 def arc_points(px: Column, py: Column, ix: Column, iy: Column, delta: Column, radius: Column, steps: Column) -> Column:
     """steps + 1 points of a circle arc from p, driven along (ix, iy) first, that turns by delta (radians, to the right where positive)."""
     side = F.when(delta > 0, 1.0).otherwise(-1.0)

@@ -77,14 +77,14 @@ def _middle(x: tuple[str, str], y: tuple[str, str]) -> tuple[Column, Column]:
     return F.round((F.col(x[0]) + F.col(x[1])) / 2, 6) + 0.0, F.round((F.col(y[0]) + F.col(y[1])) / 2, 6) + 0.0
 
 
-def lane_map(legs: DataFrame) -> DataFrame:
-    """(mx, my, family, lane): each family's lane at each leg's middle, in the lexicographic direction; of a family's lines the last.
+def lane_map(legs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
+    """(*within, mx, my, family, lane): each family's lane at each leg's middle, in the lexicographic direction; of a family's lines the last.
 
     legs: (line_id, family, k, ax, ay, bx, by, off), off in the driven direction.
     """
     mx, my = _middle(("ax", "bx"), ("ay", "by"))
     lane = _along(F.col("off"), _forward("ax", "ay", "bx", "by"))
-    return legs.select(mx.alias("mx"), my.alias("my"), "family", "line_id", "k", lane.alias("lane")).groupBy("mx", "my", "family").agg(F.max_by("lane", F.struct("line_id", "k")).alias("lane"))
+    return legs.select(*within, mx.alias("mx"), my.alias("my"), "family", "line_id", "k", lane.alias("lane")).groupBy(*within, "mx", "my", "family").agg(F.max_by("lane", F.struct("line_id", "k")).alias("lane"))
 
 
 def corners(legs: DataFrame) -> DataFrame:
@@ -93,23 +93,24 @@ def corners(legs: DataFrame) -> DataFrame:
     return legs.where("delta <> 0").join(before, ["line_id", "k"])
 
 
-def curve_bundle(legs: DataFrame, spacing: float) -> DataFrame:
+def curve_bundle(legs: DataFrame, spacing: float, within: tuple[str, ...] = ()) -> DataFrame:
     """(line_id, k, x, y, shift, innermost, beside): at each corner how far the line lies off the middle, the same of the
     innermost lane of its bundle counted towards the inside, and whether another family runs beside it all the way round.
 
-    The bundle is the families whose gap to the line stays the same from one leg to the next.
+    The bundle is the families whose gap to the line stays the same from one leg to the next. within: columns of legs whose values
+    bundles don't reach across, such as networks on the same ground.
     """
-    lanes = graph.kept(lane_map(legs))
+    lanes = graph.kept(lane_map(legs, within))
     c = corners(legs)
     own = (F.col("p_off") + F.col("off")) / 2 * spacing
     sign = F.when(F.col("delta") > 0, 1).otherwise(-1)
     pmx, pmy = _middle(("p_ax", "p_bx"), ("p_ay", "p_by"))
     mx, my = _middle(("ax", "bx"), ("ay", "by"))
-    c = c.select("line_id", "family", "k", "ax", "ay", "off", "p_off", own.alias("shift"), sign.alias("sign"), pmx.alias("pmx"), pmy.alias("pmy"), mx.alias("mx"), my.alias("my"),
+    c = c.select(*within, "line_id", "family", "k", "ax", "ay", "off", "p_off", own.alias("shift"), sign.alias("sign"), pmx.alias("pmx"), pmy.alias("pmy"), mx.alias("mx"), my.alias("my"),
                  _forward("p_ax", "p_ay", "p_bx", "p_by").alias("p_fwd"), _forward("ax", "ay", "bx", "by").alias("fwd"))
-    into = lanes.select(F.col("mx").alias("pmx"), F.col("my").alias("pmy"), F.col("family").alias("other"), F.col("lane").alias("p_lane"))
-    out = lanes.select("mx", "my", F.col("family").alias("other"), "lane")
-    near = c.join(into, ["pmx", "pmy"]).where("other <> family").join(out, ["mx", "my", "other"])
+    into = lanes.select(*within, F.col("mx").alias("pmx"), F.col("my").alias("pmy"), F.col("family").alias("other"), F.col("lane").alias("p_lane"))
+    out = lanes.select(*within, "mx", "my", F.col("family").alias("other"), "lane")
+    near = c.join(into, [*within, "pmx", "pmy"]).where("other <> family").join(out, [*within, "mx", "my", "other"])
     gap = _along(F.col("p_lane"), F.col("p_fwd")) - F.col("p_off")
     gap_after = _along(F.col("lane"), F.col("fwd")) - F.col("off")
     near = near.withColumn("gap", gap).where(F.abs(gap - gap_after) <= NEAR)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linework.operators import tracks as T
-from linework.plans import maps, schematic
+from linework.plans import maps, schematic, whole
 from linework.plans.registry import LEGS, query
 from linework.schema import PATH
 from linework.sources import adapters as A
@@ -74,6 +74,11 @@ def _path(length: Column, most: Column | None = None, elastic: bool = True) -> C
 
 
 def _shared(spark, sf_dir) -> dict[str, DataFrame]:
+    return schematic.layout(*_networks(spark, sf_dir))
+
+
+def _networks(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """stations, lines, steps of a small network for each supplier."""
     k = A.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("net_id"), (2 + F.col("s_suppkey") % 5).alias("p"), (6 + F.col("s_suppkey") % 3).alias("r"))
     stop, path, turn = (lambda s: ("station", F.lit(s), None, None)), (lambda c: ("path", None, None, c)), ("turn", None, F.lit(45), None)
     courses = {
@@ -91,4 +96,30 @@ def _shared(spark, sf_dir) -> dict[str, DataFrame]:
     line = lambda i, s: F.struct(F.lit(i).alias("line_id"), F.lit(int(i)).alias("line_pos"), F.lit("#000").alias("color"), s.cast("int").alias("start"), F.lit(None).cast("struct<x:double,y:double>").alias("anchor"), F.lit(1.2).alias("spacing"), F.lit(None).cast("string").alias("direction"), F.lit(False).alias("closed"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("branch_of"))
     lines = k.select("net_id", F.explode(F.array(*[line(i, s) for i, s in start.items()])).alias("l")).select("net_id", "l.*")
     stations = k.select("net_id", F.explode(F.array(*map(F.lit, "ABCD"))).alias("id")).withColumn("kind", F.lit("station"))
-    return schematic.layout(stations, lines, steps)
+    return stations, lines, steps
+
+
+# Lanes are 8 pixels apart: lines 0 and 1 share the first edge, 4 above and below its middle; line 0 changes to the middle of its second edge by
+# a curve of 16 pixels, line 1 in its corner, of radius 16; line 2 runs in the middle all along.
+MAP_SQL = """with k as (select s_suppkey as net, 2 + s_suppkey % 5 as p, 6 + s_suppkey % 3 as r from supplier), y as (select net, r::double as r, least(3.5::double, r - (r - 3 + 2 * p) / 3::double) as y from k),
+    g as (select net, r * 20 as r, (r - y) * 20 as m, y * 20 as y, sqrt(0.5::double) as h, tan(radians(22.5::double)) * 16 as t from y), v as (select *, m + (y - 16) / 2 as f, m + 36 as c, m + 40 + 12 * h as dx, 12 * h as dy from g),
+    e as (select net, 1 as level, 1 as place, '0' as id, printf('M 0.000 4.000 L %.3f 4.000 C %.3f 4.000 %.3f 0.000 %.3f 0.000 L %.3f 0.000', f, f + 8, f + 8, f + 16, m + y) as d from v
+        union all select net, 1, 2, '1', printf('M 0.000 -4.000 L %.3f -4.000 L %.3f -4.000 A 16.000 16.000 0 0 1 %.3f %.3f L %.3f %.3f', m, c - t, c + t * h, -4 + t * h, dx, dy) from v
+        union all select net, 1, 3, '2', printf('M 0.000 0.000 L %.3f 0.000', r) from v),
+    l as (select net, level, place, id, '<path stroke="#ffffff" stroke-width="5.5" d="' || d || '"/>' || chr(10) || '<path id="line-' || id || '" stroke="#000" stroke-width="4" d="' || d || '"/>' as text from e),
+    s as (select net, 'A' as id, 0 as x, 0 as y, 4 as half, 1 as place from v union all select net, 'B', m, 0, 4, 2 from v union all select net, 'C', r, 0, 0, 3 from v union all select net, 'D', dx, dy, 0, 4 from v),
+    n as (select *, printf('<path d="M %.1f -4.0 L %.1f 4.0" stroke="#111" stroke-width="10" stroke-linecap="round"/>', x, x) || printf('<path d="M %.1f -4.0 L %.1f 4.0" stroke="#fff" stroke-width="7" stroke-linecap="round"/>', x, x) as pill,
+        printf('<circle cx="%.1f" cy="%.1f" r="3" fill="#fff" stroke="#111"/>', x, y) as dot from s)
+    select net, level, place, id, text from l union all select net, 2, place, id, case when half > 0 then pill else dot end from n
+    union all select net, 3, place, id, printf('<text x="%.1f" y="%.1f" font-size="10">%s</text>', x + 8, y + 10 / 3::double, id) from n"""
+
+
+@query(MAP_SQL)
+def network_maps(spark, sf_dir):
+    """Those networks drawn, with lanes, a rounded corner, a curve from lane to lane, pills and names, as rows in drawing order."""
+    stations, lines, steps = _networks(spark, sf_dir)
+    none = lambda t: F.lit(None).cast(t)
+    stations = stations.withColumns({"name": F.col("id"), "label": none("string"), "hidden": none("boolean"), "planned": none("boolean")})
+    at_once = stations.where("id = 'B'").select("net_id", F.lit("B").alias("u"), F.lit("C").alias("v"), F.lit("middle").alias("at"))
+    rows = whole.map_rows(stations, lines, steps, at_once=at_once, span=4.0)
+    return rows.select(F.col("map_id").cast("long").alias("net"), "level", F.col("place").cast("long").alias("place"), "id", "text")
