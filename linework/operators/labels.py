@@ -95,6 +95,58 @@ def badge_order(rows: DataFrame, wanted: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w))
 
 
+# The side across the station from each side.
+OPPOSITE = {"top_left": "bottom_right", "bottom_right": "top_left", "top_right": "bottom_left", "bottom_left": "top_right", "left": "right", "right": "left", "top": "bottom", "bottom": "top"}
+
+
+def opposite_anchors(labels: DataFrame, points: DataFrame, clearance: float) -> DataFrame:
+    """labels with side, their own, and ox, oy, o_anchor: where a line of text would stand on the other side of the station.
+
+    labels: (station_id, sx, sy: the station, dx, dy: the direction of its name, hub, room: what its sign takes beside it); points: (station_id, x, y)
+    of its lanes. The text keeps clear of the lanes' extent in its direction; at the corner of a hub, of both their sides; beside a
+    station it stands in the middle of the lanes' heights.
+    """
+    names = list(SIDES)
+    nearest = F.array_max(F.array(*[F.struct((F.col("dx") * u + F.col("dy") * v).alias("d"), F.lit(-i).alias("i"), F.lit(n).alias("n")) for i, (n, (u, v)) in enumerate(SIDES.items())]))["n"]
+    pick = lambda values: F.try_element_at(F.create_map(*[F.lit(x) for n, v in zip(names, values, strict=True) for x in (n, v)]), F.col("side"))
+    own = labels.withColumn("side", nearest)
+    own = own.withColumn("_o", pick([OPPOSITE[n] for n in names])).withColumn("_u", pick([SIDES[OPPOSITE[n]][0] for n in names])).withColumn("_v", pick([SIDES[OPPOSITE[n]][1] for n in names]))
+    qx, qy = F.col("x") - F.col("sx"), F.col("y") - F.col("sy")
+    most = lambda v: F.coalesce(F.max(v), F.lit(0.0))
+    over = own.select("station_id", "sx", "sy", "_u", "_v").join(points, "station_id")
+    extent = over.groupBy("station_id").agg(most(qx * F.col("_u") + qy * F.col("_v")).alias("_far"), most(qx * F.signum("_u")).alias("_fx"), most(qy * F.signum("_v")).alias("_fy"), F.avg("y").alias("_mean"))
+    own = own.join(extent, "station_id", "left").fillna(0.0, ["_far", "_fx", "_fy"])
+    beside = (F.abs("_u") > 0.3) & (F.abs("_v") <= 0.3)
+    corner = F.col("hub") & (F.abs("_u") > 0.3) & (F.abs("_v") > 0.3)
+    dx, dy, anchor = label_offset(F.col("_o"), clearance)
+    high = F.when(beside, F.coalesce("_mean", "sy")).otherwise(F.col("sy") + F.col("_v") * F.col("_far"))
+    x = F.when(corner, F.col("sx") + F.signum("_u") * (F.col("_fx") + clearance)).otherwise(F.col("sx") + F.col("_u") * (F.col("_far") + F.when(beside, F.col("room")).otherwise(0.0)) + dx)
+    y = F.when(corner, F.col("sy") + F.signum("_v") * F.col("_fy") + F.when(F.col("_v") > 0, clearance + 7.0).otherwise(-clearance - 1.0)).otherwise(high + dy)
+    return own.select(*labels.columns, "side", x.alias("ox"), y.alias("oy"), F.when(corner, F.when(F.col("_u") > 0, "start").otherwise("end")).otherwise(anchor).alias("o_anchor"))
+
+
+def badge_places(badges: DataFrame, labels: DataFrame, points: DataFrame, clearance: float, font: float, height: float, gap: float, grow: float) -> DataFrame:
+    """(station_id, line_id, way, x0, y0, x1, y1): the boxes of a station's badges in a row, by one of three ways.
+
+    badges: (station_id, line_id, hollow, width, rank). labels as in opposite_anchors, and x, y, anchor: the name's last base line, top: its upper edge,
+    opposite and above: what the definition asks for, nudge_x, nudge_y. The row takes the other side of the station (corner) where that is
+    asked for, and where the name stands at the upper right of a station that is no hub and isn't to carry its row above; else it stands above
+    the name or below it. A hollow badge is larger by `grow` all round.
+    """
+    at = opposite_anchors(labels, points, clearance)
+    corner = F.col("opposite") | ((F.col("side") == "top_right") & ~F.col("hub") & ~F.col("above"))
+    way = F.when(corner, "corner").when(F.col("above"), "above").otherwise("below")
+    top = F.when(corner, F.col("oy") - 0.35 * font - height / 2).when(F.col("above"), F.col("top") - gap - height).otherwise(F.col("y") + gap + 1.0)
+    at = at.select("station_id", way.alias("way"), (F.when(corner, F.col("ox")).otherwise(F.col("x")) + F.coalesce("nudge_x", F.lit(0.0))).alias("lx"), F.when(corner, F.col("o_anchor")).otherwise(F.col("anchor")).alias("anchor"), (top + F.coalesce("nudge_y", F.lit(0.0))).alias("up"))
+    more = F.when(F.col("hollow"), F.lit(grow)).otherwise(0.0)
+    row = Window.partitionBy("station_id")
+    own = badges.join(at, "station_id").withColumn("more", more).withColumn("wide", F.col("width") + 2 * more)
+    before = F.coalesce(F.sum(F.col("wide") + gap).over(row.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    total = F.sum(F.col("wide") + gap).over(row) - gap
+    left = F.col("lx") - F.when(F.col("anchor") == "middle", total / 2).when(F.col("anchor") == "end", total).otherwise(0.0) + before
+    return own.select("station_id", "line_id", "way", left.alias("x0"), (F.col("up") - F.col("more")).alias("y0"), (left + F.col("wide")).alias("x1"), (F.col("up") + height + F.col("more")).alias("y1"))
+
+
 def place_boxes(names: list[str], w: np.ndarray, h: np.ndarray, x: np.ndarray, y: np.ndarray, ox: np.ndarray, oy: np.ndarray, clearance: float) -> list[str]:
     """Sides of one map's labels, one after the other: the cheapest of the eight, the first of equal ones.
 

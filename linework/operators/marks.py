@@ -35,18 +35,34 @@ def pill_box(cx: Column, cy: Column, nx: Column, ny: Column, length: Column, rad
     return [cx - ex, cy - ey, cx + ex, cy + ey]
 
 
-def crossing_area(acx: Column, acy: Column, anx: Column, any_: Column, al: Column, bcx: Column, bcy: Column, bnx: Column, bny: Column, bl: Column) -> Column:
+def straightened(anx: Column, any_: Column, bnx: Column, bny: Column, straighten: Column, keeps: Column) -> tuple[Column, Column, Column, Column]:
+    """The axes a and b of two pills turned towards a right angle: by none of what is missing at 0, all of it at 1.
+
+    Both turn by half of it; if one of them is kept (keeps: 'a' or 'b'), the other turns by all of it.
+    """
+    angle = F.atan2(anx * bny - any_ * bnx, anx * bnx + any_ * bny)
+    half = (F.signum(angle) * F.pi() / 2 - angle) * straighten / 2
+    kept = F.coalesce(keeps, F.lit(""))
+    return *rotated(anx, any_, F.when(kept == "a", 0.0).when(kept == "b", -2 * half).otherwise(-half)), *rotated(bnx, bny, F.when(kept == "b", 0.0).when(kept == "a", 2 * half).otherwise(half))
+
+
+def crossing_area(acx: Column, acy: Column, anx: Column, any_: Column, al: Column, bcx: Column, bcy: Column, bnx: Column, bny: Column, bl: Column, axes: tuple[Column, Column, Column, Column] | None = None) -> Column:
     """(x, y, corners) of the parallelogram in which two pills' bundles cross; null where they are nearly parallel.
 
-    The bundles run across the pills' axes n, so the middle is where the lines through the centres across n meet.
+    The bundles run across the pills' axes n, so the middle is where the lines through the centres across n meet. axes:
+    straightened ones, along which the sides then run around that middle.
     """
     det = anx * bny - any_ * bnx
     # along the first bundle, whose direction is (-ny, nx)
     s = ((bcx - acx) * bnx + (bcy - acy) * bny) / F.when(F.abs(det) >= 0.2, -any_ * bnx + anx * bny)
     x, y = acx - any_ * s, acy + anx * s
+    crosses = F.abs(det) >= 0.2
+    if axes is not None:
+        anx, any_, bnx, bny = axes
+        det = anx * bny - any_ * bnx
     corner = lambda p, q: F.struct((x + (p * bny - q * any_) / det).alias("x"), (y + (q * anx - p * bnx) / det).alias("y"))
     corners = F.array(*[corner(i * al / 2, j * bl / 2) for i, j in ((1, 1), (1, -1), (-1, -1), (-1, 1))])
-    return F.when(F.abs(det) >= 0.2, F.struct(x.alias("x"), y.alias("y"), corners.alias("corners")))
+    return F.when(crosses, F.struct(x.alias("x"), y.alias("y"), corners.alias("corners")))
 
 
 def under_station(x: Column, y: Column, kind: Column, cx: Column, cy: Column, angle: Column, half_length: Column, half_width: Column, pill: float, ring: float, dot: float) -> Column:
@@ -97,3 +113,57 @@ def pills(points: DataFrame, spacing: float, most_angle: float = 15.0) -> DataFr
     by = n.groupBy("station_id", "mark").agg(F.array_sort(F.collect_list("line_id")).alias("lines"), F.first("nx").alias("nx"), F.first("ny").alias("ny"), F.min(along).alias("lo"), F.max(along).alias("hi"), F.avg(across).alias("v"))
     u = (F.col("lo") + F.col("hi")) / 2
     return by.select("station_id", "mark", "lines", (u * F.col("nx") - F.col("v") * F.col("ny")).alias("x"), (u * F.col("ny") + F.col("v") * F.col("nx")).alias("y"), "nx", "ny", (F.col("hi") - F.col("lo")).alias("length"))
+
+
+def station_marks(points: DataFrame, spacing: float, crossings: DataFrame | None = None) -> DataFrame:
+    """(station_id, mark, lines, x, y, nx, ny, length, corners): the marks of line_points: pills, and where a station of crossings
+    (station_id, straighten, keep: a line whose bundle keeps its direction, or null) has two that cross, one over the whole crossing.
+
+    A crossing's lines are those of both pills, the first one's first; its corners go around it, and it has no length.
+    """
+    own = pills(points, spacing).withColumn("corners", F.lit(None).cast("array<struct<x:double,y:double>>"))
+    if crossings is None:
+        return own
+    own = graph.kept(own)
+    pill = F.struct("mark", "lines", "x", "y", "nx", "ny", "length")
+    two = own.join(crossings, "station_id").groupBy("station_id").agg(F.array_sort(F.collect_list(pill)).alias("p"), F.first("straighten").alias("straighten"), F.first("keep").alias("keep")).where(F.size("p") == 2)
+    a, b = F.get("p", F.lit(0)), F.get("p", F.lit(1))
+    keeps = F.when(F.array_contains(a["lines"], F.col("keep")), "a").when(F.array_contains(b["lines"], F.col("keep")), "b")
+    axes = straightened(*[e[c] for e in (a, b) for c in ("nx", "ny")], F.coalesce("straighten", F.lit(0.0)), keeps)
+    two = graph.kept(two.select("station_id", "p", *[v.alias(f"_{i}") for i, v in enumerate(axes)]))  # written: one expression of all would be too long to compile
+    both = two.withColumn("area", crossing_area(*[e[c] for e in (a, b) for c in ("x", "y", "nx", "ny", "length")], tuple(F.col(f"_{i}") for i in range(4)))).where("area is not null")
+    crossed = graph.kept(both.select("station_id", a["mark"].alias("mark"), F.concat(a["lines"], b["lines"]).alias("lines"), "area.x", "area.y", a["nx"].alias("nx"), a["ny"].alias("ny"), F.lit(0.0).alias("length"), "area.corners"))
+    return own.join(crossed.select("station_id"), "station_id", "left_anti").unionByName(crossed)
+
+
+def mark_reach(radius: float) -> Column:
+    """How far a mark of station_marks reaches from its middle."""
+    far = F.array_max(F.transform("corners", lambda p: F.hypot(p["x"] - F.col("x"), p["y"] - F.col("y"))))
+    return F.coalesce(far, F.col("length") / 2) + radius
+
+
+def mark_box(radius: float) -> list[Column]:
+    """(x0, y0, x1, y1) around a mark of station_marks."""
+    pill = pill_box(F.col("x"), F.col("y"), F.col("nx"), F.col("ny"), F.col("length"), radius)
+    side = lambda f, c, r: f(F.transform("corners", lambda p: p[c])) + r
+    area = [side(F.array_min, "x", -radius), side(F.array_min, "y", -radius), side(F.array_max, "x", radius), side(F.array_max, "y", radius)]
+    return [F.coalesce(a, p) for a, p in zip(area, pill, strict=True)]
+
+
+def mark_extent(ux: Column, uy: Column, radius: float) -> Column:
+    """How far a mark of station_marks reaches from its middle along the unit vector (ux, uy)."""
+    far = F.array_max(F.transform("corners", lambda p: (p["x"] - F.col("x")) * ux + (p["y"] - F.col("y")) * uy))
+    return F.coalesce(far, F.abs(F.col("nx") * ux + F.col("ny") * uy) * F.col("length") / 2) + radius
+
+
+def mark_points(radius: float) -> Column:
+    """Points on a mark of station_marks that names keep clear of: a pill's axis and both its sides, about 1.5 apart; a crossing's
+    sides in seven steps each, the same half way in, and its middle."""
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    n = F.greatest(F.floor(F.col("length") / 1.5), F.lit(1)).cast("int")
+    along = lambda i: (i / n - F.lit(0.5)) * F.col("length")
+    pill = F.flatten(F.transform(F.sequence(F.lit(0), n), lambda i: F.array(*[point(F.col("x") + F.col("nx") * along(i) - F.col("ny") * r, F.col("y") + F.col("ny") * along(i) + F.col("nx") * r) for r in (-radius, 0.0, radius)])))
+    nxt = F.concat(F.slice("corners", 2, 3), F.slice("corners", 1, 1))
+    side = F.flatten(F.transform(F.arrays_zip(F.col("corners").alias("p"), nxt.alias("q")), lambda z: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: point(z["p"]["x"] + (z["q"]["x"] - z["p"]["x"]) * i / 7, z["p"]["y"] + (z["q"]["y"] - z["p"]["y"]) * i / 7))))
+    inner = F.transform(side, lambda p: point((p["x"] + F.col("x")) / 2, (p["y"] + F.col("y")) / 2))
+    return F.when(F.col("corners").isNull(), pill).otherwise(F.concat(side, inner, F.array(point(F.col("x"), F.col("y")))))

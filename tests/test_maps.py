@@ -104,6 +104,14 @@ def test_marks(spark):
     points = spark.createDataFrame([("a", "1", 0.0, 0.0, 1.0, 0.0), ("a", "2", 0.0, 4.0, -1.0, 0.0), ("a", "3", 0.0, 8.0, 1.0, 0.1), ("a", "4", 0.0, 30.0, 1.0, 0.0), ("b", "1", 0.0, 2.0, 0.0, 1.0)], "station_id string, line_id string, x double, y double, ux double, uy double")
     got = {(r.station_id, tuple(r.lines)): (round(r.x, 6), round(r.y, 6), round(r.length, 6)) for r in marks.pills(points, 4.0).collect()}
     assert got == {("a", ("1", "2", "3")): (0.0, 4.0, 8.0), ("a", ("4",)): (0.0, 30.0, 0.0), ("b", ("1",)): (0.0, 2.0, 0.0)}
+    ends = [("k", "1", 0.0, 2.0, 1.0, 0.0), ("k", "2", 0.0, -2.0, 1.0, 0.0), ("k", "3", 10.0, 0.0, 0.6, 0.8)]
+    cross = marks.station_marks(points.union(spark.createDataFrame(ends, points.schema)), 4.0, spark.createDataFrame([("k", 1.0, "1"), ("b", 1.0, None)], "station_id string, straighten double, keep string"))
+    k = cross.where("station_id = 'k'").collect()
+    assert len(k) == 1 and k[0].lines == ["1", "2", "3"] and (round(k[0].x, 6), round(k[0].y, 6)) == (10.0, 0.0)
+    assert {(round(p.x, 6), round(p.y, 6)) for p in k[0].corners} == {(10.0, 2.0), (10.0, -2.0)}  # the third line has no width, and its axis turned to the first one's direction
+    assert cross.where("station_id = 'b'").first().corners is None and cross.count() == 4
+    sizes = cross.where("station_id = 'a' and size(lines) = 3").select(marks.mark_reach(1.0).alias("r"), marks.mark_extent(F.lit(1.0), F.lit(0.0), 1.0).alias("e"), F.array(*marks.mark_box(1.0)).alias("b"), marks.mark_points(1.0).alias("p")).first()
+    assert (sizes.r, sizes.e) == (5.0, 1.0) and sizes.b == [-1.0, -1.0, 1.0, 9.0] and len(sizes.p) == 18
     row = spark.range(1).select(
         F.array(*marks.pill_box(F.lit(5.0), F.lit(5.0), F.lit(0.0), F.lit(1.0), F.lit(8.0), 2.0)).alias("box"), F.struct(*[c.alias(n) for c, n in zip(marks.rotated(F.lit(1.0), F.lit(0.0), F.radians(F.lit(90.0))), "xy", strict=True)]).alias("v"),
         marks.under_station(F.lit(5.0), F.lit(0.5), F.lit("hub"), F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(4.0), F.lit(0.0), 1.2, 3.0, 1.0).alias("hub"),
