@@ -34,6 +34,7 @@ def check_definitions(stations: DataFrame, lines: DataFrame, steps: DataFrame) -
     bad = "path.length < 0 or path.minimum < 0 or path.minimum > path.maximum or path.flex <= 0 or (not path.flexibility and path.length is null)"
     require_empty(paths.where(bad).select(*KEY, "pos"), "a path's lengths contradict each other")
     require_empty(stops.join(stations.select("net_id", F.col("id").alias("station_id")), ["net_id", "station_id"], "left_anti").select(*KEY, "station_id"), "unknown stations")
+    require_empty(lines.join(stops.groupBy(*KEY).count().where("count > 1"), KEY, "left_anti").select(*KEY), "a line needs two stations at least")
     rings = lines.where("closed").select(*KEY)
     ends = stops.groupBy(*KEY).agg(F.min_by("station_id", "pos").alias("first"), F.max_by("station_id", "pos").alias("last"), F.max("pos").alias("end"))
     require_empty(rings.join(ends, KEY).where("first <> last").select(*KEY), "a closed line doesn't end where it starts")
@@ -41,6 +42,23 @@ def check_definitions(stations: DataFrame, lines: DataFrame, steps: DataFrame) -
     require_empty(inner.groupBy(*KEY, "station_id").count().where("count > 1"), "a line calls at a station twice")
 
 
+def check_corridors(corridors: DataFrame) -> None:
+    """shift_at is a place on an edge: start, middle or end."""
+    require_empty(corridors.where("coalesce(shift_at, 'middle') not in ('start', 'middle', 'end')").select("net_id", "name", "shift_at"), "a lane doesn't change there")
+
+
+def check_trains(groups: DataFrame) -> None:
+    """Train groups have one to four cars, of which at most all are hollow."""
+    require_empty(groups.where("cars not between 1 and 4").select(*KEY, "pos", "cars"), "a train has one to four cars")
+    require_empty(groups.where("hollow not between 0 and cars").select(*KEY, "pos", "hollow"), "more hollow cars than cars")
+
+
+def check_layers(layers: DataFrame) -> None:
+    """Layers (map_id, layer_pos, layer) are lines, which have a stroke, or areas."""
+    require_empty(layers.where("layer.kind is null or layer.kind not in ('line', 'area')").select("map_id", "layer_pos", "layer.kind"), "a layer is of lines or areas")
+    require_empty(layers.where("layer.kind = 'line' and coalesce(layer.stroke, '') = ''").select("map_id", "layer_pos"), "a layer of lines needs a stroke")
+
+
 def legs(lines: DataFrame, steps: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """One row for each leg: net_id, line_id, line_pos, seg, a, b, leg, offset (bearing from the line's start), elastic, preferred,
     minimum, maximum, flex, group, and the corner before it (delta, radius, forced).

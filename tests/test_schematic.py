@@ -104,3 +104,22 @@ def test_definition_rules(spark):
         schematic.check_definitions(stations.where("id = 'a'"), lines, steps)
     with pytest.raises(GeometryError, match="colour"):
         schematic.check_definitions(stations, lines.withColumn("color", schematic.F.lit(None)), steps)
+    with pytest.raises(GeometryError, match="two stations"):
+        schematic.check_definitions(stations, lines, steps.where("pos = 0"))
+
+
+def test_rules_of_corridors_trains_and_layers(spark):
+    corridor = lambda at: spark.createDataFrame([("n", "c", at)], "net_id string, name string, shift_at string")
+    schematic.check_corridors(corridor("end").union(corridor(None)))
+    with pytest.raises(GeometryError, match="change"):
+        schematic.check_corridors(corridor("near"))
+    train = lambda cars, hollow: spark.createDataFrame([("n", "l", 0, cars, hollow)], "net_id string, line_id string, pos int, cars int, hollow int")
+    schematic.check_trains(train(4, 4).union(train(1, 0)))
+    for cars, hollow in ((0, 0), (5, 0), (2, 3), (2, -1)):
+        with pytest.raises(GeometryError, match="cars"):
+            schematic.check_trains(train(cars, hollow))
+    layer = lambda kind, stroke: spark.createDataFrame([("m", 0, (kind, stroke))], "map_id string, layer_pos int, layer struct<kind:string,stroke:string>")
+    schematic.check_layers(layer("line", "#000").union(layer("area", None)))
+    for bad in (layer("point", "#000"), layer("line", None), layer(None, None)):
+        with pytest.raises(GeometryError, match="layer"):
+            schematic.check_layers(bad)
