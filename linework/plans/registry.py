@@ -498,13 +498,13 @@ def draw_order(spark, sf_dir):
     return graph.draw_order(ids, over).select("id", *big("level"))
 
 
-@query("select c_custkey as id, c_custkey % 250 as level from customer")
+@query("select c_custkey as id, row_number() over (partition by c_custkey // 250 order by c_custkey) - 1 as level from customer")
 def deep_order(spark, sf_dir):
     """Stacks of 250 customers: each lies over the one before it and over the one seven before."""
     ids = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
     lower = F.explode(F.array(F.col("id") - 1, F.col("id") - 7))
-    over = ids.select(F.col("id").alias("upper"), lower.alias("lower")).where("lower > 0 and lower div 250 = upper div 250")
-    return graph.draw_order(ids, over).select("id", F.when(F.col("id") < 250, F.col("level") + 1).otherwise(F.col("level")).cast("long").alias("level"))
+    over = ids.select(F.col("id").alias("upper"), lower.alias("lower")).where("lower >= 0 and lower div 250 = upper div 250")
+    return graph.draw_order(ids, over).select("id", *big("level"))
 
 
 @query("""with c as (select c_custkey as id, c_custkey // 1000 as chain, c_nationkey % 8 * 45 as delta from customer), s as (select *, row_number() over (partition by chain order by id) = 1 as first from c)
