@@ -166,7 +166,8 @@ def draw_order(ids: DataFrame, over: DataFrame, small: int = 100_000) -> DataFra
                 if not missing[y]:
                     free.append(y)
         own = [y for y, n in missing.items() if not n]
-        yield pd.DataFrame({"id": own, "level": [level[y] for y in own]})
+        if own:
+            yield pd.DataFrame({"id": own, "level": [level[y] for y in own]})
 
     peeled = kept(rest.repartition(1).mapInPandas(run, f"id {kind}, level int"))
     require_empty(both.where("missing > 0").join(peeled, "id", "left_anti").select("id"), "lines lie over each other in a circle")
