@@ -71,6 +71,19 @@ def visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
 VISITORS_SQL = _spread_sql("customer", "c_custkey", 23)
 
 
+def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """line_id, pos, x, y: suppliers as two straight parts of whole length, one track for each square of 70."""
+    x, y = _spread("id", 70)
+    own = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("id")).select("id", x.cast("double").alias("x"), y.cast("double").alias("y"))
+    spot = lambda *xy: F.array(*[F.struct(F.lit(float(a)).alias("x"), F.lit(float(b)).alias("y")) for a, b in xy])
+    kind = F.col("id") % 4
+    way = F.when(kind == 0, spot((0, 0), (130, 0), (130, 110))).when(kind == 1, spot((0, 0), (60, 80), (180, 80))).when(kind == 2, spot((0, 0), (-130, 0), (-130, 110))).otherwise(spot((0, 0), (0, 120), (-110, 120)))
+    return own.select(F.col("id").alias("line_id"), "x", "y", F.posexplode(way).alias("pos", "p")).select("line_id", F.col("pos").cast("long").alias("pos"), (F.col("x") + F.col("p.x")).alias("x"), (F.col("y") + F.col("p.y")).alias("y"))
+
+
+TRACKS_SQL = _spread_sql("supplier", "s_suppkey", 70)
+
+
 def polylines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """line_id, pos, x, y: whole numbers."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
