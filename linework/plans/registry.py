@@ -892,4 +892,4 @@ def extended_lines(spark, sf_dir):
     return sequences.extended(found, one(-1), one(-2, -3)).select("line_id", F.size("steps").cast("long").alias("n"), "low", "has")
 
 
-from linework.plans import bundling, courses, drawings, lettering, networks, sites, stations, versions, pieces  # noqa: E402, F401  their queries register themselves here
+from linework.plans import bundling, courses, drawings, legends, lettering, networks, sites, stations, versions, pieces  # noqa: E402, F401  their queries register themselves here
