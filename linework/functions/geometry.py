@@ -155,3 +155,12 @@ def under_marker(x: Column, y: Column, cx: Column, cy: Column, angle: Column, ha
 def drawn_area(area: Column, rings: Column, least: float) -> Column:
     """Small areas are left out, but never one of several rings."""
     return ~((area < least) & (rings == 1))
+
+
+def window_box(lon: Column, lat: Column, width_km: Column | float, height_km: Column | float, margin: float = 0.05) -> tuple[Column, Column, Column, Column]:
+    """(south, west, north, east) in degrees of a window around a centre, wider by the margin on each side; degrees of longitude
+    are as short as at the side farther from the equator."""
+    width, height = (v if isinstance(v, Column) else F.lit(float(v)) for v in (width_km, height_km))
+    up = height * (0.5 + margin) / 111.13
+    aside = width * (0.5 + margin) / (F.cos(F.radians(F.abs(lat) + up)) * 111.32)
+    return lat - up, lon - aside, lat + up, lon + aside

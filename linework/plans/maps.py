@@ -133,3 +133,12 @@ def column_widths(cells: DataFrame, font: float, padding: float) -> DataFrame:
 
 
 __all__ = ["LAYER", "basemap", "column_widths", "layer_paths", "layer_shapes", "line_courses", "projected", "rebuilt", "schematic_elements", "serving_lines"]
+
+
+def in_pixels(vertices: DataFrame, grid: float, margin: float) -> DataFrame:
+    """vertices (map_id, x, y, radius) in pixels: grid units of a size, the smallest x and y of each map a margin from its sides; width and height are the map's."""
+    box = vertices.groupBy("map_id").agg(*[f(c).alias(f"_{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xy"])
+    at = lambda c: ((F.col(c) - F.col(f"_low{c}")) * grid + margin).alias(c)
+    size = lambda c: ((F.col(f"_high{c}") - F.col(f"_low{c}")) * grid + 2 * margin)
+    rest = [c for c in vertices.columns if c not in ("map_id", "x", "y", "radius")]
+    return vertices.join(box, "map_id").select("map_id", *rest, at("x"), at("y"), (F.col("radius") * grid).alias("radius"), size("x").alias("width"), size("y").alias("height"))

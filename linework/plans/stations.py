@@ -1,4 +1,4 @@
-"""Queries of what is drawn at stations, with SQL; registered beside those of linework.plans.registry.
+"""Queries of stations, where they are and what is drawn at them, with SQL; registered beside those of linework.plans.registry.
 
 Orders are lines, every fifth a branch, suppliers their stations on ground that grows with them; every ninth customer is a station that no line calls at.
 """
@@ -7,8 +7,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from linework.functions import geometry as G
+from linework.functions import strings as X
 from linework.operators import signs as S
-from linework.plans.registry import LEGS, query
+from linework.operators import spatial
+from linework.plans.maps import in_pixels
+from linework.plans.registry import LEGS, _sql_normalized, query
 from linework.sources import adapters as A
 
 CALLS_SQL = f"""g as ({A._spread_sql('supplier', 's_suppkey', 70)}), st as (select id as station_id, x, y, case when id % 3 = 0 then 'hub' else 'station' end as kind, id % 7 = 1 as hidden from g
@@ -59,3 +63,48 @@ def hub_dots(spark, sf_dir):
     stations, calls, ends = _called(spark, sf_dir)
     pills = stations.where("kind = 'hub'").select("map_id", "station_id", "x", "y", F.lit(0.6).alias("nx"), F.lit(0.8).alias("ny"))
     return S.hub_ends(ends, calls, stations, pills).select("station_id", "line_id", (F.round("x", 4) + 0).alias("x"), (F.round("y", 4) + 0).alias("y"), "met")
+
+
+# ---- stations by their names, windows, pixels
+
+_STATION = "case s_suppkey % 4 when 0 then 'S+U ' || s_name when 1 then 'Berlin-' || s_name || ' (Berlin)' when 2 then s_name || ' Hbf' else s_name end"
+_STOP = "case p_partkey % 3 when 0 then 'U ' || s_name when 1 then upper(s_name) else s_name || ' (Mark)' end || case when s_suppkey % 4 = 2 then ' Hauptbahnhof' else '' end"
+_ALIAS = "case when s_suppkey % 10 = 3 then 'S ' || s_name || 'X' end"
+
+
+@query(f"""with s as (select s_suppkey as id, {_sql_normalized(f"coalesce({_ALIAS}, {_STATION})")} as key from supplier), pt as ({A.SITES_SQL}), v as ({A.VISITORS_SQL}),
+    o as (select p_partkey as stop, {_sql_normalized(f"{_STOP} || case when s_suppkey % 10 = 3 and p_partkey % 2 = 0 then 'x' else '' end")} as key from part join supplier on s_suppkey = p_partkey // 20),
+    w as (select stop, o.key, x, y from o join pt on pt.id = stop), d as (select stop, min(sqrt(power(w.x - v.x, 2) + power(w.y - v.y, 2))) as d from w join v on v.x between w.x - 40 and w.x + 40 and v.y between w.y - 40 and w.y + 40 where power(w.x - v.x, 2) + power(w.y - v.y, 2) <= 1600 group by stop),
+    b as (select s.id, w.x, w.y, first_value(w.x) over o as bx, first_value(w.y) over o as by_ from s join w on w.key = s.key join d on d.stop = w.stop window o as (partition by s.id order by d.d, w.x, w.y)),
+    f as (select id, avg(x) as x, avg(y) as y, count(*) as n from b where sqrt(power(x - bx, 2) + power(y - by_, 2)) <= 40 group by id)
+    select s.id, round(x, 5) as x, round(y, 5) as y, coalesce(n, 0) as n_stops from s left join f on f.id = s.id""")
+def stations_by_name(spark, sf_dir):
+    """Stations at the stops of their name, however that is written, or of their alias; those without one near a track have no place."""
+    s = A.table(spark, sf_dir, "supplier")
+    key = lambda text: X.normalize_name(F.expr(text)).alias("key")
+    names = s.select(F.col("s_suppkey").alias("id"), key(_STATION))
+    aliases = s.where(f"({_ALIAS}) is not null").select(F.col("s_suppkey").alias("id"), X.normalize_name(F.expr(_ALIAS)).alias("alias"))
+    stops = A.table(spark, sf_dir, "part").select("p_partkey", F.floor(F.col("p_partkey") / 20).alias("s_suppkey")).join(s, "s_suppkey")
+    stops = stops.select(F.col("p_partkey").cast("long").alias("id"), key(f"{_STOP} || case when s_suppkey % 10 = 3 and p_partkey % 2 = 0 then 'x' else '' end")).join(A.sites(spark, sf_dir), "id")
+    placed, missing = spatial.located(names, stops.select("key", "x", "y"), A.visitors(spark, sf_dir).withColumnRenamed("id", "node"), 40, aliases)
+    none = F.lit(None).cast("double")
+    found = placed.select("id", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), "n_stops")
+    return found.unionByName(missing.select("id", none.alias("x"), none.alias("y"), F.lit(0).cast("long").alias("n_stops")))
+
+
+@query(f"""with p as (select id, 13.45455::double + x / 2000.0::double as lon, 52.52542::double - y / 3000.0::double as lat, 10 + id % 7 as w, 8 + id % 5 as h from ({A.SITES_SQL})), u as (select *, h * 0.55::double / 111.13::double as up from p), d as (select *, w * 0.55::double / (111.32::double * cos(radians(abs(lat) + up))) as aside from u)
+    select id, round(lat - up, 7) as south, round(lon - aside, 7) as west, round(lat + up, 7) as north, round(lon + aside, 7) as east from d""")
+def map_windows(spark, sf_dir):
+    """The window around each site in degrees, with a margin."""
+    i = F.col("id")
+    p = A.sites(spark, sf_dir).select("id", (F.lit(13.45455) + F.col("x") / 2000.0).alias("lon"), (F.lit(52.52542) - F.col("y") / 3000.0).alias("lat"))
+    box = G.window_box(F.col("lon"), F.col("lat"), (10 + i % 7).cast("double"), (8 + i % 5).cast("double"))
+    return p.select("id", *[F.round(v, 7).alias(n) for v, n in zip(box, ("south", "west", "north", "east"), strict=True)])
+
+
+@query(f"""with p as (select line_id, pos, x, y, case when pos % 3 > 0 then pos % 3 * 0.4::double end as r from ({A.POLYLINES_SQL}))
+    select line_id as map_id, pos, round((x - min(x) over w) * 1.5::double + 36, 4) + 0 as x, round((y - min(y) over w) * 1.5::double + 36, 4) + 0 as y, round(r * 1.5::double, 4) as radius, round((max(x) over w - min(x) over w) * 1.5::double + 72, 4) + 0 as width, round((max(y) over w - min(y) over w) * 1.5::double + 72, 4) + 0 as height from p window w as (partition by line_id)""")
+def vertices_in_pixels(spark, sf_dir):
+    """Vertices and the radii of their corners in pixels of their own map."""
+    v = A.polylines(spark, sf_dir).select(F.col("line_id").alias("map_id"), "pos", "x", "y", F.when(F.col("pos") % 3 > 0, F.col("pos") % 3 * 0.4).alias("radius"))
+    return in_pixels(v, 1.5, 36.0).select("map_id", "pos", *[(F.round(c, 4) + 0).alias(c) for c in ("x", "y", "radius", "width", "height")])
