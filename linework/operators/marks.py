@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from linework.functions.geometry import under_marker
 from linework.operators import graph, spatial
 
+# Fixed value: how far a direction leans before a box stands beside its point.
 LEAN = 0.35
 
 

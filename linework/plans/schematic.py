@@ -254,14 +254,21 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
         yield pd.DataFrame(out)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
-        for frame in frames:  # a component may reach over the end of a batch
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            last = ((frame["net_id"] == frame["net_id"].iloc[-1]) & (frame["component"] == frame["component"].iloc[-1])).to_numpy()
-            held = frame[last]
-            yield from solved(frame[~last])
-        if held is not None:
-            yield from solved(held)
+        held: list[pd.DataFrame] = []  # the open component, which may reach over many batches and is put together once
+        for frame in frames:
+            if not len(frame):
+                continue
+            net, part = frame["net_id"].to_numpy(), frame["component"].to_numpy()
+            other = np.flatnonzero((net != net[-1]) | (part != part[-1]))
+            start = int(other[-1]) + 1 if len(other) else 0
+            if held and (start or held[0]["net_id"].iloc[0] != net[0] or held[0]["component"].iloc[0] != part[0]):
+                yield from solved(pd.concat([*held, frame[:start]], ignore_index=True))
+                held = []
+            elif start:
+                yield from solved(frame[:start])
+            held.append(frame[start:])
+        if held:
+            yield from solved(pd.concat(held, ignore_index=True))
 
     # many small components in a task, each whole and its rows together
     ordered = eq_rows.unionByName(var_rows).repartition("net_id", "component").sortWithinPartitions("net_id", "component")

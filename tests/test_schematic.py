@@ -123,3 +123,15 @@ def test_rules_of_corridors_trains_and_layers(spark):
     for bad in (layer("point", "#000"), layer("line", None), layer(None, None)):
         with pytest.raises(GeometryError, match="layer"):
             schematic.check_layers(bad)
+
+
+def test_components_over_batches(spark):
+    """Components of any number of batches, and batches of any number of components."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lines = {"X": (90, ["a", "b", "c", "d", "e"]), "Y": (None, ["c", "b", Turn(45), "f"]), "W": (90, ["p", "q"]), "V": (90, ["r", flex(1.0), "s"])}
+    _, whole, _ = solved(spark, lines)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        assert solved(spark, lines)[1] == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
