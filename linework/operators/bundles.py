@@ -22,16 +22,42 @@ def stretch_pairs(edges: DataFrame) -> DataFrame:
     edges: (edge, u, v, families, leaves, arrives): the sorted families, the bearing at u and the bearing at v. An
     edge comes straight out of another where it leaves their station on the opposite of the other's own bearing there: an
     equality join on station, families and bearing.
+
+    A pair that meets at both its stations is taken at the smaller one, so that pairs need no shuffle of their own.
     """
-    ends = F.array(F.struct(F.col("u").alias("station"), F.col("leaves").alias("out")), F.struct(F.col("v").alias("station"), F.pmod(F.col("arrives") + 180, F.lit(360)).alias("out")))
-    flat = edges.select("edge", "families", F.explode(ends).alias("x")).select("families", "x.station", F.col("edge").alias("e1"), F.pmod("x.out", F.lit(360)).alias("out"))
-    other = flat.select("families", "station", F.col("e1").alias("e2"), F.pmod(F.col("out") + 180, F.lit(360)).alias("out"))
-    return flat.join(other, ["families", "station", "out"]).where("e1 < e2").select("e1", "e2").distinct()
+    flat = _stretch_ends(edges)
+    other = flat.select("families", "station", F.col("out").alias("facing"), *[F.col(c).alias(f"o_{c}") for c in ("edge", "other", "other_out")])
+    met = flat.join(other, ["families", "station", "facing"])
+    again = (F.col("other") == F.col("o_other")) & (F.col("other_out") == F.pmod(F.col("o_other_out") + 180, F.lit(360)))
+    later = F.struct(F.col("other").alias("s"), F.col("other_out").alias("o")) < F.struct(F.col("station").alias("s"), F.col("out").alias("o"))
+    return met.where((F.col("edge") < F.col("o_edge")) & ~(again & later)).select(F.col("edge").alias("e1"), F.col("o_edge").alias("e2"))
+
+
+def _stretch_ends(edges: DataFrame) -> DataFrame:
+    """(edge, families, station, out, facing, other, other_out): both ends of each edge, once, with the bearing out of the station, that of
+    an edge straight on, and the end on the other side."""
+    start = F.struct(F.col("u").alias("station"), F.pmod("leaves", F.lit(360)).alias("out"))
+    stop = F.struct(F.col("v").alias("station"), F.pmod(F.col("arrives") + 180, F.lit(360)).alias("out"))
+    both = F.array_distinct(F.array(F.struct(start.alias("x"), stop.alias("y")), F.struct(stop.alias("x"), start.alias("y"))))
+    flat = edges.select("edge", "families", F.explode(both).alias("e"))
+    facing = F.pmod(F.col("e.x.out") + 180, F.lit(360))
+    return flat.select("edge", "families", "e.x.station", "e.x.out", facing.alias("facing"), F.col("e.y.station").alias("other"), F.col("e.y.out").alias("other_out"))
+
+
+def stretch_links(edges: DataFrame) -> DataFrame:
+    """(a, b): links that join what stretch_pairs joins, at most two for each edge: where edges leave a station on both sides of one
+    axis, all of them are one piece and are linked to the smallest."""
+    flat = _stretch_ends(edges)
+    axis, side = F.pmod("out", F.lit(180)).alias("axis"), F.floor(F.col("out") / 180).alias("side")
+    ends = flat.select("edge", "families", "station", axis, side)
+    low = ends.groupBy("families", "station", "axis").agg(F.min("edge").alias("low"), F.min("side").alias("s0"), F.max("side").alias("s1")).where("s0 <> s1")
+    return ends.join(low, ["families", "station", "axis"]).where("edge <> low").select(F.col("edge").alias("a"), F.col("low").alias("b"))
 
 
 def stretches(edges: DataFrame) -> DataFrame:
     """(edge, stretch): the smallest edge that each reaches over straight pairs."""
-    found = graph.components(stretch_pairs(edges).select(F.col("e1").alias("a"), F.col("e2").alias("b")))
+    edges = graph.kept(edges)
+    found = graph.components(stretch_links(edges))
     own = edges.select("edge").distinct().join(found.withColumnRenamed("node", "edge"), "edge", "left")
     return own.select("edge", F.coalesce("component", "edge").alias("stretch"))
 
