@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,28 +77,35 @@ def under_station(x: Column, y: Column, kind: Column, cx: Column, cy: Column, an
 
 def beside_ring(probes: DataFrame, ring: DataFrame, reach: float) -> DataFrame:
     """probes (id, x, y, ux, uy) that lie within reach of a segment (seg, ax, ay, bx, by) parallel to their direction."""
-    near = [F.least("ax", "bx") - reach, F.least("ay", "by") - reach, F.greatest("ax", "bx") + reach, F.greatest("ay", "by") + reach]
-    both = spatial.in_cells(probes, [F.col("x"), F.col("y")] * 2, reach * 4).join(spatial.in_cells(ring, near, reach * 4), ["cx", "cy"])
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n2 = (dx * dx + dy * dy).cast("double")
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n2))
     parallel = F.abs(F.col("ux") * dy - F.col("uy") * dx) / F.sqrt(n2) <= 1e-6
     on = (n2 > 1e-18) & parallel & (F.hypot(F.col("x") - F.col("ax") - t * dx, F.col("y") - F.col("ay") - t * dy) < reach)
-    return both.where(on).select("id").distinct()
+    asked = spatial.in_cells(probes, [F.col("x"), F.col("y")] * 2, reach * 2)  # each until one segment is found
+    return spatial.met(asked, spatial.passed_cells(ring, reach * 2, reach), on, "left_semi").select("id").distinct()
 
 
 def line_points(stops: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """(station_id, line_id, x, y, ux, uy): where each line (segments: line_id, seg, ax, ay, bx, by) passes nearest to each of its
     stations (stops: station_id, line_id, x, y), and its direction there; of equally near segments the first."""
-    ends = [F.least("ax", "bx") - reach, F.least("ay", "by") - reach, F.greatest("ax", "bx") + reach, F.greatest("ay", "by") + reach]
-    both = spatial.in_cells(stops, [F.col("x"), F.col("y")] * 2, reach * 4).join(spatial.in_cells(segments, ends, reach * 4), ["line_id", "cx", "cy"])
+    stops, segments = graph.kept(stops), graph.kept(segments)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n2 = (dx * dx + dy * dy).cast("double")
     t = F.when(n2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n2))).otherwise(0.0)
     qx, qy = F.col("ax") + t * dx, F.col("ay") + t * dy
     d = F.hypot(F.col("x") - qx, F.col("y") - qy)
     best = F.min(F.struct(F.round(d, 9).alias("d"), F.col("seg"), qx.alias("x"), qy.alias("y"), (dx / F.sqrt(n2)).alias("ux"), (dy / F.sqrt(n2)).alias("uy")))
-    return both.where((n2 > 0) & (d <= reach)).groupBy("station_id", "line_id").agg(best.alias("b")).select("station_id", "line_id", "b.x", "b.y", "b.ux", "b.uy")
+    lines = segments.select("line_id").distinct().count()
+    parts, left = [], stops
+    for r in spatial.reaches(spatial.spacing(segments, F.col("ax"), F.col("ay")) * lines**0.5, reach):
+        cell = min(4 * r, reach * 4)
+        both = spatial.met(spatial.in_cells(left, [F.col("x"), F.col("y")] * 2, cell), spatial.passed_cells(segments, cell, r), more=("line_id",))
+        found = both.where((n2 > 0) & (d <= r)).groupBy("station_id", "line_id").agg(best.alias("b"))
+        # equally near up to rounding may be what lies just beyond the reach
+        parts.append(graph.kept(found if r >= reach else found.where(F.col("b.d") < r - 1e-8)))
+        left = graph.kept(left.join(parts[-1].select("station_id", "line_id"), ["station_id", "line_id"], "left_anti")) if r < reach else left
+    return functools.reduce(DataFrame.unionByName, parts).select("station_id", "line_id", "b.x", "b.y", "b.ux", "b.uy")
 
 
 def pills(points: DataFrame, spacing: float, most_angle: float = 15.0) -> DataFrame:

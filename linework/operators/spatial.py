@@ -1,11 +1,13 @@
 """Spatial joins as equality joins on grid cells, so that only neighbours meet.
 
 A pair that shares several cells is taken in one of them alone. Cells are as wide as the joins' reach; a side is only
-copied to the cells that it overlaps.
+copied to the cells that it overlaps. Cells are dealt over all tasks, and a search for one of many looks near by first.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,47 @@ def in_cells(rows: DataFrame, box: list[Column], cell: float) -> DataFrame:
     return rows.withColumn("cx", F.explode(cells(box[0], box[2], cell))).withColumn("cy", F.explode(cells(box[1], box[3], cell)))
 
 
+def dealt(rows: DataFrame, *more: str) -> DataFrame:
+    """rows dealt over tasks by their cells (cx, cy and more), in a number of tasks that stays as it is: points of a table of few megabytes
+    can have billions of pairs, which sizes don't show, so that Spark would join them in one task or put cells together in a few."""
+    spark = rows.sparkSession
+    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(tasks, *more, "cx", "cy")
+
+
+def met(a: DataFrame, b: DataFrame, on: Column | None = None, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of a and b in the same cell (and of the same `more`), joined where they were dealt."""
+    a, b = dealt(a, *more).alias("_a"), dealt(b, *more).hint("shuffle_hash").alias("_b")
+    keys = [*more, "cx", "cy"]
+    if on is None:
+        return a.join(b, keys, how)
+    same = on
+    for k in keys:
+        same = same & (F.col(f"_a.{k}") == F.col(f"_b.{k}"))
+    return a.join(b, same, how)
+
+
+def spacing(rows: DataFrame, x: Column, y: Column) -> float:
+    """The side of a square that holds one of the rows on average; 0 if they have no extent."""
+    low = rows.agg(F.count(x).alias("n"), *[f(c).cast("double").alias(k) for k, f, c in (("x0", F.min, x), ("x1", F.max, x), ("y0", F.min, y), ("y1", F.max, y))]).first()
+    if not low["n"]:
+        return 0.0
+    return ((low["x1"] - low["x0"]) * (low["y1"] - low["y0"]) / low["n"]) ** 0.5
+
+
+def passed_cells(segments: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
+    """One row for each cell that the segment itself passes, or comes as near to as the margin along each axis; not its whole box."""
+    slack = margin + cell / 1000  # a place that is computed on the segment may lie beside it by a rounding
+    box = [F.least("ax", "bx") - slack, F.least("ay", "by") - slack, F.greatest("ax", "bx") + slack, F.greatest("ay", "by") + slack]
+    x0, y0 = F.col("cx") * cell, F.col("cy") * cell
+    return in_cells(segments, box, cell).where(segment_hits_box(*[F.col(c) for c in ("ax", "ay", "bx", "by")], x0, y0, x0 + cell, y0 + cell, slack))
+
+
 def near(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
     """probe columns, node, d: points (node, x, y) within the radius of probes (id, x, y)."""
     at = in_cells(points.select("node", F.col("x").alias("nx"), F.col("y").alias("ny")), [F.col("nx"), F.col("ny")] * 2, radius)
     reach = [F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius]
-    both = in_cells(probes, reach, radius).join(at, ["cx", "cy"])
+    both = met(in_cells(probes, reach, radius), at)
     d2 = (F.col("x") - F.col("nx")) * (F.col("x") - F.col("nx")) + (F.col("y") - F.col("ny")) * (F.col("y") - F.col("ny"))
     return both.where(d2 <= radius * radius).select("id", "x", "y", "node", "nx", "ny", F.sqrt(d2.cast("double")).alias("d"))
 
@@ -49,18 +87,25 @@ def pyramid(at: DataFrame) -> list[DataFrame]:
     return out
 
 
-def nearest(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
-    """id, node, d: the nearest point (node, x, y) of each probe (id, x, y), the smaller node of equal ones.
+def nearest(probes: DataFrame, points: DataFrame, radius: float, most: float | None = None) -> DataFrame:
+    """id, node, d: the nearest point (node, x, y) of each probe (id, x, y), the smaller node of equal ones; with `most`, if it is that near.
+
+    Points at one place are one, and where points are dense the radius shrinks to their spacing, so that a probe meets a few of them.
 
     Probes without a point in the radius go down a pyramid of cells: at each level a probe keeps the cells whose nearest corner may
     be as near as the farthest corner of another. So a far probe meets a few boxes for each level, and cells stay as small as the
     radius. Probes and points without coordinates take no part; without any point the result is empty.
     """
     here = F.col("x").isNotNull() & F.col("y").isNotNull()
-    probes, points = probes.where(here).select("id", "x", "y"), points.where(here)
+    probes, points = probes.where(here).select("id", "x", "y"), points.where(here).groupBy("x", "y").agg(F.min("node").alias("node"))
+    points = kept(points)
     best = F.min(F.struct("d", "node")).alias("b")
-    found = kept(near(probes, points, radius).groupBy("id").agg(best).select("id", "b.node", "b.d"))
-    left = kept(probes.join(found.select("id"), "id", "left_anti"))
+    apart = spacing(points, F.col("x"), F.col("y"))
+    radius = min(radius, 2 * apart) if apart > 0 else radius
+    within = F.lit(True) if most is None else F.col("d2") <= most * most
+    all_found = kept(near(probes, points, radius).groupBy("id").agg(best).select("id", "b.node", "b.d"))
+    found = all_found if most is None or radius <= most else all_found.where(F.col("d") <= most)
+    left = kept(probes.join(all_found.select("id"), "id", "left_anti"))
     cell = [F.floor(F.col(c) / radius).cast("long") for c in ("x", "y")]
     low = points.agg(F.min(cell[0]), F.min(cell[1])).first()
     if low[0] is None or not left.limit(1).count():
@@ -77,7 +122,7 @@ def nearest(probes: DataFrame, points: DataFrame, radius: float) -> DataFrame:
         asked = kept(both.withColumn("bound", bound).where(squares(least) <= F.col("bound")).select("id", "x", "y", "cx", "cy"))
     far = asked.join(at.select("cx", "cy", "node", F.col("x").alias("nx"), F.col("y").alias("ny")), ["cx", "cy"])
     dx, dy = F.col("x") - F.col("nx"), F.col("y") - F.col("ny")
-    far = far.select("id", "node", F.sqrt((dx * dx + dy * dy).cast("double")).alias("d")).groupBy("id").agg(best).select("id", "b.node", "b.d")
+    far = far.withColumn("d2", (dx * dx + dy * dy).cast("double")).where(within).select("id", "node", F.sqrt("d2").alias("d")).groupBy("id").agg(best).select("id", "b.node", "b.d")
     return found.unionByName(kept(far))
 
 
@@ -88,7 +133,7 @@ def overlapping(boxes: DataFrame, cell: float) -> DataFrame:
     other = own.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("id", "x0", "y0", "x1", "y1")])
     o = [F.col(f"o_{c}") for c in ("x0", "y0", "x1", "y1")]
     first = (F.col("cx") == F.floor(F.greatest("x0", "o_x0") / cell)) & (F.col("cy") == F.floor(F.greatest("y0", "o_y0") / cell))
-    return own.join(other, ["cx", "cy"]).where((F.col("id") < F.col("o_id")) & first & boxes_overlap(box, o)).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
+    return met(own, other).where((F.col("id") < F.col("o_id")) & boxes_overlap(box, o) & first).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
 
 def hits(segments: DataFrame, boxes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
@@ -98,16 +143,11 @@ def hits(segments: DataFrame, boxes: DataFrame, cell: float, margin: float = 0.0
     s, b = in_cells(segments, ends, cell), in_cells(boxes, grown, cell)
     first = (F.col("cx") == F.floor(F.greatest(ends[0], grown[0]) / cell)) & (F.col("cy") == F.floor(F.greatest(ends[1], grown[1]) / cell))
     test = segment_hits_box(*[F.col(c) for c in ("ax", "ay", "bx", "by", "x0", "y0", "x1", "y1")], margin)
-    return s.join(b, ["cx", "cy"]).where(first & test).select("seg", "box")
+    return met(s, b).where(first & test).select("seg", "box")
 
 
-def crossings(segments: DataFrame, cell: float) -> DataFrame:
-    """a, b, x, y: segments (seg, family, ax, ay, bx, by) of different families that cross inside both; a < b."""
-    ends = [F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")]
-    own = in_cells(segments.select("seg", "family", "ax", "ay", "bx", "by", *[e.alias(n) for e, n in zip(ends, ("lx", "ly", "hx", "hy"), strict=True)]), [F.col(c) for c in ("lx", "ly", "hx", "hy")], cell)
-    other = own.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("seg", "family", "ax", "ay", "bx", "by", "lx", "ly", "hx", "hy")])
-    first = (F.col("cx") == F.floor(F.greatest("lx", "o_lx") / cell)) & (F.col("cy") == F.floor(F.greatest("ly", "o_ly") / cell))
-    pairs = own.join(other, ["cx", "cy"]).where((F.col("seg") < F.col("o_seg")) & (F.col("family") != F.col("o_family")) & first)
+def _cross() -> tuple[Column, Column, Column]:
+    """Whether segments (ax, ay, bx, by) and (o_ax, ...) cross inside both, and where."""
     dx, dy, ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("o_bx") - F.col("o_ax"), F.col("o_by") - F.col("o_ay")
     qx, qy = F.col("o_ax") - F.col("ax"), F.col("o_ay") - F.col("ay")
     det, t, u = dx * ey - dy * ex, qx * ey - qy * ex, qx * dy - qy * dx
@@ -115,28 +155,73 @@ def crossings(segments: DataFrame, cell: float) -> DataFrame:
     sign = F.signum(det.cast("double"))
     inside = (det != 0) & (t * sign > 0) & (t * sign < F.abs(det)) & (u * sign > 0) & (u * sign < F.abs(det))
     share = t / det.cast("double")
-    return pairs.where(inside).select(F.col("seg").alias("a"), F.col("o_seg").alias("b"), (F.col("ax") + share * dx).alias("x"), (F.col("ay") + share * dy).alias("y"))
+    return inside, F.col("ax") + share * dx, F.col("ay") + share * dy
+
+
+def _others(own: DataFrame) -> DataFrame:
+    return own.select("cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("seg", "family", "ax", "ay", "bx", "by")])
+
+
+def crossings(segments: DataFrame, cell: float) -> DataFrame:
+    """a, b, x, y: segments (seg, family, ax, ay, bx, by) of different families that cross inside both; a < b. Segments meet in the cells
+    that they pass, of a quarter of `cell`; a crossing is taken in the cell that it lies in."""
+    cell = cell / 4
+    own = passed_cells(segments.select("seg", "family", "ax", "ay", "bx", "by"), cell)
+    inside, x, y = _cross()
+    here = (F.floor(x / cell) == F.col("cx")) & (F.floor(y / cell) == F.col("cy"))
+    pairs = met(own, _others(own)).where((F.col("seg") < F.col("o_seg")) & (F.col("family") != F.col("o_family")) & inside)
+    return pairs.where(here).select(F.col("seg").alias("a"), F.col("o_seg").alias("b"), x.alias("x"), y.alias("y"))
+
+
+def crossed(segments: DataFrame, cell: float) -> DataFrame:
+    """seg, family: the other families that each segment (seg, family, ax, ay, bx, by) crosses inside both. A segment asks each family
+    of a cell, of a quarter of `cell`, until one of its segments answers, so that its other crossings aren't looked at."""
+    cell = cell / 4
+    own = passed_cells(segments.select("seg", "family", "ax", "ay", "bx", "by"), cell)
+    there = own.select("cx", "cy", F.col("family").alias("wanted")).distinct()
+    asked = met(own, there).where("family <> wanted").select("cx", "cy", "wanted", "seg", "ax", "ay", "bx", "by")
+    inside, _, _ = _cross()
+    other = _others(own).withColumnRenamed("o_family", "wanted")
+    return met(asked, other, inside, "left_semi", ("wanted",)).select("seg", F.col("wanted").alias("family")).distinct()
 
 
 def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """box, n: how many points (x, y) lie in each box, edges included; boxes without any are absent."""
-    at = in_cells(points, [F.col("x"), F.col("y")] * 2, cell)
+    cell = cell / 3
+    places = points.groupBy("x", "y").agg(F.count("*").alias("k"))  # points at one place are counted once for all boxes
+    at = in_cells(places, [F.col("x"), F.col("y")] * 2, cell)
     box = in_cells(boxes.select("box", "x0", "y0", "x1", "y1"), [F.col(c) for c in ("x0", "y0", "x1", "y1")], cell)
-    return at.join(box, ["cx", "cy"]).where("x between x0 and x1 and y between y0 and y1").groupBy("box").agg(F.count("*").alias("n"))
+    return met(box, at).where("x between x0 and x1 and y between y0 and y1").groupBy("box").agg(F.sum("k").alias("n"))
 
 
 def nearest_segment(probes: DataFrame, segments: DataFrame, radius: float, apart: Column | None = None) -> DataFrame:
     """id, seg, t, d: the nearest segment within the radius of each probe (id, x, y) and where on it (0 to 1); of the pairs of id
-    and seg that meet the condition `apart`, if given."""
-    ends = [F.least("ax", "bx") - radius, F.least("ay", "by") - radius, F.greatest("ax", "bx") + radius, F.greatest("ay", "by") + radius]
-    both = in_cells(probes, [F.col("x"), F.col("y")] * 2, radius).join(in_cells(segments, ends, radius), ["cx", "cy"])
-    both = both if apart is None else both.where(apart)
+    and seg that meet the condition `apart`, if given.
+
+    Probes look as far as segments lie apart on average, then four times as far each time, those that found nothing.
+    """
+    segments, left = kept(segments), kept(probes)
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     n2 = (dx * dx + dy * dy).cast("double")
     t = F.when(n2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / n2))).otherwise(0.0)
     d = F.hypot(F.col("x") - (F.col("ax") + t * dx), F.col("y") - (F.col("ay") + t * dy))
     best = F.min(F.struct(d.alias("d"), F.col("seg"), t.alias("t")))
-    return both.where(d <= radius).groupBy("id").agg(best.alias("b")).select("id", "b.seg", "b.t", "b.d")
+    parts = []
+    for reach in reaches(spacing(segments, F.col("ax"), F.col("ay")), radius):
+        cell = min(4 * reach, radius)
+        both = met(in_cells(left, [F.col("x"), F.col("y")] * 2, cell), passed_cells(segments, cell, reach))
+        both = both if apart is None else both.where(apart)
+        parts.append(kept(both.where(d <= reach).groupBy("id").agg(best.alias("b")).select("id", "b.seg", "b.t", "b.d")))
+        left = kept(left.join(parts[-1].select("id"), "id", "left_anti")) if reach < radius else left
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def reaches(first: float, last: float) -> list[float]:
+    """Distances from the first, four times as far each time, to the last."""
+    out = [first if 0 < first < last else last]
+    while out[-1] < last:
+        out.append(min(4 * out[-1], last))
+    return out
 
 
 def located(names: DataFrame, stops: DataFrame, tracks: DataFrame, most: float, aliases: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -150,7 +235,7 @@ def located(names: DataFrame, stops: DataFrame, tracks: DataFrame, most: float,
         names = names.join(aliases.select("id", "alias"), "id", "left").withColumn("key", F.coalesce("alias", "key")).drop("alias")
     numbered = kept(stops.withColumn("stop", F.monotonically_increasing_id()))
     wanted = numbered.join(names.select("key").distinct(), "key", "left_semi")
-    on_track = near(wanted.select(F.col("stop").alias("id"), "x", "y"), tracks, most).groupBy("id").agg(F.min("d").alias("d"))
+    on_track = nearest(wanted.select(F.col("stop").alias("id"), "x", "y"), tracks, most, most).select("id", "d")
     near_stops = wanted.join(on_track.withColumnRenamed("id", "stop"), "stop")
     both = names.join(near_stops, "key")
     best = Window.partitionBy("id").orderBy("d", "x", "y", "stop")
@@ -167,16 +252,29 @@ def raster_band(points: DataFrame, radius: int) -> DataFrame:
 
 
 def first_on_rays(rays: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
-    """ray, seg, t: the first segment that each ray (ray, ax, ay, bx, by), as long as it is drawn, meets, and where on it."""
-    ends = lambda: [F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")]
-    other = in_cells(segments, ends(), cell).select("cx", "cy", "seg", *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
-    both = in_cells(rays, ends(), cell).join(other, ["cx", "cy"])
-    dx, dy, ex, ey = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"), F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
+    """ray, seg, t: the first segment that each ray (ray, ax, ay, bx, by), as long as it is drawn, meets, and where on it.
+
+    Rays are looked along as far as segments lie apart on average, `cell` at most, then four times as far each time, those that met nothing.
+    """
+    segments, rays = kept(segments.select("seg", *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])), kept(rays)
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    longest = rays.agg(F.max(length)).first()[0] or 0.0
+    other = segments.select("seg", *[F.col(f"o{c}").alias(c) for c in ("ax", "ay", "bx", "by")])
+    dx, dy, ex, ey = F.col("rx") - F.col("ax"), F.col("ry") - F.col("ay"), F.col("obx") - F.col("oax"), F.col("oby") - F.col("oay")
     qx, qy = F.col("oax") - F.col("ax"), F.col("oay") - F.col("ay")
     det = (dx * ey - dy * ex).cast("double")
     t, u = (qx * ey - qy * ex) / F.when(det != 0, det), (qx * dy - qy * dx) / F.when(det != 0, det)
     best = F.min(F.struct(t.alias("t"), F.col("seg")))
-    return both.where((t > 0) & (t <= 1) & u.between(0, 1)).groupBy("ray").agg(best.alias("b")).select("ray", "b.seg", "b.t")
+    left, parts = rays, []
+    for reach in reaches(min(spacing(segments, F.col("oax"), F.col("oay")), cell), max(longest, 1e-9)):
+        wide = min(4 * reach, cell)
+        part = left.withColumn("far", F.when(length > reach, reach / length).otherwise(1.0)).withColumn("rx", F.col("bx")).withColumn("ry", F.col("by"))
+        part = part.withColumn("bx", F.col("ax") + F.col("far") * (F.col("rx") - F.col("ax"))).withColumn("by", F.col("ay") + F.col("far") * (F.col("ry") - F.col("ay")))
+        there = passed_cells(other, wide).select("cx", "cy", "seg", *[F.col(c).alias(f"o{c}") for c in ("ax", "ay", "bx", "by")])
+        both = met(passed_cells(part, wide), there).where((t > 0) & (t <= F.col("far")) & u.between(0, 1))
+        parts.append(kept(both.groupBy("ray").agg(best.alias("b")).select("ray", "b.seg", "b.t")))
+        left = kept(left.join(parts[-1].select("ray"), "ray", "left_anti")) if reach < longest else left
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def pieces_in_circle(segments: DataFrame, circles: DataFrame) -> DataFrame:

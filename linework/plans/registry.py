@@ -788,8 +788,7 @@ def ring_seams(spark, sf_dir):
 
 @query(SQL["segment_crossings"].replace("select a, b, round", ", k as (select a, b, round").rstrip().replace("\n    , k as", ",\n    k as") + "), c as (select a as seg, b % 5 as family from k union all select b, a % 5 from k) select seg, count(distinct family) as n from c group by seg")
 def crossed_families(spark, sf_dir):
-    c = spatial.crossings(_segments(spark, sf_dir), 40)
-    return T.crossed_families(c.select("a", "b", (F.col("a") % 5).alias("fa"), (F.col("b") % 5).alias("fb")))
+    return spatial.crossed(_segments(spark, sf_dir), 40).groupBy("seg").agg(F.count("*").alias("n"))
 
 
 @query(f"""with p as ({A.POLYLINES_SQL}), h as (select line_id, pos, atan2(cast(y - lag(y, 2) over w as double), cast(x - lag(x, 2) over w as double)) as i, atan2(cast(lead(y, 2) over w - y as double), cast(lead(x, 2) over w - x as double)) as o from p window w as (partition by line_id order by pos)),

@@ -51,8 +51,7 @@ def street_crossings(spark, sf_dir):
 
 @query(_on_sites("crossed_families"))
 def crossed_streets(spark, sf_dir):
-    c = spatial.crossings(_segments(spark, sf_dir, A.sites), 40)
-    return T.crossed_families(c.select("a", "b", (F.col("a") % 5).alias("fa"), (F.col("b") % 5).alias("fb")))
+    return spatial.crossed(_segments(spark, sf_dir, A.sites), 40).groupBy("seg").agg(F.count("*").alias("n"))
 
 
 @query(_on_sites("segment_hits_box"))
