@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linework.errors import GeometryError
+from linework.functions import drawing as D
 from linework.functions import geometry as G
 from linework.functions import polyline as P
 from linework.functions import strings as X
@@ -183,3 +184,11 @@ def test_planned_and_empty_inputs(spark):
     nodes = none.select(F.col("id").alias("node"), "x", "y")
     assert spatial.near(none, nodes, 1.0).count() == 0 and spatial.nearest(none, nodes, 1.0).count() == 0
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_numbers_as_sql_writes_them(spark):
+    """Java rounds up what its shortest decimal puts half way; printf, as in SQL, goes by the exact value and to even from half way."""
+    v = [0.0625, -0.0625, 0.1875, 1.0005, 1.0035, 9167024.6305, 3280387.0135, 0.0, -0.0, 12.5, 1e-9]
+    df = spark.createDataFrame([(x,) for x in v], "v double")
+    for digits in (0, 1, 3, 6):
+        assert [r.t for r in df.select(D.number(F.col("v"), digits).alias("t")).collect()] == [f"%.{digits}f" % x for x in v]
