@@ -127,14 +127,35 @@ def smoothed(nodes: DataFrame, edges: DataFrame, factor: float) -> DataFrame:
 def draw_order(ids: DataFrame, over: DataFrame, small: int = 100_000) -> DataFrame:
     """(id, level): how many lines lie below at least; over: (upper, lower). A cycle raises GeometryError.
 
-    Lines are peeled from below: a round takes those off that lie over no line which is left, and joins them alone with what lies over
-    them. Once at most `small` pairs are left, one task peels the rest. What never comes off lies in a circle, or above one.
+    Lines that hang together by at most `small` pairs are peeled whole in one task, many such heaps side by side. Larger heaps are peeled
+    from below: a round takes those off that lie over no line which is left, and joins them alone with what lies over them. Once at
+    most `small` pairs are left, one task peels the rest. What never comes off lies in a circle, or above one.
     """
     spark, kind = ids.sparkSession, ids.schema["id"].dataType.simpleString()
-    e = kept(over.select("upper", "lower").distinct().join(ids.select(F.col("id").alias("lower")), "lower", "left_semi"))
+    e = over.select("upper", "lower").distinct().join(ids.select(F.col("id").alias("lower")), "lower", "left_semi")
+    e = kept(e.join(ids.select(F.col("id").alias("upper")), "upper", "left_semi"))
+    require_empty(e.where("upper = lower").select(F.col("upper").alias("id")), "lines lie over each other in a circle")
+    heap = components(e.select(F.col("upper").alias("a"), F.col("lower").alias("b"))).select(F.col("node").alias("upper"), "component")
+    e, pairs = e.join(heap, "upper"), Observation()
+    size = kept(e.groupBy("component").agg(F.count("*").alias("n")).observe(pairs, F.sum(F.when(F.col("n") <= small, F.col("n"))).alias("few"), F.max("n").alias("most")))
+    few, most = pairs.get["few"] or 0, pairs.get["most"] or 0
+    e = e.join(size, "component")
+    found = ids.select("id").distinct().join(heap.select(F.col("upper").alias("id")), "id", "left_anti").select("id", F.lit(0).alias("level"))
+    if few:
+        rest = e.where(F.col("n") <= small).select("component", "upper", "lower")
+        found = found.unionByName(_peeled(rest.repartition(max(few // small + 1, spark.sparkContext.defaultParallelism), "component"), kind))
+    if most > small:
+        large = heap.join(size.where(F.col("n") > small), "component", "left_semi").select(F.col("upper").alias("id"))
+        found = found.unionByName(_frontiers(kept(large), kept(e.where(F.col("n") > small).select("upper", "lower")), small))
+    return found
+
+
+def _frontiers(ids: DataFrame, e: DataFrame, small: int) -> DataFrame:
+    """(id, level) of draw_order, a round for each level, until at most `small` pairs e (upper, lower) are left."""
+    spark, kind = ids.sparkSession, ids.schema["id"].dataType.simpleString()
     below = e.groupBy(F.col("upper").alias("id")).agg(F.count("*").alias("missing"))
     taken = Rounds(spark, "order")
-    both, left = taken.add(ids.select("id").distinct().join(below, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing")), F.sum("missing"))
+    both, left = taken.add(ids.join(below, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing")), F.sum("missing"))
     while left > small:
         freed = both.where("missing = 0").select(F.col("id").alias("lower"))
         hit = e.join(freed, "lower").groupBy(F.col("upper").alias("id")).agg(F.count("*").alias("gone"))
@@ -146,17 +167,24 @@ def draw_order(ids: DataFrame, over: DataFrame, small: int = 100_000) -> DataFra
     done = taken.all(spark).where("missing = 0").select("id", F.col("round").alias("level"))
     if not left:
         return done
-    here, last = both.select(F.col("id").alias("lower"), "missing"), taken.count - 1
-    rest = e.join(both.where("missing > 0").select(F.col("id").alias("upper")), "upper").join(here, "lower").select("upper", "lower", (F.col("missing") > 0).alias("waits"))
+    here = both.select(F.col("id").alias("lower"))
+    rest = e.join(both.where("missing > 0").select(F.col("id").alias("upper")), "upper").join(here, "lower").select("upper", "lower")
+    # the lines taken last are level 0 of the rest and counted already
+    peeled = _peeled(rest.repartition(1), kind).where("level > 0").select("id", (F.col("level") + taken.count - 1).alias("level"))
+    return done.unionByName(peeled)
+
+
+def _peeled(pairs: DataFrame, kind: str) -> DataFrame:
+    """(id, level) of pairs (upper, lower), each partition's by itself: what lies over none of its lines is level 0, and -1 what never comes off."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        above, missing, level = defaultdict(list), Counter(), {}
+        above, missing, lowers = defaultdict(list), Counter(), set()
         for frame in frames:
-            for upper, lower, waits in zip(frame["upper"].tolist(), frame["lower"].tolist(), frame["waits"].tolist(), strict=True):
+            for upper, lower in zip(frame["upper"].tolist(), frame["lower"].tolist(), strict=True):
                 above[lower].append(upper)
                 missing[upper] += 1
-                if not waits:
-                    level[lower] = last
+                lowers.add(lower)
+        level = {x: 0 for x in lowers if not missing[x]}
         free = list(level)
         while free:
             x = free.pop()
@@ -165,13 +193,13 @@ def draw_order(ids: DataFrame, over: DataFrame, small: int = 100_000) -> DataFra
                 missing[y] -= 1
                 if not missing[y]:
                     free.append(y)
-        own = [y for y, n in missing.items() if not n]
-        if own:
-            yield pd.DataFrame({"id": own, "level": [level[y] for y in own]})
+        out = [(x, n) for x, n in level.items() if not missing[x]] + [(x, -1) for x, n in missing.items() if n]
+        if out:
+            yield pd.DataFrame(out, columns=["id", "level"])
 
-    peeled = kept(rest.repartition(1).mapInPandas(run, f"id {kind}, level int"))
-    require_empty(both.where("missing > 0").join(peeled, "id", "left_anti").select("id"), "lines lie over each other in a circle")
-    return done.unionByName(peeled)
+    found = kept(pairs.select("upper", "lower").mapInPandas(run, f"id {kind}, level int"))
+    require_empty(found.where("level < 0").select("id"), "lines lie over each other in a circle")
+    return found
 
 
 def _weighted(edges: DataFrame) -> DataFrame:

@@ -25,6 +25,14 @@ def test_draw_order(spark):
         assert sorted((r.id, r.level) for r in got) == list(enumerate(level))
 
 
+def test_many_deep_orders_need_no_rounds(spark, monkeypatch):
+    """Before, rounds went on until all heaps together had few pairs left: as many as the deepest one has levels."""
+    monkeypatch.setattr(graph, "_frontiers", None)
+    ids = pairs(spark, [(i,) for i in range(400)], "id long")
+    over = pairs(spark, [(i, i - k) for i in range(400) for k in (1, 7) if i % 40 >= k], "upper long, lower long")
+    assert sorted((r.id, r.level) for r in graph.draw_order(ids, over, 100).collect()) == [(i, i % 40) for i in range(400)]
+
+
 def test_deep_order_and_cycle(spark):
     n = 300
     ids = pairs(spark, [(i,) for i in range(n)], "id long").coalesce(1)
