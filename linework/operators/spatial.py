@@ -244,11 +244,22 @@ def located(names: DataFrame, stops: DataFrame, tracks: DataFrame, most: float,
     return placed, names.join(placed.select("id"), "id", "left_anti")
 
 
+#: Cells that one task of raster_band makes.
+BAND_CELLS = 500_000
+
+
 def raster_band(points: DataFrame, radius: int) -> DataFrame:
-    """cx, cy: distinct grid cells within the radius of the points (x, y), whole numbers."""
+    """cx, cy: distinct grid cells within the radius of the points (x, y), whole numbers.
+
+    Each place makes tens of cells, so places are dealt before that, and cells before they are made distinct, over tasks that grow in number
+    with the points: a task has about BAND_CELLS of them.
+    """
+    around = sum(dx * dx + dy * dy <= radius * radius for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1))
+    tasks = max(points.count() * around // BAND_CELLS + 1, points.sparkSession.sparkContext.defaultParallelism)
+    places = points.select("x", "y").repartition(tasks, "x", "y").distinct()
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
-    wide = points.select("x", "y", F.explode(offsets).alias("dx")).withColumn("dy", F.explode(offsets)).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
-    return wide.select((F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy")).distinct()
+    wide = places.select("x", "y", F.explode(offsets).alias("dx")).withColumn("dy", F.explode(offsets)).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
+    return wide.select((F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy")).repartition(tasks, "cx", "cy").distinct()
 
 
 def first_on_rays(rays: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
