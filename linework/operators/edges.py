@@ -127,9 +127,10 @@ def equations(legs: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
         F.struct(name("b").alias("var"), F.lit(1.0).alias("coef")), F.struct(name("a").alias("var"), F.lit(-1.0).alias("coef")),
         F.when(F.col("elastic"), F.struct(F.concat_ws(":", F.lit("len"), "line_id", "pos").alias("var"), (-F.col("ax.d")).alias("coef"))),
     )
-    flat = e.select("eq", F.explode(F.filter(terms, lambda t: t.isNotNull())).alias("t")).select("eq", "t.var", "t.coef")
+    flat = e.select("line_id", "eq", F.explode(F.filter(terms, lambda t: t.isNotNull())).alias("t")).select("line_id", "eq", "t.var", "t.coef")
     rhs = e.select("eq", F.when(F.col("elastic"), 0.0).otherwise(F.col("ax.d") * F.col("len")).alias("rhs"))
-    return flat.groupBy("eq", "var").agg(F.sum("coef").alias("coef")).where("coef <> 0"), rhs
+    # an equation is of one line, by which its rows are dealt already: with the line in the key they don't move again
+    return flat.groupBy("line_id", "eq", "var").agg(F.sum("coef").alias("coef")).where("coef <> 0").select("eq", "var", "coef"), rhs
 
 
 def lanes_per_edge(lanes: DataFrame) -> DataFrame:
