@@ -16,15 +16,20 @@ def number(v: Column, digits: int) -> Column:
 
     Java's format rounds up what its shortest decimal puts half way, as 1.0005, which lies below; such a number is made smaller by its last bit.
     """
-    v, ten, five = v.cast("double"), 10.0**digits, 5**digits
-    below = F.floor(F.abs(v) * ten)
-    odd = (2 * below + 1).cast("double")
-    # |v| less half way, times 2 * ten: the product is taken in two parts, so that its sign is exact
-    scaled = F.abs(v) * 2.0 ** (digits + 1)
-    high = scaled.cast("float").cast("double")
-    over = (high * five - odd) + (scaled - high) * five
-    down = (F.abs(v) == odd / (2 * ten)) & ((over < 0) | ((over == 0) & (below % 2 == 0)))
-    return F.format_string(f"%.{digits}f", F.when(down, v * (1 - 2.0**-52)).otherwise(v))
+    ten, five = 10.0**digits, 5**digits
+
+    def cut(x: Column) -> Column:
+        below = F.floor(F.abs(x) * ten)
+        odd = (2 * below + 1).cast("double")
+        # |x| less half way, times 2 * ten: the product is taken in two parts, so that its sign is exact
+        scaled = F.abs(x) * 2.0 ** (digits + 1)
+        high = scaled.cast("float").cast("double")
+        over = (high * five - odd) + (scaled - high) * five
+        down = (F.abs(x) == odd / (2 * ten)) & ((over < 0) | ((over == 0) & (below % 2 == 0)))
+        return F.when(down, x * (1 - 2.0**-52)).otherwise(x)
+
+    # in a lambda, so that what v is computed from stands in the plan once
+    return F.format_string(f"%.{digits}f", F.get(F.transform(F.array(v.cast("double")), cut), F.lit(0)))
 
 
 def short(v: Column) -> Column:
