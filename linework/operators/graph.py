@@ -27,26 +27,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Every node hooks to its smallest neighbour, hooks are followed to their ends by doubling, and what became one node is contracted: of
     the nodes of an edge only those smaller than all their neighbours are left, so a few rounds end any graph, and edges shrink with each.
+    Joins are merged: tables of nodes are small as files, and a broadcast would send all of a round's nodes through the driver.
     """
     e, ups = kept(both_ways(edges)), []
     while True:
         up = kept(e.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
         while True:
             moved = Observation()
-            on = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")), "up")
+            on = up.join(up.select(F.col("node").alias("up"), F.col("up").alias("top")).hint("merge"), "up")
             up = kept(on.observe(moved, F.max((F.col("top") != F.col("up")).cast("int")).alias("any")).select("node", F.col("top").alias("up")))
             if not moved.get["any"]:  # counted as the round was written, without a job of its own
                 break
         ups.append(up)
         left = Observation()
-        end = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_"))  # noqa: E731, B023
+        end = lambda c: up.select(F.col("node").alias(c), F.col("up").alias(f"{c}_")).hint("merge")  # noqa: E731, B023
         short = e.join(end("a"), "a").join(end("b"), "b").select(F.col("a_").alias("a"), F.col("b_").alias("b")).where("a <> b").distinct()
         e = kept(short.observe(left, F.count(F.lit(1)).alias("n")))
         if not left.get["n"]:
             break
     found = ups.pop()
     while ups:
-        found = ups.pop().join(found.select(F.col("node").alias("up"), F.col("up").alias("top")), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        found = ups.pop().join(found.select(F.col("node").alias("up"), F.col("up").alias("top")).hint("merge"), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
     return kept(found.select("node", F.col("up").alias("component")))
 
 

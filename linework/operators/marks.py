@@ -114,9 +114,9 @@ def pills(points: DataFrame, spacing: float, most_angle: float = 15.0) -> DataFr
     own = points.withColumn("id", F.concat_ws("\x1f", F.col("station_id").cast("string"), F.col("line_id").cast("string")))
     other = own.select("station_id", F.col("id").alias("o_id"), *[F.col(c).alias(f"o_{c}") for c in ("x", "y", "ux", "uy")])
     alike = F.abs(F.col("ux") * F.col("o_ux") + F.col("uy") * F.col("o_uy")) >= F.cos(F.radians(F.lit(most_angle))) - 1e-12
-    pairs = own.join(other, "station_id").where((F.col("id") < F.col("o_id")) & (F.hypot(F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")) <= 1.6 * spacing) & alike)
+    pairs = own.join(other.hint("merge"), "station_id").where((F.col("id") < F.col("o_id")) & (F.hypot(F.col("x") - F.col("o_x"), F.col("y") - F.col("o_y")) <= 1.6 * spacing) & alike)
     found = graph.components(pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")))
-    marked = own.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("mark", F.coalesce("component", "id"))
+    marked = own.join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("mark", F.coalesce("component", "id"))
     lead = Window.partitionBy("station_id", "mark").orderBy("id")
     n = marked.withColumn("nx", -F.first("uy").over(lead)).withColumn("ny", F.first("ux").over(lead))
     along, across = F.col("x") * F.col("nx") + F.col("y") * F.col("ny"), F.col("y") * F.col("nx") - F.col("x") * F.col("ny")
@@ -136,14 +136,15 @@ def station_marks(points: DataFrame, spacing: float, crossings: DataFrame | None
         return own
     own = graph.kept(own)
     pill = F.struct("mark", "lines", "x", "y", "nx", "ny", "length")
-    two = own.join(crossings, "station_id").groupBy("station_id").agg(F.array_sort(F.collect_list(pill)).alias("p"), F.first("straighten").alias("straighten"), F.first("keep").alias("keep")).where(F.size("p") == 2)
+    # tables of numbers are small as files and large in memory, so these joins are merged: Spark would send a whole side through the driver
+    two = own.join(crossings.hint("merge"), "station_id").groupBy("station_id").agg(F.array_sort(F.collect_list(pill)).alias("p"), F.first("straighten").alias("straighten"), F.first("keep").alias("keep")).where(F.size("p") == 2)
     a, b = F.get("p", F.lit(0)), F.get("p", F.lit(1))
     keeps = F.when(F.array_contains(a["lines"], F.col("keep")), "a").when(F.array_contains(b["lines"], F.col("keep")), "b")
     axes = straightened(*[e[c] for e in (a, b) for c in ("nx", "ny")], F.coalesce("straighten", F.lit(0.0)), keeps)
     two = graph.kept(two.select("station_id", "p", *[v.alias(f"_{i}") for i, v in enumerate(axes)]))  # written: one expression of all would be too long to compile
     both = two.withColumn("area", crossing_area(*[e[c] for e in (a, b) for c in ("x", "y", "nx", "ny", "length")], tuple(F.col(f"_{i}") for i in range(4)))).where("area is not null")
     crossed = graph.kept(both.select("station_id", a["mark"].alias("mark"), F.concat(a["lines"], b["lines"]).alias("lines"), "area.x", "area.y", a["nx"].alias("nx"), a["ny"].alias("ny"), F.lit(0.0).alias("length"), "area.corners"))
-    return own.join(crossed.select("station_id"), "station_id", "left_anti").unionByName(crossed)
+    return own.join(crossed.select("station_id").hint("merge"), "station_id", "left_anti").unionByName(crossed)
 
 
 def mark_reach(radius: float) -> Column:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from linework.operators import spatial
+from linework.operators import marks, spatial
 from linework.sources import adapters as A
 
 DIR = "/root/testdata/sf0.001"
@@ -23,3 +23,11 @@ def test_bands_are_dealt(spark, monkeypatch):
     assert band.rdd.getNumPartitions() >= 20
     want = {(i * 5 + a, i % 7 + b) for i in range(-100, 100) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4}
     assert sorted(map(tuple, band.collect())) == sorted(want)
+
+
+def test_marks_of_many_stations_are_joined_without_the_driver(spark):
+    point = "station_id string, line_id string, x double, y double, ux double, uy double"
+    points = spark.createDataFrame([("a", "1", 0.0, 0.0, 1.0, 0.0), ("a", "2", 0.0, 0.0, 0.0, 1.0), ("b", "1", 9.0, 0.0, 1.0, 0.0)], point)
+    cross = marks.station_marks(points, 4.0, spark.createDataFrame([("a", 0.0, None)], "station_id string, straighten double, keep string"))
+    assert {r.station_id: len(r.lines) for r in cross.collect()} == {"a": 2, "b": 1}
+    assert "Broadcast" not in cross._jdf.queryExecution().executedPlan().toString()
