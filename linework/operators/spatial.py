@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from linework.functions.geometry import boxes_overlap, segment_hits_box
@@ -24,12 +24,15 @@ def in_cells(rows: DataFrame, box: list[Column], cell: float) -> DataFrame:
     return rows.withColumn("cx", F.explode(cells(box[0], box[2], cell))).withColumn("cy", F.explode(cells(box[1], box[3], cell)))
 
 
+def tasks(spark: SparkSession) -> int:
+    """How many tasks work is dealt over whose size rows don't show."""
+    return max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def dealt(rows: DataFrame, *more: str) -> DataFrame:
     """rows dealt over tasks by their cells (cx, cy and more), in a number of tasks that stays as it is: points of a table of few megabytes
     can have billions of pairs, which sizes don't show, so that Spark would join them in one task or put cells together in a few."""
-    spark = rows.sparkSession
-    tasks = max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return rows.repartition(tasks, *more, "cx", "cy")
+    return rows.repartition(tasks(rows.sparkSession), *more, "cx", "cy")
 
 
 def met(a: DataFrame, b: DataFrame, on: Column | None = None, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
@@ -255,11 +258,11 @@ def raster_band(points: DataFrame, radius: int) -> DataFrame:
     with the points: a task has about BAND_CELLS of them.
     """
     around = sum(dx * dx + dy * dy <= radius * radius for dx in range(-radius, radius + 1) for dy in range(-radius, radius + 1))
-    tasks = max(points.count() * around // BAND_CELLS + 1, points.sparkSession.sparkContext.defaultParallelism)
-    places = points.select("x", "y").repartition(tasks, "x", "y").distinct()
+    n_tasks = max(points.count() * around // BAND_CELLS + 1, points.sparkSession.sparkContext.defaultParallelism)
+    places = points.select("x", "y").repartition(n_tasks, "x", "y").distinct()
     offsets = F.sequence(F.lit(-radius), F.lit(radius))
     wide = places.select("x", "y", F.explode(offsets).alias("dx")).withColumn("dy", F.explode(offsets)).where(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy") <= radius * radius)
-    return wide.select((F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy")).repartition(tasks, "cx", "cy").distinct()
+    return wide.select((F.col("x") + F.col("dx")).alias("cx"), (F.col("y") + F.col("dy")).alias("cy")).repartition(n_tasks, "cx", "cy").distinct()
 
 
 def first_on_rays(rays: DataFrame, segments: DataFrame, cell: float) -> DataFrame:
