@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linework.functions import geometry as G
 from linework.operators import bundles as B
-from linework.operators import edges, sequences
+from linework.operators import edges, graph, sequences
 from linework.plans.registry import EDGES_SQL, LEGS, query
 from linework.sources import adapters as A
 
@@ -97,7 +97,10 @@ def curve_bundles(spark, sf_dir):
     select x, y, radius::double as radius, round(correction, 6) + 0 as correction from r""")
 def radius_targets(spark, sf_dir):
     """Every eleventh line gives the radius at its corners."""
-    b = B.curve_bundle(_curve_legs(spark, sf_dir), 1.5)
+    return _radius_targets(B.curve_bundle(_curve_legs(spark, sf_dir), 1.5))
+
+
+def _radius_targets(b: DataFrame) -> DataFrame:
     wanted = b.where("line_id % 11 = 0").select("line_id", "x", "y", (F.col("line_id") * 100 + F.col("k")).alias("pos"), (4 + F.col("k") % 3).cast("double").alias("radius"))
     last = wanted.groupBy("line_id", "x", "y").agg(F.max_by("radius", "pos").alias("radius"), F.max("pos").alias("pos"))
     return B.radius_targets(b, last).select("x", "y", "radius", (F.round("correction", 6) + 0).alias("correction"))
@@ -108,8 +111,8 @@ def radius_targets(spark, sf_dir):
     select line_id, k, round(greatest(0, case when own then 3 else coalesce(target, 2)::double - sgn * offs end), 6) as radius from d""")
 def bundled_radii(spark, sf_dir):
     """Radii that lines draw: of their own, a reference line's, or the default for the innermost lane."""
-    b = B.curve_bundle(_curve_legs(spark, sf_dir), 1.5)
-    t = radius_targets(spark, sf_dir)
+    b = graph.kept(B.curve_bundle(_curve_legs(spark, sf_dir), 1.5))  # read by the lines that give radii and by those that take them
+    t = _radius_targets(b)
     own, central = F.when(F.col("line_id") % 13 == 0, 3.0), F.col("line_id") % 17 == 0
     radius, offset, forced = B.corner_choice(own, F.col("radius"), F.col("correction"), F.lit(2.0), F.lit(True), F.col("sign"), F.col("shift"), F.col("innermost"), central, F.col("beside"))
     both = b.join(t, ["x", "y"], "left")

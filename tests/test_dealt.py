@@ -3,6 +3,7 @@
 import pytest
 
 from linework.operators import marks, spatial
+from linework.plans import bundling
 from linework.sources import adapters as A
 
 DIR = "/root/testdata/sf0.001"
@@ -31,3 +32,10 @@ def test_marks_of_many_stations_are_joined_without_the_driver(spark):
     cross = marks.station_marks(points, 4.0, spark.createDataFrame([("a", 0.0, None)], "station_id string, straighten double, keep string"))
     assert {r.station_id: len(r.lines) for r in cross.collect()} == {"a": 2, "b": 1}
     assert "Broadcast" not in cross._jdf.queryExecution().executedPlan().toString()
+
+
+def test_curves_are_bundled_once(spark, monkeypatch):
+    calls, real = [], bundling.B.curve_bundle
+    monkeypatch.setattr(bundling.B, "curve_bundle", lambda *a: (calls.append(a), real(*a))[1])
+    bundling.bundled_radii(spark, DIR)
+    assert len(calls) == 1
