@@ -111,8 +111,8 @@ def length_variables(elastic: DataFrame, agreement: float = 1e-9) -> DataFrame:
     return elastic.withColumn("var", key).groupBy("line_id", "var").agg(*[F.min_by(c, "pos").alias(c) for c in fields], F.count("*").alias("n_legs"), agree.alias("agree"))
 
 
-def equations(legs: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
-    """The layout's linear equations: (eq, var, coef) and (eq, rhs), two for each pair of stations.
+def equations(legs: DataFrame, start: int, with_line: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The layout's linear equations: (eq, var, coef) and (eq, rhs), two for each pair of stations; with_line, both with line_id first.
 
     x_b - x_a - sum of elastic lengths * direction = sum of rigid lengths * direction. legs: (line_id, pos, station_id,
     len, turn, elastic); an equation is line:pos:axis, a variable x:station, y:station or len:line:pos.
@@ -128,9 +128,10 @@ def equations(legs: DataFrame, start: int) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("elastic"), F.struct(F.concat_ws(":", F.lit("len"), "line_id", "pos").alias("var"), (-F.col("ax.d")).alias("coef"))),
     )
     flat = e.select("line_id", "eq", F.explode(F.filter(terms, lambda t: t.isNotNull())).alias("t")).select("line_id", "eq", "t.var", "t.coef")
-    rhs = e.select("eq", F.when(F.col("elastic"), 0.0).otherwise(F.col("ax.d") * F.col("len")).alias("rhs"))
+    line = ["line_id"] if with_line else []
+    rhs = e.select(*line, "eq", F.when(F.col("elastic"), 0.0).otherwise(F.col("ax.d") * F.col("len")).alias("rhs"))
     # an equation is of one line, by which its rows are dealt already: with the line in the key they don't move again
-    return flat.groupBy("line_id", "eq", "var").agg(F.sum("coef").alias("coef")).where("coef <> 0").select("eq", "var", "coef"), rhs
+    return flat.groupBy("line_id", "eq", "var").agg(F.sum("coef").alias("coef")).where("coef <> 0").select(*line, "eq", "var", "coef"), rhs
 
 
 def lanes_per_edge(lanes: DataFrame) -> DataFrame:

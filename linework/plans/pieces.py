@@ -179,7 +179,9 @@ def layer_elements(spark, sf_dir):
     select line_id || ':' || pos || ':' || axis as eq, round(step - size * dir, 5) + 0 as residual from x where a <> b or (elastic and dir <> 0)""")
 def layout_residuals(spark, sf_dir):
     """What the equations leave with stations on a slope and elastic legs of 5."""
-    terms, right = edges.equations(A.legs(spark, sf_dir).withColumn("elastic", F.col("turn") == 0), 45)
+    terms, right = edges.equations(A.legs(spark, sf_dir).withColumn("elastic", F.col("turn") == 0), 45, with_line=True)
     value = F.when(F.col("var").startswith("len"), 5.0).otherwise(F.substr("var", F.lit(3)).cast("double") * F.when(F.col("var").startswith("y"), 2).otherwise(1))
     given = terms.select("var").distinct().withColumn("value", value)
-    return residuals(terms.join(right, "eq"), given).select("eq", (F.round("residual", 5) + 0).alias("residual"))
+    right = right.groupBy("line_id").agg(F.map_from_entries(F.collect_list(F.struct("eq", "rhs"))).alias("right"))
+    both = terms.join(right.hint("merge"), "line_id").withColumn("rhs", F.try_element_at("right", F.col("eq"))).drop("right")
+    return residuals(both, given, "line_id").select("eq", (F.round("residual", 5) + 0).alias("residual"))

@@ -3,7 +3,7 @@
 import pytest
 
 from linework.operators import marks, spatial
-from linework.plans import bundling
+from linework.plans import bundling, pieces, schematic
 from linework.sources import adapters as A
 
 DIR = "/root/testdata/sf0.001"
@@ -39,3 +39,12 @@ def test_curves_are_bundled_once(spark, monkeypatch):
     monkeypatch.setattr(bundling.B, "curve_bundle", lambda *a: (calls.append(a), real(*a))[1])
     bundling.bundled_radii(spark, DIR)
     assert len(calls) == 1
+
+
+def test_terms_stay_with_their_line(spark):
+    """What is shuffled for residuals are a line's unknowns and their values; before, terms and right sides went to their equations' names."""
+    terms = spark.createDataFrame([(1, "1:1:x", "x:5", 1.0, 2.0), (1, "1:1:x", "x:4", -1.0, 2.0), (2, "2:1:x", "x:5", 3.0, 0.0), (2, "2:2:x", "none", 1.0, 0.0)], "line_id long, eq string, var string, coef double, rhs double")
+    left = schematic.residuals(terms.repartition(4, "line_id"), spark.createDataFrame([("x:5", 7.0), ("x:4", 4.0)], "var string, value double"), "line_id")
+    assert {(r.line_id, r.eq): r.residual for r in left.collect()} == {(1, "1:1:x"): 1.0, (2, "2:1:x"): 21.0}
+    plan = pieces.layout_residuals(spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Exchange hashpartitioning(eq" not in plan
