@@ -51,6 +51,61 @@ def components(edges: DataFrame) -> DataFrame:
     return kept(found.select("node", F.col("up").alias("component")))
 
 
+def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """n rows dealt by the keys over so many tasks that one has about 250,000 of them."""
+    return rows.repartition(max(n // 250_000 + 1, rows.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def line_parts(edges: DataFrame, small: int = 100_000) -> DataFrame:
+    """(net_id, line_id, component): the smallest station that a line reaches, behind its network's name; edges: (net_id, line_id, a, b).
+
+    Networks of at most `small` edges are put together in one task each, many side by side; larger ones by the rounds of `components`. Lines
+    that only lead from a station to itself and meet no other are absent.
+    """
+    most = Observation()
+    size = kept(edges.groupBy("net_id").agg(F.count("*").alias("n")).observe(most, F.max("n").alias("most"), F.sum("n").alias("n")))
+    heavy = (most.get["most"] or 0) > small
+    few = edges.join(size.where(F.col("n") > small).hint("merge"), "net_id", "left_anti") if heavy else edges
+    found = _joined(spread(few, most.get["n"] or 0, "net_id").sortWithinPartitions("net_id"))
+    if heavy:
+        many = kept(edges.join(size.where(F.col("n") > small).hint("merge"), "net_id", "left_semi"))
+        own = lambda c: F.concat_ws("\x1f", "net_id", c)
+        ends = many.groupBy("net_id", "line_id").agg(F.min("a").alias("a")).select("net_id", "line_id", own("a").alias("node"))
+        found = found.unionByName(ends.join(components(many.select(own("a").alias("a"), own("b").alias("b"))).hint("merge"), "node").select("net_id", "line_id", "component"))
+    return found
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """line_parts of edges whose networks lie whole in a partition, one after the other."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        up, ends, net = {}, {}, None
+
+        def top(x: str) -> str:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        def closed() -> list[tuple]:
+            return [(net, line, f"{net}\x1f{top(a)}") for line, a in ends.items() if a in up]
+
+        for frame in frames:
+            out: list[tuple] = []
+            for n, line, a, b in zip(*(frame[c].tolist() for c in ("net_id", "line_id", "a", "b")), strict=True):
+                if n != net:
+                    out += closed()
+                    up, ends, net = {}, {}, n
+                ends.setdefault(line, a)
+                if a != b:
+                    up.setdefault(a, a), up.setdefault(b, b)
+                    u, v = top(a), top(b)
+                    up[max(u, v)] = min(u, v)
+            yield pd.DataFrame(out, columns=["net_id", "line_id", "component"])
+        yield pd.DataFrame(closed(), columns=["net_id", "line_id", "component"])
+
+    return edges.select("net_id", "line_id", "a", "b").mapInPandas(run, "net_id string, line_id string, component string")
+
+
 def levels(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(node, level): steps from the nearest of starts (node). Unreached nodes are absent.
 

@@ -810,9 +810,9 @@ def solve_layout(spark, sf_dir):
 
     Nothing contradicts the wishes, so the least-squares solution is the walk.
     """
-    l = A.legs(spark, sf_dir).withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("_n > 1").drop("_n")  # noqa: E741
+    l = graph.kept(A.legs(spark, sf_dir).withColumn("_n", F.count("*").over(Window.partitionBy("line_id"))).where("_n > 1").drop("_n"))  # noqa: E741
     net = F.col("line_id").cast("string")
-    lines = l.select(net.alias("net_id")).distinct().select("net_id", F.lit("L").alias("line_id"), F.lit(0).alias("line_pos"), F.lit("#000").alias("color"), F.lit(45).alias("start"), F.lit(None).cast("struct<x:double,y:double>").alias("anchor"), F.lit(1.2).alias("spacing"), F.lit(None).cast("string").alias("direction"), F.lit(False).alias("closed"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("branch_of"))
+    lines = l.where("pos = 1").select(net.alias("net_id"), F.lit("L").alias("line_id"), F.lit(0).alias("line_pos"), F.lit("#000").alias("color"), F.lit(45).alias("start"), F.lit(None).cast("struct<x:double,y:double>").alias("anchor"), F.lit(1.2).alias("spacing"), F.lit(None).cast("string").alias("direction"), F.lit(False).alias("closed"), F.lit(None).cast("string").alias("family"), F.lit(None).cast("string").alias("branch_of"))
     path = F.struct(F.col("len").cast("double").alias("length"), F.lit(None).cast("double").alias("minimum"), F.lit(None).cast("double").alias("maximum"), F.lit(True).alias("flexibility"), F.lit(1.0).alias("flex"), F.lit(None).cast("string").alias("group"))
     one = lambda k, kind, station=None, turn=None, path_=None: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("step_kind"), (station if station is not None else F.lit(None)).cast("string").alias("station_id"), (turn if turn is not None else F.lit(None)).cast("int").alias("turn_delta"), F.lit(None).cast("double").alias("turn_radius"), (path_ if path_ is not None else F.lit(None)).cast("struct<length:double,minimum:double,maximum:double,flexibility:boolean,flex:double,`group`:string>").alias("path"))
     three = F.array(one(0, "station", F.col("pos")), one(1, "path", None, None, path), one(2, "turn", None, F.col("turn")))

@@ -6,11 +6,12 @@ many networks, and many parts of one, are solved side by side. Tables are those
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from linework.config import LAYOUT, Layout
@@ -19,27 +20,47 @@ from linework.functions import geometry as G
 from linework.operators import graph
 
 KEY = ["net_id", "line_id"]
+#: columns of `solve`
+SOLVED = "net_id string, component string, station string, x double, y double, var string, value double"
 
 
 def check_definitions(stations: DataFrame, lines: DataFrame, steps: DataFrame) -> None:
-    """The rules that a definition must keep; the first that fails raises GeometryError."""
-    require_empty(stations.groupBy("net_id", "id").count().where("count > 1"), "station ids repeat")
-    require_empty(stations.where("kind not in ('station', 'hub')").select("net_id", "id", "kind"), "unknown kind of station")
-    require_empty(lines.where("color is null").select(*KEY), "lines without a colour")
-    require_empty(lines.where("spacing <= 0").select(*KEY), "spacing isn't positive")
-    require_empty(lines.where("start is not null and pmod(start, 45) <> 0").select(*KEY, "start"), "a start isn't a multiple of 45")
-    stops, turns = steps.where("step_kind = 'station'"), steps.where("step_kind = 'turn'")
-    require_empty(turns.where("pmod(turn_delta, 45) <> 0 or turn_radius <= 0").select(*KEY, "pos", "turn_delta"), "a turn isn't a multiple of 45, or its radius isn't positive")
-    paths = steps.where("step_kind = 'path'")
-    bad = "path.length < 0 or path.minimum < 0 or path.minimum > path.maximum or path.flex <= 0 or (not path.flexibility and path.length is null)"
-    require_empty(paths.where(bad).select(*KEY, "pos"), "a path's lengths contradict each other")
-    require_empty(stops.join(stations.select("net_id", F.col("id").alias("station_id")), ["net_id", "station_id"], "left_anti").select(*KEY, "station_id"), "unknown stations")
-    require_empty(lines.join(stops.groupBy(*KEY).count().where("count > 1"), KEY, "left_anti").select(*KEY), "a line needs two stations at least")
-    rings = lines.where("closed").select(*KEY)
-    ends = stops.groupBy(*KEY).agg(F.min_by("station_id", "pos").alias("first"), F.max_by("station_id", "pos").alias("last"), F.max("pos").alias("end"))
-    require_empty(rings.join(ends, KEY).where("first <> last").select(*KEY), "a closed line doesn't end where it starts")
-    inner = stops.join(ends.join(rings, KEY, "left_semi").select(*KEY, F.col("end").alias("pos")), [*KEY, "pos"], "left_anti")
-    require_empty(inner.groupBy(*KEY, "station_id").count().where("count > 1"), "a line calls at a station twice")
+    """The rules that a definition must keep; the first that fails raises GeometryError.
+
+    Rules on a row are looked at together, in one pass over each table; those on stations and on lines take one grouping each.
+    """
+    stops, paths = steps.where("step_kind = 'station'"), "path.length < 0 or path.minimum < 0 or path.minimum > path.maximum or path.flex <= 0 or (not path.flexibility and path.length is null)"
+    mentions = stations.select("net_id", "id", F.lit(1).alias("defined")).unionByName(stops.select("net_id", F.col("station_id").alias("id"), F.lit(0).alias("defined")))
+    known = mentions.groupBy("net_id", "id").agg(F.sum("defined").alias("count"))
+    # a closed line calls at its last station once more
+    calls = stops.groupBy(*KEY, "station_id").agg(F.count("*").alias("n"), F.min("pos").alias("from"), F.max("pos").alias("to"))
+    own = calls.groupBy(*KEY).agg(
+        F.sum("n").alias("stops"), F.min_by("station_id", "from").alias("first"), F.max_by("station_id", "to").alias("last"), F.sum((F.col("n") > 1).cast("int")).alias("again"), F.max_by("n", "to").alias("at_end"),
+    )
+    own = lines.select(*KEY, F.coalesce("closed", F.lit(False)).alias("closed"), F.lit(True).alias("here")).join(own, KEY, "full_outer")
+    once = "again - case when at_end > 1 then 1 else 0 end = 0 and at_end <= 2"
+    rules = [
+        (known, "count > 1", ["net_id", "id"], "station ids repeat"),
+        (stations, "kind not in ('station', 'hub')", ["net_id", "id", "kind"], "unknown kind of station"),
+        (lines, "color is null", KEY, "lines without a colour"),
+        (lines, "spacing <= 0", KEY, "spacing isn't positive"),
+        (lines, "start is not null and pmod(start, 45) <> 0", [*KEY, "start"], "a start isn't a multiple of 45"),
+        (steps, "step_kind = 'turn' and (pmod(turn_delta, 45) <> 0 or turn_radius <= 0)", [*KEY, "pos", "turn_delta"], "a turn isn't a multiple of 45, or its radius isn't positive"),
+        (steps, f"step_kind = 'path' and ({paths})", [*KEY, "pos"], "a path's lengths contradict each other"),
+        (known, "count = 0 and id is not null", ["net_id", "id"], "unknown stations"),
+        (steps, "step_kind = 'station' and (station_id is null or net_id is null)", [*KEY, "pos"], "unknown stations"),
+        (own, "here and coalesce(stops, 0) < 2", KEY, "a line needs two stations at least"),
+        (own, "closed and first <> last", KEY, "a closed line doesn't end where it starts"),
+        (own, f"not if(coalesce(closed, false), {once}, again = 0)", KEY, "a line calls at a station twice"),
+    ]
+    failed = set()
+    for table in (known, stations, lines, steps, own):
+        asked = [i for i, r in enumerate(rules) if r[0] is table]
+        found = table.agg(*[F.coalesce(F.bool_or(F.expr(rules[i][1])), F.lit(False)).alias(str(i)) for i in asked]).first()
+        failed |= {i for i in asked if found[str(i)]}
+    for i in sorted(failed):
+        table, bad, shown, message = rules[i]
+        require_empty(table.where(bad).select(*shown), message)
 
 
 def check_corridors(corridors: DataFrame) -> None:
@@ -61,27 +82,27 @@ def check_layers(layers: DataFrame) -> None:
 
 def legs(lines: DataFrame, steps: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """One row for each leg: net_id, line_id, line_pos, seg, a, b, leg, offset (bearing from the line's start), elastic, preferred,
-    minimum, maximum, flex, group, and the corner before it (delta, radius, forced).
+    minimum, maximum, flex, group, the corner before it (delta, radius, forced), and the number of its path steps.
 
     A turn ends the leg before it; a path step describes the leg that it stands in.
     """
     line = Window.partitionBy(*KEY).orderBy("pos")
-    sofar = line.rowsBetween(Window.unboundedPreceding, 0)
-    s = steps.withColumn("seg", F.count("station_id").over(sofar)).withColumn("next", F.first("station_id", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)))
-    here = F.last("station_id", ignorenulls=True).over(sofar)
-    s = s.withColumn("here", here).withColumn("turned", F.coalesce(F.sum("turn_delta").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = Window.partitionBy(*KEY, "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.where("seg > 0 and next is not null").withColumn("leg", F.count("turn_delta").over(within))
-    # the last leg of a segment needs no step of its own
-    size = s.groupBy(*KEY, "seg").agg(F.min("here").alias("a"), F.min("next").alias("b"), F.count("turn_delta").alias("turns"), F.min("turned").alias("low"))
-    every = size.select(*KEY, "seg", "a", "b", "turns", F.explode(F.sequence(F.lit(0).cast("bigint"), "turns")).alias("leg"))
-    by = s.groupBy(*KEY, "seg", "leg").agg(
-        F.max("turn_delta").alias("turn"), F.max("turn_radius").alias("turn_radius"), F.count("path").alias("paths"), F.max("path").alias("path"), F.min("turned").alias("_turned"),
+    s = graph.spread(steps, steps.count(), *KEY).withColumn("seg", F.count("station_id").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.withColumn("bend", F.count("turn_delta").over(line.rowsBetween(Window.unboundedPreceding, -1)))
+    # a station ends the last leg of the segment before it, which needs no step of its own
+    here = F.struct("seg", F.col("station_id").alias("a"), F.lit(None).cast("string").alias("b"), "turn_delta", "turn_radius", "path")
+    none = lambda c: F.lit(None).cast(steps.schema[c].dataType).alias(c)
+    end = F.struct((F.col("seg") - 1).alias("seg"), F.lit(None).cast("string").alias("a"), F.col("station_id").alias("b"), *map(none, ("turn_delta", "turn_radius", "path")))
+    s = s.select(*KEY, "bend", F.explode(F.when(F.col("station_id").isNotNull(), F.array(here, end)).otherwise(F.array(here))).alias("s")).select(*KEY, "bend", "s.*").where("seg > 0")
+    by = s.groupBy(*KEY, "seg", "bend").agg(
+        F.max("a").alias("a"), F.max("b").alias("b"), F.max("turn_delta").alias("turn"), F.max("turn_radius").alias("turn_radius"), F.count("path").alias("paths"), F.max("path").alias("path"),
     )
-    out = every.join(by, [*KEY, "seg", "leg"], "left").join(lines.select(*KEY, "line_pos", "spacing"), KEY)
-    require_empty(out.where("paths > 1").select(*KEY, "a", "b"), "two paths on one leg")
-    order = Window.partitionBy(*KEY, "seg").orderBy("leg")
-    all_ = Window.partitionBy(*KEY).orderBy("seg", "leg")
+    whole = Window.partitionBy(*KEY, "seg")
+    by = by.withColumns({"a": F.max("a").over(whole), "b": F.max("b").over(whole), "_first": F.min("bend").over(whole), "_last": F.max("bend").over(whole)}).where("b is not null")
+    by = by.withColumns({"leg": F.col("bend") - F.col("_first"), "turns": F.col("_last") - F.col("_first")})
+    out = by.join(lines.select(*KEY, "line_pos", "spacing").hint("merge"), KEY)
+    order = Window.partitionBy(*KEY, "seg").orderBy("bend")
+    all_ = Window.partitionBy(*KEY).orderBy("seg", "bend")
     out = out.withColumn("offset", F.pmod(F.coalesce(F.sum("turn").over(all_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(360)).cast("int"))
     tangent = F.when(F.col("turn").isNotNull(), F.coalesce(F.col("turn_radius") * G.tangent_factor(F.col("turn")), F.col("spacing") / 2))
     out = out.withColumn("_t", tangent).withColumn("default", F.coalesce("_t", F.lag("_t").over(order), "spacing"))
@@ -99,7 +120,7 @@ def legs(lines: DataFrame, steps: DataFrame, layout: Layout = LAYOUT) -> DataFra
         out = out.withColumn(f"_{name}", F.when(F.col("elastic"), F.greatest(name, "_room")).otherwise(F.col(name)))
     return out.select(
         *KEY, "line_pos", "seg", "a", "b", "leg", "offset", "elastic", F.col("_preferred").alias("preferred"), F.col("_minimum").alias("minimum"), F.col("_maximum").alias("maximum"),
-        F.when(F.col("elastic"), F.coalesce("path.flex", F.lit(1.0))).alias("flex"), F.col("path.group").alias("group"), "delta", "radius", "forced",
+        F.when(F.col("elastic"), F.coalesce("path.flex", F.lit(1.0))).alias("flex"), F.col("path.group").alias("group"), "delta", "radius", "forced", "paths",
     )
 
 
@@ -123,40 +144,50 @@ def segments(legs_: DataFrame) -> DataFrame:
 
 def shared(segments_: DataFrame) -> DataFrame:
     """(net_id, base, other, delta, same): each edge's later segments against its first, in line order."""
-    base = segments_.groupBy("net_id", "u", "v").agg(F.min_by(F.struct("line_id", "seg", "a", "first", "last", "shape"), F.struct("line_pos", "line_id", "seg")).alias("base"))
-    both = segments_.join(base, ["net_id", "u", "v"]).where("line_id <> base.line_id or seg <> base.seg")
+    edge = Window.partitionBy("net_id", "u", "v")
+    both = segments_.withColumn("base", F.min_by(F.struct("line_id", "seg", "a", "first", "last", "shape"), F.struct("line_pos", "line_id", "seg")).over(edge)).where("line_id <> base.line_id or seg <> base.seg")
     along = F.col("a") == F.col("base.a")
     delta = F.when(along, F.col("base.first") - F.col("first")).otherwise(F.col("base.last") - F.col("first") + 180)
     same = F.when(along, F.col("shape") == F.col("base.shape")).otherwise(F.col("reverse") == F.col("base.shape"))
     return both.select("net_id", F.col("base.line_id").alias("base"), F.col("line_id").alias("other"), "u", "v", F.pmod(delta, F.lit(360)).cast("int").alias("delta"), same.alias("same"))
 
 
+def met_again(legs_: DataFrame) -> DataFrame:
+    """The legs of edges on which more than one segment runs: only those can be shared."""
+    u, v, more = F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), Observation()
+    often = legs_.where("leg = 0").groupBy("net_id", u, v).agg(F.count("*").alias("n")).where("n > 1").select("net_id", "u", "v")
+    often = graph.kept(often.observe(more, F.count(F.lit(1)).alias("n")))
+    if not more.get["n"]:
+        return legs_.where(F.lit(False))
+    return legs_.withColumns({"u": F.least("a", "b"), "v": F.greatest("a", "b")}).join(often.hint("merge"), ["net_id", "u", "v"], "left_semi").drop("u", "v")
+
+
 def start_bearings(lines: DataFrame, shared_: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
     """(net_id, line_id, bearing) of every line."""
     require_empty(shared_.where("not same").select("net_id", "u", "v", "base", "other"), "lines that share an edge differ in its shape")
     own = lambda c: F.concat_ws("\x1f", "net_id", c)
+    pairs = shared_.where("base <> other")
+    tied = graph.kept(pairs.select("net_id", F.explode(F.array("base", "other")).alias("line_id")).distinct())
+    alone = lines.join(tied.hint("merge"), KEY, "left_anti").select(*KEY, F.pmod(F.coalesce("start", F.lit(layout.default_start)), F.lit(360)).cast("int").alias("bearing"))
+    lines = lines.join(tied.hint("merge"), KEY, "left_semi")
     found = graph.bearings(
-        shared_.where("base <> other").select(own("base").alias("a"), own("other").alias("b"), "delta"),
+        pairs.select(own("base").alias("a"), own("other").alias("b"), "delta"),
         lines.where("start is not null").select(own("line_id").alias("line_id"), F.col("start").alias("bearing")),
         lines.select(own("line_id").alias("line_id"), "line_pos"), layout.default_start,
     )
     loops = shared_.where("base = other and delta <> 0").select("net_id", "base", "u", "v")
     require_empty(loops, "contradictory bearings")
     part = lambda i: F.split("line_id", "\x1f")[i]
-    return found.select(part(0).alias("net_id"), part(1).alias("line_id"), F.col("bearing").cast("int").alias("bearing"))
+    return found.select(part(0).alias("net_id"), part(1).alias("line_id"), F.col("bearing").cast("int").alias("bearing")).unionByName(alone)
 
 
-def length_variables(legs_: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
-    """(net_id, line_id, var, preferred, minimum, maximum, flex, ordinal): elastic legs, together within a group of a line."""
-    e = legs_.where("elastic").withColumn("var", F.concat_ws(":", F.lit("len"), "line_id", F.coalesce(F.concat(F.lit("group "), "group"), F.concat_ws(".", "seg", "leg"))))
-    fields = ["preferred", "minimum", "maximum", "flex"]
+def check_groups(legs_: DataFrame, layout: Layout = LAYOUT) -> None:
+    """Elastic legs of one group of a line are one unknown and agree in what they ask for."""
     off = F.lit(False)
-    for c in fields:
+    for c in ("preferred", "minimum", "maximum", "flex"):
         off = off | ~((F.max(c) == F.min(c)) | (F.max(c) - F.min(c) <= layout.agreement))
-    first = F.struct("line_pos", "seg", "leg")
-    by = e.groupBy(*KEY, "var").agg(*[F.min_by(c, first).alias(c) for c in fields], F.min(first).alias("ordinal"), off.alias("off"))
-    require_empty(by.where("off").select(*KEY, "var"), "legs of one group differ in their lengths")
-    return by.drop("off")
+    by = legs_.where("elastic and group is not null").groupBy(*KEY, "group").agg(off.alias("off"))
+    require_empty(by.where("off").select(*KEY, "group"), "legs of one group differ in their lengths")
 
 
 def solve_component(rows: dict[str, np.ndarray], layout: Layout = LAYOUT) -> tuple[list[str], np.ndarray]:
@@ -202,41 +233,137 @@ def solve_component(rows: dict[str, np.ndarray], layout: Layout = LAYOUT) -> tup
     raise GeometryError("length bounds don't settle")
 
 
+def equations(rows: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The rows of `solve_component` of one component's legs and pins."""
+    eq, elastic = {}, {}
+    order = np.lexsort((rows["leg"], rows["seg"], rows["line_pos"]))
+    columns = ("a", "b", "line_id", "seg", "var", "dx", "dy", "preferred", "minimum", "maximum", "flex")
+    for a, b, line, seg, var, dx, dy, *length in zip(*(rows[c][order].tolist() for c in columns), strict=True):
+        for axis, d in (("x", dx), ("y", dy)):
+            right, terms = eq.setdefault((line, seg, axis, b is None), ([], defaultdict(float)))
+            if not right:
+                right.append(0.0)
+                terms[f"{axis}:{a}"] += 1.0 if b is None else -1.0
+                if b is not None:
+                    terms[f"{axis}:{b}"] += 1.0
+            if b is None:
+                right[0] = d
+            elif var is None:
+                right[0] += d * length[0]
+            else:
+                terms[var] -= d
+        if var is not None:
+            elastic.setdefault(var, length)
+    flat = [("eq", i, v, c, right[0], None, None, None, None, None) for i, (right, terms) in enumerate(eq.values()) for v, c in terms.items()]
+    flat += [("var", None, v, None, None, *length, i) for i, (v, length) in enumerate(elastic.items())]
+    out = {c: np.array(x, object) for c, x in zip(("kind", "eq", "var", "coef", "rhs", "preferred", "minimum", "maximum", "flex", "number"), zip(*flat, strict=True), strict=True)}
+    return out | {"ordinal": np.array([None if n is None else f"{n:09d}" for n in out["number"]], object)}
+
+
+def solve_trees(rows: dict[str, np.ndarray], part: np.ndarray, layout: Layout = LAYOUT) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The same least squares for many components at once, where nothing goes round: as many segments as stations but one, and one pin.
+
+    part: each row's component from 0, ascending. Each coordinate then follows from the lengths, so that these alone are solved for. Returns which components are solved
+    (others go round, or a bound doesn't hold), each row's first station as a number, and stations and lengths as columns part, name and values.
+    """
+    n = int(part[-1]) + 1
+
+    def numbered(of: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each key's number from 0 within its component, the components of the distinct keys, where each stands first, and how many a component has."""
+        code = of.astype(np.int64)
+        for key in keys:
+            own, names = pd.factorize(key)
+            code = code * max(len(names), 1) + own
+        _, first, inverse = np.unique(code, return_index=True, return_inverse=True)
+        count = np.bincount(of[first], minlength=n)
+        start = np.concatenate(([0], np.cumsum(count)[:-1]))
+        return inverse - start[of], of[first], first, count
+
+    leg = np.flatnonzero(~pd.isna(rows["b"]))
+    pin = np.flatnonzero(pd.isna(rows["b"]))
+    both = np.concatenate((rows["a"], rows["b"][leg]))
+    station, station_part, station_first, stations = numbered(np.concatenate((part, part[leg])), both)
+    a, b = station[: len(part)], np.zeros(len(part), np.int64)
+    b[leg] = station[len(part) :]
+    seg, _, seg_first, segs = numbered(part[leg], rows["line_id"][leg], rows["seg"][leg])
+    row = np.zeros(len(part), np.int64)
+    row[leg] = seg
+    pins = np.bincount(part[pin], minlength=n)
+    row[pin] = segs[part[pin]]  # the only one, where it is used
+    order = leg[np.lexsort((rows["leg"][leg], rows["seg"][leg], rows["line_pos"][leg], part[leg]))]
+    free = order[~pd.isna(rows["var"][order])]
+    place, length_part, length_first, lengths = numbered(part[free], rows["var"][free])
+    column = np.zeros(len(part), np.int64)
+    column[free] = place
+    rigid = np.ones(len(part), bool)
+    rigid[free] = False
+    rigid[pin] = False
+
+    done = np.zeros(n, bool)
+    tree = (segs + 1 == stations) & (pins == 1)
+    values = {c: np.zeros(len(station_part)) for c in "xy"} | {"value": np.zeros(len(length_part))}
+    at_station, at_length = np.concatenate(([0], np.cumsum(stations)))[:-1], np.concatenate(([0], np.cumsum(lengths)))[:-1]
+    shape = np.where(tree, stations * (int(lengths.max()) + 1) + lengths, -1)
+    for kind in np.unique(shape[tree]):
+        own = np.flatnonzero(shape == kind)
+        s, k, g = int(stations[own[0]]), int(lengths[own[0]]), len(own)
+        index = np.full(n, -1)
+        index[own] = np.arange(g)
+        here = lambda i: i[index[part[i]] >= 0]  # noqa: E731, B023
+        between, right, terms = np.zeros((g, s, s)), np.zeros((2, g, s)), np.zeros((2, g, s, k))
+        once, fixed, stiff, soft = here(leg[seg_first]), here(pin), here(np.flatnonzero(rigid)), here(free)
+        np.add.at(between, (index[part[once]], row[once], b[once]), 1.0)
+        np.add.at(between, (index[part[once]], row[once], a[once]), -1.0)
+        between[index[part[fixed]], row[fixed], a[fixed]] = 1.0
+        for axis, c in enumerate(("dx", "dy")):
+            right[axis][index[part[fixed]], row[fixed]] = rows[c][fixed]
+            np.add.at(right[axis], (index[part[stiff]], row[stiff]), rows[c][stiff] * rows["preferred"][stiff])
+            np.add.at(terms[axis], (index[part[soft]], row[soft], column[soft]), rows[c][soft])
+        # coordinates are spot + reach @ lengths
+        both_ = np.linalg.solve(between[None], np.concatenate((right[..., None], terms), -1))
+        spot, reach = both_[..., 0], both_[..., 1:]
+        asked = free[length_first].reshape(-1)
+        asked = asked[index[part[asked]] >= 0]
+        want, low, high, flex = (rows[c][asked].astype(float).reshape(g, k) for c in ("preferred", "minimum", "maximum", "flex"))
+        weight = 1 / flex**2
+        normal = layout.regularisation * np.einsum("agsk,agsl->gkl", reach, reach)
+        normal[:, np.arange(k), np.arange(k)] += weight
+        found = np.linalg.solve(normal, (weight * want - layout.regularisation * np.einsum("agsk,ags->gk", reach, spot))[..., None])[..., 0]
+        x, y = spot + np.einsum("agsk,gk->ags", reach, found)
+        ok = np.maximum(low - found, found - high).max(axis=1, initial=-np.inf) <= layout.bound_slack
+        done[own[ok]] = True
+        spread = (at_station[own][:, None] + np.arange(s)).ravel()
+        values["x"][spread], values["y"][spread] = x.ravel(), y.ravel()
+        values["value"][(at_length[own][:, None] + np.arange(k)).ravel()] = found.ravel()
+    ends = {"part": station_part, "name": both[station_first], "x": values["x"], "y": values["y"]}
+    return done, ends, {"part": length_part, "name": rows["var"][free][length_first], "value": values["value"]}
+
+
 def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layout = LAYOUT) -> DataFrame:
-    """(net_id, component, var, value): x:station, y:station and lengths.
+    """(net_id, component, station, x, y, var, value): a row for each station and one for each length.
 
-    A component without an anchored line puts its first station at (40 * its number, 0).
+    A component without an anchored line puts its first station at (40 * its number, 0). What travels to the solves are legs, not the terms of
+    their equations.
     """
-    seen = legs_.groupBy("net_id", "line_id", "line_pos", "seg", "a", "b").agg(F.first("line_pos").alias("_"))
-    edges = graph.kept(seen.select("net_id", "line_id", "line_pos", "seg", "a", "b"))
-    own = lambda c: F.concat_ws("\x1f", "net_id", c)
-    parts = graph.components(edges.select(own("a").alias("a"), own("b").alias("b"))).select(F.split("node", "\x1f")[0].alias("net_id"), F.split("node", "\x1f")[1].alias("station"), "component")
-    spots = edges.select("net_id", F.explode(F.array(F.struct("line_pos", "seg", F.lit(0).alias("end"), F.col("a").alias("station")), F.struct("line_pos", "seg", F.lit(1).alias("end"), F.col("b").alias("station")))).alias("s")).select("net_id", "s.station", F.struct("s.line_pos", "s.seg", "s.end").alias("ordinal"))
-    first = spots.join(parts, ["net_id", "station"]).groupBy("net_id", "component").agg(F.min_by("station", "ordinal").alias("station"), F.min("ordinal").alias("ordinal"))
-    first = first.withColumn("number", F.row_number().over(Window.partitionBy("net_id").orderBy("ordinal")) - 1)
+    check_groups(legs_, layout)
+    segs = legs_.where("leg = 0")
+    parts = graph.line_parts(segs.select(*KEY, "a", "b"))
+    heads = segs.groupBy(*KEY, "line_pos").agg(F.min_by("a", "seg").alias("a"), F.min("seg").alias("seg"))
+    heads = heads.join(parts.hint("merge"), KEY).join(bearings.hint("merge"), KEY).join(lines.select(*KEY, "anchor").hint("merge"), KEY)
+    heads = graph.kept(heads.select(*KEY, "component", "bearing", "anchor", "a", F.struct("line_pos", "seg").alias("ordinal")))
+    first = heads.groupBy("net_id", "component").agg(F.min_by("a", "ordinal").alias("a"), F.min("ordinal").alias("ordinal"), F.count("anchor").alias("anchors"))
+    number = F.row_number().over(Window.partitionBy("net_id").orderBy("ordinal")) - 1
+    free = first.withColumn("number", number).where("anchors = 0").select("net_id", "component", F.lit("").alias("line_id"), "a", (F.col("number") * layout.component_gap).cast("double").alias("dx"), F.lit(0.0).alias("dy"))
+    pins = free.unionByName(heads.where("anchor is not null").select("net_id", "component", "line_id", "a", F.col("anchor.x").alias("dx"), F.col("anchor.y").alias("dy")))
 
-    variables = length_variables(legs_, layout)
-    named = legs_.withColumn("var", F.when(F.col("elastic"), F.concat_ws(":", F.lit("len"), "line_id", F.coalesce(F.concat(F.lit("group "), "group"), F.concat_ws(".", "seg", "leg")))))
     rad = F.radians(F.col("bearing") + F.col("offset"))
-    turned = named.join(bearings, KEY).withColumn("d", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.sin(rad).alias("d")), F.struct(F.lit("y").alias("axis"), F.cos(rad).alias("d")))))
-    eq = F.concat_ws(":", "line_id", "seg", "d.axis")
-    rigid = turned.groupBy("net_id", "a", eq.alias("eq")).agg(F.sum(F.when(F.col("elastic"), 0.0).otherwise(F.col("d.d") * F.col("preferred"))).alias("rhs"))
-    ends = turned.select("net_id", "a", "b", eq.alias("eq"), "d.axis").distinct().select("net_id", "a", "eq", F.explode(F.array(F.struct(F.concat_ws(":", "axis", "b").alias("var"), F.lit(1.0).alias("coef")), F.struct(F.concat_ws(":", "axis", "a").alias("var"), F.lit(-1.0).alias("coef")))).alias("t")).select("net_id", "a", "eq", "t.var", "t.coef")
-    elastic = turned.where("elastic").select("net_id", "a", eq.alias("eq"), "var", (-F.col("d.d")).alias("coef"))
-    terms = ends.unionByName(elastic).groupBy("net_id", "a", "eq", "var").agg(F.sum("coef").alias("coef")).join(rigid, ["net_id", "a", "eq"])
-
-    anchored = lines.where("anchor is not null").select(*KEY, "anchor").join(edges.groupBy(*KEY).agg(F.min_by("a", "seg").alias("a")), KEY)
-    fixed = anchored.select("net_id", "a", F.col("anchor.x").alias("x"), F.col("anchor.y").alias("y"), F.col("line_id").alias("tag"))
-    at = lambda df, c: df.join(parts.withColumnRenamed("station", c), ["net_id", c])
-    free = first.join(at(fixed, "a").select("net_id", "component").distinct(), ["net_id", "component"], "left_anti")
-    pins = fixed.unionByName(free.select("net_id", F.col("station").alias("a"), (F.col("number") * layout.component_gap).cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit("").alias("tag")))
-    pinned = pins.select("net_id", "a", "tag", F.explode(F.array(F.struct(F.lit("x").alias("axis"), F.col("x").alias("v")), F.struct(F.lit("y").alias("axis"), F.col("y").alias("v")))).alias("p")).select("net_id", "a", F.concat_ws(":", F.lit("pin"), "tag", "p.axis", "a").alias("eq"), F.concat_ws(":", "p.axis", "a").alias("var"), F.lit(1.0).alias("coef"), F.col("p.v").alias("rhs"))
-
-    none = F.lit(None).cast("double")
-    eq_rows = at(terms.select("net_id", "a", "eq", "var", "coef", "rhs").unionByName(pinned), "a").select("net_id", "component", F.lit("eq").alias("kind"), "eq", "var", "coef", "rhs", none.alias("preferred"), none.alias("minimum"), none.alias("maximum"), none.alias("flex"), F.lit(None).cast("string").alias("ordinal"))
-    where = at(edges.groupBy(*KEY).agg(F.min("a").alias("a")), "a").select(*KEY, "component")
-    order = F.format_string("%09d.%09d.%09d", F.col("ordinal.line_pos").cast("long"), F.col("ordinal.seg").cast("long"), F.col("ordinal.leg").cast("long"))
-    var_rows = variables.join(where, KEY).select("net_id", "component", F.lit("var").alias("kind"), F.lit(None).cast("string").alias("eq"), "var", none.alias("coef"), none.alias("rhs"), "preferred", "minimum", "maximum", "flex", order.alias("ordinal"))
+    var = F.when(F.col("elastic"), F.concat_ws(":", F.lit("len"), "line_id", F.coalesce(F.concat(F.lit("group "), "group"), F.concat_ws(".", "seg", "leg"))))
+    rows = legs_.join(heads.select(*KEY, "component", "bearing").hint("merge"), KEY).select("net_id", "component", "line_id", "line_pos", "seg", "leg", "a", "b", var.alias("var"), F.sin(rad).alias("dx"), F.cos(rad).alias("dy"), "preferred", "minimum", "maximum", "flex")
+    rows = rows.unionByName(pins, allowMissingColumns=True).fillna({"line_pos": -1, "seg": -1, "leg": -1})
+
+    def table(n: int, columns: dict) -> pd.DataFrame:
+        kind = {"x": float, "y": float, "value": float}
+        return pd.DataFrame({c: pd.Series(columns.get(c), index=range(n), dtype=kind.get(c, object)) for c in ("net_id", "component", "station", "x", "y", "var", "value")})
 
     def solved(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(frame):
@@ -244,14 +371,21 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
         columns = {c: frame[c].to_numpy() for c in frame.columns}
         net, part = columns["net_id"], columns["component"]
         new = np.flatnonzero((net[1:] != net[:-1]) | (part[1:] != part[:-1])) + 1
-        out: dict[str, list] = {"net_id": [], "component": [], "var": [], "value": []}
-        for lo, hi in zip([0, *new.tolist()], [*new.tolist(), len(frame)], strict=True):
-            names, values = solve_component({c: x[lo:hi] for c, x in columns.items()}, layout)
-            out["net_id"] += [net[lo]] * len(names)
-            out["component"] += [part[lo]] * len(names)
-            out["var"] += names
-            out["value"] += values.tolist()
-        yield pd.DataFrame(out)
+        at = np.concatenate(([0], new))
+        done, ends, lengths = solve_trees(columns, np.repeat(np.arange(len(at)), np.diff(np.append(at, len(frame)))), layout)
+        for found in (ends, lengths):
+            ok = done[found["part"]]
+            own = at[found["part"][ok]]
+            name = {"station" if found is ends else "var": found["name"][ok]}
+            yield table(len(own), {"net_id": net[own], "component": part[own]} | name | {c: found[c][ok] for c in ("x", "y", "value") if c in found})
+        for i in np.flatnonzero(~done).tolist():
+            lo, hi = at[i], at[i + 1] if i + 1 < len(at) else len(frame)
+            names, values = solve_component(equations({c: x[lo:hi] for c, x in columns.items()}), layout)
+            value = dict(zip(names, values.tolist(), strict=True))
+            stations = [v[2:] for v in names if v.startswith("x:")]
+            yield table(len(stations), {"net_id": net[lo], "component": part[lo], "station": stations, "x": [value[f"x:{v}"] for v in stations], "y": [value[f"y:{v}"] for v in stations]})
+            own = [v for v in names if v.startswith("len:")]
+            yield table(len(own), {"net_id": net[lo], "component": part[lo], "var": own, "value": [value[v] for v in own]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []  # the open component, which may reach over many batches and is put together once
@@ -271,8 +405,8 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
             yield from solved(pd.concat(held, ignore_index=True))
 
     # many small components in a task, each whole and its rows together
-    ordered = eq_rows.unionByName(var_rows).repartition("net_id", "component").sortWithinPartitions("net_id", "component")
-    return ordered.mapInPandas(run, "net_id string, component string, var string, value double")
+    ordered = graph.spread(rows, legs_.count(), "net_id", "component").sortWithinPartitions("net_id", "component")
+    return ordered.mapInPandas(run, SOLVED)
 
 
 def residuals(terms: DataFrame, solution: DataFrame, part: str) -> DataFrame:
@@ -287,10 +421,11 @@ def residuals(terms: DataFrame, solution: DataFrame, part: str) -> DataFrame:
     return known.groupBy(part, "eq").agg((F.sum(F.col("coef") * F.try_element_at("_values", F.col("var"))) - F.first("rhs")).alias("residual"))
 
 
-def coordinates(solution: DataFrame) -> DataFrame:
-    """(net_id, station, x, y)."""
-    axis, station = F.substring("var", 1, 1), F.substr("var", F.lit(3))
-    return solution.where("var like 'x:%' or var like 'y:%'").groupBy("net_id", station.alias("station")).agg(F.max(F.when(axis == "x", F.col("value"))).alias("x"), F.max(F.when(axis == "y", F.col("value"))).alias("y"))
+def solution(solved: DataFrame) -> DataFrame:
+    """(net_id, component, var, value): x:station, y:station and lengths."""
+    one = lambda axis: F.struct(F.concat_ws(":", F.lit(axis), "station").alias("var"), F.col(axis).alias("value"))
+    each = F.when(F.col("station").isNotNull(), F.array(one("x"), one("y"))).otherwise(F.array(F.struct("var", "value")))
+    return solved.select("net_id", "component", F.explode(each).alias("v")).select("net_id", "component", "v.*")
 
 
 def layout(stations: DataFrame, lines: DataFrame, steps: DataFrame, config: Layout = LAYOUT) -> dict[str, DataFrame]:
@@ -298,8 +433,10 @@ def layout(stations: DataFrame, lines: DataFrame, steps: DataFrame, config: Layo
     stations, lines, steps = (graph.kept(t) for t in (stations, lines, steps))  # the rules read them again and again
     check_definitions(stations, lines, steps)
     own = graph.kept(legs(lines, steps, config))
-    parts = graph.kept(segments(own))
-    common = graph.kept(shared(parts))
+    require_empty(own.where("paths > 1").select(*KEY, "a", "b"), "two paths on one leg")
+    own = own.drop("paths")
+    common = graph.kept(shared(segments(met_again(own))))
     found = graph.kept(start_bearings(lines, common, config))
-    solution = graph.kept(solve(lines, own, found, config))
-    return {"legs": own, "segments": parts, "shared": common, "bearings": found, "solution": solution, "coordinates": coordinates(solution)}
+    solved = graph.kept(solve(lines, own, found, config))
+    xy = solved.where("station is not null").select("net_id", "station", "x", "y")
+    return {"legs": own, "segments": segments(own), "shared": common, "bearings": found, "solution": solution(solved), "coordinates": xy}
