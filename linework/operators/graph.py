@@ -292,19 +292,24 @@ def routes(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFram
     """
     e = _weighted(edges)
     enter = kept(sources.groupBy("route", "node").agg(F.min("cost").cast("double").alias("enter")))
-    state = F.struct(F.min("cost").cast("double").alias("cost"), F.lit(0).alias("steps"))
-    best = kept(targets.groupBy("route", "node").agg(state.alias("s")))
-    front = best
+    kind = "struct<cost:double,steps:int>"
+    none = F.lit(None)
+    # a state knows what entering there costs, so that a round is one join with the edges and one grouping; sources are states before they are reached
+    old = enter.select("route", "node", none.cast(kind).alias("old"), none.cast(kind).alias("new"), "enter")
+    step = targets.select("route", "node", none.cast(kind).alias("old"), F.struct(F.col("cost").cast("double").alias("cost"), F.lit(0).alias("steps")).alias("new"), none.cast("double").alias("enter"))
     while True:
-        bound = best.join(enter, ["route", "node"]).groupBy("route").agg(F.min(F.col("s.cost") + F.col("enter")).alias("bound"))
-        live = front.join(bound, "route", "left").where("bound is null or s.cost < bound").select("route", F.col("node").alias("b"), "s")
-        on = F.struct((F.col("s.cost") + F.col("w")).alias("cost"), (F.col("s.steps") + 1).alias("steps"))
-        step = live.join(e, "b").groupBy("route", F.col("a").alias("node")).agg(F.min(on).alias("new"))
-        both = kept(best.join(step, ["route", "node"], "full_outer"))
-        front = both.where("new is not null and (s is null or new < s)").select("route", "node", F.col("new").alias("s"))
-        if front.isEmpty():
+        fresh = Observation()
+        by = old.unionByName(step).groupBy("route", "node").agg(F.min("old").alias("old"), F.least(F.min("old"), F.min("new")).alias("s"), F.min("enter").alias("enter"))
+        both = by.select("route", "node", "s", "enter", (F.col("s").isNotNull() & (F.col("old").isNull() | (F.col("s") < F.col("old")))).alias("fresh"))
+        both = kept(both.observe(fresh, F.count_if("fresh").alias("n")))
+        if not fresh.get["n"]:
             break
-        best = both.select("route", "node", F.when(F.col("s").isNull() | (F.col("new") < F.col("s")), F.coalesce("new", "s")).otherwise(F.col("s")).alias("s"))
+        bound = both.where("enter is not null and s is not null").groupBy("route").agg(F.min(F.col("s.cost") + F.col("enter")).alias("bound"))
+        live = both.where("fresh").join(bound, "route", "left").where("bound is null or s.cost < bound").select("route", F.col("node").alias("b"), "s")
+        on = F.struct((F.col("s.cost") + F.col("w")).alias("cost"), (F.col("s.steps") + 1).alias("steps"))
+        step = live.join(e, "b").select("route", F.col("a").alias("node"), none.cast(kind).alias("old"), on.alias("new"), none.cast("double").alias("enter"))
+        old = both.select("route", "node", F.col("s").alias("old"), none.cast(kind).alias("new"), "enter")
+    best = both.where("s is not null").select("route", "node", "s")
     found = best.join(enter, ["route", "node"]).groupBy("route").agg(F.min(F.struct((F.col("s.cost") + F.col("enter")).alias("cost"), "node")).alias("way"))
     found = kept(found.select("route", "way.cost", "way.node"))
     onward = best.where("s.steps > 0").select("route", F.col("node").alias("a"), F.col("s").alias("here")).join(e, "a")

@@ -44,3 +44,13 @@ def test_lines_that_hang_together(spark, monkeypatch):
     assert {tuple(r) for r in graph.line_parts(edges, small=2).collect()} == want  # n by rounds, m in a task
     monkeypatch.setattr(graph, "components", None)
     assert {tuple(r) for r in graph.line_parts(edges).collect()} == want
+
+
+def test_rounds_of_routes_group_instead_of_joining_all_states(spark, monkeypatch):
+    """Before, each round joined all states with what became cheaper, and with what entering costs."""
+    plans, real = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    edges = spark.createDataFrame([(1, 2, 1), (2, 3, 1)], "a long, b long, w long")
+    at = lambda node: spark.createDataFrame([(7, node, 0)], "route long, node long, cost long")
+    assert [tuple(r) for r in graph.routes(edges, at(1), at(3)).collect()] == [(7, 2.0, [1, 2, 3])]
+    assert not any("FullOuter" in p for p in plans)
