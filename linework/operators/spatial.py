@@ -29,15 +29,15 @@ def tasks(spark: SparkSession) -> int:
     return max(8 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dealt(rows: DataFrame, *more: str) -> DataFrame:
-    """rows dealt over tasks by their cells (cx, cy and more), in a number of tasks that stays as it is: points of a table of few megabytes
-    can have billions of pairs, which sizes don't show, so that Spark would join them in one task or put cells together in a few."""
-    return rows.repartition(tasks(rows.sparkSession), *more, "cx", "cy")
+def dealt(rows: DataFrame, *more: str, least: int = 0) -> DataFrame:
+    """rows dealt over tasks (`least` or more) by their cells (cx, cy and more), in a number of tasks that stays as it is: points of a table of few
+    megabytes can have billions of pairs, which sizes don't show, so that Spark would join them in one task or put cells together in a few."""
+    return rows.repartition(max(tasks(rows.sparkSession), least), *more, "cx", "cy")
 
 
-def met(a: DataFrame, b: DataFrame, on: Column | None = None, how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of a and b in the same cell (and of the same `more`), joined where they were dealt."""
-    a, b = dealt(a, *more).alias("_a"), dealt(b, *more).hint("shuffle_hash").alias("_b")
+def met(a: DataFrame, b: DataFrame, on: Column | None = None, how: str = "inner", more: tuple[str, ...] = (), least: int = 0, way: str = "shuffle_hash") -> DataFrame:
+    """Rows of a and b in the same cell (and of the same `more`), joined where they were dealt, in the given way."""
+    a, b = dealt(a, *more, least=least).alias("_a"), dealt(b, *more, least=least).hint(way).alias("_b")
     keys = [*more, "cx", "cy"]
     if on is None:
         return a.join(b, keys, how)
@@ -139,14 +139,34 @@ def overlapping(boxes: DataFrame, cell: float) -> DataFrame:
     return met(own, other).where((F.col("id") < F.col("o_id")) & boxes_overlap(box, o) & first).select(F.col("id").alias("a"), F.col("o_id").alias("b"))
 
 
+#: Boxes that hits tests as one, if they are the same box, and boxes whose pairs one task of it makes.
+TOGETHER, TASK_BOXES = 100, 25_000
+
+
 def hits(segments: DataFrame, boxes: DataFrame, cell: float, margin: float = 0.0) -> DataFrame:
-    """seg, box: segments (seg, ax, ay, bx, by) that touch boxes (box, x0, y0, x1, y1) grown by the margin."""
-    ends = [F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")]
-    grown = [F.col("x0") - margin, F.col("y0") - margin, F.col("x1") + margin, F.col("y1") + margin]
-    s, b = in_cells(segments, ends, cell), in_cells(boxes, grown, cell)
-    first = (F.col("cx") == F.floor(F.greatest(ends[0], grown[0]) / cell)) & (F.col("cy") == F.floor(F.greatest(ends[1], grown[1]) / cell))
-    test = segment_hits_box(*[F.col(c) for c in ("ax", "ay", "bx", "by", "x0", "y0", "x1", "y1")], margin)
-    return met(s, b).where(first & test).select("seg", "box")
+    """seg, box: segments (seg, ax, ay, bx, by) that touch boxes (box, x0, y0, x1, y1) grown by the margin.
+
+    Boxes with the same corners are tested once, TOGETHER of them at most, and their pairs written out after that. A segment and a box of which neither's
+    bounding box is apart touch unless all corners lie on one side of the segment; that takes no division, and whole numbers stay exact. They meet in
+    cells of half of `cell`; tasks grow in number with the boxes.
+    """
+    cell = cell / 2
+    corners = ["x0", "y0", "x1", "y1"]
+    nth = F.row_number().over(Window.partitionBy(*corners).orderBy("box")) - 1
+    same = boxes.select("box", *corners).where(" and ".join(f"{c} is not null" for c in corners)).withColumn("nth", nth).withColumn("part", F.floor(F.col("nth") / TOGETHER))
+    same = same.withColumn("boxes", F.collect_list("box").over(Window.partitionBy(*corners, "part"))).where(F.col("nth") == F.col("part") * TOGETHER)
+    b = same.select("boxes", *[(F.col(c) - margin).alias(c) for c in corners[:2]], *[(F.col(c) + margin).alias(c) for c in corners[2:]])
+    s = segments.select("seg", "ax", "ay", *[(F.col(f"b{c}") - F.col(f"a{c}")).alias(f"d{c}") for c in "xy"], *[f(f"a{c}", f"b{c}").alias(f"{k}{c}") for k, f in (("l", F.least), ("h", F.greatest)) for c in "xy"])
+    at_start = lambda cells_, low: F.col(cells_) == F.floor(F.col(low) / cell).cast("long")
+    s = in_cells(s, [F.col(c) for c in ("lx", "ly", "hx", "hy")], cell).withColumn("s_left", at_start("cx", "lx")).withColumn("s_low", at_start("cy", "ly"))
+    b = in_cells(b, [F.col(c) for c in corners], cell).withColumn("b_left", at_start("cx", "x0")).withColumn("b_low", at_start("cy", "y0"))
+    first = (F.col("s_left") | F.col("b_left")) & (F.col("s_low") | F.col("b_low"))
+    beside = (F.col("lx") <= F.col("x1")) & (F.col("x0") <= F.col("hx")) & (F.col("ly") <= F.col("y1")) & (F.col("y0") <= F.col("hy"))
+    middle = F.abs(F.col("dx") * (F.col("y0") + F.col("y1") - 2 * F.col("ay")) - F.col("dy") * (F.col("x0") + F.col("x1") - 2 * F.col("ax")))
+    both_sides = middle <= F.abs("dx") * (F.col("y1") - F.col("y0")) + F.abs("dy") * (F.col("x1") - F.col("x0"))
+    # in coalesce, because Spark would take conditions on one side alone from it and compute all that they need once more
+    touch = F.coalesce(first & beside & both_sides, F.lit(False))
+    return met(s, b, least=boxes.count() // TASK_BOXES + 1, way="merge").where(touch).select("seg", F.explode("boxes").alias("box"))
 
 
 def _cross() -> tuple[Column, Column, Column]:

@@ -2,10 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
+import duckdb
 import pytest
 
 from linework.operators import marks, spatial
+from linework.plans import registry
 
 
 def segments(n, ground, seed=5):
@@ -65,3 +68,42 @@ def test_dealt_over_tasks(spark):
     named = boxes.withColumnRenamed("id", "box")
     for joined in (spatial.overlapping(boxes, 32), spatial.hits(df, named, 40, 1), spatial.crossings(df, 40)):
         assert joined.rdd.getNumPartitions() >= least
+
+
+def touches(s, box, margin):
+    """Clipped side by side."""
+    (ax, ay, bx, by), (x0, y0, x1, y1) = s, box
+    low, high = 0.0, 1.0
+    for a, b, near, far in ((ax, bx, x0 - margin, x1 + margin), (ay, by, y0 - margin, y1 + margin)):
+        if a == b:
+            if not near <= a <= far:
+                return False
+        else:
+            t = sorted(((near - a) / (b - a), (far - a) / (b - a)))
+            low, high = max(low, t[0]), min(high, t[1])
+    return low <= high
+
+
+@pytest.mark.parametrize("ground, margin, shift", [(12, 1, 0), (150, 1, 0), (60, 0.25, 0.5)])
+def test_segments_at_boxes(spark, monkeypatch, ground, margin, shift):
+    """Places with many boxes, segments without length, ground on both sides of 0, fractions; each pair once, whatever is tested together."""
+    monkeypatch.setattr(spatial, "TOGETHER", 3)
+    segs = [(s[0], *(v - ground // 2 + shift for v in s[2:])) for s in segments(120, ground)] + [(900 + i, i - 3, 2, i - 3, 2) for i in range(6)]
+    boxes = [(i, x - ground // 2, y - ground // 2, x - ground // 2 + i % 3 * 4, y - ground // 2 + 9) for i, _, x, y, _, _ in segments(100, ground, 8)] + [(500 + i, 2, 3, 8, 12) for i in range(20)]
+    kind = "double" if shift else "long"
+    frame = lambda rows, key, names: spark.createDataFrame([(r[0], *map(float if shift else int, r[1:])) for r in rows], f"{key} long, " + ", ".join(f"{n} {kind}" for n in names))
+    got = spatial.hits(frame(segs, "seg", ("ax", "ay", "bx", "by")), frame(boxes, "box", ("x0", "y0", "x1", "y1")), 40, margin)
+    assert Counter(map(tuple, got.collect())) == Counter((s[0], b[0]) for s in segs for b in boxes if touches(s[1:], b[1:], margin))
+
+
+def test_boxes_at_one_place_are_tested_once(spark, monkeypatch, tmp_path):
+    """Before, every box of a place was tested by itself, all of a task's were held in memory, and tasks grew with the table."""
+    monkeypatch.setattr(spatial, "TASK_BOXES", 10)
+    con = duckdb.connect()
+    con.execute(f"copy (select a.a + 1009 * 1013 * b.b as p_partkey from range(300) a(a), range(5) b(b)) to '{tmp_path}/part.parquet' (format parquet)")
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet'")
+    got = registry.segment_hits_box(spark, str(tmp_path))
+    assert Counter(map(tuple, got.select("seg", "box").collect())) == Counter(con.execute(registry.SQL["segment_hits_box"]).fetchall())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("explode(boxes") < plan.index("SortMergeJoin") and "HashJoin" not in plan
+    assert got.rdd.getNumPartitions() >= 150
