@@ -34,8 +34,9 @@ def check_definitions(stations: DataFrame, lines: DataFrame, steps: DataFrame) -
     known = mentions.groupBy("net_id", "id").agg(F.sum("defined").alias("count"))
     # a closed line calls at its last station once more
     calls = stops.groupBy(*KEY, "station_id").agg(F.count("*").alias("n"), F.min("pos").alias("from"), F.max("pos").alias("to"))
+    # only numbers are gathered, for which rows needn't be sorted: a line's first station is its last if one reaches over the whole line
     own = calls.groupBy(*KEY).agg(
-        F.sum("n").alias("stops"), F.min_by("station_id", "from").alias("first"), F.max_by("station_id", "to").alias("last"), F.sum((F.col("n") > 1).cast("int")).alias("again"), F.max_by("n", "to").alias("at_end"),
+        F.sum("n").alias("stops"), F.min("from").alias("from"), F.max("to").alias("to"), F.max(F.col("to").cast("long") - F.col("from")).alias("reach"), F.sum((F.col("n") > 1).cast("int")).alias("again"), F.max_by("n", "to").alias("at_end"),
     )
     own = lines.select(*KEY, F.coalesce("closed", F.lit(False)).alias("closed"), F.lit(True).alias("here")).join(own, KEY, "full_outer")
     once = "again - case when at_end > 1 then 1 else 0 end = 0 and at_end <= 2"
@@ -50,7 +51,7 @@ def check_definitions(stations: DataFrame, lines: DataFrame, steps: DataFrame) -
         (known, "count = 0 and id is not null", ["net_id", "id"], "unknown stations"),
         (steps, "step_kind = 'station' and (station_id is null or net_id is null)", [*KEY, "pos"], "unknown stations"),
         (own, "here and coalesce(stops, 0) < 2", KEY, "a line needs two stations at least"),
-        (own, "closed and first <> last", KEY, "a closed line doesn't end where it starts"),
+        (own, "closed and reach <> cast(to as long) - from", KEY, "a closed line doesn't end where it starts"),
         (own, f"not if(coalesce(closed, false), {once}, again = 0)", KEY, "a line calls at a station twice"),
     ]
     failed = set()
@@ -84,36 +85,45 @@ def legs(lines: DataFrame, steps: DataFrame, layout: Layout = LAYOUT) -> DataFra
     """One row for each leg: net_id, line_id, line_pos, seg, a, b, leg, offset (bearing from the line's start), elastic, preferred,
     minimum, maximum, flex, group, the corner before it (delta, radius, forced), and the number of its path steps.
 
-    A turn ends the leg before it; a path step describes the leg that it stands in.
+    A turn ends the leg before it; a path step describes the leg that it stands in. Legs are the steps that end them, a turn or the
+    next station, so that only these are sorted by legs, not all steps.
     """
-    line = Window.partitionBy(*KEY).orderBy("pos")
-    s = graph.spread(steps, steps.count(), *KEY).withColumn("seg", F.count("station_id").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    s = s.withColumn("bend", F.count("turn_delta").over(line.rowsBetween(Window.unboundedPreceding, -1)))
-    # a station ends the last leg of the segment before it, which needs no step of its own
-    here = F.struct("seg", F.col("station_id").alias("a"), F.lit(None).cast("string").alias("b"), "turn_delta", "turn_radius", "path")
+    line = Window.partitionBy(*KEY).orderBy("pos", "_rest")
+    so_far, before = line.rowsBetween(Window.unboundedPreceding, 0), line.rowsBetween(Window.unboundedPreceding, -1)
+    # a station's step that holds more is two, of which the station is the first
+    more = F.col("turn_delta").isNotNull() | F.col("turn_radius").isNotNull() | F.col("path").isNotNull()
     none = lambda c: F.lit(None).cast(steps.schema[c].dataType).alias(c)
-    end = F.struct((F.col("seg") - 1).alias("seg"), F.lit(None).cast("string").alias("a"), F.col("station_id").alias("b"), *map(none, ("turn_delta", "turn_radius", "path")))
-    s = s.select(*KEY, "bend", F.explode(F.when(F.col("station_id").isNotNull(), F.array(here, end)).otherwise(F.array(here))).alias("s")).select(*KEY, "bend", "s.*").where("seg > 0")
-    by = s.groupBy(*KEY, "seg", "bend").agg(
-        F.max("a").alias("a"), F.max("b").alias("b"), F.max("turn_delta").alias("turn"), F.max("turn_radius").alias("turn_radius"), F.count("path").alias("paths"), F.max("path").alias("path"),
-    )
-    whole = Window.partitionBy(*KEY, "seg")
-    by = by.withColumns({"a": F.max("a").over(whole), "b": F.max("b").over(whole), "_first": F.min("bend").over(whole), "_last": F.max("bend").over(whole)}).where("b is not null")
-    by = by.withColumns({"leg": F.col("bend") - F.col("_first"), "turns": F.col("_last") - F.col("_first")})
-    out = by.join(lines.select(*KEY, "line_pos", "spacing").hint("merge"), KEY)
-    order = Window.partitionBy(*KEY, "seg").orderBy("bend")
+    rest = ("turn_delta", "turn_radius", "path")
+    station, other = F.struct(F.lit(0).alias("_rest"), "station_id", *map(none, rest)), F.struct(F.lit(1).alias("_rest"), none("station_id"), *rest)
+    own = F.when(F.col("station_id").isNull(), F.array(other)).when(more, F.array(station, other)).otherwise(F.array(station))
+    s = graph.spread(steps.select(*KEY, "pos", F.explode(own).alias("s")).select(*KEY, "pos", "s.*"), steps.count(), *KEY)
+    s = s.withColumns({"seg": F.count("station_id").over(so_far), "bend": F.count("turn_delta").over(before), "a": F.last("station_id", True).over(before)})
+    latest = lambda c: F.max(F.when(F.col(c).isNotNull(), F.struct("seg", "bend", c))).over(so_far)
+    s = s.withColumns({"_radius": latest("turn_radius"), "_path": latest("path"), "_paths": F.count(F.when((F.col("seg") > 0) & F.col("path").isNotNull(), 1)).over(so_far)})
+    # a station ends the last leg of the segment before it
+    s = s.withColumn("seg", F.when(F.col("station_id").isNotNull(), F.col("seg") - 1).otherwise(F.col("seg"))).where("seg > 0 and (station_id is not null or turn_delta is not null)")
+    here = lambda c, name: F.when((F.col(f"{c}.seg") == F.col("seg")) & (F.col(f"{c}.bend") == F.col("bend")), F.col(f"{c}.{name}")).alias(name)
+    s = s.withColumn("paths", F.col("_paths") - F.lag("_paths", 1, 0).over(line))
+    by = s.select(*KEY, "seg", "bend", "a", F.col("station_id").alias("b"), F.col("turn_delta").alias("turn"), here("_radius", "turn_radius"), here("_path", "path"), "paths")
+    # with the lines before the windows, one sort does for all of them
+    by = by.join(lines.select(*KEY, "line_pos", "spacing").hint("merge"), KEY)
+    order, whole = Window.partitionBy(*KEY, "seg").orderBy("bend"), Window.partitionBy(*KEY, "seg")
     all_ = Window.partitionBy(*KEY).orderBy("seg", "bend")
-    out = out.withColumn("offset", F.pmod(F.coalesce(F.sum("turn").over(all_.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), F.lit(360)).cast("int"))
+    before_ = F.sum("turn").over(all_.rowsBetween(Window.unboundedPreceding, -1))
+    by = by.withColumn("offset", F.pmod(F.coalesce(before_, F.lit(0)), F.lit(360)).cast("int"))
+    by = by.withColumns({"b": F.max("b").over(whole), "_first": F.min("bend").over(whole), "_last": F.max("bend").over(whole)}).where("b is not null")
+    out = by.withColumns({"leg": F.col("bend") - F.col("_first"), "turns": F.col("_last") - F.col("_first")})
     tangent = F.when(F.col("turn").isNotNull(), F.coalesce(F.col("turn_radius") * G.tangent_factor(F.col("turn")), F.col("spacing") / 2))
-    out = out.withColumn("_t", tangent).withColumn("default", F.coalesce("_t", F.lag("_t").over(order), "spacing"))
+    radius = F.coalesce("turn_radius", G.curve_radius(F.col("turn"), layout))
+    out = out.withColumns({"_t": tangent, "_curve": F.when(F.col("turn").isNotNull(), radius), "_forced": F.col("turn_radius").isNotNull()})
+    out = out.withColumns({"_lag_t": F.lag("_t").over(order), "delta": F.lag("turn").over(order), "radius": F.lag("_curve").over(order), "forced": F.lag("_forced").over(order)})
+    out = out.withColumn("default", F.coalesce("_t", "_lag_t", "spacing"))
     elastic = F.coalesce(F.col("path.flexibility"), F.lit(False))
     untouched = (F.col("turns") == 0) & F.col("path").isNull()
     preferred = F.coalesce(F.col("path.length"), F.when(elastic, F.col("spacing")).otherwise(F.col("default")))
     out = out.withColumn("elastic", elastic).withColumn("preferred", preferred)
     out = out.withColumn("minimum", F.when(elastic, F.coalesce("path.minimum", F.lit(layout.min_gap))).when(untouched, F.lit(layout.min_gap)).otherwise(F.col("preferred")))
     out = out.withColumn("maximum", F.when(elastic, F.coalesce("path.maximum", F.lit(float("inf")))).otherwise(F.col("preferred")))
-    radius = F.coalesce("turn_radius", G.curve_radius(F.col("turn"), layout))
-    out = out.withColumn("delta", F.lag("turn").over(order)).withColumn("radius", F.lag(F.when(F.col("turn").isNotNull(), radius)).over(order)).withColumn("forced", F.lag(F.col("turn_radius").isNotNull()).over(order))
     room = F.coalesce(F.col("radius") * G.tangent_factor(F.col("delta")), F.lit(0.0))
     out = out.withColumn("_room", room + F.coalesce(F.lead(room).over(order), F.lit(0.0)))
     for name in ("minimum", "preferred", "maximum"):
@@ -346,6 +356,7 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
     their equations.
     """
     check_groups(legs_, layout)
+    n = legs_.count()
     segs = legs_.where("leg = 0")
     parts = graph.line_parts(segs.select(*KEY, "a", "b"))
     heads = segs.groupBy(*KEY, "line_pos").agg(F.min_by("a", "seg").alias("a"), F.min("seg").alias("seg"))
@@ -358,7 +369,9 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
 
     rad = F.radians(F.col("bearing") + F.col("offset"))
     var = F.when(F.col("elastic"), F.concat_ws(":", F.lit("len"), "line_id", F.coalesce(F.concat(F.lit("group "), "group"), F.concat_ws(".", "seg", "leg"))))
-    rows = legs_.join(heads.select(*KEY, "component", "bearing").hint("merge"), KEY).select("net_id", "component", "line_id", "line_pos", "seg", "leg", "a", "b", var.alias("var"), F.sin(rad).alias("dx"), F.cos(rad).alias("dy"), "preferred", "minimum", "maximum", "flex")
+    # a task reads its legs once past its lines' heads, of which it has as many as legs at most, and holds no legs
+    dealt = graph.spread(legs_, n, *KEY).join(heads.select(*KEY, "component", "bearing").hint("shuffle_hash"), KEY)
+    rows = dealt.select("net_id", "component", "line_id", "line_pos", "seg", "leg", "a", "b", var.alias("var"), F.sin(rad).alias("dx"), F.cos(rad).alias("dy"), "preferred", "minimum", "maximum", "flex")
     rows = rows.unionByName(pins, allowMissingColumns=True).fillna({"line_pos": -1, "seg": -1, "leg": -1})
 
     def table(n: int, columns: dict) -> pd.DataFrame:
@@ -405,7 +418,7 @@ def solve(lines: DataFrame, legs_: DataFrame, bearings: DataFrame, layout: Layou
             yield from solved(pd.concat(held, ignore_index=True))
 
     # many small components in a task, each whole and its rows together
-    ordered = graph.spread(rows, legs_.count(), "net_id", "component").sortWithinPartitions("net_id", "component")
+    ordered = graph.spread(rows, n, "net_id", "component").sortWithinPartitions("net_id", "component")
     return ordered.mapInPandas(run, SOLVED)
 
 
