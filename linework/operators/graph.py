@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -56,6 +57,14 @@ def spread(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     return rows.repartition(max(n // 250_000 + 1, rows.sparkSession.sparkContext.defaultParallelism), *keys)
 
 
+def dealt_over(rows: DataFrame, key: str) -> int | None:
+    """Over how many tasks the rows' plan has dealt them by the key, None if it hasn't; nothing is run."""
+    plan = rows._jdf.queryExecution().executedPlan()
+    how = (plan.initialPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).outputPartitioning().toString()
+    found = re.search(rf"hashpartitioning\({re.escape(key)}#\d+L?, (\d+)\)", how)
+    return int(found[1]) if found else None
+
+
 def line_parts(edges: DataFrame, small: int = 100_000) -> DataFrame:
     """(net_id, line_id, component): the smallest station that a line reaches, behind its network's name; edges: (net_id, line_id, a, b).
 

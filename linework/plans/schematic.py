@@ -426,10 +426,12 @@ def residuals(terms: DataFrame, solution: DataFrame, part: str) -> DataFrame:
     """(part, eq, residual) of equations (part, eq, var, coef, rhs) under (var, value): what a solution leaves.
 
     An equation is of one part, such as a line, that has few unknowns. Terms stay where their part is: each part asks once for each of its
-    unknowns, and what travels are those and their values, not the terms.
+    unknowns, and what travels are those and their values, not the terms. Values are dealt over as many tasks as the terms, else Spark would
+    deal the side of fewer tasks once more.
     """
     asked = terms.select(part, "var").distinct().join(solution.hint("merge"), "var")
-    values = asked.groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("var", "value"))).alias("_values"))
+    tasks = graph.dealt_over(terms, part)
+    values = (asked.repartition(tasks, part) if tasks else asked).groupBy(part).agg(F.map_from_entries(F.collect_list(F.struct("var", "value"))).alias("_values"))
     known = terms.join(values.hint("merge"), part).where(F.map_contains_key("_values", F.col("var")))
     return known.groupBy(part, "eq").agg((F.sum(F.col("coef") * F.try_element_at("_values", F.col("var"))) - F.first("rhs")).alias("residual"))
 

@@ -5,7 +5,7 @@ import pytest
 from linework import schema
 from linework.errors import GeometryError
 from linework.operators import graph
-from linework.plans import schematic
+from linework.plans import pieces, schematic
 from tests.test_schematic import Turn, fix, flex, net
 
 
@@ -59,3 +59,23 @@ def test_closed_lines_end_where_they_start(spark, stations, wrong):
     else:
         with pytest.raises(GeometryError, match=wrong):
             schematic.check_definitions(*rows)
+
+
+def test_terms_are_not_dealt_again_for_their_values(spark):
+    """Before, terms or values were dealt by line twice wherever the number of tasks wasn't that of the setting."""
+    schema_ = "line_id long, eq string, var string, coef double, rhs double"
+    rows = [(1, "e", "a", 1.0, 2.0), (1, "e", "b", -1.0, 2.0), (1, "e", "b", -1.0, 2.0), (1, "f", None, 1.0, 0.0), (2, "g", "a", 3.0, None), (2, "h", "z", 1.0, 0.0), (None, "i", "a", 1.0, 1.0)]
+    terms, given = spark.createDataFrame(rows, schema_), spark.createDataFrame([("a", 7.0), ("b", 4.0), (None, 5.0)], "var string, value double")
+    assert graph.dealt_over(terms, "line_id") is None
+    for n in (2, 31):
+        dealt = terms.repartition(n, "line_id")
+        assert graph.dealt_over(dealt, "line_id") == n and graph.dealt_over(dealt, "line") is None
+        left = schematic.residuals(dealt, given, "line_id")
+        assert plan_of(left).count("hashpartitioning(line_id#") == 3  # terms, terms that ask, values
+        assert {(r.line_id, r.eq): r.residual for r in left.collect()} == {(1, "e"): -3.0, (2, "g"): None}
+    assert {(r.line_id, r.eq): r.residual for r in schematic.residuals(terms, given, "line_id").collect()} == {(1, "e"): -3.0, (2, "g"): None}
+    spark.conf.set("spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism + 3)
+    try:
+        assert "Exchange hashpartitioning(line_id#" in (plan := plan_of(pieces.layout_residuals(spark, "/root/testdata/sf0.001"))) and plan.count("Exchange hashpartitioning(line_id#") == 1
+    finally:
+        spark.conf.unset("spark.sql.shuffle.partitions")
