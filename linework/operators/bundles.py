curve_bundles: make corners in one window over the line, and once

Symptom: curve_bundles uses far more CPU per GB than its work needs.
Evidence: the profiler at sf0.1: 1,504 CPU seconds a GB; the plan made the legs with their windows five times (15 windows, 16 sorts), as corners joined legs with themselves and were read twice, by the search for lanes beside them and by what it finds.
Fix: The leg before a corner comes from a window over the line (range of k - 1, so gaps and repeated k are as in the join), and corners are written once and read twice, as lanes are already.
Effect, together with 1 more commit on this code: at 1 GB of input CPU 786 -> 482 s, shuffle 4.35 -> 2.84 GB, spill 0.00 -> 0.00 GB, read 1.47 -> 1.76 GB, longest task 5 -> 4 s, most memory of a task 608 -> 403 MB; at 6 GB of input CPU 3458 -> 2204 s, shuffle 27.11 -> 17.76 GB, spill 0.00 -> 0.00 GB, read 10.33 -> 12.11 GB, longest task 7 -> 8 s, most memory of a task 696 -> 705 MB; with hot keys, at 1 GB of input CPU 816 -> 597 s, shuffle 5.85 -> 4.19 GB, spill 0.09 -> 0.09 GB, read 1.48 -> 1.78 GB, longest task 6 -> 7 s, most memory of a task 977 -> 977 MB.

@@ -5,7 +5,7 @@ Edges are (u, v) in the direction in which they are stored, from u. A lane count
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linework.errors import require_empty
@@ -114,9 +114,14 @@ def lane_map(legs: DataFrame, within: tuple[str, ...] = ()) -> DataFrame:
 
 
 def corners(legs: DataFrame) -> DataFrame:
-    """Each leg k that turns off the leg before it, with both: p_ columns are those of leg k - 1. legs as in lane_map, with delta."""
-    before = legs.select("line_id", (F.col("k") + 1).alias("k"), *[F.col(c).alias(f"p_{c}") for c in ("ax", "ay", "bx", "by", "off")])
-    return legs.where("delta <> 0").join(before, ["line_id", "k"])
+    """Each leg k that turns off the leg before it, with both: p_ columns are those of leg k - 1. legs as in lane_map, with delta.
+
+    Both are rows of one window over the line, so that legs are made once and nothing is joined; where k repeats, each meets each.
+    """
+    ends = ("ax", "ay", "bx", "by", "off")
+    before = Window.partitionBy("line_id").orderBy("k").rangeBetween(-1, -1)
+    turning = legs.where("line_id is not null and k is not null").withColumn("_before", F.collect_list(F.struct(*ends)).over(before)).where("delta <> 0")
+    return turning.withColumn("_p", F.explode("_before")).select(*legs.columns, *[F.col(f"_p.{c}").alias(f"p_{c}") for c in ends])
 
 
 def curve_bundle(legs: DataFrame, spacing: float, within: tuple[str, ...] = ()) -> DataFrame:
@@ -124,7 +129,8 @@ def curve_bundle(legs: DataFrame, spacing: float, within: tuple[str, ...] = ())
     innermost lane of its bundle counted towards the inside, and whether another family runs beside it all the way round.
 
     The bundle is the families whose gap to the line stays the same from one leg to the next. within: columns of legs whose values
-    bundles don't reach across, such as networks on the same ground.
+    bundles don't reach across, such as networks on the same ground. Corners are written once: they are read by the search for lanes
+    beside them and by what that finds.
     """
     lanes = graph.kept(lane_map(legs, within))
     c = corners(legs)
@@ -132,8 +138,8 @@ def curve_bundle(legs: DataFrame, spacing: float, within: tuple[str, ...] = ())
     sign = F.when(F.col("delta") > 0, 1).otherwise(-1)
     pmx, pmy = _middle(("p_ax", "p_bx"), ("p_ay", "p_by"))
     mx, my = _middle(("ax", "bx"), ("ay", "by"))
-    c = c.select(*within, "line_id", "family", "k", "ax", "ay", "off", "p_off", own.alias("shift"), sign.alias("sign"), pmx.alias("pmx"), pmy.alias("pmy"), mx.alias("mx"), my.alias("my"),
-                 _forward("p_ax", "p_ay", "p_bx", "p_by").alias("p_fwd"), _forward("ax", "ay", "bx", "by").alias("fwd"))
+    c = graph.kept(c.select(*within, "line_id", "family", "k", "ax", "ay", "off", "p_off", own.alias("shift"), sign.alias("sign"), pmx.alias("pmx"), pmy.alias("pmy"), mx.alias("mx"), my.alias("my"),
+                 _forward("p_ax", "p_ay", "p_bx", "p_by").alias("p_fwd"), _forward("ax", "ay", "bx", "by").alias("fwd")))
     into = lanes.select(*within, F.col("mx").alias("pmx"), F.col("my").alias("pmy"), F.col("family").alias("other"), F.col("lane").alias("p_lane"))
     out = lanes.select(*within, "mx", "my", F.col("family").alias("other"), "lane")
     near = c.join(into, [*within, "pmx", "pmy"]).where("other <> family").join(out, [*within, "mx", "my", "other"])

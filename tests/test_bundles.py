@@ -29,3 +29,14 @@ def test_links_grow_with_edges(spark):
     assert bundles.stretch_pairs(edges).count() == 300 * 300
     assert bundles.stretch_links(edges).count() <= 1200
     assert {s.stretch for s in bundles.stretches(edges).collect()} == {0}
+
+
+def test_corners_are_one_window(spark):
+    """Before, legs were made twice and joined with themselves. Legs that repeat meet each other, gaps and null keys have no corner."""
+    kinds = "line_id string, k int, family long, ax double, ay double, bx double, by double, off double, delta int"
+    leg = lambda line, k, off, delta: (line, k, 1, float(k or 0), 0.0, 1.0, 1.0, off, delta)
+    rows = [leg("1", 1, 0.5, 0), leg("1", 2, 1.0, 45), leg("1", 2, 1.0, 45), leg("1", 3, 2.0, -45), leg("1", 5, 3.0, 45), leg("1", 6, 4.0, 0), leg("1", 7, 5.0, None), leg("1", None, 6.0, 45), leg("2", 2, 7.0, 45), leg(None, 1, 8.0, 0), leg(None, 2, 9.0, 45)]
+    found = bundles.corners(spark.createDataFrame(rows, kinds))
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.line_id, r.k, r.off, r.delta, r.p_ax, r.p_ay, r.p_bx, r.p_by, r.p_off) for r in found.collect())
+    assert got == [("1", 2, 1.0, 45, 1.0, 0.0, 1.0, 1.0, 0.5)] * 2 + [("1", 3, 2.0, -45, 2.0, 0.0, 1.0, 1.0, 1.0)] * 2
